@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import packing, token_files
+from . import packing, token_files, warc
 
 
 def queries() -> dict:
     import corpus_pipeline
 
     return {
+        "op1_warc": warc.op1_warc,
         "op7_token_files": token_files.op7_token_files,
         "op9_packing": packing.op9_packing,
         "pipeline": corpus_pipeline.run,
@@ -16,4 +17,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_warc": warc.ORACLE}
