@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import packing, token_files, warc
+from . import edit_match, odd_sketch, packing, token_files, warc
 
 
 def queries() -> dict:
@@ -10,7 +10,9 @@ def queries() -> dict:
 
     return {
         "op1_warc": warc.op1_warc,
+        "op3_near_duplicates": odd_sketch.op3_near_duplicates,
         "op7_token_files": token_files.op7_token_files,
+        "op8_decontamination": edit_match.op8_decontamination,
         "op9_packing": packing.op9_packing,
         "pipeline": corpus_pipeline.run,
     }
