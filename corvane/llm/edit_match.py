@@ -95,7 +95,7 @@ class ItemIndex:
         for i, found in starts.items():
             budget, n, low, high = self.budgets[i], len(self.texts[i]), None, -1
             for start in sorted(found):
-                if start - budget > high:
+                if low is None or start - budget > high:
                     if low is not None:
                         yield i, low, high
                     low = max(0, start - budget)

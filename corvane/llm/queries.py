@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import edit_match, odd_sketch, packing, token_files, warc
+from . import edit_match, language_id, odd_sketch, packing, quality_rules, token_files, toxicity, warc
 
 
 def queries() -> dict:
@@ -11,9 +11,12 @@ def queries() -> dict:
     return {
         "op1_warc": warc.op1_warc,
         "op3_near_duplicates": odd_sketch.op3_near_duplicates,
+        "op4_quality_rules": quality_rules.op4_quality_rules,
+        "op5_language_id": language_id.op5_language_id,
         "op7_token_files": token_files.op7_token_files,
         "op8_decontamination": edit_match.op8_decontamination,
         "op9_packing": packing.op9_packing,
+        "op10_toxicity": toxicity.op10_toxicity,
         "pipeline": corpus_pipeline.run,
     }
 

@@ -37,7 +37,7 @@ class BytePairEncoder:
     is applied to each; any other unit goes through the whole library pipeline.
     """
 
-    def __init__(self, path: str, capacity: int = 500_000):
+    def __init__(self, path: str, capacity: int = 350_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -54,7 +54,7 @@ class BytePairEncoder:
         if ids is None:
             letters = "\u0120" + piece[1:] if piece[0] == " " and piece[1:].isalpha() and piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
             ids = array("I", [x.id for x in self.tokenizer.model.tokenize(letters)]).tobytes()
-            if len(self.pieces) < self.capacity // 2 and len(piece) <= LONGEST_KEPT:
+            if len(self.pieces) < self.capacity // 3 and len(piece) <= LONGEST_KEPT:
                 self.pieces[piece] = ids
         return ids
 
