@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import edit_match, language_id, odd_sketch, packing, quality_rules, token_files, toxicity, warc
+from . import chat_format, edit_match, language_id, odd_sketch, packing, quality_rules, token_files, toxicity, unigram, warc
 
 
 def queries() -> dict:
@@ -10,9 +10,11 @@ def queries() -> dict:
 
     return {
         "op1_warc": warc.op1_warc,
+        "op2_token_counts": unigram.op2_token_counts,
         "op3_near_duplicates": odd_sketch.op3_near_duplicates,
         "op4_quality_rules": quality_rules.op4_quality_rules,
         "op5_language_id": language_id.op5_language_id,
+        "op6_chat_format": chat_format.op6_chat_format,
         "op7_token_files": token_files.op7_token_files,
         "op8_decontamination": edit_match.op8_decontamination,
         "op9_packing": packing.op9_packing,
@@ -22,4 +24,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": warc.ORACLE}
+    return {"op1_warc": warc.ORACLE, "op6_chat_format": chat_format.ORACLE}
