@@ -18,6 +18,7 @@ text has no matches. Items with equal texts all match; rows with equal ids each
 from __future__ import annotations
 
 import os
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -125,22 +126,23 @@ _INDEXES: dict[tuple, ItemIndex] = {}
 
 def _index(block, rate: float) -> ItemIndex:
     """One index a process and block."""
-    key = (os.getpid(), block.id, rate)
+    name, items = block.value
+    key = (os.getpid(), name, rate)
     if key not in _INDEXES:
         _INDEXES.clear()
-        _INDEXES[key] = ItemIndex(block.value, rate)
+        _INDEXES[key] = ItemIndex(items, rate)
     return _INDEXES[key]
 
 
 def _blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator:
-    """Broadcasts of the items, of about block_bytes each."""
+    """Broadcasts of the items, of about block_bytes each, with a name."""
     rows = items.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("text is not null")
     total = rows.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     count = max(1, -(-total // block_bytes))
     for k in range(count):
         block = rows.filter(F.pmod(F.xxhash64("id", "text"), F.lit(count)) == k) if count > 1 else rows
         found = sorted((tuple(r) for r in block.toLocalIterator()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
-        yield items.sparkSession.sparkContext.broadcast(found)
+        yield items.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, found))
 
 
 def find_items(docs: DataFrame, items: DataFrame, rate: float = RATE, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:

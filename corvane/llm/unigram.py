@@ -16,6 +16,7 @@ Defined results: a null or empty text has no tokens and score 0. Every row is co
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -95,16 +96,17 @@ _COUNTERS: dict[tuple, UnigramCounter] = {}
 
 
 def _counter(held) -> UnigramCounter:
-    key = (os.getpid(), held.id)
+    name, vocabulary, byte_fallback = held.value
+    key = (os.getpid(), name)
     if key not in _COUNTERS:
         _COUNTERS.clear()
-        _COUNTERS[key] = UnigramCounter(*held.value)
+        _COUNTERS[key] = UnigramCounter(vocabulary, byte_fallback)
     return _COUNTERS[key]
 
 
 def count_tokens(docs: DataFrame, vocabulary: list[tuple[str, float]], byte_fallback: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per row of docs: doc_id, n_tokens, score."""
-    held = docs.sparkSession.sparkContext.broadcast((vocabulary, byte_fallback))  # a tokenizer's vocabulary
+    held = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, vocabulary, byte_fallback))  # a tokenizer's vocabulary
 
     def count(batches):
         import pyarrow as pa
