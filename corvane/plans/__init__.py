@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS: list[str] = []
+AREAS: list[str] = ["cleaning"]
 
 
 def register() -> None:
