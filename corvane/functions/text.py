@@ -73,6 +73,11 @@ def words(c: Column) -> Column:
     return F.filter(F.split(c, r"(?U)\s+"), lambda w: w != "")
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once: inside a lambda it would be computed for each element."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
 def lines(c: Column) -> Column:
     return F.split(c, "\n")
 
@@ -160,20 +165,23 @@ def html_to_markdown(c: Column) -> Column:
 
 def rst_to_markdown(c: Column) -> Column:
     """A line above a rule of =, - or ~ becomes a heading of level 1, 2 or 3; the rule goes."""
-    every = lines(c)
-    rule = r"(?U)^\s*(?:={3,}|-{3,}|~{3,}|[=\-~]{3,})\s*$"
-    has_rule = lambda i: F.coalesce(F.get(every, i + 1).rlike(rule), F.lit(False)) & (strip(F.get(every, i)) != "")
-
-    def step(state: Column, i: Column) -> Column:
-        line = F.get(every, i)
-        mark = strip(F.get(every, i + 1)).substr(1, 1)
-        hashes = F.when(mark == "=", "# ").when(mark == "-", "## ").otherwise("### ")
-        heads = ~state["skip"] & has_rule(i)
-        out = F.when(state["skip"], state["out"]).otherwise(F.concat(state["out"], F.array(F.when(heads, F.concat(hashes, strip(line))).otherwise(line))))
-        return F.struct(out.alias("out"), heads.alias("skip"))
-
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("skip"))
-    return F.array_join(F.aggregate(F.sequence(F.lit(0), F.size(every) - 1), start, step)["out"], "\n")
+    rule = r"(?U)^\s*[=\-~]{3,}\s*$"
+
+    def convert(every: Column) -> Column:
+        has_rule = lambda i: F.coalesce(F.get(every, i + 1).rlike(rule), F.lit(False)) & (strip(F.get(every, i)) != "")
+
+        def step(state: Column, i: Column) -> Column:
+            line = F.get(every, i)
+            mark = strip(F.get(every, i + 1)).substr(1, 1)
+            hashes = F.when(mark == "=", "# ").when(mark == "-", "## ").otherwise("### ")
+            heads = ~state["skip"] & has_rule(i)
+            out = F.when(state["skip"], state["out"]).otherwise(F.concat(state["out"], F.array(F.when(heads, F.concat(hashes, strip(line))).otherwise(line))))
+            return F.struct(out.alias("out"), heads.alias("skip"))
+
+        start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("skip"))
+        return F.array_join(F.aggregate(F.sequence(F.lit(0), F.size(every) - 1), start, step)["out"], "\n")
+
+    return let(lines(c), convert)
 
 
 def headings(c: Column) -> Column:

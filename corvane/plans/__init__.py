@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS: list[str] = ["cleaning"]
+AREAS: list[str] = ["cleaning", "dedup"]
 
 
 def register() -> None:
