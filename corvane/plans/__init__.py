@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS: list[str] = ["cleaning", "dedup"]
+AREAS: list[str] = ["cleaning", "dedup", "search"]
 
 
 def register() -> None:
