@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS: list[str] = ["cleaning", "dedup", "search"]
+AREAS: list[str] = ["cleaning", "dedup", "search", "rails", "memory"]
 
 
 def register() -> None:
