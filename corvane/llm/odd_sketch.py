@@ -8,10 +8,12 @@
 3. Within a bucket each class is a candidate with the bucket's smallest class only. Candidates that
    their sketches don't dismiss are confirmed on the full sets; links give components.
 4. Only buckets that still hold several components can hold further links. There all pairs across
-   components are compared by sketch, in blocks of bounded size, and what remains is confirmed too.
+   components are compared by sketch, in blocks of bounded size, and those not dismissed are confirmed
+   within the task that compares them, which returns links alone, and no more than join components.
    After this every pair that shares a bucket is in one component, dismissed or confirmed.
 
-Nothing is dropped: a bucket of any size goes through 3 (one pair a member) and 4 (blocks). Two
+Nothing is dropped: a bucket of any size goes through 3 (one pair a member) and 4 (blocks). In 4 a
+bucket's tasks grow with the square of its blocks, its rows out only with its members. Two
 documents of the least similarity share no bucket with a probability of under one in a million, and
 are dismissed by their sketches as rarely.
 
@@ -190,38 +192,86 @@ def _confirm(pairs: DataFrame, rows: DataFrame, how: Similarity) -> DataFrame:
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
 
 
-def _across(members: DataFrame, most_bits: int) -> DataFrame:
-    """Pairs of classes of one bucket and different components that sketches don't dismiss.
+MEMBER = "bucket long, band int, low int, high int, block int, node long, component long, n_shingles long, bands array<long>, sketch binary"
 
-    members: bucket, place (from 0), size, node, component, sketch. A bucket's members are cut into
-    blocks; a group holds two blocks, or one, whatever the bucket's size.
+
+def _deal(members: DataFrame) -> DataFrame:
+    """Cut each bucket's members into blocks by a hash; every two blocks of a bucket, and each alone, make a group."""
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    dealt = members.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return dealt.select(
+        "bucket", "band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "component", "n_shingles", "bands", "sketch"
+    )
+
+
+def _candidates(table, how: Similarity):
+    """Of one group: for each row i of its first block the rows that may be linked with it, nearest first.
+
+    Rows of one component aren't compared, nor pairs that share an earlier band: their bucket has them.
+    """
+    parts, block, nodes = (table.column(k).to_numpy() for k in ("component", "block", "node"))
+    n, band = table.column("n_shingles").to_numpy(), table.column("band")[0].as_py()
+    raw = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(nodes), -1)
+    keys = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(nodes), -1)
+    one = block.min() == block.max()
+    for i in np.flatnonzero(block == block.min()).tolist():
+        near = (parts != parts[i]) & (100 * np.minimum(n, n[i]) >= how.percent * np.maximum(n, n[i]))
+        near &= nodes > nodes[i] if one else block != block[i]
+        found = np.flatnonzero(near)
+        bits = np.bitwise_count(raw[found] ^ raw[i]).sum(axis=1)
+        found, bits = found[bits <= how.most_bits], bits[bits <= how.most_bits]
+        first = np.argmax(keys[found] == keys[i], axis=1) == band
+        yield i, found[first][np.argsort(bits[first], kind="stable")]
+
+
+def _across(members: DataFrame, texts: DataFrame, how: Similarity) -> DataFrame:
+    """Links (a, b) between components that share a bucket, as many as join them.
+
+    A first pass finds the members that have any candidate by sketch; only those get their full sets,
+    and the second pass confirms candidates where they are, so that pairs never become rows.
     """
 
-    def compare(table):
+    def active(table):
         import pyarrow as pa
 
-        nodes, parts = table.column("node").to_numpy(), table.column("component").to_numpy()
-        block = table.column("block").to_numpy()
-        raw = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(nodes), -1)
-        one = block.min() == block.max()
-        found_a, found_b = [], []
-        for i in np.flatnonzero(block == block.min()).tolist():
-            near = np.bitwise_count(raw ^ raw[i]).sum(axis=1) <= most_bits
-            near &= (parts != parts[i]) & (nodes > nodes[i] if one else block != block[i])
-            others = nodes[near]
-            found_a.append(np.minimum(others, nodes[i]))
-            found_b.append(np.maximum(others, nodes[i]))
-        return pa.table({"a": np.concatenate(found_a), "b": np.concatenate(found_b)})
+        keep = np.zeros(table.num_rows, bool)
+        for i, found in _candidates(table, how):
+            keep[found] = True
+            keep[i] |= len(found) > 0
+        return table.filter(pa.array(keep))
 
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = (F.col("place") / BLOCK).cast("int")
-    dealt = members.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    low, high = F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
-    return (
-        dealt.select("bucket", low, high, "block", "node", "component", "sketch")
-        .groupBy("bucket", "low", "high").applyInArrow(compare, "a long, b long")
-        .distinct()
-    )
+    def confirm(table):
+        import pyarrow as pa
+
+        nodes, parts = table.column("node").to_pylist(), table.column("component").to_pylist()
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("elements").to_pylist()]
+        root = {p: p for p in parts}
+
+        def find(p):
+            while root[p] != p:
+                root[p] = p = root[root[p]]
+            return p
+
+        links = []
+        for i, found in _candidates(table, how):
+            for j in found.tolist():
+                mine, theirs = find(parts[i]), find(parts[j])
+                if mine != theirs and linked(sets[i], sets[j], how.percent):
+                    root[max(mine, theirs)] = min(mine, theirs)
+                    links.append((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])))
+        return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
+
+    def elements(batches):
+        import pyarrow as pa
+
+        for batch in common.pieces_of(batches):
+            made = [shingles(x, how.words).tobytes() for x in batch.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made, pa.binary())], ["node", "elements"])
+
+    group = ("bucket", "low", "high")
+    found = common.stage(_deal(members).groupBy(*group).applyInArrow(active, MEMBER), "active")
+    sets = texts.join(found.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(elements, "node long, elements binary")
+    return found.join(sets, "node").groupBy(*group).applyInArrow(confirm, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, how: Similarity = Similarity(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -229,32 +279,29 @@ def near_duplicates(docs: DataFrame, how: Similarity = Similarity(), id_col: str
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = common.stage(_sign(rows, how), "signed")
     known = signed.filter("set_key is not null and doc_id is not null")
-    classes = common.stage(
-        known.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes"
-    )
+    once = [F.first(c).alias(c) for c in ("n_shingles", "bands", "sketch")]  # equal sets have equal ones
+    classes = common.stage(known.groupBy("set_key").agg(F.min("doc_id").alias("node"), *once), "classes")
     folded = classes.select("node", "sketch")
-    dealt = classes.select("node", F.explode("bands").alias("bucket"))
+    dealt = classes.select("node", F.posexplode("bands").alias("band", "bucket"))
     shared = common.stage(dealt.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("size")).filter("size > 1"), "buckets")
     members = common.stage(dealt.join(shared, "bucket"), "members")
+    # the texts of all classes that share a bucket: later steps read no others
+    texts = common.stage(rows.join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
 
     pairs = members.filter("node > leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     pairs = pairs.join(folded.toDF("b", "sketch_b"), "b").join(folded.toDF("a", "sketch_a"), "a")
     pairs = pairs.filter(_differing(F.col("sketch_a"), F.col("sketch_b")) <= how.most_bits).select("a", "b")
-    # the same documents have equal ids where a row is repeated: their pairs are confirmed once
-    links = common.stage(_confirm(pairs.distinct(), rows, how).distinct(), "links")
+    # where ids repeat, a pair of ids may be confirmed by several texts
+    links = common.stage(_confirm(pairs, texts, how).distinct(), "links")
     parts = connected_components(links)
 
     labelled = members.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    labelled = common.stage(labelled.select("bucket", "node", "component", "size"), "labelled")
+    labelled = common.stage(labelled.select("bucket", "band", "node", "component", "size"), "labelled")
     mixed = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-    mixed = common.stage(mixed.select("bucket"), "mixed")
-    if not mixed.isEmpty():
-        # a member's place among its bucket's: blocks are dealt by a hash, so no sort of a whole bucket
-        inside = labelled.join(mixed, "bucket").withColumn("place", F.pmod(F.xxhash64("node"), F.col("size")))
-        pairs = _across(inside.join(folded, "node"), how.most_bits)
-        more = common.stage(_confirm(pairs, rows, how).distinct(), "more")
-        if not more.isEmpty():
-            parts = connected_components(links.unionByName(more))
+    inside = labelled.join(common.stage(mixed.select("bucket"), "mixed"), "bucket")
+    more = common.stage(_across(inside.join(classes.select("node", "n_shingles", "bands", "sketch"), "node"), texts, how), "more")
+    if not more.isEmpty():
+        parts = connected_components(links.unionByName(more))
 
     found = classes.select("set_key", "node").join(parts, "node", "left")
     found = found.select("set_key", F.coalesce("component", "node").alias("component_id"))
