@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .checkpoint import checkpointed
+
 
 def upsert(rows: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     """rows with those of changes put in or replaced, by key."""
@@ -22,5 +24,5 @@ def ensure(spark: SparkSession, name: str, schema: str, partitioned_by: list[str
 
 def load_json(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """The rows that can be read, and the lines that can't."""
-    rows = spark.read.schema(schema + ", _corrupt_record string").json(path).checkpoint() if spark.sparkContext.getCheckpointDir() else spark.read.schema(schema + ", _corrupt_record string").json(path).cache()
+    rows = checkpointed(spark.read.schema(schema + ", _corrupt_record string").json(path))
     return rows.filter("_corrupt_record is null").drop("_corrupt_record"), rows.filter("_corrupt_record is not null").select("_corrupt_record")
