@@ -1,0 +1,471 @@
+"""Each operator on small tables: nulls, empty and long texts, ties, repeated rows, empty tables, clashing names."""
+
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer, models, pre_tokenizers
+
+from corvane.llm import chat_format, common, edit_match, language_id, odd_sketch, packing, quality_rules, stages, token_files, toxicity, unigram, warc
+from corvane.llm.tokenize import encoder
+
+BPE = public_tokenizers.path("byte_bpe_50k.json")
+#: Rows that every operator must take: null text, empty text, a repeated row, a null id, a long text, extra columns with names that operators use.
+WORDS = "the red fox met a blue owl near old mill by green river and told him of seven small boats".split()
+
+
+def odd_rows(n=12, seed=1):
+    random.seed(seed)
+    texts = [None, "", " \n ", " ".join(random.choices(WORDS, k=9000)), "naïve café 日本 🙂\t<|endoftext|> x"]
+    texts += [" ".join(random.choices(WORDS, k=random.randint(1, 60))) for _ in range(n)]
+    rows = [(i, t, "s", "en", i) for i, t in enumerate(texts)]
+    return rows + [rows[-1], (None, texts[-2], "s", None, 0)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(odd_rows(), "doc_id long, text string, source string, lang string, score long")
+
+
+@pytest.fixture(scope="module")
+def empty(docs):
+    return docs.filter("false")
+
+
+def rows_of(df):
+    return [r.asDict() for r in df.collect()]
+
+
+# ---------------------------------------------------------------- tokenizer
+
+
+def test_memoised_encoder_equals_library():
+    library = Tokenizer.from_file(BPE)
+    library.encode_special_tokens = True
+    random.seed(0)
+    texts = ["", " ", "  a", "a  b ", "a\n b \n c", "<|endoftext|> x", "don't 's x's", "été 1 22 ##", "a \x1c b", "x" * 500]
+    texts += ["".join(random.choice("ab é\n\t 'sd1#🙂 .") for _ in range(random.randint(0, 80))) for _ in range(300)]
+    want = [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert encoder(BPE).encode(texts) == want
+    assert encoder(BPE).encode(texts) == want  # with all units remembered
+
+
+# ---------------------------------------------------------------- 1: WARC
+
+
+def test_warc_round_trip(spark):
+    big = "y" * 1500
+    pages = [(1, "http://a\r\nX: y", big, 1), (2, None, big, 2), (9, "u", big, 3), (9, "u", big, 3), (3, "u", "small", 4), (4, "u", "small", 5), (5, "u", None, 6), (None, "u", big, 7), (None, "u", None, 8), (-6, "u", "é" * 700, 9)]
+    pages += [(100 + i, "u", f"<p>page {i} {'lorem ipsum ' * (i % 17)}</p>", i) for i in range(300)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string, digest long")
+    path = common.scratch(spark, "t")
+    warc.write_archives(df, path)
+    got = rows_of(warc.read_archives(spark, path, with_payload=True))
+    assert len(got) == len(pages)
+    by = {}
+    for r in got:
+        by.setdefault(r["page_id"], []).append(r)
+    assert [r["record_type"] for r in by[9]] == ["response", "response"]
+    for k in (1, 2):
+        assert (by[k][0]["record_type"], by[k][0]["refers_to"], by[k][0]["payload_bytes"]) == ("revisit", 9, 1500)
+        assert by[k][0]["payload_digest"] == hashlib.sha1(big.encode()).hexdigest() and by[k][0]["payload"] is None
+    assert by[3][0]["record_type"] == by[4][0]["record_type"] == "response"
+    assert by[5][0]["payload"] == b"" and by[5][0]["payload_bytes"] == 0
+    assert sorted((r["record_type"], r["refers_to"]) for r in by[None]) == sorted([("revisit", 9), ("response", None)], key=str)
+    assert by[-6][0]["payload_bytes"] == 1400
+    assert all(r["payload"] == p[2].encode() for p in pages[10:] for r in by[p[0]])
+    contents = [r["content"] for r in warc.common.read_files(spark, path).collect()]
+    assert any(c[:4] == b"\x5d\x2a\x4d\x18" for c in contents)  # a leading dictionary frame
+
+
+def test_warc_records_alone_and_cut_off():
+    records = [warc.make_record(i, "u", f"text {i} of many alike".encode() * 9, hashlib.sha1(f"text {i} of many alike".encode() * 9).hexdigest(), None, False, "2000-01-01T00:00:00Z") for i in range(200)]
+    archive = warc.TRAILER.join([*warc.compressed(iter(records)), b""])
+    assert list(warc.decompressed(archive)) == records
+    assert list(warc.decompressed(archive, slice_bytes=7)) == records
+    with pytest.raises(ValueError):
+        list(warc.decompressed(archive[:-14]))
+    assert [warc.page_of(warc.record_id(x)) for x in (None, 0, 7, -1, 2**63 - 1, -(2**63))] == [None, 0, 7, -1, 2**63 - 1, -(2**63)]
+
+
+def test_warc_of_nothing(spark):
+    path = common.scratch(spark, "t")
+    warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), path)
+    assert warc.read_archives(spark, path).count() == 0
+
+
+# ---------------------------------------------------------------- 2: unigram counts
+
+
+def test_unigram_equals_library_with_ties():
+    random.seed(5)
+    for _ in range(60):
+        vocabulary = {"<unk>": 0.0} | {"".join(random.choice("abc▁") for _ in range(random.randint(1, 4))): -float(random.randint(0, 3)) for _ in range(9)}
+        library = Tokenizer(models.Unigram(list(vocabulary.items()), 0, False))
+        library.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=True)
+        counter = unigram.UnigramCounter(list(vocabulary.items()), False)
+        for _ in range(20):
+            text = "".join(random.choice("abcd ▁") for _ in range(random.randint(0, 14)))
+            assert counter.count(text)[0] == len(library.encode(text, add_special_tokens=False).ids), (text, vocabulary)
+
+
+def test_unigram_bytes_and_rows(docs, empty):
+    vocabulary = unigram.sentencepiece_vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    library = Tokenizer(models.Unigram(vocabulary, 0, True))
+    library.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=True)
+    got = rows_of(unigram.count_tokens(docs, vocabulary))
+    want = sorted((r[0] is None, r[0] or 0, len(library.encode(r[1] or "", add_special_tokens=False).ids)) for r in odd_rows())
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"]) for r in got) == want
+    assert unigram.count_tokens(empty, vocabulary).count() == 0
+
+
+# ---------------------------------------------------------------- 3: near-duplicates
+
+
+def brute_components(rows, words, percent):
+    sets = {}
+    for doc, text in rows:
+        w = (text or "").encode().lower().split()
+        sets[doc] = set() if not w else {tuple(w)} if len(w) < words else {tuple(w[i : i + words]) for i in range(len(w) - words + 1)}
+    root = {d: d for d in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {d: find(d) for d in sets}, {d: len(s) for d, s in sets.items()}
+
+
+@pytest.mark.parametrize(("words", "percent"), [(3, 85), (5, 80)])
+def test_near_duplicates_equal_brute_force(spark, words, percent):
+    random.seed(words)
+    base = [random.choices(WORDS + [f"w{i}" for i in range(200)], k=120) for _ in range(12)]
+    rows = []
+    for i in range(220):
+        w = list(random.choice(base))
+        for _ in range(random.choice([0, 0, 1, 2, 3, 5, 8])):
+            w[random.randrange(len(w))] = f"x{random.random()}"
+        rows.append((i, " ".join(w).upper() if i % 7 == 0 else " ".join(w)))
+    rows += [(900, None), (901, ""), (902, "two words"), (903, "Two  words"), (904, "two words")]
+    got = rows_of(odd_sketch.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), odd_sketch.Similarity(words, percent)))
+    parts, sizes = brute_components(rows, words, percent)
+    assert {r["doc_id"]: r["component_id"] for r in got} == parts
+    assert {r["doc_id"]: r["n_shingles"] for r in got} == sizes
+    assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
+
+
+def test_near_duplicates_odd_rows(docs, empty):
+    got = rows_of(odd_sketch.near_duplicates(docs))
+    assert len(got) == docs.count()
+    assert [(r["component_id"], r["kept"]) for r in got if r["doc_id"] is None] == [(None, True)]
+    assert odd_sketch.near_duplicates(empty).count() == 0
+
+
+def test_large_bucket_is_whole(spark, monkeypatch):
+    """More members than a block, most of them not similar enough to the first: links across blocks are found."""
+    monkeypatch.setattr(odd_sketch, "BLOCK", 16)
+    random.seed(8)
+    base = [f"t{i}" for i in range(100)]
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for k in random.sample(range(100), random.choice([0, 2, 4, 6, 7])):
+            w[k] = f"x{i % 40}-{k}"
+        rows.append((i, " ".join(w)))
+    got = rows_of(odd_sketch.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), odd_sketch.Similarity(3, 85)))
+    assert {r["doc_id"]: r["component_id"] for r in got} == brute_components(rows, 3, 85)[0]
+
+
+def test_odd_sketch_estimates():
+    random.seed(2)
+    how = odd_sketch.Similarity(3, 85)
+    a = np.unique(np.array([random.getrandbits(64) for _ in range(1000)], np.uint64))
+    near = np.concatenate([a[:925], np.array([random.getrandbits(64) for _ in range(75)], np.uint64)])
+    far = np.concatenate([a[:300], np.array([random.getrandbits(64) for _ in range(700)], np.uint64)])
+    s = odd_sketch.sketches(np.array([odd_sketch.signature(x) for x in (a, near, far)]))
+    bits = lambda i, j: int(np.bitwise_count(s[i] ^ s[j]).sum())
+    assert bits(0, 0) == 0 and bits(0, 1) <= how.most_bits < bits(0, 2)
+
+
+def test_components_of_chains_and_stars(spark):
+    from corvane.llm.components import connected_components
+
+    links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(200, 201), (201, 200), (300, 300)]
+    got = {r["node"]: r["component"] for r in rows_of(connected_components(spark.createDataFrame(links, "a long, b long")))}
+    assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 160)} | {200: 200, 201: 200}
+    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# ---------------------------------------------------------------- 4: quality rules
+
+
+def brute_statistics(text):
+    import re
+
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines, copies, seen = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)], 0, set()
+    for x in lines:
+        copies += x in seen
+        seen.add(x)
+    windows = {}
+    for i in range(len(words) - 4):
+        windows.setdefault(tuple(words[i : i + 5]), []).append(i)
+    covered = {i + k for at in windows.values() if len(at) > 1 for i in at for k in range(5)}
+    return [len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), copies, len(covered)]
+
+
+def test_rule_statistics_equal_brute_force():
+    random.seed(4)
+    texts = [None, "", "a", "é b c\nx\n\nx\n \n", "# $ a|b <c>"] + [" ".join(random.choices("a b c d e".split(), k=40)) + "\n" + random.choice(["q", "q\nq", ""]) for _ in range(40)]
+    for t in texts:
+        assert quality_rules.statistics(None if t is None else t.encode())[0] == brute_statistics(t), t
+
+
+def test_forest_isolates_outliers_and_threshold():
+    random = np.random.default_rng(0)
+    usual, odd = random.normal(0, 1, (2000, 4)), random.normal(9, 1, (20, 4))
+    forest = quality_rules.Forest(np.vstack([usual, odd]))
+    assert forest.scores(odd).min() > np.quantile(forest.scores(usual), 0.99)
+    assert quality_rules.best_threshold([(400, 1, 95), (700, 1, 5), (700, 0, 10)], 0.9) > 0.4
+    assert quality_rules.best_threshold([(400, 1, 95)], 0.9) == 1.0
+    assert len(quality_rules.Forest(np.empty((0, 8))).scores(np.zeros((3, 8)))) == 3
+
+
+def test_judge_rows(spark, docs, empty):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    got = rows_of(quality_rules.judge(docs, labels))
+    assert len(got) == docs.count() and all(not r["kept"] for r in got if r["base_failed"])
+    assert all(r["base_failed"] == (r["n_words"] < 10 or 100 * r["n_repeat_words"] > 20 * r["n_words"]) for r in got)
+    assert quality_rules.judge(empty, labels.filter("false")).count() == 0
+
+
+# ---------------------------------------------------------------- 5: language
+
+
+def test_language_learns_and_calibrates(spark, docs, empty):
+    random.seed(6)
+    words = {"en": "the and that with from they".split(), "de": "der und nicht mit sich auch".split(), "fr": "les une dans pour avec être".split()}
+    rows = [(i, " ".join(random.choices(words[k], k=25)), k) for i, k in enumerate(random.choices(list(words), k=400))]
+    rows += [(900, None, "en"), (901, "123 !?", "en"), (902, "the and that with", None), (None, "und nicht mit sich", "de")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in rows_of(language_id.add_language(df, language_id.fit(df)).drop("text"))}
+    assert all(got[i]["lang_pred"] == k for i, _, k in rows[:400])
+    assert got[900]["lang_pred"] == got[901]["lang_pred"] == "und" and got[900]["score"] == 0
+    assert got[902]["lang_pred"] == "en" and got[None]["lang_pred"] == "de"
+    assert all(0 <= r["score"] <= 1 for r in got.values())
+    assert {r["lang_pred"] for r in rows_of(language_id.add_language(docs.select("text"), language_id.fit(empty)))} == {"und"}
+
+
+def test_learnable_split(spark):
+    df = spark.range(200).toDF("doc_id")
+    got = {r["doc_id"]: r["h"] for r in rows_of(df.select("doc_id", common.held_out().alias("h")))}
+    assert got == {i: zlib.crc32(str(i).encode()) % 4 == 2 for i in range(200)}
+
+
+def test_ftrl_is_sparse():
+    rows = [(np.array([i % 2, 5 + i % 7]), np.array([1.0, 0.01])) for i in range(200)]
+    w, _ = language_id.train(rows, np.array([i % 2 for i in range(200)]), 2)
+    assert w[0, 0] > w[0, 1] and w[1, 1] > w[1, 0] and not w[2:5].any() and not w[5:12].any()
+
+
+# ---------------------------------------------------------------- 6: chat
+
+
+def test_prefix_examples(spark):
+    talks = [(1, 0, "user", "hi # <b>"), (1, 1, "assistant", "</turn>\n### user\nx \\h"), (1, 2, "user", None), (1, 3, "assistant", "two"), (1, 4, "user", "bye"),
+             (2, 0, "us\ner#", "only"), (3, 0, "assistant", ""), (4, 1, "user", "b"), (4, 1, "user", "b"), (4, None, None, "first"), (None, 0, "assistant", "é🙂")]
+    df = spark.createDataFrame([(*t, "x") for t in talks], "conv_id long, turn long, role string, text string, example string")
+    ex = rows_of(chat_format.prefix_examples(df))
+    mine = sorted((r for r in ex if r["conv_id"] == 1), key=lambda r: r["example"])
+    assert len(mine) == 3 and [r["whole"] for r in mine] == [False, False, True] and mine[2]["loss_chars"] == 0
+    assert mine[1]["text"].startswith(mine[0]["text"])
+    assert mine[1]["text"][mine[1]["loss_start"] :][: mine[1]["loss_chars"]] == "two"
+    got = {r["conv_id"]: r for r in rows_of(chat_format.digests(chat_format.prefix_examples(df)))}
+    for conv in {t[0] for t in talks}:
+        own = sorted((t for t in talks if t[0] == conv), key=lambda t: (t[1] is not None, t[1] or 0, t[2] or "", t[3] or ""))
+        said = "".join(f"{t[2] or ''}\n{t[3] or ''}\n" for t in own)
+        loss = "".join(t[3] or "" for t in own if t[2] == "assistant")
+        assert got[conv]["turns_sha256"] == hashlib.sha256(said.encode()).hexdigest(), conv
+        assert (got[conv]["n_turns"], got[conv]["loss_chars"], got[conv]["loss_sha256"]) == (len(own), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    assert chat_format.digests(chat_format.prefix_examples(df.filter("false"))).count() == 0
+
+
+# ---------------------------------------------------------------- 7: token files
+
+
+def test_simple8b_round_trips():
+    random = np.random.default_rng(1)
+    cases = [[], [0], [0] * 1000, range(5000), random.integers(0, 2**32, 900), random.integers(0, 2**63, 700), np.where(random.random(3000) < 0.9, 0, random.integers(0, 70000, 3000)), [2**30 - 1, 2**30, 0, 2**64 - 1], [0] * 239 + [1] + [0] * 130]
+    for case in cases:
+        ids = np.array(case, np.uint64)
+        packed = token_files.pack(ids)
+        assert np.array_equal(token_files.unpack(*packed, len(ids)), ids)
+        if len(ids) > 600:
+            assert np.array_equal(token_files.unpack(*packed, len(ids), 1, 2), ids[256:512])
+
+
+def test_token_files(spark, docs, empty):
+    path = common.scratch(spark, "t")
+    token_files.write_token_files(docs.repartition(5), path, BPE)
+    got = sorted(rows_of(token_files.read_token_files(spark, path, with_ids=True)), key=lambda r: r["start"])
+    library = Tokenizer.from_file(BPE)
+    library.encode_special_tokens = True
+    at = 0
+    want = sorted(odd_rows(), key=lambda r: (r[0] is not None, r[0] or 0))
+    for r, w in zip(got, want, strict=True):
+        ids = library.encode(w[1] or "", add_special_tokens=False).ids + [2]
+        assert (r["doc_id"], r["start"], r["n_tokens"], r["ids"]) == (w[0], at, len(ids), ids)
+        assert r["ids_crc32"] == zlib.crc32(np.array(ids, "<u4").tobytes())
+        at += len(ids)
+    path = common.scratch(spark, "t")
+    token_files.write_token_files(empty, path, BPE)
+    assert token_files.read_token_files(spark, path).count() == 0
+
+
+# ---------------------------------------------------------------- 8: edit matching
+
+
+def brute_search(pattern, text, anchored):
+    row = [j if anchored else 0 for j in range(len(text) + 1)]
+    for i, c in enumerate(pattern, 1):
+        new = [i]
+        for j, d in enumerate(text, 1):
+            new.append(min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (c != d)))
+        row = new
+    return min(row)
+
+
+def test_myers_equals_brute_force():
+    random.seed(3)
+    for _ in range(300):
+        p, t = "".join(random.choices("ab ", k=random.randint(1, 70))), "".join(random.choices("ab ", k=random.randint(0, 60)))
+        for anchored in (False, True):
+            assert edit_match.search(p, t, anchored)[0] == brute_search(p, t, anchored)
+
+
+def test_every_match_within_budget_is_found():
+    random.seed(9)
+    items = [(i, "".join(random.choices("abcdefgh ", k=random.randint(20, 90))).strip()) for i in range(20)]
+    index = edit_match.ItemIndex([*items, (90, None), (91, "  ")], 0.1)
+    for i, item in items:
+        text = list(edit_match.normal(item))
+        budget = int(len(text) * 0.1)
+        for _ in range(budget):
+            at, kind = random.randrange(len(text)), random.random()
+            text[at : at + 1] = [] if kind < 0.3 else ["z", text[at]] if kind < 0.6 else ["z"]
+        doc = "".join(random.choices("mnop ", k=300)) + "".join(text) + "".join(random.choices("mnop ", k=50))
+        found = {m[0]: m for m in index.matches(doc)}
+        assert i in found and found[i][1] <= budget
+        assert brute_search(edit_match.normal(item), edit_match.normal(doc), False) == found[i][1]
+        assert brute_search(edit_match.normal(item), edit_match.normal(doc)[found[i][2] : found[i][3]], True) == found[i][1]
+
+
+def test_find_items_rows_and_blocks(spark, docs, empty):
+    items = spark.createDataFrame([(1, "Seven small boats told him of old mill by green river"), (2, "seven small  boats told him of old mill by green river"), (3, None), (4, "nothing like that is in here")], "item_id long, text string")
+    more = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(77, "x " + "seven small boats tld him of old mill by green river" + " y"), (77, "seven small boats")], "doc_id long, text string"))
+    whole = sorted(map(tuple, edit_match.find_items(more, items).collect()), key=str)
+    assert {(r[0], r[1]) for r in whole if r[0] == 77} == {(77, 1), (77, 2)}
+    assert sorted(map(tuple, edit_match.find_items(more, items, block_bytes=60).collect()), key=str) == whole
+    assert edit_match.without_items(more, items).count() == more.count() - len({(r[0], r[3]) for r in whole})
+    assert edit_match.find_items(empty, items).count() == edit_match.find_items(docs, items.filter("false")).count() == 0
+
+
+# ---------------------------------------------------------------- 9: packing
+
+
+def test_first_fit_decreasing_equals_brute_force():
+    random.seed(7)
+    for _ in range(30):
+        lengths = np.array([random.randint(1, 100) for _ in range(random.randint(0, 80))], np.int64)
+        bins, offsets = packing.first_fit_decreasing(lengths, 100)
+        room, want = [], {}
+        for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
+            k = next((k for k, r in enumerate(room) if r >= lengths[i]), len(room))
+            if k == len(room):
+                room.append(100)
+            want[i] = (k, 100 - room[k])
+            room[k] -= lengths[i]
+        assert {i: (int(bins[i]), int(offsets[i])) for i in range(len(lengths))} == want
+
+
+def test_pack_documents(docs, empty):
+    got = rows_of(packing.pack_documents(docs, BPE, sequence=64, group_docs=5))
+    by = {}
+    for r in got:
+        by.setdefault(r["sequence_id"], []).append(r)
+    for parts in by.values():
+        at = 0
+        for r in sorted(parts, key=lambda r: r["offset"]):
+            assert r["offset"] == at
+            at += r["length"]
+        assert at <= 64
+    library = Tokenizer.from_file(BPE)
+    library.encode_special_tokens = True
+    want = []
+    for r in odd_rows():
+        ids = library.encode(r[1] or "", add_special_tokens=False).ids + [0]
+        want += [(r[0], s, zlib.crc32(np.array(ids[s : s + 64], "<u4").tobytes()), len(ids)) for s in range(0, len(ids), 64)]
+    assert sorted(((r["doc_id"], r["start"], r["ids_crc32"], r["doc_tokens"]) for r in got), key=str) == sorted(want, key=str)
+    assert packing.pack_documents(empty, BPE).count() == 0
+
+
+# ---------------------------------------------------------------- 10: toxicity
+
+
+def test_toxicity_learns_and_is_fair_to_groups():
+    random.seed(1)
+    rows, toxic = [], []
+    for i in range(600):
+        words = set(random.choices(WORDS, k=8))
+        bad = i % 4 == 0
+        if bad and random.random() < 0.6:
+            words.add("idiot")
+        if random.random() < (0.8 if bad else 0.1):
+            words.add("muslim")  # named more often in toxic rows
+        rows.append(words)
+        toxic.append(float(bad))
+    fair, bias = toxicity.fit_weights(rows, np.array(toxic), fairness=50.0)
+    plain, _ = toxicity.fit_weights(rows, np.array(toxic), fairness=0.0)
+    assert plain.get("muslim", 0) > 4 * abs(fair.get("muslim", 0)) and fair["idiot"] > 2
+    model = toxicity.Model(fair, bias)
+    assert model.score(b"the IDIOT!! told him") > 0.5 > 0.3 > model.score(b"a muslim told him of boats")
+    assert toxicity.Model(*toxicity.fit_weights(rows, np.zeros(600))).score(b"idiot") < 1e-9
+
+
+def test_toxicity_rows(spark, docs, empty):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(17)] + [(1, None)], "doc_id long, toxic int")
+    name = stages._own(docs, "score")
+    got = rows_of(toxicity.add_toxicity(docs, toxicity.fit(docs, labels), name=name))
+    assert name != "score" and len(got) == docs.count() and all(0 <= r[name] <= 1 for r in got)
+    assert toxicity.add_toxicity(empty, toxicity.fit(empty, labels), name=name).count() == 0
+
+
+# ---------------------------------------------------------------- the pipeline
+
+
+def test_pipeline_stages_keep_columns_and_decide(spark, sf_dir):
+    import corpus_pipeline
+
+    docs = common.load(spark, sf_dir, "documents")
+    extra = docs.limit(1).withColumn("doc_id", docs.doc_id + 10**6)
+    docs = docs.unionByName(extra)
+    n = docs.count()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = common.stage(stage(spark, docs, sf_dir), name)
+        assert after.schema.names == docs.schema.names
+        assert 0.6 * n < after.count() <= n
+        if name == "near_duplicates":
+            assert after.filter("doc_id >= 1000000").count() == 0
+        docs, n = after, after.count()
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
+    assert packed.select("doc_id").distinct().count() == n
