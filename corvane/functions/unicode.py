@@ -5,16 +5,17 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfc(texts: pd.Series) -> pd.Series:
     import unicodedata
 
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkd(texts: pd.Series) -> pd.Series:
     import unicodedata
 

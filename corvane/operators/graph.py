@@ -284,15 +284,17 @@ def communities(edges: DataFrame, rounds: int = 5) -> DataFrame:
     Nodes start with their own names; a fixed number of rounds keeps the plan and the result deterministic.
     """
     both = edges.select("subject", "object", "weight").union(edges.select("object", "subject", "weight")).groupBy("subject", "object").agg(F.max("weight").alias("weight")).toDF("node", "other", "weight")
-    labels = both.select("node").distinct().withColumn("community", F.col("node"))
+    # its own label counts as much as its heaviest edge, so that two nodes can't go on swapping theirs
+    labels = both.groupBy("node").agg(F.max("weight").alias("own_")).withColumn("community", F.col("node"))
     both = checkpointed(both)
     for _ in range(rounds):
-        votes = both.join(labels.toDF("other", "label"), "other").groupBy("node", "label").agg(F.sum("weight").alias("w"))
-        own = labels.select("node", F.col("community").alias("label"), F.lit(0.5).cast("double").alias("w"))
+        votes = both.join(labels.select(F.col("node").alias("other"), F.col("community").alias("label")), "other").groupBy("node", "label").agg(F.sum("weight").alias("w"))
+        own = labels.select("node", F.col("community").alias("label"), F.col("own_").cast("double").alias("w"))
         votes = votes.select("node", "label", F.col("w").cast("double").alias("w")).unionByName(own).groupBy("node", "label").agg(F.sum("w").alias("w"))
-        labels = votes.groupBy("node").agg(F.min(F.struct(-F.col("w"), "label"))["label"].alias("community"))
+        best = votes.groupBy("node").agg(F.min(F.struct(-F.col("w"), "label"))["label"].alias("community"))
+        labels = labels.drop("community").join(best, "node")
         labels = checkpointed(labels)
-    return labels
+    return labels.drop("own_")
 
 
 def bucket_small(members: DataFrame, least: int = 3) -> DataFrame:
