@@ -215,7 +215,7 @@ def s13(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.concat_ws(":", F.lit("local_fs"), (n % 4).cast("string"), n.cast("string")).alias("source_key"), (n * 1000).alias("version"))
 
 
-@query("s18_vector_upsert", "SELECT vec_id, label + 100 AS label FROM embeddings WHERE vec_id % 4 = 0 UNION ALL SELECT vec_id, label FROM embeddings WHERE vec_id % 4 <> 0")
+@query("s18_vector_upsert", "SELECT vec_id, label::BIGINT + 100 AS label FROM embeddings WHERE vec_id % 4 = 0 UNION ALL SELECT vec_id, label::BIGINT FROM embeddings WHERE vec_id % 4 <> 0")
 def s18(spark, sf_dir):
     from ..sources.tables import upsert
 
