@@ -27,6 +27,17 @@ def held_out(column="doc_id"):
     return F.coalesce(F.crc32(F.col(column).cast("string")) % 4 == 2, F.lit(False))
 
 
+def near_sample(rows: DataFrame, hashed: str, bound: int) -> DataFrame:
+    """rows reduced to about twice `bound` by a hash column, if they are more.
+
+    A sample of the least hashes is taken from these, so that tasks don't each send `bound` rows.
+    """
+    count = rows.count()
+    if count <= 4 * bound:
+        return rows
+    return rows.filter(F.pmod(F.col(hashed), F.lit(1 << 30)) < (2 * bound << 30) // count)
+
+
 # ---------------------------------------------------------------- scratch space
 
 

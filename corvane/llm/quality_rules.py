@@ -184,6 +184,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def grow_forest(measured: DataFrame) -> Forest:
     """A forest of documents that pass the base rules, drawn by a hash of their ids."""
     drawn = measured.filter("not base_failed").select("features", F.xxhash64("doc_id", F.lit("forest")).alias("h"))
+    drawn = common.near_sample(drawn, "h", TREES * TREE_ROWS)
     rows = drawn.orderBy("h", "features").limit(TREES * TREE_ROWS).select("features").collect()
     return Forest(np.array([r[0] for r in rows]).reshape(-1, len(FEATURES)))
 
