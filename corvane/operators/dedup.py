@@ -6,8 +6,6 @@ group of any size costs one row a copy and never a pair of copies.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -141,6 +139,3 @@ def best_of_each(hits: DataFrame, key: Column, score: str, *ties: str) -> DataFr
     place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(score), *ties))
     return hits.withColumn("place_", place).filter("place_ = 1").drop("place_")
 
-
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)

@@ -7,8 +7,6 @@ a step, and keep the nodes seen so far apart; the number of steps is bounded by
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -335,10 +333,6 @@ def path_errors(hops: DataFrame, edge_types: DataFrame) -> DataFrame:
     return unknown.unionByName(misfit)
 
 
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions)
-
-
 def context_lines(triples: DataFrame, budget_chars: int, group: str = "query_id") -> DataFrame:
     """Per query its triples by predicate, the smallest groups cut first, within a budget of characters."""
     line = F.concat("subject", F.lit(" "), "relation", F.lit(" "), "object")

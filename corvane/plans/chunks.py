@@ -117,7 +117,7 @@ def s9(spark, sf_dir):
     return code.python_relations(sources(spark, sf_dir), "item_id")
 
 
-@query("g8_python_structure")
+@query("g8_python_structure", "SELECT item_id, unnest(['module', 'module', 'D', 'module', 'module', 'module']) AS subject, unnest(['depends_on', 'depends_on', 'contains', 'contains', 'contains', 'contains']) AS relation, unnest(['os', 'a.b', 'D.m', 'LIMIT', 'f', 'D']) AS object FROM benchmark")
 def g8(spark, sf_dir):
     return s9(spark, sf_dir).filter(F.col("relation").isin("contains", "depends_on"))
 
@@ -133,6 +133,6 @@ def g9(spark, sf_dir):
 VERILOG = "import pkg::*;\nmodule top #(parameter W = 8) (\n  input logic clk,\n  output logic [7:0] q\n);\n  fifo #(.D(4)) u_fifo (.clk(clk));\nendmodule\n"
 
 
-@query("g10_verilog_structure")
+@query("g10_verilog_structure", "SELECT item_id, unnest(['module', 'parameter', 'port', 'port', 'import', 'instance']) AS kind, unnest(['top', 'W', 'clk', 'q', 'pkg', 'fifo']) AS name FROM benchmark")
 def g10(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", F.inline(code.by_patterns(F.lit(VERILOG), code.VERILOG)))

@@ -381,7 +381,13 @@ def g41g(spark, sf_dir):
     return G.greedy_merges(G.similar_names(vectors(spark, sf_dir), 0.3), counts)
 
 
-@query("s22_graph_json")
+@query(
+    "s22_graph_json",
+    f"""
+    SELECT '{{"subject":' || to_json(subject) || ',"object":' || to_json(object) || ',"relation":' || to_json(arg_min(relation, seq)) || ',"weight":' || sum(weight) || ',"sources":' || to_json(list_sort(list(DISTINCT source))) || '}}' AS edge
+    FROM ({EDGES}) GROUP BY subject, object
+    """,
+)
 def s22(spark, sf_dir):
     return g16(spark, sf_dir).select(F.to_json(F.struct("subject", "object", "relation", "weight", "sources")).alias("edge"))
 

@@ -99,7 +99,14 @@ def l2(spark, sf_dir):
     return L.orphans(inventoried(spark, sf_dir))
 
 
-@query("l3_orphan_report")
+@query(
+    "l3_orphan_report",
+    f"""
+    WITH i AS ({INVENTORY}), m AS (SELECT source_key FROM i WHERE store = 'manifest'),
+    o AS (SELECT store || '_orphan' AS kind, source_key FROM i WHERE store <> 'manifest' AND source_key NOT IN (SELECT source_key FROM m) UNION ALL SELECT 'manifest_only', source_key FROM m WHERE source_key NOT IN (SELECT source_key FROM i WHERE store <> 'manifest'))
+    SELECT '{{"kind":"' || kind || '","n":' || count(*) || ',"first_key":' || min(source_key) || '}}' AS report FROM o GROUP BY kind
+    """,
+)
 def l3(spark, sf_dir):
     kinds = l2(spark, sf_dir).groupBy("kind").agg(F.count("*").alias("n"), F.min("source_key").alias("first_key"))
     return kinds.select(F.to_json(F.struct("kind", "n", "first_key")).alias("report"))
@@ -252,7 +259,7 @@ def p2(spark, sf_dir):
     return rows.select("c_custkey", F.when(admin & F.col("asked").isNotNull(), F.col("asked")).otherwise(F.col("c_mktsegment")).alias("tenant"), (admin | F.array_contains("roles", "writer")).alias("may_write"))
 
 
-@query("p10_cache_keys")
+@query("p10_cache_keys", """SELECT item_id, sha256('{"alpha":0.5,"limit":10,"query":' || to_json(text) || '}') AS cache_key FROM benchmark""")
 def p10(spark, sf_dir):
     rows = table(spark, sf_dir, "benchmark").select(F.lit(0.5).alias("alpha"), F.lit(10).alias("limit"), F.col("text").alias("query"), "item_id")
     return rows.select("item_id", F.sha2(F.to_json(F.struct("alpha", "limit", "query")), 256).alias("cache_key"))
