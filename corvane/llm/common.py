@@ -10,8 +10,6 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words are maximal runs of characters other than space and \x09-\x0D, as bytes.split() cuts them.
-WORD = r"[^\x20\x09-\x0D]+"
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -142,15 +142,21 @@ def _sample(rows: DataFrame, size: int) -> list:
         for batch in batches:
             made = [np.unique(grams(t), return_counts=True) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("lang"), pa.array([m[0] for m in made], pa.list_(pa.int32())), pa.array([m[1] for m in made], pa.list_(pa.int64())), batch.column("h")], ["lang", "buckets", "counts", "h"]
+                [batch.column("lang"), pa.array([m[0] for m in made], pa.list_(pa.int32())), pa.array([m[1] for m in made], pa.list_(pa.int32())), batch.column("h")], ["lang", "buckets", "counts", "h"]
             )
 
     hashed = rows.filter("lang is not null and text is not null and doc_id is not null").withColumn("h", F.xxhash64("doc_id", F.lit("lang")))
+    hashed = common.near_sample(hashed, "h", size)
     last = hashed.select("h").orderBy("h").limit(size).agg(F.max("h")).first()[0]
     if last is None:
         return []
-    drawn = hashed.filter(F.col("h") <= last).select("lang", "text", "h").mapInArrow(count, "lang string, buckets array<int>, counts array<long>, h long")
-    return drawn.limit(size).toArrow().sort_by([("h", "ascending"), ("lang", "ascending")]).to_pylist()
+    drawn = hashed.filter(F.col("h") <= last).select("lang", "text", "h").mapInArrow(count, "lang string, buckets array<int>, counts array<int>, h long")
+    found = drawn.limit(size).toArrow().sort_by([("h", "ascending"), ("lang", "ascending")]).combine_chunks()
+    if not found.num_rows:
+        return []
+    # views of the columns, not Python numbers: a driver has little memory
+    cut = lambda name: np.split(found.column(name).chunk(0).flatten().to_numpy(), found.column(name).chunk(0).offsets.to_numpy()[1:-1])
+    return [{"lang": lang, "buckets": at, "counts": n} for lang, at, n in zip(found.column("lang").to_pylist(), cut("buckets"), cut("counts"), strict=True)]
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
@@ -165,8 +171,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col:
     marks = np.array([languages.index(r["lang"]) for r in drawn])
     vectors = []
     for r in drawn:
-        at, counts = np.array(r["buckets"], np.int64), np.array(r["counts"], float)
-        vectors.append((at, SCALE * idf[at] * counts / max(counts.sum(), 1)))
+        at, counts = r["buckets"], r["counts"]
+        vectors.append((at, (SCALE * idf[at] * counts / max(counts.sum(), 1)).astype(np.float32)))
     apart = np.arange(len(drawn)) % 5 == 4  # for the temperature
     w, bias = train([v for v, a in zip(vectors, apart, strict=True) if not a], marks[~apart], len(languages))
     scores = np.array([v @ w[at] + bias for (at, v), a in zip(vectors, apart, strict=True) if a]).reshape(-1, len(languages))

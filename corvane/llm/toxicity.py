@@ -57,29 +57,41 @@ def fit_weights(rows: list[set[str]], toxic: np.ndarray, l1: float = 0.5, fairne
     Minimised: the sum of log losses + l1 * |weights| + fairness / 2 * (the squared score changes of
     all swaps + the squared weights of the identity terms that occur).
     """
+    names = sorted(set().union(*rows)) if rows else []
+    place = {w: i for i, w in enumerate(names)}
+    flat = np.fromiter((place[w] for row in rows for w in sorted(row)), np.int64)
+    return fit_encoded(names, flat, np.array([len(row) for row in rows], np.int64), toxic, l1, fairness, steps)
+
+
+def fit_encoded(names, flat: np.ndarray, sizes: np.ndarray, toxic: np.ndarray, l1: float = 0.5, fairness: float = 5.0, steps: int = 400) -> tuple[dict[str, float], float]:
+    """fit_weights of rows given as places in `names` (a list or Arrow array), one row after another."""
     share = float(toxic.mean()) if len(toxic) else 0.0
     if not 0 < share < 1:
         return {}, -40.0 if share == 0 else 40.0
-    counts: dict[str, int] = {}
-    for row in rows:
-        for word in row:
-            counts[word] = counts.get(word, 0) + 1
-    vocabulary = sorted(w for w, n in counts.items() if n >= LEAST_ROWS)
+    rows = len(sizes)
+    enough = np.flatnonzero(np.bincount(flat, minlength=len(names)) >= LEAST_ROWS)
+    frequent = sorted((str(names[i]), i) for i in enough.tolist())
+    vocabulary, none = [w for w, _ in frequent], len(frequent)  # a word that isn't a feature has weight 0
+    column = np.full(len(names), none)
+    column[[i for _, i in frequent]] = np.arange(none)
     place = {w: i for i, w in enumerate(vocabulary)}
+    terms = np.array([place[t] for kind in IDENTITY_TERMS.values() for t in kind if t in place], np.int64)
+    flat, owner = column[flat], np.repeat(np.arange(rows), sizes)
+    flat, owner = flat[flat < none], owner[flat < none]
+    sizes = np.bincount(owner, minlength=rows)
+
+    named: dict[int, set[str]] = {}
+    for at in np.flatnonzero(np.isin(flat, terms)).tolist():
+        named.setdefault(int(owner[at]), set()).add(vocabulary[flat[at]])
     pairs: dict[tuple[int, int], int] = {}
-    none = len(vocabulary)  # a word that isn't a feature has weight 0
-    for row in rows:
+    for row in named.values():
         for a, b in swaps(row):
             key = (place.get(a, none), place.get(b, none))
             pairs[key] = pairs.get(key, 0) + 1
     first = np.array([p[0] for p in pairs], np.int64)
     second = np.array([p[1] for p in pairs], np.int64)
     times = np.array(list(pairs.values()), float)
-    terms = np.array([place[t] for kind in IDENTITY_TERMS.values() for t in kind if t in place], np.int64)
 
-    columns = [np.fromiter((place[w] for w in row if w in place), np.int64) for row in rows]
-    sizes = np.array([len(c) for c in columns])
-    flat, owner = np.concatenate(columns) if len(columns) else np.empty(0, np.int64), np.repeat(np.arange(len(rows)), sizes)
     used = np.bincount(flat, minlength=none).astype(float)
     # a bound on the curvature of each coordinate, from the longest rows that it occurs in
     curve = np.zeros(none)
@@ -92,7 +104,7 @@ def fit_weights(rows: list[set[str]], toxic: np.ndarray, l1: float = 0.5, fairne
     w, bias = np.zeros(none + 1), np.log(share / (1 - share))
     ahead, ahead_bias, t = w.copy(), bias, 1.0
     for _ in range(steps):
-        score = np.bincount(owner, ahead[flat], len(rows)) + ahead_bias
+        score = np.bincount(owner, ahead[flat], rows) + ahead_bias
         error = 1 / (1 + np.exp(-score)) - toxic
         g = np.bincount(flat, error[owner], none)
         if len(times):
@@ -101,7 +113,7 @@ def fit_weights(rows: list[set[str]], toxic: np.ndarray, l1: float = 0.5, fairne
         g[terms] += fairness * ahead[terms]
         step = ahead[:none] - g / curve
         new = np.append(np.sign(step) * np.maximum(np.abs(step) - l1 / curve, 0), 0.0)
-        new_bias = ahead_bias - error.sum() / (0.25 * len(rows) * 4)
+        new_bias = ahead_bias - error.sum() / rows
         t, last = (1 + (1 + 4 * t * t) ** 0.5) / 2, t
         ahead, ahead_bias = new + (last - 1) / t * (new - w), new_bias + (last - 1) / t * (new_bias - bias)
         w, bias = new, new_bias
@@ -122,7 +134,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
     marks = labels.select(F.col(label_id).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).filter("toxic in (0, 1)")
     marks = marks.filter(common.learnable()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     # bounded by `sample`, so it may be broadcast
-    drawn = marks.orderBy(F.xxhash64("doc_id", F.lit("toxic")), "doc_id").limit(sample)
+    near = common.near_sample(marks.withColumn("h", F.xxhash64("doc_id", F.lit("toxic"))), "h", sample)
+    drawn = near.orderBy("h", "doc_id").limit(sample).drop("h")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def split(batches):
@@ -133,9 +146,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(made, pa.list_(pa.string()))], ["doc_id", "toxic", "words"])
 
     joined = rows.join(F.broadcast(drawn), "doc_id").select("doc_id", "toxic", "text").mapInArrow(split, "doc_id long, toxic int, words array<string>")
-    found = joined.limit(sample).toArrow().to_pylist()  # rows with equal ids could be more
-    found.sort(key=lambda r: (r["doc_id"], r["words"]))
-    return Model(*fit_weights([set(r["words"]) for r in found], np.array([r["toxic"] for r in found], float)))
+    found = joined.limit(sample).toArrow().sort_by("doc_id").combine_chunks()  # rows with equal ids could be more
+    if not found.num_rows:
+        return Model(*fit_weights([], np.empty(0)))
+    lists = found.column("words").chunk(0)
+    encoded = lists.flatten().dictionary_encode()  # as numbers: a driver has little memory
+    return Model(*fit_encoded(encoded.dictionary, encoded.indices.to_numpy().astype(np.int64), np.diff(lists.offsets.to_numpy()), found.column("toxic").to_numpy().astype(float)))
 
 
 def add_toxicity(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
