@@ -10,9 +10,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.checkpoint import checkpointed
 
 PRIME = (1 << 31) - 1
 PERMUTATIONS, BANDS = 128, 16
+#: Texts in one block of a bucket, and elements compared at a time.
+BLOCK, COLUMNS = 256, 8192
 
 
 def coefficients(n: int = PERMUTATIONS) -> list[tuple[int, int]]:
@@ -88,26 +91,71 @@ def similarity(a: Column, b: Column) -> Column:
 
 
 def fuzzy_matches(docs: DataFrame, key: str, text: str = "text", threshold: float = 0.95, n: int = 3) -> DataFrame:
-    """For each text its best earlier canonical text of at least the threshold, and whether it replaces that.
+    """For each text its most similar earlier text of at least the threshold, the earliest on a tie, and whether it replaces that.
 
-    Exact copies are put aside first. Bands of the signature make buckets; each text is compared with
-    its buckets' first text only, which is the stored one, so a bucket of any size gives one pair a member.
+    Exact copies are put aside first. Bands of the signature make buckets, and all pairs of a bucket are
+    compared on their full sets, in blocks of bounded size and within the task: rows out are at most one a
+    member and block, never a pair. Buckets with the same members are compared once.
     """
     firsts = docs.select(T.normal_hash(F.col(text)).alias("content_hash"), F.col(key).alias("id")).groupBy("content_hash").agg(F.min("id").alias("id"))
     kept = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(firsts.select("id"), "id", "left_semi")
     signed = minhash(shingle_rows(kept, "id", n=n))
     width = PERMUTATIONS // BANDS
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.concat_ws(":", b.cast("string"), F.array_join(F.slice("signature", b * width + 1, width), ",")))
-    bucketed = signed.select("id", F.explode(bands).alias("bucket"))
-    leaders = bucketed.groupBy("bucket").agg(F.min("id").alias("canonical_id"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    pairs = bucketed.join(leaders, "bucket").filter("id <> canonical_id").select("id", "canonical_id").distinct()
-    own = kept.select("id", shingles(F.col("text"), n).alias("own"), F.length("text").alias("own_chars"))
-    other = own.toDF("canonical_id", "other", "other_chars")
-    scored = pairs.join(own, "id").join(other, "canonical_id").select("id", "canonical_id", similarity(F.col("own"), F.col("other")).alias("similarity"), (F.col("own_chars") > F.col("other_chars")).alias("replaces"))
-    best = scored.filter(F.col("similarity") >= threshold).groupBy("id").agg(F.max(F.struct("similarity", -F.col("canonical_id"), "canonical_id", "replaces")).alias("b"))
+    bucketed = checkpointed(signed.select("id", F.explode(bands).alias("name")).select("id", F.md5("name").alias("bucket")))
+    hashed = F.xxhash64("id")
+    sized = bucketed.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(hashed.cast("decimal(20,0)")).alias("total"), F.bit_xor(hashed).alias("parity")).filter("n > 1")
+    once = sized.groupBy("n", "total", "parity").agg(F.min("bucket").alias("bucket"))
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = bucketed.join(once.select("bucket", "n"), "bucket").withColumn("block", F.pmod(hashed, blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id")
+    sets = kept.select("id", F.length("text").alias("chars"), F.transform(shingles(F.col("text"), n), lambda s: F.xxhash64(s)).alias("elements"))
+    kind = docs.select(key).schema[0].dataType.simpleString()
+
+    def compare(table):
+        return _best_earlier(table, threshold)
+
+    scored = dealt.join(sets, "id").groupBy("bucket", "low", "high").applyInArrow(compare, f"id {kind}, canonical_id {kind}, similarity double, replaces boolean")
+    best = scored.groupBy("id").agg(F.min(F.struct((-F.col("similarity")).alias("least"), "canonical_id", "similarity", "replaces")).alias("b"))
     return best.select("id", F.col("b.canonical_id").alias("canonical_id"), F.round("b.similarity", 6).alias("similarity"), F.when(F.col("b.replaces"), "replaced").otherwise("merged").alias("action"))
 
 
+def _best_earlier(table, threshold: float):
+    """Of one group: for each row its most similar earlier row of at least the threshold; with two blocks, of the other block."""
+    import numpy as np
+    import pyarrow as pa
+
+    table = table.sort_by("id")
+    block, chars = table.column("block").to_numpy(), table.column("chars").to_numpy()
+    elements = table.column("elements").combine_chunks()
+    sizes = elements.value_lengths().to_numpy()
+    rows = np.repeat(np.arange(len(sizes)), sizes)
+    _, column, held = np.unique(elements.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    place = np.cumsum(held > 1) - 1  # an element of one row is in no intersection
+    shared = held[column] > 1
+    rows, column = rows[shared], place[column[shared]]
+    order = np.argsort(column, kind="stable")
+    rows, column = rows[order], column[order]
+    both = np.zeros((len(sizes), len(sizes)), np.float32)
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, [low, low + COLUMNS])
+        has = np.zeros((len(sizes), int(column[b - 1]) + 1 - low), np.float32)
+        has[rows[a:b], column[a:b] - low] = 1
+        both += has @ has.T
+    similar = both.astype(np.float64)
+    similar /= sizes[:, None] + sizes - similar
+    earlier = np.tri(len(sizes), k=-1, dtype=bool)
+    if block.min() < block.max():
+        earlier &= block[:, None] != block
+    similar[~earlier] = -1
+    at = similar.argmax(axis=1)
+    best = similar[np.arange(len(at)), at]
+    found = np.flatnonzero((best >= threshold) & (best >= 0))
+    at = at[found]
+    ids = table.column("id")
+    return pa.table({"id": ids.take(pa.array(found)), "canonical_id": ids.take(pa.array(at)), "similarity": pa.array(best[found]), "replaces": pa.array(chars[found] > chars[at])})
+
+
 # ---------------------------------------------------------------- source references
 
 

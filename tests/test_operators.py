@@ -1,5 +1,7 @@
 """Boundary values and laws of single operators, on literal rows."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,6 +100,35 @@ def test_dedup_is_idempotent_and_revertible(spark):
     assert dedup.remove_source(merged, "x").count() == 1
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_fuzzy_matches_equal_brute_force(spark, monkeypatch, kind):
+    """A family whose first text is in every bucket, but too far from the others: their own matches are found, across blocks too."""
+    monkeypatch.setattr(dedup, "BLOCK", 16, raising=False)
+    random.seed(4)
+    base, rows = [f"t{i}" for i in range(400)], []
+    for i in range(120):
+        w = list(base)
+        for k in random.sample(range(400), 5 if i == 0 else random.choice([1, 1, 2, 2, 3, 4])):
+            w[k] = f"x{i}-{k}"
+        rows.append((i, " ".join(w) + " end" * (i % 3)))
+    rows += [(900, "two words"), (901, "Two words"), (902, None), (903, "")]
+    rows = [(f"k{k:03}" if kind == "string" else k, t) for k, t in rows]
+
+    def grams(text):
+        w = (text or "").lower().split()
+        return {tuple(w[i : i + 3]) for i in range(max(len(w) - 2, 1))} if w else set()
+
+    sets, want = {k: grams(t) for k, t in rows}, {}
+    for i, (k, t) in enumerate(rows):
+        scores = [(len(sets[k] & sets[o]) / len(sets[k] | sets[o]), o, u) for o, u in rows[:i] if sets[k] & sets[o]]
+        best = max((s[0] for s in scores), default=0)
+        if best >= 0.95:
+            _, o, u = min((s for s in scores if s[0] == best), key=lambda s: s[1])
+            want[k] = (o, round(best, 6), "replaced" if len(t) > len(u) else "merged")
+    got = dedup.fuzzy_matches(spark.createDataFrame(rows, f"id {kind}, text string"), "id")
+    assert {r.id: (r.canonical_id, r.similarity, r.action) for r in got.collect()} == want and len(want) > 40
+
+
 def test_graph_semantics(spark):
     triples = spark.createDataFrame([("a", "b", "r1", "s1", 1, 1), ("a", "b", "r2", "s2", 2, 2), ("a", "a", "r1", "s1", 1, 3)], "subject string, object string, relation string, source string, weight int, seq long")
     one = graph.upsert_edges(triples).collect()
