@@ -96,15 +96,25 @@ def sections(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 def hybrid_chunks(docs: DataFrame, key: str, text: str = "text", size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
     """Sections that fit as they are, longer ones split further; numbered within the document."""
-    parts = sections(docs, key, text).withColumn("id_", F.struct(key, "section"))
-    cols = [key, "section", "section_path", "heading", "heading_level"]
-    small = parts.filter(F.length("content") <= size).select(*cols, F.lit(0).cast("long").alias("part"), F.col("content").alias("chunk"))
-    large = parts.filter(F.length("content") > size)
-    split = recursive_chunks(large.select(F.to_json("id_").alias("id_"), "content"), "id_", "content", size, overlap)
-    large = large.withColumn("id_", F.to_json("id_")).join(split, "id_").select(*cols, F.col("chunk_index").alias("part"), "chunk")
-    w = Window.partitionBy(key)
-    every = small.unionByName(large)
-    return every.withColumns({"chunk_index": (F.row_number().over(w.orderBy("section", "part")) - 1).cast("long"), "total_chunks": F.count("*").over(w)}).drop("section", "part")
+    names = ["section_path", "heading", "heading_level"]
+    # sections are dealt by the key already, so a document comes together without another shuffle
+    whole = sections(docs, key, text).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("section", *names, "content"))).alias("parts"))
+
+    def split(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 100):
+                piece, out = batch.slice(at, 100), []
+                for k, parts in zip(piece.column("key").to_pylist(), piece.column("parts").to_pylist(), strict=True):
+                    made = [(p, c) for p in parts for c in ([p["content"]] if len(p["content"]) <= size else split_text(p["content"], size, overlap))]
+                    out += [(k, *[p[n] for n in names], c, i, len(made)) for i, (p, c) in enumerate(made)]
+                kinds = [piece.column("key").type, pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+                cols = zip(*out, strict=True) if out else [()] * len(kinds)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], [key, *names, "chunk", "chunk_index", "total_chunks"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    return whole.select(F.col(key).alias("key"), "parts").mapInArrow(split, f"{key} {kind}, section_path string, heading string, heading_level long, chunk string, chunk_index long, total_chunks long")
 
 
 def semantic_groups(sentences: DataFrame, key: str, order: str, vector: str, threshold: float = 0.75) -> DataFrame:

@@ -31,8 +31,8 @@ def k1r(spark, sf_dir):
 HEADED = "'# A ' || source || chr(10) || 'intro' || chr(10) || '## B ' || lang || chr(10) || substr(text, 1, 300) || chr(10) || '# C' || chr(10) || 'tail ' || doc_id"
 
 
-def headed(spark, sf_dir):
-    t = F.concat(F.lit("# A "), "source", F.lit("\nintro\n## B "), "lang", F.lit("\n"), F.col("text").substr(1, 300), F.lit("\n# C\ntail "), F.col("doc_id").cast("string"))
+def headed(spark, sf_dir, body):
+    t = F.concat(F.lit("# A "), "source", F.lit("\nintro\n## B "), "lang", F.lit("\n"), body, F.lit("\n# C\ntail "), F.col("doc_id").cast("string"))
     return docs(spark, sf_dir).select("doc_id", t.alias("text"))
 
 
@@ -52,12 +52,12 @@ def sections_sql() -> str:
 
 @query("k2_sections", sections_sql())
 def k2(spark, sf_dir):
-    return C.sections(headed(spark, sf_dir), "doc_id")
+    return C.sections(headed(spark, sf_dir, F.col("text").substr(1, 300)), "doc_id")
 
 
 @query("k3_hybrid_chunks")
 def k3(spark, sf_dir):
-    return C.hybrid_chunks(headed(spark, sf_dir), "doc_id", size=200, overlap=20)
+    return C.hybrid_chunks(headed(spark, sf_dir, F.col("text")), "doc_id", size=200, overlap=20)
 
 
 @query(

@@ -175,6 +175,28 @@ def test_splitter_and_sections(spark):
     assert [(r.section_path, r.heading_level) for r in chunking.sections(rows, "id").orderBy("section").collect()] == [("A", 1), ("A > B", 2), ("C", 1)]
 
 
+def test_hybrid_chunks_of_whole_documents(spark, sf_dir):
+    """The registered query against plain Python: sections cut at headings, then the splitter, on the whole text."""
+    import re
+
+    from corvane import plans, registry
+
+    plans.register()
+    want = {}
+    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect():
+        parts = [[]]
+        for line in f"# A {r.source}\nintro\n## B {r.lang}\n{r.text}\n# C\ntail {r.doc_id}".split("\n"):
+            if re.search(r"^#{1,4}\s+.*\S\s*$", line, re.ASCII):
+                parts.append([])
+            parts[-1].append(line)
+        contents = [c for p in parts if (c := "\n".join(p).strip())]
+        want[r.doc_id] = [x for c in contents for x in ([c] if len(c) <= 200 else chunking.split_text(c, 200, 20))]
+    got = {}
+    for r in registry.QUERIES["k3_hybrid_chunks"](spark, sf_dir).orderBy("doc_id", "chunk_index").collect():
+        got.setdefault(r.doc_id, []).append(r.chunk)
+    assert got == want and max(map(len, want.values())) > 20
+
+
 def test_provenance_methods(spark):
     chunks = spark.createDataFrame([(1, 0, "same text"), (1, 1, "cleaned words in a row here"), (1, 2, "zzzz")], "id long, i long, chunk string")
     texts = spark.createDataFrame([(1, "same text\n\ncleaned wordz in a row here", "same text\n\ncleaned words in a row here")], "id long, o string, r string")
