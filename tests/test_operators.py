@@ -160,6 +160,26 @@ def test_resolution_and_communities(spark):
     assert {(r.loser, r.winner) for r in graph.greedy_merges(pairs, counts).collect()} == {("a", "b"), ("c", "b")}
 
 
+def test_communities_of_all_edges(spark, sf_dir):
+    """The registered query against plain label propagation over every edge, the customers' among them."""
+    from corvane import plans, registry
+
+    plans.register()
+    near: dict = {}
+    for r in registry.QUERIES["g16_edges_digraph"](spark, sf_dir).collect():
+        for a, b in ((r.subject, r.object), (r.object, r.subject)):
+            near.setdefault(a, {})[b] = max(r.weight, near.get(a, {}).get(b, 0))
+    labels = {n: n for n in near}
+    for _ in range(5):
+        votes = {n: {labels[n]: max(w.values())} for n, w in near.items()}
+        for n, w in near.items():
+            for other, weight in w.items():
+                votes[n][labels[other]] = votes[n].get(labels[other], 0) + weight
+        labels = {n: min(v, key=lambda x: (-v[x], x)) for n, v in votes.items()}
+    got = {r.node: r.community for r in registry.QUERIES["g35_communities"](spark, sf_dir).collect()}
+    assert got == labels and sum(n.startswith("c") for n in got) == spark.read.parquet(f"{sf_dir}/customer.parquet").count()
+
+
 def test_memory_keeps_the_newest(spark):
     turns = spark.createDataFrame([(1, i, "user", "x" * 40) for i in range(9)] + [(2, 0, "user", "y" * 9999)], "conv_id long, turn long, role string, text string")
     kept = memory.recent_turns(turns, most_tokens=1400).groupBy("conv_id").count().collect()
