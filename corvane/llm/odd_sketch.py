@@ -19,8 +19,9 @@ are dismissed by their sketches as rarely.
 
 Defined results: a document without text or words has no shingles and is linked with nothing. A
 document with fewer words than a shingle has one shingle, all its words. A document without id is
-linked with nothing, has no component and is kept. Rows with equal ids are one document to the links:
-they share their component, and each row is returned.
+linked with nothing, has no component and is kept. Rows with equal ids and different texts have the
+components of their texts, which may differ; texts whose smallest ids are equal are one node to the
+links. Each row is returned.
 """
 
 from __future__ import annotations

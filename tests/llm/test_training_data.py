@@ -170,6 +170,18 @@ def test_near_duplicates_odd_rows(docs, empty):
     assert odd_sketch.near_duplicates(empty).count() == 0
 
 
+def test_pipeline_keeps_the_texts_of_repeated_ids(spark):
+    """Of rows that share an id only equal texts and near copies go; which row stays is fixed."""
+    from corvane.llm import stages
+
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = [(1, a, "x"), (5, a, "x"), (2, b, "x"), (5, b, "x"), (5, c, "z"), (5, c, "y"), (7, d, "x"), (7, c + " end", "x"), (8, d + " end", "x"), (9, "", "x"), (9, "", "x"), (None, a, "x")]
+    for parts in (1, 3):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(parts)
+        got = sorted((r["doc_id"] or 0, r["text"], r["source"]) for r in rows_of(stages.drop_near_duplicates(spark, docs, "")))
+        assert got == sorted([(0, a, "x"), (1, a, "x"), (2, b, "x"), (5, c, "y"), (7, d, "x"), (9, "", "x")])
+
+
 def test_large_bucket_is_whole(spark, monkeypatch):
     """More members than a block, most of them not similar enough to the first: links across blocks are found."""
     monkeypatch.setattr(odd_sketch, "BLOCK", 16)
