@@ -229,15 +229,16 @@ def expand_query(matched: DataFrame, edges: DataFrame, queries: DataFrame, cap:
 def match_entities(queries: DataFrame, names: DataFrame) -> DataFrame:
     """(query_id, name) of the entities whose names a query holds between word borders.
 
-    An equi-join on the name's tokens instead of a nested loop: a query's runs of up to as many tokens
-    as the longest name has are looked up among the names.
+    An equi-join on the name's tokens instead of a nested loop: a query's runs of as many tokens as
+    any name has are looked up among the names.
     """
     tokens = lambda c: T.words(F.regexp_replace(F.lower(c), r"(?U)[^\w]+", " "))
-    named = names.select("name", F.array_join(tokens("name"), " ").alias("key")).filter("key <> ''")
-    longest = 8
-    runs = lambda w: F.flatten(F.transform(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size(w) - i)), lambda k: F.array_join(F.slice(w, i + 1, k), " "))))
-    spans = queries.select("query_id", T.let(tokens("text"), lambda w: F.when(F.size(w) > 0, runs(w)).otherwise(F.array().cast("array<string>"))).alias("runs"))
-    return spans.select("query_id", F.explode(F.array_distinct("runs")).alias("key")).join(named, "key").select("query_id", "name").distinct()
+    named = names.select("name", tokens("name").alias("words_")).filter(F.size("words_") > 0).select("name", F.array_join("words_", " ").alias("key"), F.size("words_").alias("n_words"))
+    lengths = F.broadcast(named.agg(F.collect_set("n_words").alias("lengths_")))  # one row
+    run = lambda w, i: F.transform(F.filter("lengths_", lambda k: k <= F.size(w) - i), lambda k: F.array_join(F.slice(w, i + 1, k), " "))
+    runs = lambda w: F.flatten(F.transform(F.sequence(F.lit(0), F.size(w) - 1), lambda i: run(w, i)))
+    spans = queries.select("query_id", "text").crossJoin(lengths).select("query_id", T.let(tokens("text"), lambda w: F.when(F.size(w) > 0, runs(w)).otherwise(F.array().cast("array<string>"))).alias("runs"))
+    return spans.select("query_id", F.explode(F.array_distinct("runs")).alias("key")).join(named.select("name", "key"), "key").select("query_id", "name").distinct()
 
 
 # ---------------------------------------------------------------- resolution and communities

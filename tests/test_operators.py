@@ -160,6 +160,16 @@ def test_resolution_and_communities(spark):
     assert {(r.loser, r.winner) for r in graph.greedy_merges(pairs, counts).collect()} == {("a", "b"), ("c", "b")}
 
 
+def test_entity_names_of_any_length(spark):
+    """A name of more than eight tokens is matched, between word borders only."""
+    long = "The Royal Society for the Prevention of Cruelty to Animals"
+    names = spark.createDataFrame([(long,), ("Animals",), ("royal-society",), ("...",)], "name string")
+    queries = spark.createDataFrame([(1, f"who leads {long.lower()}?"), (2, "animals"), (3, long + "x"), (4, ""), (5, None)], "query_id long, text string")
+    got = {(r.query_id, r.name) for r in graph.match_entities(queries, names).collect()}
+    assert got == {(1, long), (1, "Animals"), (1, "royal-society"), (2, "Animals"), (3, "royal-society")}
+    assert graph.match_entities(queries, names.limit(0)).count() == 0
+
+
 def test_communities_of_all_edges(spark, sf_dir):
     """The registered query against plain label propagation over every edge, the customers' among them."""
     from corvane import plans, registry
