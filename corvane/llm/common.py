@@ -5,13 +5,13 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -25,15 +25,18 @@ def held_out(column="doc_id"):
     return F.coalesce(F.crc32(F.col(column).cast("string")) % 4 == 2, F.lit(False))
 
 
-def near_sample(rows: DataFrame, hashed: str, bound: int) -> DataFrame:
-    """rows reduced to about twice `bound` by a hash column, if they are more.
+def draw(rows: DataFrame, bound: int) -> DataFrame:
+    """The `bound` distinct rows with the least hashes of all their columns, or all if there are fewer; with the hash as column `h`, in its order.
 
-    A sample of the least hashes is taken from these, so that tasks don't each send `bound` rows.
+    Equal rows count once, so neither a repeated id nor a group of copies can crowd out others. As it
+    is known about how many hashes there are, only some twice the bound are sorted.
     """
-    count = rows.count()
-    if count <= 4 * bound:
-        return rows
-    return rows.filter(F.pmod(F.col(hashed), F.lit(1 << 30)) < (2 * bound << 30) // count)
+    hashed = rows.withColumn("h", F.xxhash64(*rows.columns))
+    distinct = hashed.agg(F.approx_count_distinct("h")).first()[0]
+    if distinct > 2 * bound:
+        hashed = hashed.filter(F.pmod("h", F.lit(1 << 30)) < (2 * bound << 30) // distinct)
+    least = stage(hashed.dropDuplicates(["h"]), "drawn")
+    return least.orderBy("h").limit(bound)
 
 
 # ---------------------------------------------------------------- scratch space
@@ -42,10 +45,13 @@ def near_sample(rows: DataFrame, hashed: str, bound: int) -> DataFrame:
 def scratch(spark: SparkSession, label: str) -> str:
     """A new folder name under the folder that the cluster shares (spark.checkpoint.dir).
 
-    Only where that setting is absent, as in tests, a local temporary folder is set up for the session.
+    Only where that setting is absent and Spark runs on one machine, as in tests, a local temporary
+    folder is set up for the session.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         root = getattr(spark, "_corvane_scratch", None)
         if root is None:
             root = spark._corvane_scratch = tempfile.mkdtemp(prefix="corvane-")
@@ -62,33 +68,69 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def with_columns(docs: DataFrame, text_col: str, columns: dict[str, str], compute: Callable) -> DataFrame:
+    """docs with columns (names and types) that compute() makes of an Arrow array of texts; columns of these names are replaced."""
+    new = {c.lower() for c in columns}
+    kept = [c for c in docs.columns if c.lower() not in new]
+    at = len(kept)  # the text is the last column, under a name that doesn't matter
+    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text_col).alias("the text"))
+
+    def add(batches):
+        import pyarrow as pa
+
+        for batch in pieces_of(batches, at):
+            made = compute(batch.column(at))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], [*kept, *columns])
+
+    schema = type(docs.schema)(rows.schema.fields[:-1])
+    for name, kind in columns.items():
+        schema = schema.add(name, kind)
+    return rows.mapInArrow(add, schema)
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write df as Parquet into the shared folder and read it back."""
     path = scratch(df.sparkSession, label)
-    df.write.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1024) -> Iterator[None]:
+    """Jobs that begin here pass whole texts to Python in batches of at most so many rows: the default's may take much memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 # ---------------------------------------------------------------- files of binary frames
 
 
-def write_frames(frames: DataFrame, path: str, trailer: bytes) -> None:
-    """Write each row's binary column `frame`, followed by `trailer`, one file a partition.
+def write_frames(frames: DataFrame, path: str, trailer: bytes, file_frames: int = 0) -> None:
+    """Write each row's binary column `frame`, followed by `trailer`; a file a partition, or more of at most `file_frames` rows (0: any number).
 
     Spark's text writer passes bytes through unchanged, so files go to any Hadoop store and a lost
     task leaves nothing behind: only committed tasks' files appear.
     """
     column = F.col("frame").cast("string")
-    frames.select(column.alias("value")).write.option("lineSep", trailer.decode("ascii")).text(path)
+    out = frames.select(column.alias("value")).write.option("lineSep", trailer.decode("ascii"))
+    with small_batches(frames.sparkSession):
+        out.option("maxRecordsPerFile", file_frames).text(path)
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """Columns file (long, the writing partition's number) and content of the files of write_frames."""
-    number = F.regexp_extract(F.col("path"), r"part-(\d+)", 1).cast("long").alias("file")
-    return spark.read.format("binaryFile").load(path).select(number, "content")
+    """Columns file (long, in the order of the writing partitions and of their files) and content of the files of write_frames."""
+    number = lambda pattern: F.regexp_extract(F.col("path"), pattern, 1).cast("long")
+    file = F.shiftleft(number(r"part-(\d+)-"), 24) + number(r"-c(\d+)[^/]*$")
+    return spark.read.format("binaryFile").load(path).select(file.alias("file"), "content")
 
 
-def pieces_of(batches: Iterator, column: str = "text", limit: int = 4_000_000) -> Iterator:
+def pieces_of(batches: Iterator, column: str | int = "text", limit: int = 4_000_000) -> Iterator:
     """Arrow batches cut into slices of at most `limit` bytes in a string or binary column, one row at least."""
     import pyarrow.compute as pc
 
@@ -101,3 +143,15 @@ def pieces_of(batches: Iterator, column: str = "text", limit: int = 4_000_000) -
             total += n or 0
         if batch.num_rows > at:
             yield batch.slice(at)
+
+
+def release() -> None:
+    """Give freed memory of Arrow and of the C library back: a worker that outlives its tasks would keep its largest batch's."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

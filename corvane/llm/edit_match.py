@@ -174,7 +174,7 @@ def without_items(docs: DataFrame, items: DataFrame, rate: float = RATE, block_b
             import pyarrow as pa
 
             index = _index(block, rate)
-            for batch in batches:
+            for batch in common.pieces_of(batches, text_col):
                 keep = [not index.matches(x.as_py(), first_only=True) for x in batch.column(at)]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 

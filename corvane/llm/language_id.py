@@ -7,7 +7,7 @@ leader with an elastic net, which leaves most of them zero, and the probabilitie
 a temperature on rows that training didn't see.
 
 Document frequencies count every learnable document. Weights are fitted on SAMPLE labelled rows at
-most, drawn by a hash of their ids.
+most, drawn by a hash of id, language and text, equal rows once.
 
 Defined results: a null text or one without letters gives `und` with score 0, as does any text where
 no labelled row could be learned from. Equal scores go to the language first in the alphabet. Rows
@@ -17,6 +17,7 @@ with equal ids are predicted each by its own text; a row without id is not held
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -32,24 +33,30 @@ SAMPLE = 4096
 SCALE = 10.0
 UNKNOWN = "und"
 
+#: Characters of a text that are taken apart at a time.
+STRETCH = 1 << 20
+
 _LETTER = re.compile(r"[^\W\d_]").search
 _FACTORS = [np.uint64(x) for x in mix(np.arange(1, max(LENGTHS) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)]
 
 
-def grams(text: str) -> np.ndarray:
-    """The buckets of all n-grams of a text, with repeats."""
-    points = np.frombuffer(text.lower().encode("utf-32-le"), "<u4").astype(np.uint64)
-    found = []
-    with np.errstate(over="ignore"):
-        total = np.zeros(len(points), np.uint64)
-        for k in range(max(LENGTHS)):
-            if len(points) <= k:
-                break
-            total = total[: len(points) - k] + points[k:] * _FACTORS[k]
-            if k + 1 in LENGTHS:
-                z = (total ^ (total >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(k)
-                found.append((z >> np.uint64(48)).astype(np.int32))
-    return np.concatenate(found) if found else np.empty(0, np.int32)
+def grams(text: str) -> Iterator[np.ndarray]:
+    """The buckets of all n-grams of a text, with repeats, by stretches of the text."""
+    text, over = text.lower(), max(LENGTHS) - 1
+    for start in range(0, len(text), STRETCH):
+        back = min(start, over)  # n-grams that begin in the stretch before
+        points = np.frombuffer(text[start - back : start + STRETCH].encode("utf-32-le"), "<u4").astype(np.uint64)
+        found = []
+        with np.errstate(over="ignore"):
+            total = np.zeros(len(points), np.uint64)
+            for k in range(max(LENGTHS)):
+                if len(points) <= k:
+                    break
+                total = total[: len(points) - k] + points[k:] * _FACTORS[k]
+                if k + 1 in LENGTHS:
+                    z = (total[max(back - k, 0) :] ^ (total[max(back - k, 0) :] >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(k)
+                    found.append((z >> np.uint64(48)).astype(np.int32))
+        yield np.concatenate(found)
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray]], marks: np.ndarray, classes: int, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.02, passes: int = 3) -> tuple[np.ndarray, np.ndarray]:
@@ -95,8 +102,11 @@ class Model:
         self.languages, self.table, self.bias, self.divisor = languages, table.astype(np.float32), bias, divisor
 
     def scores(self, text: str) -> np.ndarray:
-        found = grams(text)
-        return self.bias + (self.table[found].sum(axis=0, dtype=np.float64) / max(len(found), 1))
+        total, n = np.zeros(len(self.languages)), 0
+        for found in grams(text):
+            total += self.table[found].sum(axis=0, dtype=np.float64)
+            n += len(found)
+        return self.bias + total / max(n, 1)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if not text or not self.languages or not _LETTER(text):
@@ -114,10 +124,11 @@ def document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
         import pyarrow as pa
 
         total, docs = np.zeros(BUCKETS, np.int64), 0
-        for batch in batches:
+        for batch in common.pieces_of(batches):
             for text in batch.column("text").to_pylist():
                 seen = np.zeros(BUCKETS, bool)
-                seen[grams(text)] = True
+                for found in grams(text):
+                    seen[found] = True
                 total += seen
                 docs += 1
         at = np.flatnonzero(total)
@@ -134,24 +145,24 @@ def document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def _sample(rows: DataFrame, size: int) -> list:
-    """lang, buckets and counts of at most `size` rows of (doc_id, lang, text) with the least hashes of their ids."""
+    """lang, buckets and counts of at most `size` distinct rows of (doc_id, lang, text)."""
 
     def count(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            made = [np.unique(grams(t), return_counts=True) for t in batch.column("text").to_pylist()]
+        for batch in common.pieces_of(batches):
+            made = []
+            for text in batch.column("text").to_pylist():
+                total = sum((np.bincount(g, minlength=BUCKETS) for g in grams(text)), np.zeros(BUCKETS, np.int64))
+                at = np.flatnonzero(total)
+                made.append((at.astype(np.int32), total[at].astype(np.int32)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("lang"), pa.array([m[0] for m in made], pa.list_(pa.int32())), pa.array([m[1] for m in made], pa.list_(pa.int32())), batch.column("h")], ["lang", "buckets", "counts", "h"]
             )
 
-    hashed = rows.filter("lang is not null and text is not null and doc_id is not null").withColumn("h", F.xxhash64("doc_id", F.lit("lang")))
-    hashed = common.near_sample(hashed, "h", size)
-    last = hashed.select("h").orderBy("h").limit(size).agg(F.max("h")).first()[0]
-    if last is None:
-        return []
-    drawn = hashed.filter(F.col("h") <= last).select("lang", "text", "h").mapInArrow(count, "lang string, buckets array<int>, counts array<int>, h long")
-    found = drawn.limit(size).toArrow().sort_by([("h", "ascending"), ("lang", "ascending")]).combine_chunks()
+    labelled = rows.filter("lang is not null and text is not null and doc_id is not null")
+    drawn = common.draw(labelled, size).mapInArrow(count, "lang string, buckets array<int>, counts array<int>, h long")
+    found = drawn.toArrow().sort_by("h").combine_chunks()
     if not found.num_rows:
         return []
     # views of the columns, not Python numbers: a driver has little memory
@@ -180,20 +191,16 @@ def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col:
 
 
 def add_language(docs: DataFrame, model: Model, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """docs with the predicted language and its probability; all other columns pass through."""
+    """docs with the predicted language and its probability; columns of these names are replaced, all others pass through."""
     held = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS rows of one number a language
-    at = docs.columns.index(text_col)
 
-    def predict(batches):
+    def predict(texts):
         import pyarrow as pa
 
-        for batch in batches:
-            made = [held.value.predict(x.as_py()) for x in batch.column(at)]
-            columns = [*batch.columns, pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, *names])
+        made = [held.value.predict(x.as_py()) for x in texts]
+        return pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.float64())
 
-    schema = type(docs.schema)(docs.schema.fields.copy()).add(names[0], "string").add(names[1], "double")
-    return docs.mapInArrow(predict, schema)
+    return common.with_columns(docs, text_col, dict(zip(names, ("string", "double"), strict=True)), predict)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

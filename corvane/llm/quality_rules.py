@@ -5,8 +5,8 @@ documents, isolates unusual combinations of the statistics in short paths. The s
 document counts as anomalous is calibrated on all labelled rows: of the scores that keep at least
 `keep` of the rows labelled good, that with the best balance of good rows kept and bad rows dropped.
 
-The forest is grown on TREES * TREE_ROWS documents at most, drawn by a hash of their ids: a bound
-that belongs to the method. Statistics, scores and the threshold cover every row.
+The forest is grown on TREES * TREE_ROWS documents at most, drawn by a hash of id and statistics: a
+bound that belongs to the method. Statistics, scores and the threshold cover every row.
 
 Defined results: a null text has no words and fails the base rules. Without labelled rows of both
 kinds the threshold is 1, so that the base rules decide. Rows with equal ids are judged each by its
@@ -182,11 +182,10 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def grow_forest(measured: DataFrame) -> Forest:
-    """A forest of documents that pass the base rules, drawn by a hash of their ids."""
-    drawn = measured.filter("not base_failed").select("features", F.xxhash64("doc_id", F.lit("forest")).alias("h"))
-    drawn = common.near_sample(drawn, "h", TREES * TREE_ROWS)
-    rows = drawn.orderBy("h", "features").limit(TREES * TREE_ROWS).select("features").collect()
-    return Forest(np.array([r[0] for r in rows]).reshape(-1, len(FEATURES)))
+    """A forest of documents that pass the base rules."""
+    drawn = common.draw(measured.filter("not base_failed").select("doc_id", "features"), TREES * TREE_ROWS)
+    rows = drawn.select("features").toArrow().column("features").combine_chunks()
+    return Forest(rows.flatten().to_numpy().reshape(-1, len(FEATURES)))
 
 
 def add_scores(measured: DataFrame, forest: Forest) -> DataFrame:
@@ -196,7 +195,7 @@ def add_scores(measured: DataFrame, forest: Forest) -> DataFrame:
     def score(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in batches:  # numbers alone: a batch is small
             rows = batch.column("features").flatten().to_numpy().reshape(-1, len(FEATURES))
             yield batch.select(columns).append_column("anomaly", pa.array(held.value.scores(rows)))
 

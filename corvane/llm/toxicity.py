@@ -1,13 +1,14 @@
 """Toxicity: a linear classifier on words, regularised by counterfactuals.
 
-A document's features are its distinct words (letters alone, in lower case for A-Z). Logistic regression with an L1 penalty is
-fitted on labelled rows. For each labelled row that names a group, each of its identity terms is
-swapped for others of the same kind; the squared change of the score is penalised as well, so that a
-group's mention moves the score no more than another's, whatever the labels say. Terms that stand
-for groups are moreover shrunk towards no effect, which keeps neutral mentions clean.
+A document's features are its distinct words (letters alone, in lower case for A-Z). Logistic regression
+with an L1 penalty is fitted on labelled rows. In each sentence of a labelled row that names a group,
+each of its identity terms is swapped for others of the same kind; the squared change of the score is
+penalised as well, so that a group's mention moves the score no more than another's, whatever the
+labels say. Terms that stand for groups are moreover shrunk towards no effect, which keeps neutral
+mentions clean.
 
-Weights are fitted on SAMPLE labelled rows at most, drawn by a hash of their ids. Every row is scored
-by its whole text.
+Weights are fitted on SAMPLE labelled rows at most, drawn by a hash of ids, then of id, label and text,
+equal rows once. Every row is scored by its whole text.
 
 Defined results: a null or empty text has the score of a text without known words. Without labelled
 rows of both kinds every score is the share of toxic rows (0 if there is none). Rows with equal ids
@@ -16,6 +17,8 @@ are scored each by its own text; labels of equal ids that differ count as toxic.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,33 +41,60 @@ IDENTITY_TERMS = {
     "ability": ["blind", "deaf", "disabled", "autistic"],
 }
 
+_TERMS = {t.encode() for kind in IDENTITY_TERMS.values() for t in kind}
+
 #: ASCII letters in lower case, other bytes of UTF-8 as they are, anything else a space.
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
+#: Punctuation of Latin-1 and of the block for general punctuation, in UTF-8.
+_MARKS = re.compile(rb"\xc2[\x80-\xbf]|\xe2\x80[\x80-\xbf]|\xe2\x81[\x80-\xaf]")
+_SENTENCE_END = re.compile(rb"[.!?\n]+")
+#: Bytes of a text that are split at a time.
+STRETCH = 1 << 22
+
+
+def _letters(raw: bytes) -> bytes:
+    return (raw if raw.isascii() else _MARKS.sub(b" ", raw)).translate(_LETTERS)
+
+
 def words(raw: bytes | None) -> set[bytes]:
-    return set((raw or b"").translate(_LETTERS).split())
+    raw, found, at = raw or b"", set(), 0
+    while len(raw) - at > STRETCH and (end := raw.find(b" ", at + STRETCH)) >= 0:
+        found.update(_letters(raw[at:end]).split())
+        at = end
+    found.update(_letters(raw[at:]).split())
+    return found
+
+
+def mentions(raw: bytes | None) -> list[list[str]]:
+    """Of each sentence that has some, its identity terms."""
+    found = (words(s) & _TERMS for s in _SENTENCE_END.split(raw or b""))
+    return [sorted(t.decode() for t in terms) for terms in found if terms]
 
 
 def swaps(found: set[str]) -> list[tuple[str, str]]:
-    """Each identity term of a row with each other term of its kind that the row hasn't."""
+    """Each identity term of a sentence with each other term of its kind that the sentence hasn't."""
     return [(a, b) for kind in IDENTITY_TERMS.values() for a in kind if a in found for b in kind if b not in found]
 
 
-def fit_weights(rows: list[set[str]], toxic: np.ndarray, l1: float = 0.5, fairness: float = 5.0, steps: int = 400) -> tuple[dict[str, float], float]:
-    """Word weights (those that aren't zero) and the bias, by accelerated proximal gradient.
-
-    Minimised: the sum of log losses + l1 * |weights| + fairness / 2 * (the squared score changes of
-    all swaps + the squared weights of the identity terms that occur).
-    """
+def fit_weights(rows: list[set[str]], toxic: np.ndarray, named: list[list[str]] | None = None, **settings) -> tuple[dict[str, float], float]:
+    """fit_encoded of rows given as sets of words; named: the identity terms of each sentence, by default of each row."""
     names = sorted(set().union(*rows)) if rows else []
     place = {w: i for i, w in enumerate(names)}
     flat = np.fromiter((place[w] for row in rows for w in sorted(row)), np.int64)
-    return fit_encoded(names, flat, np.array([len(row) for row in rows], np.int64), toxic, l1, fairness, steps)
+    every = {t.decode() for t in _TERMS}
+    named = [sorted(row & every) for row in rows] if named is None else named
+    return fit_encoded(names, flat, np.array([len(row) for row in rows], np.int64), toxic, named, **settings)
 
 
-def fit_encoded(names, flat: np.ndarray, sizes: np.ndarray, toxic: np.ndarray, l1: float = 0.5, fairness: float = 5.0, steps: int = 400) -> tuple[dict[str, float], float]:
-    """fit_weights of rows given as places in `names` (a list or Arrow array), one row after another."""
+def fit_encoded(names, flat: np.ndarray, sizes: np.ndarray, toxic: np.ndarray, named: list[list[str]], l1: float = 0.5, fairness: float = 5.0, steps: int = 400) -> tuple[dict[str, float], float]:
+    """Word weights (those that aren't zero) and the bias, by accelerated proximal gradient.
+
+    Rows are places in `names` (a list or Arrow array), one row after another. Minimised: the sum of
+    log losses + l1 * |weights| + fairness / 2 * (the squared score changes of all swaps in sentences
+    + the squared weights of the identity terms that occur).
+    """
     share = float(toxic.mean()) if len(toxic) else 0.0
     if not 0 < share < 1:
         return {}, -40.0 if share == 0 else 40.0
@@ -80,12 +110,9 @@ def fit_encoded(names, flat: np.ndarray, sizes: np.ndarray, toxic: np.ndarray, l
     flat, owner = flat[flat < none], owner[flat < none]
     sizes = np.bincount(owner, minlength=rows)
 
-    named: dict[int, set[str]] = {}
-    for at in np.flatnonzero(np.isin(flat, terms)).tolist():
-        named.setdefault(int(owner[at]), set()).add(vocabulary[flat[at]])
     pairs: dict[tuple[int, int], int] = {}
-    for row in named.values():
-        for a, b in swaps(row):
+    for sentence in named:
+        for a, b in swaps(set(sentence)):
             key = (place.get(a, none), place.get(b, none))
             pairs[key] = pairs.get(key, 0) + 1
     first = np.array([p[0] for p in pairs], np.int64)
@@ -133,40 +160,39 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
     """Learn from at most `sample` of the labelled rows that common.learnable() allows."""
     marks = labels.select(F.col(label_id).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).filter("toxic in (0, 1)")
     marks = marks.filter(common.learnable()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    # bounded by `sample`, so it may be broadcast
-    near = common.near_sample(marks.withColumn("h", F.xxhash64("doc_id", F.lit("toxic"))), "h", sample)
-    drawn = near.orderBy("h", "doc_id").limit(sample).drop("h")
+    drawn = common.draw(marks, sample).drop("h")  # bounded by `sample`, so it may be broadcast
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def split(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            made = [sorted(w.decode() for w in words(x)) for x in batch.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(made, pa.list_(pa.string()))], ["doc_id", "toxic", "words"])
+        for batch in common.pieces_of(batches):
+            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            made = [sorted(w.decode(errors="replace") for w in words(x)) for x in texts]
+            columns = [pa.array(made, pa.list_(pa.string())), pa.array([mentions(x) for x in texts], pa.list_(pa.list_(pa.string())))]
+            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("toxic"), *columns], ["h", "toxic", "words", "named"])
 
-    joined = rows.join(F.broadcast(drawn), "doc_id").select("doc_id", "toxic", "text").mapInArrow(split, "doc_id long, toxic int, words array<string>")
-    found = joined.limit(sample).toArrow().sort_by("doc_id").combine_chunks()  # rows with equal ids could be more
+    joined = common.stage(rows.join(F.broadcast(drawn), "doc_id").select("doc_id", "toxic", "text"), "labelled")
+    made = common.draw(joined, sample).mapInArrow(split, "h long, toxic int, words array<string>, named array<array<string>>")
+    found = made.toArrow().sort_by("h").combine_chunks()
     if not found.num_rows:
         return Model(*fit_weights([], np.empty(0)))
     lists = found.column("words").chunk(0)
     encoded = lists.flatten().dictionary_encode()  # as numbers: a driver has little memory
-    return Model(*fit_encoded(encoded.dictionary, encoded.indices.to_numpy().astype(np.int64), np.diff(lists.offsets.to_numpy()), found.column("toxic").to_numpy().astype(float)))
+    named = found.column("named").chunk(0).flatten().to_pylist()
+    return Model(*fit_encoded(encoded.dictionary, encoded.indices.to_numpy().astype(np.int64), np.diff(lists.offsets.to_numpy()), found.column("toxic").to_numpy().astype(float), named))
 
 
 def add_toxicity(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
-    """docs with the probability of the toxic label; all other columns pass through."""
+    """docs with the probability of the toxic label; a column of this name is replaced, all others pass through."""
     held = docs.sparkSession.sparkContext.broadcast(model)  # weights of words of the bounded sample
-    at = docs.columns.index(text_col)
 
-    def score(batches):
+    def score(texts):
         import pyarrow as pa
 
-        for batch in batches:
-            made = [held.value.score(x) for x in batch.column(at).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.float64())], [*batch.schema.names, name])
+        return (pa.array([held.value.score(x) for x in texts.cast(pa.binary()).to_pylist()], pa.float64()),)
 
-    return docs.mapInArrow(score, type(docs.schema)(docs.schema.fields.copy()).add(name, "double"))
+    return common.with_columns(docs, text_col, {name: "double"}, score)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
