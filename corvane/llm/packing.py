@@ -1,11 +1,12 @@
 """Packing: documents' token ids into sequences of a fixed size, by first-fit decreasing.
 
-Each document is cut into whole sequences and a rest. The rests of a group are placed in
-decreasing order of length, each into the first sequence with room: a tournament tree over the
-sequences' free room finds it in logarithmic time. Groups are randomised: a row's group comes from
-a hash of its task and place, so no id, source or group of copies gathers in one, and their number
-follows the number of documents, so a group is bounded. Each group leaves at most a few sequences
-that are not full.
+Each document is cut into whole sequences and a rest. A whole sequence is a sequence of its own. The
+rests of a group are placed in decreasing order of length, each into the first sequence with room: a
+tournament tree over the sequences' free room finds it in logarithmic time. Groups are randomised: a
+rest's group comes from a hash of its task and place, so no id, source or group of copies gathers in
+one, and their number follows the number of documents, so a group is bounded. Each group leaves at
+most a few sequences that are not full. The pieces are written before they are packed, so that what
+a task dealt stays, whatever order a repeated task would see.
 
 Defined results: a null text is an empty one, and a document without ids still has its end id.
 Rows with equal document ids are packed each for itself; a null document id stays null.
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .tokenize import encoder
+from .tokenize import encoder, with_end
 
 SEQUENCE = 1024
 #: Documents in a group, on average; with their rests this is what one task holds.
@@ -64,44 +65,51 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray
 
 
 def cut_documents(docs: DataFrame, tokenizer: str, groups: int, sequence: int = SEQUENCE, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """Encode whole texts and cut them: a row per piece, with its checksum and its randomised group."""
+    """Encode whole texts and cut them: a row per piece, with its checksum, and the group (a rest's) or the sequence that it is in."""
 
     def cut(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        coder, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
-        task = np.uint64(TaskContext.get().partitionId() if TaskContext.get() else 0)
-        row = 0
+        coder = encoder(tokenizer)
+        task = TaskContext.get().partitionId() if TaskContext.get() else 0
+        row = whole = 0
         for batch in common.pieces_of(batches):
-            docs_, texts = batch.column("id").to_pylist(), [x or "" for x in batch.column("text").to_pylist()]
-            out = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "group")}
-            raw = []
+            ids, sizes = with_end(*coder.encode(batch.column("text")), end_id)
             # a hash of task and place, by the finaliser of SplitMix64
             with np.errstate(over="ignore"):
-                z = (task << np.uint64(40)) + np.arange(row, row + len(docs_), dtype=np.uint64)
+                z = np.uint64(task << 40) + np.arange(row, row + len(sizes), dtype=np.uint64)
                 z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
                 z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-                dealt = ((z ^ (z >> np.uint64(31))) % np.uint64(groups)).tolist()
-            row += len(docs_)
-            for doc, group, ids in zip(docs_, dealt, coder.encode(texts), strict=True):
-                ids += end
-                n = len(ids) // 4
-                for start in range(0, n, sequence):
-                    part = ids[4 * start : 4 * (start + sequence)]
-                    for k, v in zip(out, (doc, start, len(part) // 4, zlib.crc32(part), n, group), strict=True):
-                        out[k].append(v)
-                    if with_ids:
-                        raw.append(np.frombuffer(part, "<u4").astype(np.int32))
-            columns = [pa.array(v, pa.int64()) for v in out.values()]
-            yield pa.RecordBatch.from_arrays(columns + [pa.array(raw, pa.list_(pa.int32()))] * with_ids, [*out, *["ids"] * with_ids])
+                dealt = ((z ^ (z >> np.uint64(31))) % np.uint64(groups)).astype(np.int64)
+            row += len(sizes)
+            pieces = -(-sizes // sequence)
+            owner = np.repeat(np.arange(len(sizes)), pieces)
+            start = (np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * sequence
+            length = np.minimum(sizes[owner] - start, sequence)
+            ends = np.cumsum(length)
+            raw = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
+            sums = [zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), length.tolist(), strict=True)]
+            full = length == sequence
+            # the whole sequences of a task are numbered like those of a group behind all others
+            own = (np.int64(groups + task) << 32) + whole + np.cumsum(full) - full
+            whole += int(full.sum())
+            columns = [
+                batch.column("id").take(pa.array(owner)), pa.array(start), pa.array(length), pa.array(sums, pa.int64()), pa.array(sizes[owner]),
+                pa.array(dealt[owner], mask=full), pa.array(own, pa.int64(), mask=~full),
+            ]
+            if with_ids:
+                columns.append(pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids.astype(np.int32))))
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "group", "sequence_id", *["ids"] * with_ids])
+            del ids, raw
+            common.release()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(cut, PIECES + ", group long" + ", ids array<int>" * with_ids)
+    return common.stage(rows.mapInArrow(cut, PIECES + ", group long, sequence_id long" + ", ids array<int>" * with_ids), "pieces")
 
 
 def pack_pieces(pieces: DataFrame, sequence: int = SEQUENCE) -> DataFrame:
-    """Give each piece its sequence and offset, group by group. Other columns of pieces stay."""
+    """Give each rest its sequence and offset, group by group. Other columns of pieces stay."""
 
     def place(table):
         import pyarrow as pa
@@ -113,8 +121,11 @@ def pack_pieces(pieces: DataFrame, sequence: int = SEQUENCE) -> DataFrame:
         first = table.column("group")[0].as_py() << 32
         return table.append_column("sequence_id", pa.array(bins + first)).append_column("offset", pa.array(offsets))
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    return pieces.groupBy("group").applyInArrow(place, schema + ", sequence_id long, offset long").drop("group")
+    rests = pieces.filter("sequence_id is null").drop("sequence_id")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rests.schema.fields)
+    placed = rests.groupBy("group").applyInArrow(place, schema + ", sequence_id long, offset long").drop("group")
+    whole = pieces.filter("sequence_id is not null").drop("group").withColumn("offset", F.lit(0).cast("long"))
+    return placed.unionByName(whole)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, end_id: int = 0, group_docs: int = GROUP_DOCS, **columns) -> DataFrame:

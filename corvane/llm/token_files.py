@@ -17,7 +17,7 @@ of 2**30 or more, or just before such an id.
 A block's last word may have room left; it holds zeros, and BLOCK says how many ids count.
 
 Defined results: a null text is an empty one, a document without ids has the end id alone, rows
-with equal document ids stay apart (in the order of their texts), a null document id comes first.
+with equal document ids stay apart (in the order of their texts' hashes), a null document id comes first.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .tokenize import encoder
+from .tokenize import encoder, with_end
 
 #: Fixed values of the file format.
 MAGIC, TRAILER = b"CVT1", b"\nend\n"
@@ -43,17 +43,34 @@ ESCAPE = 15
 
 #: A frame is closed when it has so many ids; a longer document has a frame of its own.
 FRAME_IDS = 1 << 18
+#: A file is closed after so many frames: about 64 MB of ids of two bytes each.
+FILE_FRAMES = 128
+#: Ids are packed so many at a time.
+SLAB = BLOCK << 12
 
 
 # ---------------------------------------------------------------- the code
 
 
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words, block offsets and escapes of unsigned ids. All blocks are packed side by side."""
+    """Words, block offsets and escapes of unsigned ids. All blocks of a slab are packed side by side."""
+    words, offsets, escapes, at, left = [], [np.zeros(1, np.uint32)], [], 0, 0
+    for start in range(0, len(ids), SLAB):
+        w, o, e = _pack_slab(ids[start : start + SLAB])
+        if left and len(e):  # places of escapes count from the frame's first
+            w[w & np.uint64(15) == ESCAPE] += np.uint64(left << 4)
+        words.append(w)
+        offsets.append(o[1:] + np.uint32(at))
+        escapes.append(e)
+        at, left = at + len(w), left + len(e)
+    if not words:
+        return np.empty(0, np.uint64), offsets[0], np.empty(0, np.uint64)
+    return np.concatenate(words), np.concatenate(offsets), np.concatenate(escapes)
+
+
+def _pack_slab(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ids = np.asarray(ids, np.uint64)
     blocks = -(-len(ids) // BLOCK)
-    if not blocks:
-        return np.empty(0, np.uint64), np.zeros(1, np.uint32), np.empty(0, np.uint64)
     wide = BLOCK + int(COUNTS[0])  # each block has zeros behind it, for what its last word has room for
     values = np.zeros((blocks, wide), np.uint64)
     whole = len(ids) // BLOCK
@@ -129,17 +146,17 @@ def unpack(words: np.ndarray, offsets: np.ndarray, escapes: np.ndarray, n: int,
     return out[: min(n - first * BLOCK, (last - first) * BLOCK)]
 
 
-def frame(documents: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
+def frame(documents: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> bytes:
+    """A frame without its trailer."""
     words, offsets, escapes = pack(ids)
     return b"".join((
         HEADER.pack(MAGIC, len(documents), len(ids), len(offsets) - 1, len(words), len(escapes)),
         np.array([d or 0 for d in documents], "<i8").tobytes(),
         np.array([d is None for d in documents], np.uint8).tobytes(),
-        np.array(lengths, "<i8").tobytes(),
+        np.asarray(lengths, "<i8").tobytes(),
         offsets.astype("<u4").tobytes(),
         escapes.astype("<u8").tobytes(),
         words.astype("<u8").tobytes(),
-        TRAILER,
     ))
 
 
@@ -164,57 +181,50 @@ def frames_of(content: bytes) -> Iterator[tuple[list[int | None], np.ndarray, in
 # ---------------------------------------------------------------- files
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", file_frames: int = FILE_FRAMES) -> None:
     """Encode whole texts and write files whose names and rows are in ascending order of the document id.
 
-    Rows are dealt by ranges of the id, so a file's place among the files is its partition's number,
-    and no task holds more than a batch of texts and one frame.
+    Rows are dealt by ranges of the id, the text's hash and the row's place, so that a repeated id, a
+    null one or a group of copies isn't one task's alone. A file's place among the files is its
+    partition's number and its own number there; no task holds more than a batch of texts and one frame.
     """
-    trailer = len(TRAILER)
 
     def encode(batches):
         import pyarrow as pa
 
-        documents, lengths, parts, total = [], [], [], 0
-        end = np.array([end_id], "<u4").tobytes()
         coder = encoder(tokenizer)
+        documents, lengths, parts, total = [], [], [], 0  # of the open frame
 
         def full():
-            made = frame(documents, lengths, np.frombuffer(b"".join(parts), "<u4"))
+            made = frame(documents, np.concatenate(lengths), np.concatenate(parts))
             for x in (documents, lengths, parts):
                 x.clear()
-            return pa.RecordBatch.from_arrays([pa.array([made[:-trailer]], pa.binary())], ["frame"])
+            return pa.RecordBatch.from_arrays([pa.array([made], pa.binary())], ["frame"])
 
         for batch in common.pieces_of(batches):
-            texts = [x or "" for x in batch.column("text").to_pylist()]
-            for doc, ids in zip(batch.column("id").to_pylist(), coder.encode(texts), strict=True):
-                documents.append(doc)
-                parts.append(ids + end)
-                lengths.append(len(ids) // 4 + 1)
-                total += lengths[-1]
+            ids, sizes = with_end(*coder.encode(batch.column("text")), end_id)
+            docs_, ends, at, done = batch.column("id").to_pylist(), np.cumsum(sizes), 0, 0
+            while at < len(sizes):
+                # the documents up to that with which the frame is full
+                stop = min(int(np.searchsorted(ends, done + FRAME_IDS - total)) + 1, len(sizes))
+                documents += docs_[at:stop]
+                lengths.append(sizes[at:stop])
+                parts.append(ids[done : ends[stop - 1]])
+                total += int(ends[stop - 1]) - done
+                at, done = stop, int(ends[stop - 1])
                 if total >= FRAME_IDS:
                     yield full()
                     total = 0
+            parts = [p.copy() for p in parts]  # not views of a batch's ids
+            del ids
+            common.release()
         if documents:
             yield full()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
-    common.write_frames(rows.mapInArrow(encode, "frame binary"), path, TRAILER)
-
-
-def read_token_counts(spark: SparkSession, path: str) -> DataFrame:
-    """Columns file and n_ids, from the frames' headers."""
-
-    def count(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            files = batch.column("file").to_pylist()
-            sums = [sum(n for _, _, n, _ in frames_of(x.as_py())) for x in batch.column("content")]
-            yield pa.RecordBatch.from_arrays([pa.array(files, pa.int64()), pa.array(sums, pa.int64())], ["file", "n_ids"])
-
-    return common.read_files(spark, path).mapInArrow(count, "file long, n_ids long")
+    rows = rows.withColumn("h", F.xxhash64("text")).withColumn("place", F.monotonically_increasing_id())
+    rows = rows.repartitionByRange("id", "h", "place").sortWithinPartitions("id", "h").select("id", "text")
+    common.write_frames(rows.mapInArrow(encode, "frame binary"), path, TRAILER, file_frames)
 
 
 def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
@@ -227,25 +237,25 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) ->
         for batch in batches:
             for number, content in zip(batch.column("file").to_pylist(), batch.column("content"), strict=True):
                 before = 0
-                for documents, lengths, n, packed in frames_of(content.as_py()):
+                for documents, lengths, n, packed in frames_of(memoryview(content.as_buffer())):
                     ids = unpack(*packed, n).astype("<u4")
                     ends = np.cumsum(lengths)
-                    parts = [ids[e - k : e] for e, k in zip(ends.tolist(), lengths.tolist(), strict=True)]
+                    raw = memoryview(ids).cast("B")
                     columns = [
                         pa.array([number] * len(documents), pa.int64()), pa.array(documents, pa.int64()),
                         pa.array(ends - lengths + before), pa.array(lengths),
-                        pa.array([zlib.crc32(x.tobytes()) for x in parts], pa.int64()),
+                        pa.array([zlib.crc32(raw[4 * (e - k) : 4 * e]) for e, k in zip(ends.tolist(), lengths.tolist(), strict=True)], pa.int64()),
                     ]
                     if with_ids:
-                        columns.append(pa.array([x.astype(np.int64) for x in parts], pa.list_(pa.int64())))
+                        columns.append(pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids.astype(np.int64))))
                     yield pa.RecordBatch.from_arrays(columns, names)
                     before += n
 
     schema = "file long, doc_id long, inside long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
-    rows = common.read_files(spark, path).mapInArrow(decode, schema)
+    rows = common.stage(common.read_files(spark, path).mapInArrow(decode, schema), "token_rows")  # each file is read once
     # one row a file: the ids of all files before it
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    files = read_token_counts(spark, path).groupBy("file").agg(F.sum("n_ids").alias("n_ids"))
+    files = rows.groupBy("file").agg(F.sum("n_tokens").alias("n_ids"))
     files = files.select("file", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
     out = rows.join(files, "file").withColumn("start", F.col("base") + F.col("inside"))
     return out.select("doc_id", "start", "n_tokens", "ids_crc32", *["ids"] * with_ids)
