@@ -2,14 +2,16 @@
 
 An archive is a run of Zstandard frames, one a record, so that any record can be read alone. The
 dictionary is built from the archive's own first records and leads the archive in a skippable
-frame. Each frame is followed by an empty skippable frame, which every Zstandard reader passes over.
+frame; where these are too few or too short to train one, their text itself is the dictionary. An
+archive of `archive_bytes` is closed and another begun. An empty skippable frame ends each archive,
+which every Zstandard reader passes over.
 
 Records with equal payloads of at least `least_revisit` bytes are stored once: that with the
 largest id is the response, the others are revisits that name it and hold its digest and length.
 
 Defined results: a null payload is an empty one. A row without id is a response unless a row with
 an id has the same payload. Rows with equal ids and equal payloads are all responses where theirs is
-the largest id. Where too few records are there for a dictionary, the archive has none.
+the largest id. No rows make no archive. A page longer than `archive_bytes` has an archive of its own size.
 """
 
 from __future__ import annotations
@@ -34,6 +36,9 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 #: A dictionary is built from the records of an archive's first SAMPLE_BYTES.
 SAMPLE_BYTES = 1 << 21
 DICTIONARY_BYTES = 1 << 16
+ARCHIVE_BYTES = 1 << 25
+#: Payloads of a share over 1 / HOT of all copies are hot: fewer than HOT, they may be broadcast.
+HOT = 10_000
 
 
 def record_id(page: int | None) -> str:
@@ -52,15 +57,16 @@ def page_of(record: str) -> int | None:
     return bits - (1 << 64) if bits >> 63 else bits
 
 
-def make_record(page: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool, date: str) -> bytes:
-    """One record: WARC header, HTTP header, and the payload unless it is a revisit."""
-    http = FIELD_END.join((b"HTTP/1.1 200 OK", b"Content-Type: text/html; charset=utf-8", b"Content-Length: %d" % len(payload), b"", b""))
+def make_record(page: int | None, url: str | None, payload: bytes | None, size: int, digest: bytes, refers_to: int | None, date: str) -> bytes:
+    """One record: WARC header, HTTP header, and the payload unless it is a revisit of refers_to."""
+    revisit = refers_to is not None
+    http = FIELD_END.join((b"HTTP/1.1 200 OK", b"Content-Type: text/html; charset=utf-8", b"Content-Length: %d" % size, b"", b""))
     fields = {
         "WARC-Type": "revisit" if revisit else "response",
         "WARC-Record-ID": record_id(page),
         "WARC-Date": date,
         "WARC-Target-URI": _one_line(url),
-        "WARC-Payload-Digest": "sha1:" + base64.b32encode(bytes.fromhex(digest)).decode(),
+        "WARC-Payload-Digest": "sha1:" + base64.b32encode(digest).decode(),
         "Content-Type": "application/http; msgtype=response",
     }
     if revisit:
@@ -94,28 +100,38 @@ def _fields(head: bytes) -> dict[str, str]:
 # ---------------------------------------------------------------- frames
 
 
-def compressed(records: Iterator[bytes], level: int = 3) -> Iterator[bytes]:
-    """The frames of one archive, without trailers: the dictionary's, then one a record."""
+def dictionary(records: list[bytes]):
+    """A trained dictionary, or the records' last bytes where there is too little to train on."""
     import zstandard
 
-    first, size = [], 0
-    for record in records:
-        first.append(record)
-        size += len(record)
-        if size >= SAMPLE_BYTES:
-            break
-    if not first:
-        return
+    size = sum(map(len, records))
     try:
-        trained = zstandard.train_dictionary(min(DICTIONARY_BYTES, max(1024, size // 16)), first)
+        return zstandard.train_dictionary(min(DICTIONARY_BYTES, max(1024, size // 16)), records)
+    except zstandard.ZstdError:
+        return zstandard.ZstdCompressionDict(b"".join(records)[-DICTIONARY_BYTES:], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+
+
+def archives(records: Iterator[bytes], archive_bytes: int = ARCHIVE_BYTES, level: int = 3) -> Iterator[bytes]:
+    """All records in archives, each closed with the record that brings it to archive_bytes or its sample to an end, if that is later."""
+    import zstandard
+
+    while True:
+        first, size = [], 0
+        while size < min(SAMPLE_BYTES, archive_bytes) and (record := next(records, None)) is not None:
+            first.append(record)
+            size += len(record)
+        if not first:
+            return
+        trained = dictionary(first)
         content = trained.as_bytes()
-        yield struct.pack("<II", DICTIONARY_MAGIC, len(content)) + content
         coder = zstandard.ZstdCompressor(level=level, dict_data=trained, write_checksum=True)
-    except zstandard.ZstdError:  # too few or too short records
-        coder = zstandard.ZstdCompressor(level=level, write_checksum=True)
-    yield from map(coder.compress, first)
-    first.clear()
-    yield from map(coder.compress, records)
+        frames = [struct.pack("<II", DICTIONARY_MAGIC, len(content)) + content, *map(coder.compress, first)]
+        first.clear()
+        size = sum(map(len, frames))
+        while size < archive_bytes and (record := next(records, None)) is not None:
+            frames.append(coder.compress(record))
+            size += len(frames[-1])
+        yield b"".join(frames)
 
 
 def decompressed(archive: bytes, slice_bytes: int = 1 << 14) -> Iterator[bytes]:
@@ -145,45 +161,53 @@ def decompressed(archive: bytes, slice_bytes: int = 1 << 14) -> Iterator[bytes]:
 
 
 def write_archives(
-    pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_revisit: int = 1000, date: str = "2000-01-01T00:00:00Z"
+    pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_revisit: int = 1000, date: str = "2000-01-01T00:00:00Z", archive_bytes: int = ARCHIVE_BYTES
 ) -> None:
-    """Write a record per row, an archive per partition, into the folder `path`.
+    """Write a record per row, into archives of at most about `archive_bytes` in the folder `path`.
 
-    Equal payloads are found by digest and length: ids are first reduced to the largest of each
-    digest, then joined back, so a group of copies of any size is never gathered; Spark splits the
-    join's large partitions.
+    Equal payloads are found by digest: ids are first reduced to the largest of each digest, and these
+    few columns are joined back. The hot ones of them are broadcast, so that a large group of copies
+    isn't moved at all; revisits leave their payload behind there. Of the others Spark broadcasts what
+    its own limit allows, else it moves the rows to their digests.
     """
     rows = pages.select(
         F.col(id_col).cast("long").alias("page_id"),
         F.col(url_col).alias("url"),
         F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"),
-    ).withColumn("digest", F.sha1("payload"))
+    ).withColumns({"digest": F.unhex(F.sha1("payload")), "size": F.octet_length("payload").cast("long")})
     copies = (
-        rows.filter(F.octet_length("payload") >= least_revisit)
+        rows.filter(F.col("size") >= least_revisit)
         .groupBy("digest").agg(F.max("page_id").alias("response"), F.count("*").alias("n"))
-        .filter("n > 1 and response is not null").select("digest", "response")
+        .filter("n > 1 and response is not null")
     )
-    rows = rows.join(copies, "digest", "left").withColumn("revisit", F.col("response").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response")))
+    copies = common.stage(copies, "copies")
+    total = copies.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") * HOT > total
+    known = lambda c: c.select(F.col("digest").alias("of"), "response")
+
+    def settled(rows: DataFrame) -> DataFrame:
+        """Rows with a response get its id, and keep their payload only if it is theirs."""
+        revisit = F.col("response").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response"))
+        return rows.withColumns({"payload": F.when(~revisit, F.col("payload")), "refers_to": F.coalesce("refers_to", F.when(revisit, F.col("response")))}).drop("of", "response")
+
+    rows = rows.withColumn("refers_to", F.lit(None).cast("long"))
+    rows = settled(rows.join(F.broadcast(known(copies.filter(hot))), F.col("digest") == F.col("of"), "left"))
+    # rows of hot payloads are dealt anywhere: none of the rest has their key
+    key = F.when(F.col("refers_to").isNull(), F.col("digest")).otherwise(F.unhex(F.hex(F.xxhash64("page_id", "url"))))
+    rows = settled(rows.join(known(copies.filter(~hot)), key == F.col("of"), "left"))
 
     def archive(batches):
         import pyarrow as pa
 
         def records():
             for batch in common.pieces_of(batches, "payload"):
-                for page, url, payload, digest, response, revisit in zip(*(batch.column(k).to_pylist() for k in ("page_id", "url", "payload", "digest", "response", "revisit")), strict=True):
-                    yield make_record(page, url, payload, digest, response, revisit, date)
-
-        held, size = [], 0
-        for frame in compressed(records()):
-            held.append(frame)
-            size += len(frame)
-            if size >= 1 << 20:
-                yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], ["frame"])
-                held, size = [], 0
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], ["frame"])
-
-    common.write_frames(rows.mapInArrow(archive, "frame binary"), path, TRAILER)
+                for page, url, payload, digest, size, response in zip(*(batch.column(k).to_pylist() for k in ("page_id", "url", "payload", "digest", "size", "refers_to")), strict=True):
+                    yield make_record(page, url, payload, size, digest, response, date)
+
+        for made in archives(records(), archive_bytes):
+            yield pa.RecordBatch.from_arrays([pa.array([made], pa.binary())], ["frame"])
+
+    common.write_frames(rows.mapInArrow(archive, "frame binary"), path, TRAILER, 1)
 
 
 def read_archives(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
