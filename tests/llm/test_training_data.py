@@ -7,10 +7,11 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models, pre_tokenizers
 
-from corvane.llm import chat_format, common, edit_match, language_id, odd_sketch, packing, quality_rules, stages, token_files, toxicity, unigram, warc
-from corvane.llm.tokenize import encoder
+from corvane.llm import chat_format, common, edit_match, language_id, odd_sketch, packing, quality_rules, stages, token_files, tokenize, toxicity, unigram, warc
+from corvane.llm.tokenize import BytePairEncoder, encoder
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 #: Rows that every operator must take: null text, empty text, a repeated row, a null id, a long text, extra columns with names that operators use.
@@ -48,9 +49,25 @@ def test_memoised_encoder_equals_library():
     random.seed(0)
     texts = ["", " ", "  a", "a  b ", "a\n b \n c", "<|endoftext|> x", "don't 's x's", "été 1 22 ##", "a \x1c b", "x" * 500]
     texts += ["".join(random.choice("ab é\n\t 'sd1#🙂 .") for _ in range(random.randint(0, 80))) for _ in range(300)]
-    want = [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]
-    assert encoder(BPE).encode(texts) == want
-    assert encoder(BPE).encode(texts) == want  # with all units remembered
+    texts += [None, "l'été. Œuvre, non.. ABC.,", "日本。 語, ok.", "a" * 70 + ". end", *(" ".join(random.choices(["the.", "the", "of,", "naïve.", "3.14", "x.y", "Ab"], k=40)) for _ in range(20))]
+    want = [e.ids for e in library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    for _ in range(2):  # the second time with all units remembered
+        ids, sizes = encoder(BPE).encode(texts)
+        assert [p.tolist() for p in np.split(ids, np.cumsum(sizes)[:-1])] == want
+    small = BytePairEncoder(BPE, capacity=20)  # forgets again and again
+    for at in range(0, len(texts), 7):
+        assert small.encode(texts[at : at + 7])[0].tolist() == sum(want[at : at + 7], [])
+    assert [x.tolist() for x in encoder(BPE).encode([])] == [[], []]
+
+
+def test_encoder_cuts_long_texts(monkeypatch):
+    monkeypatch.setattr(tokenize, "STRETCH", 60)
+    library = Tokenizer.from_file(BPE)
+    random.seed(3)
+    texts = [" ".join(random.choices([*WORDS, "a.", "\n", ""], k=n)) for n in (3, 500, 0, 90, 1, 700)]
+    ids, sizes = encoder(BPE).encode(texts)
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert ids.tolist() == sum(want, []) and sizes.tolist() == [len(w) for w in want]
 
 
 # ---------------------------------------------------------------- 1: WARC
@@ -78,16 +95,45 @@ def test_warc_round_trip(spark):
     assert by[-6][0]["payload_bytes"] == 1400
     assert all(r["payload"] == p[2].encode() for p in pages[10:] for r in by[p[0]])
     contents = [r["content"] for r in warc.common.read_files(spark, path).collect()]
-    assert any(c[:4] == b"\x5d\x2a\x4d\x18" for c in contents)  # a leading dictionary frame
+    assert all(c[:4] == b"\x5d\x2a\x4d\x18" for c in contents)  # a leading dictionary frame
+
+
+def test_warc_a_third_of_equal_large_pages(spark):
+    """Copies in many partitions, a very long page, several archives a task."""
+    random.seed(2)
+    body = "".join(random.choices("abcdefgh <>", k=120_000))
+    pages = [(i, f"u{i}", body if i % 3 == 0 else f"<p>{random.random()}</p>" * (1 + i % 90)) for i in range(600)]
+    pages += [(700, "u", "".join(random.choices("abcdefgh <>", k=3_000_000)))]
+    path = common.scratch(spark, "t")
+    warc.write_archives(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(7), path, archive_bytes=40_000)
+    got = {r["page_id"]: r for r in rows_of(warc.read_archives(spark, path, with_payload=True))}
+    assert len(got) == len(pages) and common.read_files(spark, path).count() > 7
+    for page, _, html in pages:
+        revisit = html == body and page != 597
+        assert (got[page]["record_type"], got[page]["refers_to"]) == (("revisit", 597) if revisit else ("response", None))
+        assert got[page]["payload"] == (None if revisit else html.encode()) and got[page]["payload_bytes"] == len(html)
+
+
+def test_warc_cold_copies_are_joined(spark, monkeypatch):
+    monkeypatch.setattr(warc, "HOT", 0)  # none is hot
+    pages = [(i, "u", f"{i // 2} " * 900) for i in range(60)]
+    path = common.scratch(spark, "t")
+    warc.write_archives(spark.createDataFrame(pages, "page_id long, url string, html string"), path)
+    got = {r["page_id"]: r["refers_to"] for r in rows_of(warc.read_archives(spark, path))}
+    assert got == {i: i + 1 if i % 2 == 0 else None for i in range(60)}
 
 
 def test_warc_records_alone_and_cut_off():
-    records = [warc.make_record(i, "u", f"text {i} of many alike".encode() * 9, hashlib.sha1(f"text {i} of many alike".encode() * 9).hexdigest(), None, False, "2000-01-01T00:00:00Z") for i in range(200)]
-    archive = warc.TRAILER.join([*warc.compressed(iter(records)), b""])
+    records = [warc.make_record(i, "u", f"text {i} of many alike".encode() * 9, 9 * len(f"text {i} of many alike"), hashlib.sha1(f"text {i} of many alike".encode() * 9).digest(), None, "2000-01-01T00:00:00Z") for i in range(200)]
+    (archive,) = warc.archives(iter(records))
     assert list(warc.decompressed(archive)) == records
     assert list(warc.decompressed(archive, slice_bytes=7)) == records
     with pytest.raises(ValueError):
-        list(warc.decompressed(archive[:-14]))
+        list(warc.decompressed(archive[:-5]))
+    assert [list(warc.decompressed(a)) for a in warc.archives(iter(records), 300)] != [records]
+    assert sum((list(warc.decompressed(a)) for a in warc.archives(iter(records), 300)), []) == records
+    (few,) = warc.archives(iter(records[:2]))  # too few to train on: the text itself
+    assert few[:4] == b"\x5d\x2a\x4d\x18" and list(warc.decompressed(few)) == records[:2]
     assert [warc.page_of(warc.record_id(x)) for x in (None, 0, 7, -1, 2**63 - 1, -(2**63))] == [None, 0, 7, -1, 2**63 - 1, -(2**63)]
 
 
@@ -253,6 +299,25 @@ def test_forest_isolates_outliers_and_threshold():
     assert len(quality_rules.Forest(np.empty((0, 8))).scores(np.zeros((3, 8)))) == 3
 
 
+def test_forest_scores_equal_walks():
+    random_ = np.random.default_rng(3)
+    rows = random_.normal(size=(400, len(quality_rules.FEATURES)))
+    forest = quality_rules.Forest(rows, trees=7, tree_rows=64)
+
+    def path(root, row):
+        node, steps = root, 0
+        while forest.feature[node] >= 0:
+            node = forest.left[node] + (row[forest.feature[node]] >= forest.value[node])
+            steps += 1
+        return forest.length[node], steps
+
+    usual = 2 * (np.log(63) + 0.5772156649015329) - 2 * 63 / 64
+    want = [2 ** (-np.mean([path(r, row)[0] for r in forest.roots]) / usual) for row in rows[:60]]
+    assert np.allclose(forest.scores(rows[:60]), want)
+    assert all(length >= steps for length, steps in (path(r, row) for r in forest.roots for row in rows[:20]))
+    assert not forest.scores(rows[:0]).size
+
+
 def test_judge_rows(spark, docs, empty):
     labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
     got = rows_of(quality_rules.judge(docs, labels))
@@ -290,6 +355,65 @@ def test_ftrl_is_sparse():
     assert w[0, 0] > w[0, 1] and w[1, 1] > w[1, 0] and not w[2:5].any() and not w[5:12].any()
 
 
+def test_ftrl_equals_plain_python():
+    """The same steps, one coordinate at a time."""
+    random.seed(5)
+    alpha, beta, l1, l2, classes = 0.5, 1.0, 0.02, 0.02, 3
+    rows = []
+    for _ in range(50):
+        at = sorted(random.sample(range(40), random.randint(1, 6)))
+        rows.append((np.array(at), np.array([random.random() for _ in at], np.float32)))
+    marks = [random.randrange(classes) for _ in rows]
+    z, n = {}, {}
+
+    def weight(i, k):
+        lead = z.get((i, k), 0.0)
+        if abs(lead) <= l1:
+            return 0.0
+        return -(lead - (l1 if lead > 0 else -l1)) / ((beta + n.get((i, k), 0.0) ** 0.5) / alpha + l2)
+
+    order = np.random.default_rng(0)
+    for _ in range(3):
+        for r in order.permutation(len(rows)):
+            entries = [*zip(rows[r][0].tolist(), rows[r][1].tolist(), strict=True), ("bias", 1.0)]
+            scores = [sum(v * weight(i, k) for i, v in entries) for k in range(classes)]
+            total = sum(np.exp(s) for s in scores)
+            old = {(i, k): weight(i, k) for i, _ in entries for k in range(classes)}
+            for i, v in entries:
+                for k in range(classes):
+                    g = v * (np.exp(scores[k]) / total - (k == marks[r]))
+                    before = n.get((i, k), 0.0)
+                    z[i, k] = z.get((i, k), 0.0) + g - ((before + g * g) ** 0.5 - before**0.5) / alpha * old[i, k]
+                    n[i, k] = before + g * g
+    w, bias = language_id.train(rows, np.array(marks), classes)
+    assert np.allclose([[weight(i, k) for k in range(classes)] for i in range(40)], w[:40], atol=1e-6)
+    assert np.allclose([weight("bias", k) for k in range(classes)], bias, atol=1e-6) and not w[40:].any()
+
+
+def test_grams_equal_brute_force(monkeypatch):
+    texts = ["", "a", "Straße İx", "one two three " * 9, "日本🙂x"]
+    whole = [np.sort(np.concatenate([*language_id.grams(t), np.empty(0, np.int32)])) for t in texts]
+    assert [len(w) for w in whole] == [max(len(t.lower()) - k, 0) + max(len(t.lower()) - k - 1, 0) + max(len(t.lower()) - k - 2, 0) for t in texts for k in [0]]
+    for size in (1, 2, 3, 10):
+        monkeypatch.setattr(language_id, "STRETCH", size)
+        assert all(np.array_equal(np.sort(np.concatenate([*language_id.grams(t), np.empty(0, np.int32)])), w) for t, w in zip(texts, whole, strict=True))
+
+
+def test_rows_of_one_id_are_all_learned_from(spark):
+    """More rows than the sample holds, all of one id (or none): the sample is of rows, not of ids."""
+    for doc in (13, 8, None):
+        rows = spark.range(3000).selectExpr(f"cast({doc or 'null'} as bigint) as doc_id", "if(id % 2 = 0, 'aa', 'bb') as lang", "concat(if(id % 2 = 0, 'qu qua ', 'zw zwo '), id) as text")
+        model = language_id.fit(rows, sample=200)
+        assert model.languages == ([] if doc is None else ["aa", "bb"])  # rows without id are not learned from
+        drawn = common.draw(rows, 200)
+        assert drawn.count() == 200 and sorted(drawn.columns) == ["doc_id", "h", "lang", "text"]
+        copies = rows.withColumn("text", F.when(F.col("text").endswith("1"), "the same").otherwise(F.col("text")))
+        assert common.draw(copies, 200).filter("text = 'the same'").count() <= 2
+        assert rows_of(common.draw(rows.repartition(7), 200)) == rows_of(drawn)
+    measured = spark.range(2000).selectExpr("cast(7 as bigint) as doc_id", "false as base_failed", "array(cast(id as double), 0, 0, 0, 0, 0, 0, 0) as features")
+    assert len(quality_rules.grow_forest(measured).roots) == quality_rules.TREES
+
+
 # ---------------------------------------------------------------- 6: chat
 
 
@@ -315,18 +439,21 @@ def test_prefix_examples(spark):
 # ---------------------------------------------------------------- 7: token files
 
 
-def test_simple8b_round_trips():
+def test_simple8b_round_trips(monkeypatch):
     random = np.random.default_rng(1)
     cases = [[], [0], [0] * 1000, range(5000), random.integers(0, 2**32, 900), random.integers(0, 2**63, 700), np.where(random.random(3000) < 0.9, 0, random.integers(0, 70000, 3000)), [2**30 - 1, 2**30, 0, 2**64 - 1], [0] * 239 + [1] + [0] * 130]
     for case in cases:
         ids = np.array(case, np.uint64)
         packed = token_files.pack(ids)
         assert np.array_equal(token_files.unpack(*packed, len(ids)), ids)
+        with monkeypatch.context() as m:
+            m.setattr(token_files, "SLAB", 512)
+            assert all(np.array_equal(a, b) for a, b in zip(token_files.pack(ids), packed, strict=True))
         if len(ids) > 600:
             assert np.array_equal(token_files.unpack(*packed, len(ids), 1, 2), ids[256:512])
 
 
-def test_token_files(spark, docs, empty):
+def test_token_files(spark, docs, empty, monkeypatch):
     path = common.scratch(spark, "t")
     token_files.write_token_files(docs.repartition(5), path, BPE)
     got = sorted(rows_of(token_files.read_token_files(spark, path, with_ids=True)), key=lambda r: r["start"])
@@ -339,6 +466,16 @@ def test_token_files(spark, docs, empty):
         assert (r["doc_id"], r["start"], r["n_tokens"], r["ids"]) == (w[0], at, len(ids), ids)
         assert r["ids_crc32"] == zlib.crc32(np.array(ids, "<u4").tobytes())
         at += len(ids)
+    # one id for many rows, several files a task, frames of a few documents
+    rows = [(5 if i % 2 else None, f"{i} {' '.join(WORDS)}", 0) for i in range(400)] + [(5, "the same", 1)] * 200
+    monkeypatch.setattr(token_files, "FRAME_IDS", 100)
+    path = common.scratch(spark, "t")
+    token_files.write_token_files(spark.createDataFrame(rows, "doc_id long, text string, file long").repartition(6), path, BPE, file_frames=3)
+    assert common.read_files(spark, path).count() > 6
+    got = sorted(rows_of(token_files.read_token_files(spark, path, with_ids=True)), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == [None] * 200 + [5] * 400
+    assert [r["start"] for r in got] == np.cumsum([0, *(r["n_tokens"] for r in got)])[:-1].tolist()
+    assert sorted(tuple(r["ids"]) for r in got) == sorted((*library.encode(r[1], add_special_tokens=False).ids, 2) for r in rows)
     path = common.scratch(spark, "t")
     token_files.write_token_files(empty, path, BPE)
     assert token_files.read_token_files(spark, path).count() == 0
@@ -431,6 +568,19 @@ def test_pack_documents(docs, empty):
     assert packing.pack_documents(empty, BPE).count() == 0
 
 
+def test_pack_a_document_larger_than_a_group(spark):
+    rows = [(1, " ".join(random.choices(WORDS, k=30_000))), *((i, "short") for i in range(2, 40))]
+    pieces = packing.cut_documents(spark.createDataFrame(rows, "doc_id long, text string"), BPE, 4, 64)
+    assert pieces.filter("sequence_id is null").count() <= 39  # whole sequences are in no group
+    got = rows_of(packing.pack_pieces(pieces, 64))
+    assert len({(r["sequence_id"], r["offset"]) for r in got}) == len(got) == pieces.count()
+    held = {}
+    for r in got:
+        held.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in held.values():
+        assert [o for o, _ in sorted(parts)] == np.cumsum([0, *(n for _, n in sorted(parts))])[:-1].tolist() and sum(n for _, n in parts) <= 64
+
+
 # ---------------------------------------------------------------- 10: toxicity
 
 
@@ -454,6 +604,41 @@ def test_toxicity_learns_and_is_fair_to_groups():
     assert toxicity.Model(*toxicity.fit_weights(rows, np.zeros(600))).score(b"idiot") < 1e-9
 
 
+def test_toxicity_weights_are_a_minimum():
+    """The objective in plain Python; no small step of a weight or of the bias lowers it."""
+    random.seed(8)
+    rows = [set(random.sample([*"abcdefgh", "man", "woman", "girl", "boy"], random.randint(2, 7))) for _ in range(50)]
+    toxic = np.array([float("a" in r or ("man" in r and random.random() < 0.7)) for r in rows])
+    named = [sorted(r & {"man", "woman", "girl", "boy"}) for r in rows]
+    weights, bias = toxicity.fit_weights(rows, toxic, named, l1=0.5, fairness=5.0, steps=6000)
+    names = [w for w in sorted(set().union(*rows)) if sum(w in r for r in rows) >= toxicity.LEAST_ROWS]
+
+    def objective(w, b):
+        total = 0.0
+        for r, y in zip(rows, toxic, strict=True):
+            s = b + sum(w.get(x, 0.0) for x in r)
+            total += np.log1p(np.exp(-s if y else s))
+        total += 0.5 * sum(abs(v) for v in w.values())
+        for sentence in named:
+            total += 2.5 * sum((w.get(a, 0.0) - w.get(b_, 0.0)) ** 2 for a, b_ in toxicity.swaps(set(sentence)))
+        return total + 2.5 * sum(w.get(t, 0.0) ** 2 for t in names if t in toxicity.IDENTITY_TERMS["gender"])
+
+    best = objective(weights, bias)
+    for name in names:
+        for step in (-0.02, 0.02):
+            assert objective(weights | {name: weights.get(name, 0.0) + step}, bias) >= best - 1e-5
+    assert min(objective(weights, bias - 0.02), objective(weights, bias + 0.02)) >= best - 1e-5 and weights["a"] > 0.5
+
+
+def test_toxicity_words(monkeypatch):
+    quoted = "\u201cFool\u201d \u2014 naïve\u00a0fool's «girl». Man!\nno".encode()
+    assert toxicity.words(quoted) == {w.encode() for w in ("fool", "naïve", "s", "girl", "man", "no")}
+    assert toxicity.mentions(quoted) == [["girl"], ["man"]] and toxicity.mentions(None) == []
+    whole = toxicity.words(b"ab cd, ef gh " * 50)
+    monkeypatch.setattr(toxicity, "STRETCH", 7)
+    assert toxicity.words(b"ab cd, ef gh " * 50) == whole
+
+
 def test_toxicity_rows(spark, docs, empty):
     labels = spark.createDataFrame([(i, i % 2) for i in range(17)] + [(1, None)], "doc_id long, toxic int")
     name = stages._own(docs, "score")
