@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.batches import slices
+from ..sources.checkpoint import checkpointed
 
 K1, B = 1.2, 0.75
 #: Tokens are runs of these, in lower case; the class is the same in every regular-expression dialect.
@@ -19,27 +23,153 @@ def tokens(text: Column) -> Column:
 
 
 def term_counts(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(id, term, tf)."""
+    """(id, term, tf): the term index."""
     return docs.select(F.col(key).alias("id"), F.explode(tokens(F.col(text))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", query_key: str = "item_id", text: str = "text", query_text: str = "text") -> DataFrame:
-    """(query_id, id, bm25) of every document that holds a term of the query, each query term once.
+# ---------------------------------------------------------------- scoring by blocks of queries
 
-    Document lengths and their mean come from array sizes, without a shuffle; only postings of terms
-    that a query has are counted, so the aggregation is over what the queries can match.
+
+#: Queries in a block. A block is broadcast and scored against each row in one pass.
+QUERY_BLOCK = 4096
+
+
+def token_lists(texts):
+    """tokens() of an Arrow array of texts: all tokens, which may be empty, and their number by text."""
+    import pyarrow.compute as pc
+
+    lists = pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(texts, "")), NOT_TOKEN)
+    return lists.flatten(), np.diff(lists.offsets.to_numpy())
+
+
+def query_blocks(queries: DataFrame, key: str, size: int) -> Iterator:
+    """Arrow tables of at most about `size` rows each; which rows are in one depends on their keys alone."""
+    count = max(1, -(-queries.count() // size))
+    for k in range(count):
+        block = queries.filter(F.pmod(F.xxhash64(key), F.lit(count)) == k) if count > 1 else queries
+        yield block.toArrow().sort_by(key).combine_chunks()
+
+
+class Best:
+    """The k best ids of each query among the scores given so far; all of them if k is none."""
+
+    def __init__(self, k: int | None):
+        self.k, self.held, self.room = k, [], 1 << 16
+
+    def add(self, ids, scores: np.ndarray, found: np.ndarray):
+        """scores and whether a pair was found, by row of ids and query. Yields tables when there is nothing to wait for."""
+        import pyarrow as pa
+
+        if self.k and len(scores) > self.k:  # no more than these of a batch, but for ties
+            least = np.partition(scores, len(scores) - self.k, axis=0)[-self.k]
+            found = found & (scores >= least)
+        rows, queries = np.nonzero(found)
+        self.held.append(pa.table({"q": pa.array(queries), "id": ids.take(pa.array(rows)), "score": pa.array(scores[rows, queries])}))
+        if not self.k:
+            yield self.held.pop()
+        elif sum(map(len, self.held)) > self.room:
+            self.held = [self.cut()]
+            self.room = max(self.room, 2 * len(self.held[0]))
+
+    def cut(self):
+        import pyarrow as pa
+
+        table = pa.concat_tables(self.held).combine_chunks().sort_by([("q", "ascending"), ("score", "descending"), ("id", "ascending")])
+        q = table.column("q").to_numpy()
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        return table.filter(pa.array(place < self.k))
+
+    def rest(self):
+        if self.held:
+            yield self.cut()
+
+
+def _scored(rows: DataFrame, id_type: str, query_type: str, held, k: int | None, column: str, name: str, score) -> DataFrame:
+    """(query_id, id, name): score(batch, held value) gives a matrix of rounded scores and one of pairs found."""
+
+    def run(batches):
+        best = Best(k)
+        keys = held.value["keys"]
+
+        def out(table):
+            for batch in table.append_column("query_id", keys.take(table.column("q"))).select(["query_id", "id", "score"]).rename_columns(["query_id", "id", name]).combine_chunks().to_batches(max_chunksize=1 << 16):
+                yield batch
+
+        for batch in slices(batches, column):
+            for table in best.add(batch.column("id"), *score(batch, held.value)):
+                yield from out(table)
+        for table in best.rest():
+            yield from out(table)
+
+    return rows.mapInArrow(run, f"query_id {query_type}, id {id_type}, {name} double")
+
+
+def _united(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", query_key: str = "item_id", text: str = "text", query_text: str = "text", k: int | None = None) -> DataFrame:
+    """(query_id, id, bm25) of the documents that hold a term of the query, each query term once; bm25 has six decimals.
+
+    Texts are taken apart once for a block of queries: of each document its length and the counts of
+    the terms that a query has are kept, from which document frequencies come. As a block's terms and
+    queries are at hand everywhere, a document is scored for all of them where it is, without a shuffle;
+    with k, a task gives the k best of each query alone, from which top() takes the best of all.
     """
-    sized = docs.select(F.col(key).alias("id"), tokens(F.col(text)).alias("tokens")).withColumn("dl", F.size("tokens"))
-    corpus = sized.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    terms = queries.select(F.col(query_key).alias("query_id"), F.explode(F.array_distinct(tokens(F.col(query_text)))).alias("term"))
-    wanted = terms.select("term").distinct()
-    postings = sized.select("id", "dl", F.explode("tokens").alias("term")).join(wanted, "term", "left_semi").groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
-    frequency = postings.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    # one row: the corpus's size and mean length
-    weighted = terms.join(frequency, "term").crossJoin(F.broadcast(corpus)).select("query_id", "term", "avgdl", idf.alias("idf"))
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return postings.join(weighted, "term").groupBy("query_id", "id").agg(F.sum(part).alias("bm25"))
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    spark, kinds = docs.sparkSession, dict(docs.dtypes) | {f"query {c}": t for c, t in queries.dtypes}
+    rows, asked = docs.select(F.col(key).alias("id"), F.col(text).alias("text")), queries.select(F.col(query_key).alias("query_id"), F.col(query_text).alias("text"))
+    parts = []
+    for block in query_blocks(asked, "query_id", QUERY_BLOCK):
+        flat, sizes = token_lists(block.column("text").combine_chunks() if block.num_rows else pa.array([], pa.string()))
+        pairs = pa.table({"q": np.repeat(np.arange(len(sizes)), sizes), "term": flat}).filter(pc.not_equal(flat, "")).group_by(["q", "term"]).aggregate([])
+        terms = pc.unique(pairs.column("term").combine_chunks()).sort()
+        wanted = spark.sparkContext.broadcast(terms)
+
+        def count(batches, wanted=wanted):
+            import pyarrow as pa
+            import pyarrow.compute as pc
+
+            vocabulary = wanted.value
+            for batch in slices(batches, "text"):
+                flat, sizes = token_lists(batch.column("text"))
+                owner = np.repeat(np.arange(len(sizes)), sizes)
+                length = np.bincount(owner, pc.not_equal(flat, "").to_numpy(zero_copy_only=False), len(sizes)).astype(np.int64)
+                at = pc.index_in(flat, value_set=vocabulary)
+                known = at.is_valid().to_numpy(zero_copy_only=False)
+                pair = owner[known] * max(len(vocabulary), 1) + at.drop_null().to_numpy()
+                pair, times = np.unique(pair, return_counts=True)
+                heads = np.searchsorted(pair, np.arange(len(sizes) + 1) * max(len(vocabulary), 1)).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(pa.array(heads), pa.array(v.astype(np.int32))) for v in (pair % max(len(vocabulary), 1), times)]
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(length), *lists], ["id", "dl", "terms", "tf"])
+
+        postings = checkpointed(rows.mapInArrow(count, f"id {kinds[key]}, dl long, terms array<int>, tf array<int>"), "postings")
+        n, mean = postings.agg(F.count("*"), F.avg("dl")).first()
+        frequency = np.zeros(len(terms))
+        found = postings.select(F.explode("terms").alias("t")).groupBy("t").count().toArrow()  # a row a term of the block
+        frequency[found.column("t").to_numpy()] = found.column("count").to_numpy()
+        place = pc.index_in(pairs.column("term").combine_chunks(), value_set=terms).to_numpy()
+        order = np.argsort(place, kind="stable")
+        held = spark.sparkContext.broadcast({
+            "keys": block.column("query_id").combine_chunks(), "idf": np.log(1 + (n - frequency + 0.5) / (frequency + 0.5)), "mean": mean or 1.0,
+            "heads": np.searchsorted(place[order], np.arange(len(terms) + 1)), "queries": pairs.column("q").to_numpy()[order],
+        })
+
+        def score(batch, model):
+            size, dl = len(model["keys"]), batch.column("dl").to_numpy()
+            terms, tf = (batch.column(c).flatten().to_numpy().astype(np.int64) for c in ("terms", "tf"))
+            owner = np.repeat(np.arange(len(dl)), np.diff(batch.column("terms").offsets.to_numpy()))
+            part = model["idf"][terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[owner] / model["mean"]))
+            starts, each = model["heads"][terms], np.diff(model["heads"])[terms]
+            ends = np.cumsum(each)
+            query = model["queries"][np.repeat(starts - ends + each, each) + np.arange(each.sum())]
+            total = np.bincount(np.repeat(owner, each) * size + query, np.repeat(part, each), len(dl) * size).reshape(len(dl), size)
+            return np.round(total, 6), total > 0
+
+        parts.append(_scored(postings, kinds[key], kinds[f"query {query_key}"], held, k, "terms", "bm25", score))
+    return _united(parts)
 
 
 def doubles(vector: Column) -> Column:
@@ -59,10 +189,30 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (norm(a) * norm(b))
 
 
-def dense(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", query_key: str = "query_id", vector: str = "embedding") -> DataFrame:
-    """(query_id, id, dense): exact cosine of each query vector with each vector. A stated query set, broadcast."""
-    q = queries.select(F.col(query_key).alias("query_id"), F.col(vector).alias("q"))
-    return vectors.select(F.col(key).alias("id"), F.col(vector).alias("v")).crossJoin(F.broadcast(q)).select("query_id", "id", cosine(F.col("q"), F.col("v")).alias("dense"))
+def dense(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", query_key: str = "query_id", vector: str = "embedding", k: int | None = None) -> DataFrame:
+    """(query_id, id, dense): exact cosine, to six decimals, of each query vector of a block with each vector.
+
+    Both sides are brought to length 1 once; a zero vector has cosine 0. With k, a task gives the k best
+    of each query alone, from which top() takes the best of all. Rows without a vector have no score.
+    """
+    kinds = dict(vectors.dtypes) | {f"query {c}": t for c, t in queries.dtypes}
+    rows = vectors.select(F.col(key).alias("id"), doubles(F.col(vector)).alias("v")).filter("v is not null")
+    asked = queries.select(F.col(query_key).alias("query_id"), doubles(F.col(vector)).alias("v")).filter("v is not null")
+
+    def unit(lists):
+        m = lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+        return m / np.maximum(np.sqrt((m * m).sum(axis=1, keepdims=True)), 1e-300)
+
+    def score(batch, model):
+        cosine = np.round(unit(batch.column("v")) @ model["units"].T, 6) + 0.0
+        return cosine, np.ones(cosine.shape, bool)
+
+    parts = []
+    for block in query_blocks(asked, "query_id", QUERY_BLOCK):
+        if block.num_rows:
+            held = vectors.sparkSession.sparkContext.broadcast({"keys": block.column("query_id").combine_chunks(), "units": unit(block.column("v").combine_chunks())})
+            parts.append(_scored(rows, kinds[key], kinds[f"query {query_key}"], held, k, "v", "dense", score))
+    return _united(parts) if parts else rows.crossJoin(asked.select("query_id").limit(0)).select("query_id", "id", F.lit(0.0).alias("dense"))
 
 
 def top(hits: DataFrame, score: str, k: int, group: str = "query_id", tie: str = "id") -> DataFrame:
@@ -89,9 +239,7 @@ def fuse(keyword: DataFrame, vector: DataFrame, alpha: float, k: int) -> DataFra
 
 def hybrid_search(docs: DataFrame, vectors: DataFrame, queries: DataFrame, query_vectors: DataFrame, alpha: float = 0.5, limit: int = 10, candidates: int = 50) -> DataFrame:
     """(query_id, id, score, rank): BM25 and cosine candidates fused."""
-    # rounded before ranking, so that the order doesn't hang on the order of a sum
-    keyword = bm25(docs, queries).withColumn("bm25", F.round("bm25", 6))
-    vector = dense(vectors, query_vectors).withColumn("dense", F.round("dense", 6))
+    keyword, vector = bm25(docs, queries, k=candidates), dense(vectors, query_vectors, k=candidates)
     return fuse(top(keyword, "bm25", candidates).drop("rank"), top(vector, "dense", candidates).drop("rank"), alpha, limit)
 
 
@@ -215,3 +363,49 @@ def mean_pool(patches: Column, size: int) -> Column:
 def late_interaction(query: Column, patches: Column) -> Column:
     """MaxSim: for each query vector its best patch, summed."""
     return F.aggregate(F.transform(query, lambda q: F.array_max(F.transform(patches, lambda p: dot(q, p)))), F.lit(0.0), lambda s, x: s + x)
+
+
+def late_interaction_search(rows: DataFrame, queries: DataFrame, key: str = "vec_id", query_key: str = "query_id", patches: str = "patches", k: int | None = None) -> DataFrame:
+    """(query_id, id, maxsim), to six decimals, of each query of a block and each row; with k as in dense().
+
+    Each row has an array of one or more vectors; rows without any have no score.
+    """
+    kinds = dict(rows.dtypes) | {f"query {c}": t for c, t in queries.dtypes}
+    flat = lambda df, k, name: df.select(F.col(k).alias(name), F.size(patches).alias("n"), F.flatten(F.transform(patches, doubles)).alias("v")).filter("n > 0")
+
+    def vectors(table):
+        n = table.column("n").to_numpy()
+        values = table.column("v")
+        values = values.combine_chunks() if hasattr(values, "combine_chunks") else values
+        return values.flatten().to_numpy(zero_copy_only=False).reshape(int(n.sum()), -1), np.cumsum(n) - n
+
+    def score(batch, model):
+        v, heads = vectors(batch)
+        best = np.maximum.reduceat(v @ model["vectors"].T, heads, axis=0)  # of each query vector the best patch
+        total = np.round(np.add.reduceat(best, model["heads"], axis=1), 6) + 0.0
+        return total, np.ones(total.shape, bool)
+
+    parts = []
+    for block in query_blocks(flat(queries, query_key, "query_id"), "query_id", QUERY_BLOCK):
+        if block.num_rows:
+            v, heads = vectors(block)
+            held = rows.sparkSession.sparkContext.broadcast({"keys": block.column("query_id").combine_chunks(), "vectors": v, "heads": heads})
+            parts.append(_scored(flat(rows, key, "id"), kinds[key], kinds[f"query {query_key}"], held, k, "v", "maxsim", score))
+    return _united(parts) if parts else flat(rows, key, "id").crossJoin(flat(queries, query_key, "query_id").select("query_id").limit(0)).select("query_id", "id", F.lit(0.0).alias("maxsim"))
+
+
+def known_terms(queries: DataFrame, terms: DataFrame, most: int = 20) -> DataFrame:
+    """(query_id, term, rank): the terms (name, mention_count) that share a word of three letters or more with the query.
+
+    The most mentioned come first, then by name. A query with such words but without a hit gets the most
+    mentioned terms of all; one without such words gets none.
+    """
+    long = lambda c: F.array_distinct(F.filter(T.words(F.lower(c)), lambda w: F.length(w) >= 3))
+    asked = queries.select("query_id", long("text").alias("words")).filter(F.size("words") > 0)
+    index = terms.select("name", "mention_count", F.explode(long("name")).alias("word"))
+    hits = asked.select("query_id", F.explode("words").alias("word")).join(index, "word").select("query_id", "name", "mention_count").distinct()
+    none = asked.select("query_id").join(hits.select("query_id"), "query_id", "left_anti")
+    best = terms.select("name", "mention_count").orderBy(F.desc("mention_count"), "name").limit(most)  # at most that many rows
+    every = hits.unionByName(none.crossJoin(F.broadcast(best)))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("mention_count"), "name"))
+    return every.withColumn("rank", place).filter(F.col("rank") <= most).select("query_id", F.col("name").alias("term"), "rank")

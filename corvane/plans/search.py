@@ -26,10 +26,12 @@ BM25 = f"""
 COS = "list_dot_product(q.v, e.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(e.v, e.v)))"
 DENSE = f"""
     e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
-    ve AS (SELECT q.vec_id AS query_id, e.vec_id AS id, round({COS}, 6)::DOUBLE AS dense FROM e, e q WHERE q.vec_id < 40)
+    ve AS (SELECT q.vec_id AS query_id, e.vec_id AS id, round({COS}, 6)::DOUBLE AS dense FROM e, e q WHERE {{asked}})
 """
+#: A search among the vectors asks with each vector whose id is divisible by 20; the hybrid one with each test item and its vector.
+DENSE, OF_ITEMS = DENSE.replace("{asked}", "q.vec_id % 20 = 0"), DENSE.replace("{asked}", "q.vec_id IN (SELECT item_id FROM benchmark)")
 HYBRID = f"""
-    WITH {BM25}, {DENSE},
+    WITH {BM25}, {OF_ITEMS},
     k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, id) AS rn FROM kw) WHERE rn <= 50),
     v AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dense DESC, id) AS rn FROM ve) WHERE rn <= 50),
     kn AS (SELECT query_id, id, CASE WHEN max(bm25) OVER w = min(bm25) OVER w THEN 1.0 ELSE (bm25 - min(bm25) OVER w) / (max(bm25) OVER w - min(bm25) OVER w) END AS s FROM k WINDOW w AS (PARTITION BY query_id)),
@@ -46,11 +48,12 @@ def hybrid_sql(alpha: float = 0.5, k: int = 10) -> str:
 def inputs(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
     queries = table(spark, sf_dir, "benchmark")
-    return table(spark, sf_dir, "documents"), vectors, queries, vectors.filter("vec_id < 40").withColumnRenamed("vec_id", "query_id")
+    return table(spark, sf_dir, "documents"), vectors, queries, vectors.withColumnRenamed("vec_id", "query_id")
 
 
 def hits(spark, sf_dir, alpha=0.5, k=10):
-    return R.hybrid_search(*inputs(spark, sf_dir), alpha=alpha, limit=k)
+    docs, vectors, queries, asked = inputs(spark, sf_dir)
+    return R.hybrid_search(docs, vectors, queries, asked.join(queries, F.col("query_id") == F.col("item_id"), "left_semi"), alpha=alpha, limit=k)
 
 
 @query("hybrid_search", hybrid_sql())
@@ -61,13 +64,13 @@ def hybrid(spark, sf_dir):
 @query("v5_bm25", f"WITH {BM25} SELECT query_id, id, bm25, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, id) AS INTEGER) AS rank FROM kw) WHERE rank <= 10")
 def v5(spark, sf_dir):
     docs, _, queries, _ = inputs(spark, sf_dir)
-    return R.top(R.bm25(docs, queries).withColumn("bm25", F.round("bm25", 6)), "bm25", 10)
+    return R.top(R.bm25(docs, queries, k=10), "bm25", 10)
 
 
 @query("v4_dense", f"WITH {DENSE} SELECT query_id, id, dense, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY dense DESC, id) AS INTEGER) AS rank FROM ve) WHERE rank <= 10")
 def v4(spark, sf_dir):
-    _, vectors, _, qv = inputs(spark, sf_dir)
-    return R.top(R.dense(vectors, qv).withColumn("dense", F.round("dense", 6)), "dense", 10)
+    _, vectors, _, asked = inputs(spark, sf_dir)
+    return R.top(R.dense(vectors, asked.filter("query_id % 20 = 0"), k=10), "dense", 10)
 
 
 @query(
@@ -76,8 +79,8 @@ def v4(spark, sf_dir):
 )
 def v13(spark, sf_dir):
     """The threshold applies after the cut to five."""
-    _, vectors, _, qv = inputs(spark, sf_dir)
-    found = R.top(R.dense(vectors, qv).withColumn("score", F.round("dense", 6)), "score", 5)
+    _, vectors, _, asked = inputs(spark, sf_dir)
+    found = R.top(R.dense(vectors, asked.filter("query_id % 20 = 0"), k=5).withColumnRenamed("dense", "score"), "score", 5)
     return found.filter("score >= 0.3").select("query_id", "id", "score")
 
 
@@ -96,28 +99,29 @@ def v7(spark, sf_dir):
     return best_of_each(part(37, 101, 0).unionByName(part(53, 103, 100)), F.col("id"), "score").select("id", "score").orderBy(F.desc("score"), "id").limit(20)
 
 
-@query("v8_expanded_text", "SELECT item_id, text || ' ' || array_to_string(list_slice(['alpha', 'beta', 'gamma', 'delta'], 1, 3), ' ') AS expanded FROM benchmark")
+@query("v8_expanded_text", f"SELECT item_id, text || ' ' || array_to_string(list_slice(list_reverse({tokens_sql('text')}), 1, 3), ' ') AS expanded FROM benchmark")
 def v8(spark, sf_dir):
-    terms = F.array(*[F.lit(x) for x in ("alpha", "beta", "gamma", "delta")])
-    return table(spark, sf_dir, "benchmark").select("item_id", F.concat_ws(" ", "text", F.array_join(F.slice(terms, 1, 3), " ")).alias("expanded"))
+    """The item's last tokens stand in for terms from the graph; three are appended."""
+    terms = F.slice(F.reverse(R.tokens(F.col("text"))), 1, 3)
+    return table(spark, sf_dir, "benchmark").select("item_id", F.concat_ws(" ", "text", F.array_join(terms, " ")).alias("expanded"))
 
 
-def ranked_sql(k: int = 5) -> str:
+def ranked_sql(k: int = 5, alpha: float = 0.5, score: str = "rerank") -> str:
     q, t = f"list_distinct({tokens_sql('b.text')})", tokens_sql("d.text")
     return f"""
-    SELECT query_id, id, rerank, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rerank DESC, id) AS INTEGER) AS rank FROM (
-      SELECT h.query_id, h.id, round(1 / (1 + exp(-(6.0 * coalesce(len(list_intersect({q}, {t})) / nullif(len({q}), 0)::DOUBLE, 0) - 3))), 6)::DOUBLE AS rerank
-      FROM ({hybrid_sql()}) h JOIN documents d ON d.doc_id = h.id JOIN benchmark b ON b.item_id = h.query_id)
-    QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rerank DESC, id) <= {k}
+    SELECT query_id, id, {score}, CAST(row_number() OVER (PARTITION BY query_id ORDER BY {score} DESC, id) AS INTEGER) AS rank FROM (
+      SELECT h.query_id, h.id, round(1 / (1 + exp(-(6.0 * coalesce(len(list_intersect({q}, {t})) / nullif(len({q}), 0)::DOUBLE, 0) - 3))), 6)::DOUBLE AS {score}
+      FROM ({hybrid_sql(alpha)}) h JOIN documents d ON d.doc_id = h.id JOIN benchmark b ON b.item_id = h.query_id)
+    QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY {score} DESC, id) <= {k}
     """
 
 
-def reranked(spark, sf_dir, k=5):
+def reranked(spark, sf_dir, k=5, alpha=0.5, score="rerank"):
     docs, _, queries, _ = inputs(spark, sf_dir)
     text = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("doc_text"))
     asked = queries.select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
-    scored = hits(spark, sf_dir).join(text, "id").join(asked, "query_id").withColumn("rerank", F.round(R.sigmoid(R.overlap_logit(F.col("query_text"), F.col("doc_text"))), 6))
-    return R.top(scored.drop("rank"), "rerank", k)
+    scored = hits(spark, sf_dir, alpha).drop("score", "rank").join(text, "id").join(asked, "query_id").withColumn(score, F.round(R.sigmoid(R.overlap_logit(F.col("query_text"), F.col("doc_text"))), 6))
+    return R.top(scored, score, k)
 
 
 @query("v9_rerank", ranked_sql())
@@ -139,27 +143,25 @@ def v11(spark, sf_dir):
     return best.select("query_id", "best", R.quality_label(F.col("best")).alias("label"))
 
 
-def scores_sql(m: int, n: int) -> str:
-    return f"SELECT item_id AS query_id, doc_id AS id, round(((doc_id * {m} + item_id * 7) % {n}) / {n}.0::DOUBLE, 6) AS score FROM benchmark, documents WHERE doc_id % 50 = item_id % 50"
+def scores_sql(alpha: float) -> str:
+    return f"SELECT query_id, id, score FROM ({ranked_sql(10, alpha, 'score')})"
 
 
-def scored(spark, sf_dir, m, n):
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"))
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
-    joined = asked.join(docs, F.col("id") % 50 == F.col("query_id") % 50)
-    return joined.select("query_id", "id", F.round(((F.col("id") * m + F.col("query_id") * 7) % n) / F.lit(float(n)), 6).alias("score"))
+def scored(spark, sf_dir, alpha):
+    """The reranked hits of each test item over all documents: by vectors alone (alpha 1), by words alone (0)."""
+    return reranked(spark, sf_dir, 10, alpha, "score").select("query_id", "id", "score")
 
 
 @query(
     "v12_fallback_retrieval",
     f"""
-    WITH a AS ({scores_sql(13, 211)}), b AS ({scores_sql(29, 97)}),
+    WITH a AS ({scores_sql(1.0)}), b AS ({scores_sql(0.0)}),
     u AS (SELECT coalesce(x.query_id, y.query_id) AS query_id, coalesce(coalesce(ba, 0) < 0.5 AND bb > coalesce(ba, -1), false) AS second FROM (SELECT query_id, max(score) AS ba FROM a GROUP BY 1) x FULL JOIN (SELECT query_id, max(score) AS bb FROM b GROUP BY 1) y ON x.query_id = y.query_id)
     SELECT query_id, id, score, 'first' AS attempt FROM a JOIN u USING (query_id) WHERE NOT second UNION ALL SELECT query_id, id, score, 'fallback' FROM b JOIN u USING (query_id) WHERE second
     """,
 )
 def v12(spark, sf_dir):
-    return R.better_of(scored(spark, sf_dir, 13, 211), scored(spark, sf_dir, 29, 97))
+    return R.better_of(scored(spark, sf_dir, 1.0), scored(spark, sf_dir, 0.0))
 
 
 @query("v14_mean_pooling", "SELECT label, list_transform([avg(CAST(embedding[1] AS DOUBLE)), avg(CAST(embedding[2] AS DOUBLE)), avg(CAST(embedding[64] AS DOUBLE))], lambda x: round(x, 6)) AS pooled FROM embeddings GROUP BY label")
@@ -193,15 +195,15 @@ def v15(spark, sf_dir):
 @query(
     "v16_late_interaction",
     """
-    WITH e AS (SELECT vec_id, [embedding[1:8]::DOUBLE[], embedding[9:16]::DOUBLE[]] AS p FROM embeddings)
-    SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_sum(list_transform(q.p, lambda x: list_max(list_transform(e.p, lambda y: list_dot_product(x, y))))), 6) AS maxsim FROM e q, e WHERE q.vec_id < 3
+    WITH e AS (SELECT vec_id, [embedding[1:8]::DOUBLE[], embedding[9:16]::DOUBLE[]] AS p FROM embeddings),
+    s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_sum(list_transform(q.p, lambda x: list_max(list_transform(e.p, lambda y: list_dot_product(x, y))))), 6)::DOUBLE AS maxsim FROM e q, e WHERE q.vec_id % 20 = 0)
+    SELECT query_id, id, maxsim, CAST(row_number() OVER (PARTITION BY query_id ORDER BY maxsim DESC, id) AS INTEGER) AS rank FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY maxsim DESC, id) <= 10
     """,
 )
 def v16(spark, sf_dir):
     v = F.col("embedding")
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.array(F.slice(v, 1, 8), F.slice(v, 9, 8)).alias("p"))
-    asked = rows.filter("vec_id < 3").select(F.col("vec_id").alias("query_id"), F.col("p").alias("q"))  # three stated queries
-    return rows.crossJoin(F.broadcast(asked)).select("query_id", F.col("vec_id").alias("id"), F.round(R.late_interaction(F.col("q"), F.col("p")), 6).alias("maxsim"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.array(F.slice(v, 1, 8), F.slice(v, 9, 8)).alias("patches"))
+    return R.top(R.late_interaction_search(rows, rows.filter("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), k=10), "maxsim", 10)
 
 
 @query("v1_embed_offline")
@@ -226,9 +228,9 @@ def f2(spark, sf_dir):
     return R.where(table(spark, sf_dir, "documents"), [(k, "eq", v) for k, v in named.items()]).select("doc_id", "source")
 
 
-@query("f4_value_whitelist", f"SELECT doc_id, regexp_matches(substr(text, 1, 30), '^[{S.WORD_CHAR}.\\- /]{{1,200}}$') AS allowed FROM documents")
+@query("f4_value_whitelist", f"SELECT doc_id, regexp_matches(text, '^[{S.WORD_CHAR}.\\- /]{{1,200}}$') AS allowed FROM documents")
 def f4(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.col("text").substr(1, 30).rlike(r"(?U)^[\w.\- /]{1,200}\z").alias("allowed"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.col("text").rlike(r"(?U)^[\w.\- /]{1,200}\z").alias("allowed"))
 
 
 @query("f9_listing_filters", "SELECT doc_id, source FROM documents WHERE contains(source, '1') AND lang = 'en'")
@@ -246,18 +248,18 @@ def f11(spark, sf_dir):
 
 @query(
     "a9_score_stats",
-    f"SELECT query_id, min(score) AS low, max(score) AS high, round(avg(score), 6) AS mean FROM ({scores_sql(13, 211)}) GROUP BY query_id",
+    f"SELECT query_id, min(score) AS low, max(score) AS high, round(avg(score), 4) AS mean FROM ({scores_sql(1.0)}) GROUP BY query_id",
 )
 def a9(spark, sf_dir):
-    return scored(spark, sf_dir, 13, 211).groupBy("query_id").agg(F.min("score").alias("low"), F.max("score").alias("high"), F.round(F.avg("score"), 6).alias("mean"))
+    return scored(spark, sf_dir, 1.0).groupBy("query_id").agg(F.min("score").alias("low"), F.max("score").alias("high"), F.round(F.avg("score"), 4).alias("mean"))
 
 
 @query(
     "a10_retrieval_confidence",
-    f"SELECT query_id, round(greatest(0, least(1, avg(score))), 6)::DOUBLE AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rn FROM ({scores_sql(13, 211)})) WHERE rn <= 3 GROUP BY query_id",
+    f"SELECT query_id, round(greatest(0, least(1, avg(score))), 6)::DOUBLE AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rn FROM ({scores_sql(1.0)})) WHERE rn <= 3 GROUP BY query_id",
 )
 def a10(spark, sf_dir):
-    best = R.top(scored(spark, sf_dir, 13, 211), "score", 3)
+    best = R.top(scored(spark, sf_dir, 1.0), "score", 3)
     return best.groupBy("query_id").agg(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.avg("score"))), 6).alias("confidence"))
 
 
