@@ -8,13 +8,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import guard as G
 from .functions import text as T
 from .functions.unicode import nfc
-from .operators import chunking, dedup, graph, lifecycle, search
+from .operators import chunking, dedup, graph, search
 from .sources.checkpoint import checkpointed
 
 
@@ -121,8 +121,8 @@ def answer(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, query_vect
     else:
         searched = asked
     docs = chunks.select(F.col("chunk_id").alias("id"), F.col("chunk").alias("chunk_text"), "source_key")
-    keyword = search.bm25(chunks, searched, "chunk_id", "query_id", "chunk", "text").withColumn("bm25", F.round("bm25", 6))
-    vector = search.dense(vectors, query_vectors.join(asked, "query_id", "left_semi")).withColumn("dense", F.round("dense", 6))
+    keyword = search.bm25(chunks, searched, "chunk_id", "query_id", "chunk", "text", 50)
+    vector = search.dense(vectors, query_vectors.join(asked, "query_id", "left_semi"), k=50)
     hits = search.fuse(search.top(keyword, "bm25", 50).drop("rank"), search.top(vector, "dense", 50).drop("rank"), options.alpha, options.search_limit)
     scored = hits.drop("rank").join(docs, "id").join(asked, "query_id").withColumn("score", F.round(search.sigmoid(search.overlap_logit(F.col("text"), F.col("chunk_text"))), 6))
     ranked = search.top(scored, "score", options.rerank_limit)
@@ -132,9 +132,8 @@ def answer(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, query_vect
     )
 
 
-def orphan_report(manifest: DataFrame, stores: dict[str, DataFrame]) -> DataFrame:
-    return lifecycle.orphans(lifecycle.inventory(manifest, stores))
-
-
-def within_budget(ms: Column, budget: Column) -> Column:
-    return ms <= budget
+def after_ingest(nodes: DataFrame, edges: DataFrame, alias: DataFrame, vectors: DataFrame, threshold: float = 0.85, levels: int = 3) -> dict[str, DataFrame]:
+    """What follows an ingest, in its order: entities are resolved, then communities found on what is left."""
+    nodes, edges, merges = graph.resolve(nodes, edges, alias, vectors, threshold)
+    nodes, edges = checkpointed(nodes), checkpointed(edges)
+    return {"entities": nodes, "edges": edges, "merges": merges, "communities": graph.community_levels(edges, levels)}

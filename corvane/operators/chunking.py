@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.batches import slices
+from ..sources.checkpoint import checkpointed
 
 SIZE, OVERLAP = 512, 50
 SEPARATORS = ["\n\n", "\n", ". ", " ", ""]
@@ -59,7 +61,7 @@ def recursive_chunks(docs: DataFrame, key: str, text: str = "text", size: int =
     def split(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches, "text"):
             keys, index, totals, chunks = [], [], [], []
             for k, t in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 made = split_text(t or "", size, overlap)
@@ -90,7 +92,7 @@ def sections(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     path = F.array_compact(F.array("h1", "h2", "h3", "h4"))
     cut = rows.groupBy(key, "section").agg(F.max(F.struct("i", path.alias("path")))["path"].alias("path"), F.sort_array(F.collect_list(F.struct("i", "line"))).alias("ls"))
     content = T.strip(F.array_join(F.transform("ls", lambda x: x["line"]), "\n"))
-    out = cut.select(key, "section", F.array_join("path", " > ").alias("section_path"), F.coalesce(F.element_at("path", -1), F.lit("")).alias("heading"), F.size("path").cast("long").alias("heading_level"), content.alias("content"))
+    out = cut.select(key, "section", F.array_join("path", " > ").alias("section_path"), F.coalesce(F.try_element_at("path", F.lit(-1)), F.lit("")).alias("heading"), F.size("path").cast("long").alias("heading_level"), content.alias("content"))
     return out.filter("content <> ''")
 
 
@@ -191,3 +193,24 @@ def provenance(chunks: DataFrame, documents: DataFrame, key: str, index: str, ch
     rows = chunks.select(key, index, chunk).join(documents.select(key, original, refactored), key)
     kinds = f"{key} {chunks.schema[key].dataType.simpleString()}, {index} long"
     return rows.groupBy(key).applyInArrow(follow, kinds + ", refactored_start long, original_start long, original_end long, method string, confidence double")
+
+
+def chosen_chunks(files: DataFrame, key: str, kind: str, text: str = "text", size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
+    """(key, chunker, section_path, chunk, chunk_index, total_chunks): each file by the chunker for its kind.
+
+    `code` is cut by its syntax tree, `markdown` by its headings, anything else recursively. Code that has no
+    syntax tree falls back to the headings, and a document in which these leave nothing to the recursive splitter.
+    """
+    from ..sources.code import parses, python_chunks
+
+    rows = files.select(key, F.col(text).alias("text"), F.col(kind).alias("kind_"))
+    rows = rows.withColumn("by_", F.when((F.col("kind_") == "code") & parses(F.col("text")), "code").when(F.col("kind_").isin("code", "markdown"), "markdown").otherwise("recursive"))
+    rows = checkpointed(rows.drop("kind_"), "chosen")
+    of = lambda name: rows.filter(F.col("by_") == name)
+    code = python_chunks(of("code"), key).select(key, F.lit("code").alias("chunker"), "section_path", "chunk", F.lit(None).cast("long").alias("chunk_index"))
+    marked = hybrid_chunks(of("markdown"), key, "text", size, overlap).select(key, F.lit("markdown").alias("chunker"), "section_path", "chunk", "chunk_index")
+    plain = recursive_chunks(of("recursive"), key, "text", size, overlap).select(key, F.lit("recursive").alias("chunker"), F.lit("").alias("section_path"), "chunk", "chunk_index")
+    every = code.unionByName(marked).unionByName(plain)
+    w = Window.partitionBy(key)
+    index = F.row_number().over(w.orderBy("chunk_index", "section_path", "chunk")) - 1
+    return every.withColumns({"chunk_index": index.cast("long"), "total_chunks": F.count("*").over(w)})

@@ -6,11 +6,16 @@ group of any size costs one row a copy and never a pair of copies.
 
 from __future__ import annotations
 
+from hashlib import md5
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.batches import slices
 from ..sources.checkpoint import checkpointed
+from .components import connected_components
 
 PRIME = (1 << 31) - 1
 PERMUTATIONS, BANDS = 128, 16
@@ -68,15 +73,35 @@ def shingles(text: Column, n: int = 3) -> Column:
     return T.let(T.words(F.lower(text)), runs)
 
 
-def shingle_rows(docs: DataFrame, key: str, text: str = "text", n: int = 3) -> DataFrame:
-    return docs.select(F.col(key).alias("id"), F.explode(shingles(F.col(text), n)).alias("shingle"))
-
+def minhash(docs: DataFrame, key: str, text: str = "text", n: int = 3) -> DataFrame:
+    """id and signature: for each affine hash the least value over the shingles of a row, row by row. Texts without words have none.
 
-def minhash(rows: DataFrame) -> DataFrame:
-    """id and signature: for each affine hash the least value over the id's shingles. One aggregation."""
-    h = F.conv(F.md5("shingle").substr(1, 7), 16, 10).cast("long")
-    least = [F.min((F.lit(a) * F.col("h") + F.lit(b)) % F.lit(PRIME)).alias(f"m{i}") for i, (a, b) in enumerate(coefficients())]
-    return rows.select("id", h.alias("h")).groupBy("id").agg(*least).select("id", F.array(*[f"m{i}" for i in range(PERMUTATIONS)]).alias("signature"))
+    A shingle's number is the first 28 bits of its MD5.
+    """
+    kind = docs.select(key).schema[0].dataType.simpleString()
+    factors, terms = (np.array(c, np.uint64) for c in zip(*coefficients(), strict=True))
+
+    def sign(batches):
+        import pyarrow as pa
+
+        for batch in slices(batches, "words"):
+            made, keep = [], []
+            for i, words in enumerate(batch.column("words").to_pylist()):
+                if not words:
+                    continue
+                runs = {" ".join(words[j : j + n]) for j in range(max(len(words) - n, 0) + 1)}
+                h = np.array([int.from_bytes(md5(r.encode()).digest()[:4], "big") >> 4 for r in runs], np.uint64)
+                least = np.full(PERMUTATIONS, PRIME, np.uint64)
+                for at in range(0, len(h), 512):
+                    np.minimum(least, ((h[at : at + 512, None] * factors + terms) % np.uint64(PRIME)).min(axis=0), out=least)
+                made.append(least.astype(np.int64))
+                keep.append(i)
+            flat = pa.array(np.concatenate(made) if made else np.empty(0, np.int64))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(made) + 1, dtype=np.int32) * PERMUTATIONS), flat)
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(keep, pa.int64())), lists], ["id", "signature"])
+
+    rows = docs.select(F.col(key).alias("id"), T.words(F.lower(F.col(text))).alias("words"))
+    return rows.mapInArrow(sign, f"id {kind}, signature array<long>")
 
 
 def estimated_similarity(a: Column, b: Column) -> Column:
@@ -97,9 +122,38 @@ def fuzzy_matches(docs: DataFrame, key: str, text: str = "text", threshold: floa
     compared on their full sets, in blocks of bounded size and within the task: rows out are at most one a
     member and block, never a pair. Buckets with the same members are compared once.
     """
+    groups, kind = _dealt(docs, key, text, n)
+
+    def compare(table):
+        return _best_earlier(table, threshold)
+
+    scored = groups.applyInArrow(compare, f"id {kind}, canonical_id {kind}, similarity double, replaces boolean")
+    best = scored.groupBy("id").agg(F.min(F.struct((-F.col("similarity")).alias("least"), "canonical_id", "similarity", "replaces")).alias("b"))
+    return best.select("id", F.col("b.canonical_id").alias("canonical_id"), F.round("b.similarity", 6).alias("similarity"), F.when(F.col("b.replaces"), "replaced").otherwise("merged").alias("action"))
+
+
+def near_duplicate_clusters(docs: DataFrame, key: str, text: str = "text", threshold: float = 0.95, n: int = 3) -> DataFrame:
+    """(id, cluster): each text with the smallest id that a chain of pairs of at least the threshold leads to, its own if none does.
+
+    Exact copies are of one cluster. Pairs come from fuzzy_matches' blocks; each returns no more links than join its rows.
+    """
+    groups, kind = _dealt(docs, key, text, n)
+
+    def link(table):
+        return _forest(table, threshold)
+
+    hashed = checkpointed(docs.select(F.col(key).alias("id"), T.normal_hash(F.col(text)).alias("content_hash")), "hashes")
+    firsts = hashed.groupBy("content_hash").agg(F.min("id").alias("first"))
+    parts = connected_components(groups.applyInArrow(link, f"a {kind}, b {kind}"))
+    named = firsts.join(parts, F.col("first") == F.col("node"), "left").select("content_hash", F.coalesce("component", "first").alias("cluster"))
+    return hashed.filter("content_hash is not null").join(named, "content_hash").select("id", "cluster").unionByName(hashed.filter("content_hash is null").select("id", F.col("id").alias("cluster")))
+
+
+def _dealt(docs: DataFrame, key: str, text: str, n: int):
+    """Blocks of the buckets that texts share, grouped, with the texts' sets; and the type of the key."""
     firsts = docs.select(T.normal_hash(F.col(text)).alias("content_hash"), F.col(key).alias("id")).groupBy("content_hash").agg(F.min("id").alias("id"))
     kept = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(firsts.select("id"), "id", "left_semi")
-    signed = minhash(shingle_rows(kept, "id", n=n))
+    signed = minhash(kept, "id", n=n)
     width = PERMUTATIONS // BANDS
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.concat_ws(":", b.cast("string"), F.array_join(F.slice("signature", b * width + 1, width), ",")))
     bucketed = checkpointed(signed.select("id", F.explode(bands).alias("name")).select("id", F.md5("name").alias("bucket")))
@@ -110,23 +164,12 @@ def fuzzy_matches(docs: DataFrame, key: str, text: str = "text", threshold: floa
     dealt = bucketed.join(once.select("bucket", "n"), "bucket").withColumn("block", F.pmod(hashed, blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = dealt.select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id")
     sets = kept.select("id", F.length("text").alias("chars"), F.transform(shingles(F.col("text"), n), lambda s: F.xxhash64(s)).alias("elements"))
-    kind = docs.select(key).schema[0].dataType.simpleString()
+    return dealt.join(sets, "id").groupBy("bucket", "low", "high"), docs.select(key).schema[0].dataType.simpleString()
 
-    def compare(table):
-        return _best_earlier(table, threshold)
 
-    scored = dealt.join(sets, "id").groupBy("bucket", "low", "high").applyInArrow(compare, f"id {kind}, canonical_id {kind}, similarity double, replaces boolean")
-    best = scored.groupBy("id").agg(F.min(F.struct((-F.col("similarity")).alias("least"), "canonical_id", "similarity", "replaces")).alias("b"))
-    return best.select("id", F.col("b.canonical_id").alias("canonical_id"), F.round("b.similarity", 6).alias("similarity"), F.when(F.col("b.replaces"), "replaced").otherwise("merged").alias("action"))
-
-
-def _best_earlier(table, threshold: float):
-    """Of one group: for each row its most similar earlier row of at least the threshold; with two blocks, of the other block."""
-    import numpy as np
-    import pyarrow as pa
-
-    table = table.sort_by("id")
-    block, chars = table.column("block").to_numpy(), table.column("chars").to_numpy()
+def _similar(table):
+    """Of one group sorted by id: the similarity of each row with each earlier row, of the other block if there are two, else -1."""
+    block = table.column("block").to_numpy()
     elements = table.column("elements").combine_chunks()
     sizes = elements.value_lengths().to_numpy()
     rows = np.repeat(np.arange(len(sizes)), sizes)
@@ -148,6 +191,15 @@ def _best_earlier(table, threshold: float):
     if block.min() < block.max():
         earlier &= block[:, None] != block
     similar[~earlier] = -1
+    return similar
+
+
+def _best_earlier(table, threshold: float):
+    """Of one group: for each row its most similar earlier row of at least the threshold."""
+    import pyarrow as pa
+
+    table = table.sort_by("id")
+    similar, chars = _similar(table), table.column("chars").to_numpy()
     at = similar.argmax(axis=1)
     best = similar[np.arange(len(at)), at]
     found = np.flatnonzero((best >= threshold) & (best >= 0))
@@ -156,6 +208,28 @@ def _best_earlier(table, threshold: float):
     return pa.table({"id": ids.take(pa.array(found)), "canonical_id": ids.take(pa.array(at)), "similarity": pa.array(best[found]), "replaces": pa.array(chars[found] > chars[at])})
 
 
+def _forest(table, threshold: float):
+    """Of one group: links between rows of at least the threshold, as many as join them."""
+    import pyarrow as pa
+
+    table = table.sort_by("id")
+    later, earlier = np.nonzero(_similar(table) >= max(threshold, 0))
+    root, links = list(range(table.num_rows)), []
+
+    def find(i):
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    for i, j in zip(later.tolist(), earlier.tolist(), strict=True):
+        a, b = find(i), find(j)
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            links.append((j, i))
+    ids = table.column("id")
+    return pa.table({"a": ids.take(pa.array([x[0] for x in links], pa.int64())), "b": ids.take(pa.array([x[1] for x in links], pa.int64()))})
+
+
 # ---------------------------------------------------------------- source references
 
 

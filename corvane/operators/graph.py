@@ -7,11 +7,19 @@ a step, and keep the nodes seen so far apart; the number of steps is bounded by
 
 from __future__ import annotations
 
+import itertools
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.checkpoint import checkpointed
+from .components import connected_components
+from .search import doubles
+
+#: Nodes of a type that are compared at a time.
+SIMILAR_BLOCK = 1024
 
 # ---------------------------------------------------------------- fixed values
 
@@ -105,7 +113,7 @@ def clean_relations(rows: DataFrame) -> DataFrame:
     words = lambda c: T.words(F.col(c))
     rows = rows.filter((F.size(words("subject")) <= 4) & (F.size(words("object")) <= 4))
     first = lambda c: F.lower(F.get(words(c), 0))
-    rows = rows.filter(~F.coalesce(first("subject").isin("the", "a", "an"), F.lit(False)) & ~F.coalesce(F.lower(F.element_at(words("subject"), -1)).isin(TRAILING_ADVERBS), F.lit(False)))
+    rows = rows.filter(~F.coalesce(first("subject").isin("the", "a", "an"), F.lit(False)) & ~F.coalesce(F.lower(F.try_element_at(words("subject"), F.lit(-1))).isin(TRAILING_ADVERBS), F.lit(False)))
     rows = rows.filter(~F.coalesce(first("object").isin(VERB_STARTS), F.lit(False)))
     rows = rows.withColumn("object", T.strip(F.regexp_replace("object", TRAILING_JUNK, ""))).filter(F.length("object") >= 3)
     return rows.filter(~((F.size(words("object")) == 1) & F.col("object").rlike(r"^\p{Ll}") & (F.length("object") < 5)))
@@ -158,6 +166,31 @@ def merge_entities(nodes: DataFrame, edges: DataFrame, merges: DataFrame) -> tup
     return merged, moved.groupBy("subject", "object").agg(F.sum("weight").alias("weight"))
 
 
+def final_winners(merges: DataFrame) -> DataFrame:
+    """merges (loser, winner) with each winner's own winner in its place, until none has one."""
+    while True:
+        step = checkpointed(merges.join(merges.select(F.col("loser").alias("winner"), F.col("winner").alias("next_")), "winner", "left"))
+        if step.filter("next_ is not null").isEmpty():
+            return merges
+        merges = step.select("loser", F.coalesce("next_", "winner").alias("winner"))
+
+
+def resolve(nodes: DataFrame, edges: DataFrame, alias: DataFrame, vectors: DataFrame, threshold: float = 0.85) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes and edges after the merges by aliases (alias, target), then by similar vectors of what is left; and the merges by phase.
+
+    vectors: (name, type, place, vector). Names that aren't among the nodes merge into none.
+    """
+    here = nodes.select(F.col("canonical").alias("n_"))
+    by_alias = alias.join(here, F.col("alias") == F.col("n_"), "left_semi").join(here, F.col("target") == F.col("n_"), "left_semi")
+    by_alias = final_winners(checkpointed(by_alias.groupBy(F.col("alias").alias("loser")).agg(F.min("target").alias("winner")).filter("loser <> winner")))
+    nodes, edges = (checkpointed(t) for t in merge_entities(nodes, edges, by_alias))
+    left = vectors.join(nodes.select(F.col("canonical").alias("name")), "name", "left_semi")
+    by_vector = checkpointed(greedy_merges(similar_names(left, threshold), nodes.select("canonical", "mention_count")))
+    nodes, edges = merge_entities(nodes, edges, final_winners(by_vector))
+    merges = by_alias.select("loser", "winner").withColumn("phase", F.lit("alias")).unionByName(by_vector.withColumn("phase", F.lit("embedding")))
+    return nodes, edges, merges
+
+
 # ---------------------------------------------------------------- traversal
 
 
@@ -165,17 +198,17 @@ def both_directions(edges: DataFrame) -> DataFrame:
     return edges.select("subject", "object").union(edges.select("object", "subject")).distinct()
 
 
-def reachable(edges: DataFrame, seeds: DataFrame, depth: int, directed: bool = True, relations: list[str] | None = None) -> DataFrame:
-    """(seed, node, distance) of the nodes at most `depth` steps from each seed, without the seed itself."""
+def reachable(edges: DataFrame, seeds: DataFrame, depth: int | None = None, directed: bool = True, relations: list[str] | None = None) -> DataFrame:
+    """(seed, node, distance) of the nodes at most `depth` steps from each seed, without the seed itself; without a depth until nothing is new."""
     if relations is not None:
         edges = edges.filter(F.col("relation").isin(relations))
     steps = (edges.select("subject", "object").distinct() if directed else both_directions(edges)).toDF("at_", "to_")
     seen = seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("distance"))
     frontier = seen
-    for d in range(1, depth + 1):
+    for d in itertools.count(1) if depth is None else range(1, depth + 1):
         reached = frontier.join(steps, F.col("node") == F.col("at_")).select("seed", F.col("to_").alias("node")).distinct()
         frontier = reached.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("distance", F.lit(d))
-        if d < depth:  # the next step reads it twice
+        if d != depth:  # the next step reads it twice
             frontier = checkpointed(frontier)
             if frontier.isEmpty():
                 break
@@ -245,20 +278,43 @@ def match_entities(queries: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def similar_names(nodes: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """(a, b, similarity) of nodes (name, type, place, vector) of one type whose vectors are close; a stands first."""
-    from .search import cosine
+    """(type, a, b, similarity) of nodes (name, type, place, vector) of one type whose vectors are close; a stands first.
+
+    Exact: a type's nodes are dealt into blocks by a hash, and every two blocks are compared as matrices in
+    one task; only close pairs become rows. A zero vector is close to none.
+    """
+    rows = nodes.select("type", "name", F.col("place").cast("long").alias("place"), doubles(F.col("vector")).alias("vector")).filter("vector is not null")
+    sizes = rows.groupBy("type").agg(F.ceil(F.count("*") / SIMILAR_BLOCK).cast("int").alias("blocks"))
+    dealt = rows.join(sizes, "type").withColumn("block", F.pmod(F.xxhash64("name", "place"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("type", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "name", "place", "vector")
 
-    left = nodes.select("type", F.col("name").alias("a"), F.col("place").alias("pa"), F.col("vector").alias("va"))
-    right = nodes.select("type", F.col("name").alias("b"), F.col("place").alias("pb"), F.col("vector").alias("vb"))
-    pairs = left.join(right, "type").filter("pa < pb").withColumn("similarity", cosine(F.col("va"), F.col("vb")))
-    return pairs.filter(F.col("similarity") >= threshold).select("type", "a", "b", "similarity")
+    def compare(table):
+        import pyarrow as pa
+
+        table = table.sort_by([("place", "ascending"), ("name", "ascending")])
+        block, place = table.column("block").to_numpy(), table.column("place").to_numpy()
+        v = table.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(block), -1)
+        v = v / np.maximum(np.sqrt((v * v).sum(axis=1, keepdims=True)), 1e-300)
+        close = v @ v.T
+        wanted = (close >= threshold) & (place[:, None] < place)
+        if block.min() < block.max():
+            wanted &= block[:, None] != block
+        i, j = np.nonzero(wanted)
+        names = table.column("name")
+        return pa.table({"type": table.column("type").take(pa.array(i)), "a": names.take(pa.array(i)), "b": names.take(pa.array(j)), "similarity": pa.array(close[i, j])})
+
+    return dealt.groupBy("type", "low", "high").applyInArrow(compare, "type string, a string, b string, similarity double")
 
 
 def greedy_merges(pairs: DataFrame, counts: DataFrame) -> DataFrame:
     """(loser, winner) of the pairs taken in order, a merged name taking part no more. The higher count wins, the earlier on a tie.
 
-    Within a type the choice is sequential; a type's pairs above the threshold are what a task holds.
+    The choice is sequential only among names that pairs connect, so each such component is a task's group.
     """
+    key = lambda c: F.concat_ws("\0", "type", c)
+    parts = connected_components(pairs.select(key("a").alias("a"), key("b").alias("b")))
+    pairs = pairs.withColumn("node", key("a")).join(parts, "node").drop("node")
     c = counts.select(F.col("canonical"), "mention_count")
     rows = pairs.join(c.toDF("a", "na"), "a").join(c.toDF("b", "nb"), "b")
 
@@ -274,7 +330,7 @@ def greedy_merges(pairs: DataFrame, counts: DataFrame) -> DataFrame:
             out.append((loser, winner))
         return pa.table({"loser": pa.array([o[0] for o in out], pa.string()), "winner": pa.array([o[1] for o in out], pa.string())})
 
-    return rows.groupBy("type").applyInArrow(choose, "loser string, winner string")
+    return rows.groupBy("type", "component").applyInArrow(choose, "loser string, winner string")
 
 
 def communities(edges: DataFrame, rounds: int = 5) -> DataFrame:
@@ -296,6 +352,31 @@ def communities(edges: DataFrame, rounds: int = 5) -> DataFrame:
     return labels.drop("own_")
 
 
+def community_levels(edges: DataFrame, levels: int = 3, least: int = 3) -> DataFrame:
+    """(level, community, node): communities, and inside each of 2 * least members or more its parts, to so many levels.
+
+    A part's name is its community's and its own. Parts count where a community has two or more of at
+    least `least` members; members of smaller ones are in the part -1. All communities of a level are
+    taken apart in one run, since an edge between two of them takes no part in it.
+    """
+    found = checkpointed(bucket_small(communities(edges), least).select(F.lit(0).alias("level"), "community", "node"))
+    above, out = found, found
+    for level in range(1, levels):
+        large = above.filter("not endswith(community, '-1')").groupBy("community").count().filter(F.col("count") >= 2 * least).select("community")
+        inside = above.join(large, "community")
+        end = lambda c: inside.select(F.col("node").alias(c), F.col("community").alias(f"{c}_in"))
+        within = edges.select("subject", "object").join(end("subject"), "subject").join(end("object"), "object").filter("subject_in = object_in")
+        within = within.select(F.least("subject", "object").alias("subject"), F.greatest("subject", "object").alias("object"), F.lit(1).alias("weight")).distinct()
+        parts = communities(checkpointed(within)).withColumnRenamed("community", "part").join(inside.select("node", "community"), "node")
+        parts = parts.withColumn("n_", F.count("*").over(Window.partitionBy("community", "part"))).withColumn("part", F.when(F.col("n_") < least, "-1").otherwise(F.col("part")))
+        real = parts.filter("part <> '-1'").groupBy("community").agg(F.count_distinct("part").alias("k_")).filter("k_ >= 2").select("community")
+        above = checkpointed(parts.join(real, "community", "left_semi").select(F.lit(level).alias("level"), F.concat_ws(" / ", "community", "part").alias("community"), "node"))
+        if above.isEmpty():
+            break
+        out = out.unionByName(above)
+    return out
+
+
 def bucket_small(members: DataFrame, least: int = 3) -> DataFrame:
     """Communities of fewer members become -1."""
     n = F.count("*").over(Window.partitionBy("community"))
@@ -342,3 +423,37 @@ def context_lines(triples: DataFrame, budget_chars: int, group: str = "query_id"
     w = Window.partitionBy(group).orderBy(F.desc("n"), "relation").rowsBetween(Window.unboundedPreceding, 0)
     kept = sized.withColumn("upto", F.sum(F.length("block") + 1).over(w)).filter(F.col("upto") <= budget_chars)
     return kept.groupBy(group).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(-F.col("n"), "relation", "block"))), lambda s: s["block"]), "\n").alias("context"))
+
+
+def community_section(queries: DataFrame, summaries: DataFrame, touched: DataFrame, budget_tokens: int, opening: str, closing: str, chars_a_token: int = 4) -> DataFrame:
+    """(query_id, section): the communities' summaries, most touched first; the least touched go until the lines fit the budget.
+
+    summaries (community, summary) are few, so each query has all of them; touched: (query_id, community, n).
+    Of equal counts the smaller community goes first, and stands first. A query for which nothing fits has no row.
+    """
+    lines = queries.select("query_id").crossJoin(summaries).join(touched, ["query_id", "community"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    lines = lines.withColumn("line", F.format_string("[Community %s] (%s entities touched): %s", F.col("community").cast("string"), F.col("n").cast("string"), F.col("summary")))
+    w = Window.partitionBy("query_id").orderBy(F.desc("n"), F.desc("community")).rowsBetween(Window.unboundedPreceding, 0)
+    kept = lines.withColumn("upto", F.sum(F.length("line")).over(w)).filter(F.col("upto") <= budget_tokens * chars_a_token)
+    inner = F.transform(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("k"), "community", "line"))), lambda x: x["line"])
+    return kept.groupBy("query_id").agg(F.array_join(F.concat(F.array(F.lit(opening)), inner, F.array(F.lit(closing))), "\n").alias("section"))
+
+
+REPLY_SCHEMA = "entities array<struct<name string, type string, description string>>, relationships array<struct<source string, relation string, target string>>"
+
+
+def extracted(replies: DataFrame, node_types: list[str], edge_types: list[str], fallback: str) -> tuple[DataFrame, DataFrame]:
+    """Entities (source, name, type, description) and triples (source, subject, relation, object) of a model's replies (source, reply).
+
+    A reply may be fenced; one that is no JSON object gives nothing. Of a reply's entities of one name the
+    first counts; an unknown type becomes the fallback. Triples with an empty part or an unknown relation go.
+    """
+    fenced = F.regexp_extract(T.strip(F.col("reply")), r"(?s)^```[^\n]*\n(.*?)(?:```)?$", 1)
+    body = F.when(T.strip(F.col("reply")).startswith("```"), fenced).otherwise(F.col("reply"))
+    rows = replies.select("source", F.from_json(body, REPLY_SCHEMA).alias("r"))
+    named = rows.select("source", F.posexplode("r.entities").alias("place", "e")).select("source", "place", T.strip(F.col("e.name")).alias("name"), T.strip(F.coalesce("e.type", F.lit(fallback))).alias("type"), T.strip(F.col("e.description")).alias("description"))
+    first = named.filter("name <> ''").groupBy("source", "name").agg(F.min(F.struct("place", "type", "description")).alias("f"))
+    kind = F.when(F.col("f.type").isin(node_types), F.col("f.type")).otherwise(F.lit(fallback))
+    entities = first.select("source", "name", kind.alias("type"), F.when(F.col("f.description") != "", F.col("f.description")).alias("description"))
+    triples = rows.select("source", F.explode("r.relationships").alias("t")).select("source", *[T.strip(F.col(f"t.{c}")).alias(n) for c, n in (("source", "subject"), ("relation", "relation"), ("target", "object"))])
+    return entities, triples.filter("subject <> '' and object <> ''").filter(F.col("relation").isin(edge_types))

@@ -6,17 +6,34 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Percentiles are bracketed within so many ranks in a group, of its rows divided by this.
+ACCURACY = 10_000
+
+
 def stage_totals(timings: DataFrame, bucket: str = "event_type", ms: str = "value") -> DataFrame:
     """Milliseconds by bucket, and of all buckets (null); rounded after summing."""
     return timings.rollup(F.coalesce(bucket, F.lit("other")).alias("bucket")).agg(F.round(F.sum(ms), 1).alias("total_ms"))
 
 
 def nearest_rank(rows: DataFrame, group: str, value: str, percents: list[int]) -> DataFrame:
-    """The value at place round(p / 100 * (n - 1)) of each group, ranked by a window instead of one collected array."""
-    w = Window.partitionBy(group)
-    ranked = rows.select(group, value, (F.row_number().over(w.orderBy(value)) - 1).alias("place"), F.count("*").over(w).alias("n"))
-    at = lambda p: F.max(F.when(F.col("place") == F.rint(p / 100 * (F.col("n") - 1)), F.col(value)))
-    return ranked.groupBy(group).agg(*[at(p).alias(f"p{p}") for p in percents])
+    """The value at place round(p / 100 * (n - 1)) of each group's n values; null ones don't count.
+
+    Exact without a group's rows in one task: an approximate percentile of known error brackets the place,
+    rows below the bracket are only counted, and of those inside the distinct values are ranked by their counts.
+    """
+    slack = 4 / ACCURACY
+    bounds = [F.percentile_approx(value, [max(p / 100 - slack, 0.0), min(p / 100 + slack, 1.0)], ACCURACY).alias(f"b{p}") for p in percents]
+    sizes = rows.groupBy(group).agg(F.count(value).alias("n"), *bounds)
+    kinds = F.array(*[F.struct(F.lit(p).alias("p"), F.col(f"b{p}")[0].alias("low"), F.col(f"b{p}")[1].alias("high")) for p in percents])
+    known = rows.select(F.col(group).alias("g_"), F.col(value).alias("v")).filter("v is not null")
+    marked = known.join(sizes, F.col("g_").eqNullSafe(F.col(group))).withColumn("k", F.explode(kinds)).select("g_", "v", "n", "k.*")
+    inside = F.col("v").between(F.col("low"), F.col("high"))
+    counted = marked.filter(F.col("v") <= F.col("high")).groupBy("g_", "p", "n", F.when(inside, F.col("v")).alias("v")).count()
+    upto = F.sum("count").over(Window.partitionBy("g_", "p").orderBy(F.asc_nulls_first("v")).rowsBetween(Window.unboundedPreceding, 0))
+    found = counted.withColumn("upto", upto).filter(F.col("v").isNotNull() & (F.col("upto") > F.rint(F.col("p") / 100 * (F.col("n") - 1))))
+    found = found.groupBy("g_", "p").agg(F.min("v").alias("v"))
+    out = sizes.select(group).join(found, F.col(group).eqNullSafe(F.col("g_")), "left")
+    return out.groupBy(group).agg(*[F.max(F.when(F.col("p") == p, F.col("v"))).alias(f"p{p}") for p in percents])
 
 
 def histogram(rows: DataFrame, group: str, value: str, bounds: list[float]) -> DataFrame:

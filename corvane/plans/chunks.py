@@ -28,11 +28,11 @@ def k1r(spark, sf_dir):
     return C.recursive_chunks(docs(spark, sf_dir), "doc_id")
 
 
-HEADED = "'# A ' || source || chr(10) || 'intro' || chr(10) || '## B ' || lang || chr(10) || substr(text, 1, 300) || chr(10) || '# C' || chr(10) || 'tail ' || doc_id"
+HEADED = "'# A ' || source || chr(10) || 'intro' || chr(10) || '## B ' || lang || chr(10) || text || chr(10) || '# C' || chr(10) || 'tail ' || doc_id"
 
 
-def headed(spark, sf_dir, body):
-    t = F.concat(F.lit("# A "), "source", F.lit("\nintro\n## B "), "lang", F.lit("\n"), body, F.lit("\n# C\ntail "), F.col("doc_id").cast("string"))
+def headed(spark, sf_dir):
+    t = F.concat(F.lit("# A "), "source", F.lit("\nintro\n## B "), "lang", F.lit("\n"), "text", F.lit("\n# C\ntail "), F.col("doc_id").cast("string"))
     return docs(spark, sf_dir).select("doc_id", t.alias("text"))
 
 
@@ -52,12 +52,12 @@ def sections_sql() -> str:
 
 @query("k2_sections", sections_sql())
 def k2(spark, sf_dir):
-    return C.sections(headed(spark, sf_dir, F.col("text").substr(1, 300)), "doc_id")
+    return C.sections(headed(spark, sf_dir), "doc_id")
 
 
 @query("k3_hybrid_chunks")
 def k3(spark, sf_dir):
-    return C.hybrid_chunks(headed(spark, sf_dir, F.col("text")), "doc_id", size=200, overlap=20)
+    return C.hybrid_chunks(headed(spark, sf_dir), "doc_id", size=200, overlap=20)
 
 
 @query(
@@ -136,3 +136,17 @@ VERILOG = "import pkg::*;\nmodule top #(parameter W = 8) (\n  input logic clk,\n
 @query("g10_verilog_structure", "SELECT item_id, unnest(['module', 'parameter', 'port', 'port', 'import', 'instance']) AS kind, unnest(['top', 'W', 'clk', 'q', 'pkg', 'fifo']) AS name FROM benchmark")
 def g10(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", F.inline(code.by_patterns(F.lit(VERILOG), code.VERILOG)))
+
+
+@query(
+    "k8_chosen_chunker",
+    "SELECT item_id, CASE WHEN item_id % 3 = 0 THEN 'recursive' WHEN item_id % 3 = 1 THEN 'code' ELSE 'markdown' END AS chunker, count(DISTINCT c) FILTER (WHERE item_id % 3 = 1) AS sections FROM benchmark, (SELECT unnest([1, 2, 3]) AS c) GROUP BY 1, 2",
+)
+def k8(spark, sf_dir):
+    """Every third item is plain text, every third a program, and every third a program that doesn't parse."""
+    n = F.col("item_id") % 3
+    rows = table(spark, sf_dir, "benchmark")
+    made = F.when(n == 0, F.col("text")).when(n == 1, F.concat(F.lit(PYTHON), F.lit("# "), F.col("item_id").cast("string"))).otherwise(F.concat(F.lit("def broken(:\n"), F.col("text")))
+    files = rows.select("item_id", made.alias("text"), F.when(n == 0, "text").otherwise("code").alias("kind"))
+    found = C.chosen_chunks(files, "item_id", "kind")
+    return found.groupBy("item_id", "chunker").agg(F.count_if(F.col("chunker") == "code").alias("sections"))

@@ -77,23 +77,67 @@ def c5(spark, sf_dir):
 project("c7_strip_control", "documents", "doc_id", "text", T.strip_control, S.replace("text", r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"))
 
 
-@query("c4_strip_section_markers")
+def initcap_sql(x: str) -> str:
+    return f"array_to_string(list_transform(string_split({x}, ' '), lambda w: upper(substr(w, 1, 1)) || lower(substr(w, 2))), ' ')"
+
+
+UNMARKED = S.replace(S.replace("text", f"(?m)^[{S.SPACE}]*#{{1,6}}[{S.SPACE}]+"), f"(?m)^[{S.SPACE}]*={{2,}}[{S.SPACE}]*(.*?)[{S.SPACE}]*={{2,}}[{S.SPACE}]*$", r"\1")
+MARKED = S.q(rf"^[{S.SPACE}]*\p{{Nd}}+(?:\.\p{{Nd}}+)*\.?[{S.SPACE}]+([A-Z][A-Z &/]+)$")
+
+
+@query(
+    "c4_strip_section_markers",
+    f"SELECT doc_id, sha256(array_to_string(list_transform(string_split({UNMARKED}, chr(10)), lambda x: CASE WHEN regexp_matches(x, {MARKED}) THEN {initcap_sql(f'regexp_extract(x, {MARKED}, 1)')} ELSE x END), chr(10))) AS text_sha256 FROM documents",
+)
 def c4(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.strip_section_markers(F.col("text")), 256).alias("text_sha256"))
 
 
-@query("c6_markdown_headings")
+WIKI = S.q(rf"^[{S.SPACE}]*(={{2,}})[{S.SPACE}]*(.*?)[{S.SPACE}]*={{2,}}[{S.SPACE}]*$")
+NUMBERED = S.q(rf"^[{S.SPACE}]*(\p{{Nd}}+(?:\.\p{{Nd}}+)*)\.?[{S.SPACE}]+([A-Z][A-Za-z &/()\-]+(?:[{S.SPACE}]+[A-Za-z][A-Za-z &/()\-]*)*)$")
+
+
+def headings_sql(x: str) -> str:
+    title = S.strip(f"regexp_extract(x, {NUMBERED}, 2)")
+    depth = f"length(regexp_replace(regexp_extract(x, {NUMBERED}, 1), '[^.]', '', 'g')) + 2"
+    line = f"""CASE WHEN regexp_matches(x, {WIKI}) THEN repeat('#', least(length(regexp_extract(x, {WIKI}, 1)), 6)::BIGINT) || ' ' || {S.strip(f'regexp_extract(x, {WIKI}, 2)')}
+        WHEN regexp_matches(x, {NUMBERED}) THEN repeat('#', least({depth}, 6)::BIGINT) || ' ' || CASE WHEN {title} = upper({title}) THEN {initcap_sql(title)} ELSE {title} END ELSE x END"""
+    return f"array_to_string(list_transform(string_split({x}, chr(10)), lambda x: {line}), chr(10))"
+
+
+@query("c6_markdown_headings", f"SELECT doc_id, sha256({headings_sql('text')}) AS text_sha256 FROM documents")
 def c6(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.markdown_headings(F.col("text")), 256).alias("text_sha256"))
 
 
-@query("s6_rst_to_markdown")
+@query(
+    "s6_rst_to_markdown",
+    f"""
+    WITH l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM (SELECT doc_id, string_split('Title' || chr(10) || '=====' || chr(10) || text, chr(10)) AS ls FROM documents)),
+    c AS (SELECT *, lead(line) OVER w AS below, coalesce(regexp_matches(lead(line) OVER w, '^[{S.SPACE}]*[=~-]{{3,}}[{S.SPACE}]*$'), false) AND {S.strip('line')} <> '' AS may FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+    r AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, may ORDER BY i) AS run FROM c),
+    h AS (SELECT *, may AND row_number() OVER (PARTITION BY doc_id, may, run ORDER BY i) % 2 = 1 AS heads FROM r),
+    s AS (SELECT *, coalesce(lag(heads) OVER (PARTITION BY doc_id ORDER BY i), false) AS skip FROM h)
+    SELECT doc_id, sha256(string_agg(CASE WHEN heads THEN CASE substr({S.strip('below')}, 1, 1) WHEN '=' THEN '# ' WHEN '-' THEN '## ' ELSE '### ' END || {S.strip('line')} ELSE line END, chr(10) ORDER BY i)) AS text_sha256
+    FROM s WHERE NOT skip GROUP BY doc_id
+    """,
+)
 def s6(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("Title\n=====\n"), F.col("text")).alias("rst"))
     return rows.select("doc_id", F.sha2(T.rst_to_markdown(F.col("rst")), 256).alias("text_sha256"))
 
 
-@query("clean_document")
+@query(
+    "clean_document",
+    f"""
+    WITH a AS (SELECT doc_id, {whitespace_sql(typography_sql(boilerplate_sql('text')))} AS t FROM documents), b AS (SELECT doc_id, {headings_sql('t')} AS t FROM a),
+    l AS (SELECT doc_id, unnest(string_split({S.replace('t', f'[{S.SPACE}]+$')}, chr(10))) AS line, generate_subscripts(string_split({S.replace('t', f'[{S.SPACE}]+$')}, chr(10)), 1) AS i FROM b),
+    k AS (SELECT *, max(CASE WHEN len({S.words('line')}) > 4 OR {S.strip('line')} = '' OR regexp_matches({S.strip('line')}, '[.?!]$') THEN i ELSE 0 END) OVER (PARTITION BY doc_id) AS last FROM l),
+    j AS (SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE i <= last), '') AS t FROM k GROUP BY doc_id),
+    v AS (SELECT doc_id, nfc_normalize({whitespace_sql('t')}) AS v FROM j)
+    SELECT doc_id, CAST(length(v) AS BIGINT) AS n_chars_out, sha256(v) AS text_sha256 FROM v
+    """,
+)
 def clean_document(spark, sf_dir):
     from ..functions.unicode import nfc
 
@@ -216,8 +260,17 @@ def e1(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.round(T.quality_score(F.col("text")), 6).alias("quality"))
 
 
-# E2: most frequent keywords
-@query("e2_keywords")
+# E2: most frequent keywords. Runs of word characters that aren't all ASCII become one character that is none;
+# a keyword's own hyphen before such a run is at a word border and stays
+@query(
+    "e2_keywords",
+    f"""
+    WITH t AS (SELECT doc_id, array_to_string(list_transform(regexp_extract_all(lower(text), '[{S.WORD_CHAR}]+|[^{S.WORD_CHAR}]+', 0), lambda r: CASE WHEN NOT regexp_matches(r, '[^\\x00-\\x7f]') THEN r WHEN regexp_matches(r, '^[{S.WORD_CHAR}]') THEN chr(1) ELSE regexp_replace(r, '[^\\x00-\\x7f]', ' ', 'g') END), '') AS t FROM documents),
+    w AS (SELECT doc_id, unnest(ks) AS keyword, generate_subscripts(ks, 1) AS i FROM (SELECT doc_id, list_transform(regexp_extract_all(t, '\\b[a-z][a-z0-9_-]+-\\x01|\\b[a-z][a-z0-9_-]{{2,}}\\b', 0), lambda k: replace(k, chr(1), '')) AS ks FROM t)),
+    c AS (SELECT doc_id, keyword, count(*) AS n, min(i) AS f FROM w GROUP BY 1, 2)
+    SELECT doc_id, keyword, n, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, f) AS rank FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, f) <= 12
+    """,
+)
 def e2(spark, sf_dir):
     from ..operators.enrich import keywords
 
@@ -227,7 +280,7 @@ def e2(spark, sf_dir):
 @query(
     "e3_cross_references",
     f"""
-    WITH t AS (SELECT doc_id, 'see DOC-' || doc_id || ', section  ' || (doc_id % 9) || '.2 and RFC ' || (doc_id % 2000) || '; ' || substr(text, 1, 200) AS t FROM documents)
+    WITH t AS (SELECT doc_id, 'see DOC-' || doc_id || ', section  ' || (doc_id % 9) || '.2 and RFC ' || (doc_id % 2000) || '; ' || text AS t FROM documents)
     SELECT doc_id, 'document_id' AS ref_type, unnest(regexp_extract_all(t, '(?i)\\bDOC-\\d{{2,}}\\b', 0)) AS value FROM t
     UNION ALL SELECT doc_id, 'section', unnest(regexp_extract_all(t, '(?i)\\bSection[{S.SPACE}]+\\d+(?:\\.\\d+){{0,3}}\\b', 0)) FROM t
     UNION ALL SELECT doc_id, 'standard', unnest(regexp_extract_all(t, '(?i)\\bRFC[{S.SPACE}]+\\d{{3,5}}\\b', 0)) FROM t
@@ -236,7 +289,7 @@ def e2(spark, sf_dir):
 def e3(spark, sf_dir):
     from ..operators.enrich import cross_references
 
-    t = F.concat(F.lit("see DOC-"), F.col("doc_id").cast("string"), F.lit(", section  "), (F.col("doc_id") % 9).cast("string"), F.lit(".2 and RFC "), (F.col("doc_id") % 2000).cast("string"), F.lit("; "), F.col("text").substr(1, 200))
+    t = F.concat(F.lit("see DOC-"), F.col("doc_id").cast("string"), F.lit(", section  "), (F.col("doc_id") % 9).cast("string"), F.lit(".2 and RFC "), (F.col("doc_id") % 2000).cast("string"), F.lit("; "), F.col("text"))
     return cross_references(table(spark, sf_dir, "documents").select("doc_id", t.alias("text")))
 
 
@@ -301,12 +354,12 @@ def e13(spark, sf_dir):
 @query(
     "e14_highlight",
     """
-    WITH e AS (SELECT doc_id, replace(replace(replace(replace(replace(substr(text, 1, 300), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS p FROM documents)
+    WITH e AS (SELECT doc_id, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS p FROM documents)
     SELECT doc_id, replace(p, 'the', '<mark>the</mark>') AS marked FROM e
     """,
 )
 def e14(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.highlight(F.col("text").substr(1, 300), F.lit("the")).alias("marked"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.highlight(F.col("text"), F.lit("the")).alias("marked"))
 
 
 @query(

@@ -90,7 +90,7 @@ def signed_sql(rows: str) -> str:
 
 @query("d6_minhash", f"SELECT id, md5(array_to_string(signature, ',')) AS signature_md5 FROM ({signed_sql('documents')})")
 def d6(spark, sf_dir):
-    signed = D.minhash(D.shingle_rows(docs(spark, sf_dir), "doc_id"))
+    signed = D.minhash(docs(spark, sf_dir), "doc_id")
     return signed.select("id", F.md5(F.array_join("signature", ",").cast("binary")).alias("signature_md5"))
 
 
@@ -105,7 +105,7 @@ def d6(spark, sf_dir):
 )
 def d7(spark, sf_dir):
     rows = docs(spark, sf_dir)
-    signed = D.minhash(D.shingle_rows(rows, "doc_id")).join(rows.select(F.col("doc_id").alias("id"), D.shingles(F.col("text")).alias("s")), "id")
+    signed = D.minhash(rows, "doc_id").join(rows.select(F.col("doc_id").alias("id"), D.shingles(F.col("text")).alias("s")), "id")
     after = signed.select((F.col("id") - 1).alias("id"), F.col("id").alias("next_id"), F.col("signature").alias("signature2"), F.col("s").alias("s2"))
     return signed.join(after, "id").select(
         "id", "next_id", F.round(D.estimated_similarity(F.col("signature"), F.col("signature2")), 6).alias("estimate"), F.round(D.similarity(F.col("s"), F.col("s2")), 6).alias("exact")
@@ -118,7 +118,7 @@ def d7(spark, sf_dir):
     WITH kept AS (SELECT * FROM documents WHERE doc_id IN (SELECT min(doc_id) FROM (SELECT doc_id, {HASH} AS h FROM documents) GROUP BY h)),
     sig AS ({signed_sql('kept')}),
     b AS (SELECT id, unnest(list_transform(range(0, 16), lambda b: b || ':' || array_to_string(list_slice(signature, b * 8 + 1, b * 8 + 8), ','))) AS bucket FROM sig),
-    p AS (SELECT DISTINCT b.id, l.c FROM b JOIN (SELECT bucket, min(id) AS c FROM b GROUP BY bucket HAVING count(*) > 1) l USING (bucket) WHERE b.id <> l.c),
+    p AS (SELECT DISTINCT b.id, l.id AS c FROM b JOIN b l ON l.bucket = b.bucket AND l.id < b.id),
     w AS (SELECT doc_id AS id, length(text) AS n, {W} AS w FROM kept), sh AS (SELECT id, n, {SHINGLES} AS s FROM w WHERE len(w) > 0),
     sc AS (SELECT p.id, p.c, len(list_intersect(x.s, y.s)) / len(list_distinct(list_concat(x.s, y.s)))::DOUBLE AS j, x.n > y.n AS r FROM p JOIN sh x ON x.id = p.id JOIN sh y ON y.id = p.c)
     SELECT id, c AS canonical_id, round(j, 6)::DOUBLE AS similarity, CASE WHEN r THEN 'replaced' ELSE 'merged' END AS action
@@ -216,3 +216,21 @@ def j7(spark, sf_dir):
 def d20(spark, sf_dir):
     n = lambda *kinds: F.count_if(F.col("change").isin(*kinds))
     return j7(spark, sf_dir).groupBy("change").agg(F.count("*").alias("n"), n("modified", "deleted").alias("chunks_deleted"), n("modified", "added").alias("chunks_inserted"))
+
+
+@query(
+    "d8_clusters",
+    f"""
+    WITH RECURSIVE h AS (SELECT doc_id AS id, text, {HASH} AS h FROM documents), kept AS (SELECT doc_id, text FROM documents WHERE doc_id IN (SELECT min(id) FROM h GROUP BY h)),
+    sig AS ({signed_sql('kept')}),
+    b AS (SELECT id, unnest(list_transform(range(0, 16), lambda b: b || ':' || array_to_string(list_slice(signature, b * 8 + 1, b * 8 + 8), ','))) AS bucket FROM sig),
+    p AS (SELECT DISTINCT b.id, l.id AS c FROM b JOIN b l ON l.bucket = b.bucket AND l.id < b.id),
+    w AS (SELECT doc_id AS id, {W} AS w FROM kept), sh AS (SELECT id, {SHINGLES} AS s FROM w WHERE len(w) > 0),
+    l AS MATERIALIZED (SELECT p.id, p.c FROM p JOIN sh x ON x.id = p.id JOIN sh y ON y.id = p.c WHERE len(list_intersect(x.s, y.s)) / len(list_distinct(list_concat(x.s, y.s)))::DOUBLE >= 0.8),
+    e AS (SELECT id AS a, c AS b FROM l UNION ALL SELECT c, id FROM l),
+    r(id, seen) AS (SELECT doc_id, doc_id FROM kept UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.seen)
+    SELECT h.id, f.cluster FROM h JOIN (SELECT h, min(id) AS first FROM h GROUP BY h) g USING (h) JOIN (SELECT id, min(seen) AS cluster FROM r GROUP BY id) f ON f.id = g.first
+    """,
+)
+def d8(spark, sf_dir):
+    return D.near_duplicate_clusters(docs(spark, sf_dir), "doc_id", threshold=0.8)

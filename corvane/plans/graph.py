@@ -29,10 +29,10 @@ def triples(spark, sf_dir):
 
 
 def seeds(spark, sf_dir):
-    return table(spark, sf_dir, "supplier").filter("s_suppkey <= 5").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("seed"))
+    return table(spark, sf_dir, "supplier").filter("s_suppkey % 20 = 0").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("seed"))
 
 
-SEEDS = "SELECT 's' || s_suppkey AS seed FROM supplier WHERE s_suppkey <= 5"
+SEEDS = "SELECT 's' || s_suppkey AS seed FROM supplier WHERE s_suppkey % 20 = 0"
 
 # ---------------------------------------------------------------- extraction
 
@@ -206,14 +206,14 @@ def g24(spark, sf_dir):
     return table(spark, sf_dir, "nation").select(F.explode(F.array_distinct(names)).alias("key"), F.col("n_name").alias("canonical"))
 
 
-ASKED = "SELECT item_id AS query_id, 'tell me about ' || n_name || ' and ' || lower(r_name) || '; ' || substr(text, 1, 40) AS text FROM benchmark JOIN nation ON n_nationkey = item_id % 25 JOIN region ON r_regionkey = n_regionkey"
+ASKED = "SELECT item_id AS query_id, 'tell me about ' || n_name || ' and ' || lower(r_name) || '; ' || text AS text FROM benchmark JOIN nation ON n_nationkey = item_id % 25 JOIN region ON r_regionkey = n_regionkey"
 MATCHED = f"SELECT query_id, name FROM ({ASKED}) q, (SELECT n_name AS name FROM nation UNION SELECT r_name FROM region) n WHERE regexp_matches(lower(text), '(^|[^a-z0-9_])' || regexp_replace(lower(name), '[^a-z0-9_]+', '[^a-z0-9_]+', 'g') || '([^a-z0-9_]|$)')"
 
 
 def asked(spark, sf_dir):
     n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("r_regionkey") == F.col("n_regionkey"))
     q = table(spark, sf_dir, "benchmark").join(F.broadcast(n), F.col("item_id") % 25 == F.col("n_nationkey"))
-    return q.select(F.col("item_id").alias("query_id"), F.concat(F.lit("tell me about "), "n_name", F.lit(" and "), F.lower("r_name"), F.lit("; "), F.col("text").substr(1, 40)).alias("text"))
+    return q.select(F.col("item_id").alias("query_id"), F.concat(F.lit("tell me about "), "n_name", F.lit(" and "), F.lower("r_name"), F.lit("; "), F.col("text")).alias("text"))
 
 
 def names(spark, sf_dir):
@@ -274,7 +274,15 @@ def g30(spark, sf_dir):
     return G.path_errors(hops, types.withColumn("known", F.lit(True)))
 
 
-@query("g31_context")
+@query(
+    "g31_context",
+    f"""
+    WITH t AS (SELECT query_id, relation, subject || ' ' || relation || ' ' || object AS line FROM ({MATCHED}) JOIN ({EDGES}) ON subject = name WHERE relation = 'part_of'),
+    b AS (SELECT query_id, relation, count(*) AS n, string_agg(line, chr(10) ORDER BY line) AS block FROM t GROUP BY 1, 2),
+    k AS (SELECT *, sum(length(block) + 1) OVER (PARTITION BY query_id ORDER BY n DESC, relation ROWS UNBOUNDED PRECEDING) AS upto FROM b)
+    SELECT query_id, string_agg(block, chr(10) ORDER BY n DESC, relation) AS context FROM k WHERE upto <= 400 GROUP BY query_id
+    """,
+)
 def g31(spark, sf_dir):
     near = asked(spark, sf_dir).select("query_id").join(g25(spark, sf_dir), "query_id").join(triples(spark, sf_dir).filter("relation = 'part_of'"), F.col("name") == F.col("subject"))
     return G.context_lines(near, 400)
@@ -309,7 +317,23 @@ def a6(spark, sf_dir):
     return triples(spark, sf_dir).groupBy("relation").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"))
 
 
-@query("g35_communities")
+G16 = f"SELECT subject, object, sum(weight) AS weight FROM ({EDGES}) WHERE subject <> object GROUP BY 1, 2"
+
+
+def propagation_steps(name: str, edges: str, rounds: int) -> str:
+    """The common table expressions of label propagation over `edges`; the last is {name}_l{rounds}."""
+    steps = [
+        f"{name}_both AS MATERIALIZED (SELECT node, other, max(weight) AS weight FROM (SELECT subject AS node, object AS other, weight FROM {edges} UNION ALL SELECT object, subject, weight FROM {edges}) GROUP BY 1, 2)",
+        f"{name}_l0 AS MATERIALIZED (SELECT node, max(weight) AS own, node AS community FROM {name}_both GROUP BY node)",
+    ]
+    for k in range(rounds):
+        labels = f"{name}_l{k}"
+        votes = f"SELECT node, label, sum(w) AS w FROM (SELECT b.node, l.community AS label, b.weight AS w FROM {name}_both b JOIN {labels} l ON l.node = b.other UNION ALL SELECT node, community, own FROM {labels}) GROUP BY 1, 2"
+        steps.append(f"{name}_l{k + 1} AS MATERIALIZED (SELECT l.node, l.own, b.label AS community FROM {labels} l JOIN (SELECT node, label FROM ({votes}) QUALIFY row_number() OVER (PARTITION BY node ORDER BY w DESC, label) = 1) b USING (node))")
+    return ", ".join(steps)
+
+
+@query("g35_communities", f"WITH g AS MATERIALIZED ({G16}), {propagation_steps('a', 'g', 5)} SELECT node, community FROM a_l5")
 def g35(spark, sf_dir):
     return G.communities(g16(spark, sf_dir).select("subject", "object", "weight"))
 
@@ -434,7 +458,7 @@ def g11(spark, sf_dir):
     lines = spark.createDataFrame([("top.f", "-f a.f"), ("top.f", "top.sv"), ("a.f", "a.sv"), ("a.f", "-f b.f"), ("b.f", "b.sv"), ("b.f", "-f top.f")], "file string, line string")
     includes = lines.filter(F.col("line").like("-f %")).select(F.col("file").alias("subject"), F.expr("substring(line, 4)").alias("object"))
     start = spark.createDataFrame([("top.f",)], "seed string")
-    files = G.reachable(includes, start, 8).select(F.col("node").alias("file")).union(start.select("seed"))
+    files = G.reachable(includes, start).select(F.col("node").alias("file")).union(start.select("seed"))
     return lines.filter(~F.col("line").like("-f %")).join(files.distinct(), "file", "left_semi").select(F.col("line").alias("source"))
 
 
@@ -442,3 +466,125 @@ def g11(spark, sf_dir):
 def g12(spark, sf_dir):
     t = triples(spark, sf_dir)
     return t.select("subject").join(t.select(F.col("object").alias("subject")), "subject", "left_anti").agg(F.min("subject").alias("top"))
+
+
+COUNTED = f"SELECT n_name AS name, count(*) AS mention_count FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1"
+LONG_WORDS = lambda c: f"list_distinct(list_filter({S.words(f'lower({c})')}, lambda w: length(w) >= 3))"
+#: Every third question names no entity.
+TERM_QUERIES = "SELECT item_id AS query_id, CASE WHEN item_id % 3 = 0 THEN 'qq ' || (CASE WHEN item_id % 2 = 0 THEN text ELSE '' END) ELSE 'Where is ' || n_name || ' ? ' || text END AS text FROM benchmark JOIN nation ON n_nationkey = item_id % 25"
+
+
+@query(
+    "j11_known_terms",
+    f"""
+    WITH q AS (SELECT query_id, {LONG_WORDS('text')} AS ws FROM ({TERM_QUERIES})), t AS ({COUNTED}), i AS (SELECT name, mention_count, unnest({LONG_WORDS('name')}) AS word FROM t),
+    h AS (SELECT DISTINCT query_id, name, mention_count FROM (SELECT query_id, unnest(ws) AS word FROM q) JOIN i USING (word)),
+    b AS (SELECT * FROM t ORDER BY mention_count DESC, name LIMIT 20),
+    a AS (SELECT * FROM h UNION ALL SELECT query_id, name, mention_count FROM q, b WHERE len(ws) > 0 AND query_id NOT IN (SELECT query_id FROM h))
+    SELECT query_id, name AS term, CAST(row_number() OVER (PARTITION BY query_id ORDER BY mention_count DESC, name) AS INTEGER) AS rank FROM a QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY mention_count DESC, name) <= 20
+    """,
+)
+def j11(spark, sf_dir):
+    from ..operators.search import known_terms
+
+    nations = table(spark, sf_dir, "nation")
+    counted = table(spark, sf_dir, "customer").join(nations, F.col("n_nationkey") == F.col("c_nationkey")).groupBy(F.col("n_name").alias("name")).agg(F.count("*").alias("mention_count"))
+    n = F.col("item_id")
+    text = F.when(n % 3 == 0, F.concat(F.lit("qq "), F.when(n % 2 == 0, F.col("text")).otherwise(""))).otherwise(F.concat(F.lit("Where is "), "n_name", F.lit(" ? "), "text"))
+    queries = table(spark, sf_dir, "benchmark").join(nations, n % 25 == F.col("n_nationkey")).select(n.alias("query_id"), text.alias("text"))
+    return known_terms(queries, counted)
+
+
+# ---------------------------------------------------------------- communities in an answer, hierarchy, resolution
+
+
+SUMMARIES = "SELECT r_regionkey AS community, r_name || ' holds ' || string_agg(n_name, ', ' ORDER BY n_name) AS summary FROM nation JOIN region ON r_regionkey = n_regionkey GROUP BY r_regionkey, r_name"
+
+
+@query(
+    "g32_community_section",
+    f"""
+    WITH s AS ({SUMMARIES}), t AS (SELECT query_id, n_regionkey AS community, count(*) AS n FROM ({MATCHED}) JOIN nation ON n_name = name GROUP BY 1, 2),
+    e AS (SELECT q.query_id, s.community, coalesce(t.n, 0) AS n, '[Community ' || s.community || '] (' || coalesce(t.n, 0) || ' entities touched): ' || summary AS line FROM (SELECT item_id AS query_id FROM benchmark) q CROSS JOIN s LEFT JOIN t ON t.query_id = q.query_id AND t.community = s.community),
+    k AS (SELECT *, sum(length(line)) OVER (PARTITION BY query_id ORDER BY n DESC, community DESC ROWS UNBOUNDED PRECEDING) AS upto FROM e)
+    SELECT query_id, '<communities>' || chr(10) || string_agg(line, chr(10) ORDER BY n DESC, community) || chr(10) || '</communities>' AS section FROM k WHERE upto <= 60 * 4 GROUP BY query_id
+    """,
+)
+def g32(spark, sf_dir):
+    regions = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("r_regionkey") == F.col("n_regionkey"))
+    summaries = regions.groupBy(F.col("r_regionkey").alias("community"), "r_name").agg(F.array_join(F.array_sort(F.collect_list("n_name")), ", ").alias("names"))
+    summaries = summaries.select("community", F.concat("r_name", F.lit(" holds "), "names").alias("summary"))
+    touched = g25(spark, sf_dir).join(regions.select(F.col("n_name").alias("name"), F.col("n_regionkey").alias("community")), "name").groupBy("query_id", "community").agg(F.count("*").alias("n"))
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"))
+    return G.community_section(queries, summaries, touched, 60, "<communities>", "</communities>")
+
+
+def hierarchy_sql(rounds: int = 5, least: int = 3) -> str:
+    """Level 1 below the communities of level 0: label propagation on unit weights inside each."""
+    inner = "SELECT DISTINCT least(g.subject, g.object) AS subject, greatest(g.subject, g.object) AS object, 1 AS weight FROM g JOIN top a ON a.node = g.subject JOIN top b ON b.node = g.object WHERE a.community = b.community AND a.community IN (SELECT community FROM top GROUP BY community HAVING count(*) >= 6)"
+    one = lambda k, g: propagation_steps(k, g, rounds)
+    return f"""
+    WITH g AS MATERIALIZED ({G16}), {one('a', 'g')},
+    flat AS (SELECT node, community FROM a_l{rounds}),
+    top AS MATERIALIZED (SELECT node, CASE WHEN count(*) OVER (PARTITION BY community) < {least} THEN '-1' ELSE community END AS community FROM flat),
+    i AS MATERIALIZED ({inner.replace('FROM top GROUP', "FROM top WHERE community <> '-1' GROUP")}), {one('b', 'i')},
+    parts AS (SELECT t.community AS parent, b.node, b.community FROM b_l{rounds} b JOIN top t USING (node)),
+    sized AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY parent, community) < {least} THEN '-1' ELSE community END AS part FROM parts),
+    kept AS (SELECT * FROM sized WHERE parent IN (SELECT parent FROM sized WHERE part <> '-1' GROUP BY parent HAVING count(DISTINCT part) >= 2))
+    SELECT 0 AS level, community, node FROM top UNION ALL SELECT 1, parent || ' / ' || part, node FROM kept
+    """
+
+
+@query("g37_community_levels", hierarchy_sql())
+def g37(spark, sf_dir):
+    """Two levels."""
+    return G.community_levels(g16(spark, sf_dir).select("subject", "object", "weight"), 2)
+
+
+@query("g42_resolution")
+def g42(spark, sf_dir):
+    return G.resolve(*resolution_inputs(spark, sf_dir))[2]
+
+
+def resolution_inputs(spark, sf_dir):
+    """Entities e0, e1, ... in a ring, each tenth also written as an alias."""
+    v = vectors(spark, sf_dir)
+    known = v.select(F.col("name").alias("canonical"), (F.col("place") % 7 + 1).alias("mention_count"), F.array("type").alias("sources"))
+    alias = v.filter("place % 10 = 0").select(F.concat(F.lit("also "), "name").alias("alias"), F.col("name").alias("target"))
+    nodes = known.unionByName(alias.select(F.col("alias").alias("canonical"), F.lit(1).cast("long").alias("mention_count"), F.array(F.lit("alias")).alias("sources")))
+    edges = v.select(F.col("name").alias("subject"), F.concat(F.lit("e"), (F.col("place") + 1).cast("string")).alias("object"), F.lit("next").alias("relation"), F.lit(1).alias("weight"))
+    return nodes, edges.join(v.select(F.col("name").alias("object")), "object", "left_semi"), alias, v, 0.3
+
+
+@query("g43_after_ingest")
+def g43(spark, sf_dir):
+    from ..engine import after_ingest
+
+    out = after_ingest(*resolution_inputs(spark, sf_dir))
+    return out["communities"].groupBy("level", "community").agg(F.count("*").alias("members"))
+
+
+# ---------------------------------------------------------------- G7: what a model extracted
+
+
+REPLY = """'{"entities": [{"name": " ' || n_name || ' ", "type": "nation"}, {"name": "' || n_name || '", "type": "region"}, {"name": "item ' || item_id || '", "type": "thing", "description": "an item"}, {"name": "", "type": "nation"}, {"type": "nation"}], "relationships": [{"source": "item ' || item_id || '", "relation": "mentions", "target": "' || n_name || '"}, {"source": "item ' || item_id || '", "relation": "likes", "target": "x"}, {"source": "", "relation": "mentions", "target": "x"}]}'"""
+BROKEN = "item_id % 4 = 3"
+
+
+def replies(spark, sf_dir):
+    n = F.col("item_id").cast("string")
+    item, nation = F.concat(F.lit("item "), n), F.col("n_name")
+    body = F.format_string('{"entities": [{"name": " %2$s ", "type": "nation"}, {"name": "%2$s", "type": "region"}, {"name": "%1$s", "type": "thing", "description": "an item"}, {"name": "", "type": "nation"}, {"type": "nation"}], "relationships": [{"source": "%1$s", "relation": "mentions", "target": "%2$s"}, {"source": "%1$s", "relation": "likes", "target": "x"}, {"source": "", "relation": "mentions", "target": "x"}]}', item, nation)
+    rows = table(spark, sf_dir, "benchmark").join(table(spark, sf_dir, "nation"), F.col("item_id") % 25 == F.col("n_nationkey"))
+    reply = F.when(F.expr(BROKEN), F.concat(F.lit("no JSON: "), "text")).when(F.col("item_id") % 2 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(body)
+    return rows.select(F.concat(F.lit("doc "), n).alias("source"), reply.alias("reply"))
+
+
+@query("g7_extracted_entities", f"SELECT 'doc ' || item_id AS source, unnest([n_name, 'item ' || item_id]) AS name, unnest(['nation', 'concept']) AS type, unnest([NULL, 'an item']) AS description FROM benchmark JOIN nation ON n_nationkey = item_id % 25 WHERE NOT ({BROKEN})")
+def g7(spark, sf_dir):
+    return G.extracted(replies(spark, sf_dir), ["nation", "region"], ["mentions"], "concept")[0]
+
+
+@query("g7_extracted_triples", f"SELECT 'doc ' || item_id AS source, 'item ' || item_id AS subject, 'mentions' AS relation, n_name AS object FROM benchmark JOIN nation ON n_nationkey = item_id % 25 WHERE NOT ({BROKEN})")
+def g7t(spark, sf_dir):
+    return G.extracted(replies(spark, sf_dir), ["nation", "region"], ["mentions"], "concept")[1]

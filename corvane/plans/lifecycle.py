@@ -118,10 +118,11 @@ def j3(spark, sf_dir):
     return rows.filter("doc_id % 3 <> 0").join(rows.filter("doc_id % 5 <> 0"), "doc_id", "left_anti")
 
 
-@query("j5_removed_sources", "SELECT DISTINCT source FROM documents WHERE doc_id < 150 AND source NOT IN (SELECT source FROM documents WHERE doc_id % 20 < 12)")
+@query("j5_removed_sources", "SELECT source || '/' || doc_id AS source FROM documents WHERE doc_id % 7 = 0")
 def j5(spark, sf_dir):
-    rows = docs(spark, sf_dir)
-    return rows.filter("doc_id < 150").select("source").distinct().join(rows.filter("doc_id % 20 < 12").select("source"), "source", "left_anti")
+    """The manifest knows every document; each seventh is gone from the sources."""
+    manifest = docs(spark, sf_dir).select("doc_id", F.concat_ws("/", "source", "doc_id").alias("source"))
+    return manifest.select("source").join(manifest.filter("doc_id % 7 <> 0"), "source", "left_anti")
 
 
 @query(
@@ -274,3 +275,73 @@ def s19(spark, sf_dir):
 @query("m_text_stats", f"SELECT lang, count(*) AS n, CAST(sum(len({S.words('text')})) AS BIGINT) AS n_words FROM documents GROUP BY lang")
 def text_stats(spark, sf_dir):
     return docs(spark, sf_dir).groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.size(T.words(F.col("text")))).alias("n_words"))
+
+
+@query(
+    "s17_store_objects",
+    """
+    SELECT 'src/' || doc_id || ':' || source AS key, 'src_' || doc_id || '_' || replace(source, '..', '__') AS safe_key, CASE WHEN doc_id % 4 = 0 THEN 'again: ' || text ELSE text END AS content, lang
+    FROM documents WHERE doc_id % 5 <> 0
+    """,
+)
+def s17(spark, sf_dir):
+    """Each document is put, each fourth put again, each fifth deleted; a batch without its marker doesn't show."""
+    from ..sources.checkpoint import folder
+    from ..sources.store import Store
+
+    store = Store(spark, folder(spark, "store"))
+    key = F.concat_ws(":", F.concat(F.lit("src/"), F.col("doc_id").cast("string")), "source")
+    rows = docs(spark, sf_dir).select("doc_id", key.alias("key"), F.col("text").alias("content"), F.create_map(F.lit("lang"), "lang").alias("metadata"))
+    store.put(rows)
+    store.put(rows.filter("doc_id % 4 = 0").withColumn("content", F.concat(F.lit("again: "), "content")))
+    store.delete(rows.filter("doc_id % 5 = 0"))
+    store.write(store.objects().select("key", "safe_key", F.lit("cut off").alias("content"), "metadata", F.lit(False).alias("deleted")))
+    return store.objects().select("key", "safe_key", "content", F.col("metadata")["lang"].alias("lang"))
+
+
+@query(
+    "s25_manifest_round_trip",
+    "SELECT 'local:' || doc_id AS source_key, sha256(text) AS content_hash, n_chars FROM documents",
+)
+def s25(spark, sf_dir):
+    """Saved as JSON lines, one of them spoilt, and loaded again."""
+    from ..sources import tables
+    from ..sources.checkpoint import folder
+
+    path = folder(spark, "manifest")
+    entries = docs(spark, sf_dir).select(F.concat(F.lit("local:"), F.col("doc_id").cast("string")).alias("source_key"), F.sha2("text", 256).alias("content_hash"), "n_chars")
+    tables.save_json(entries, path)
+    spark.range(1).select(F.lit('{"source_key": "cut of').alias("value")).write.mode("append").text(path)
+    return tables.load_json(spark, path, "source_key string, content_hash string, n_chars long")[0]
+
+
+@query(
+    "l10_isolated_failures",
+    "SELECT event_id, event_id % 13 = 0 AS failed, CASE WHEN event_id % 13 = 0 THEN 'JSONDecodeError' ELSE '' END AS error, CASE WHEN event_id % 13 <> 0 THEN CAST(json_extract(props, '$.k') AS BIGINT) ELSE -1 END AS k FROM events",
+)
+def l10(spark, sf_dir):
+    """Each thirteenth event's properties are cut off: its row fails alone."""
+    from ..operators.isolation import isolated
+
+    broken = F.when(F.col("event_id") % 13 == 0, F.expr("substring(props, 1, length(props) - 1)")).otherwise(F.col("props"))
+    rows = table(spark, sf_dir, "events").select("event_id", broken.alias("props"))
+
+    def parse(row):
+        import json
+
+        return [(json.loads(row["props"]).get("k"),)]
+
+    good, bad = isolated(rows, "event_id", parse, "k long", "parse")
+    good = good.select("event_id", F.lit(False).alias("failed"), F.lit("").alias("error"), "k")
+    return good.unionByName(bad.select("event_id", F.lit(True).alias("failed"), "error", F.lit(-1).cast("long").alias("k")))
+
+
+@query("p8_community_upsert", "SELECT n_nationkey AS id, CASE WHEN n_nationkey % 4 = 0 THEN 'new ' || n_name ELSE n_name END AS summary, CASE WHEN n_nationkey % 4 = 0 THEN 2 ELSE 1 END AS member_count FROM nation UNION ALL SELECT 100 + r_regionkey, r_name, 2 FROM region")
+def p8(spark, sf_dir):
+    from ..sources.tables import upsert
+
+    nations = table(spark, sf_dir, "nation")
+    row = lambda df, k, summary, n: df.select(k.cast("int").alias("id"), summary.alias("summary"), F.lit(n).alias("member_count"))
+    old = row(nations, F.col("n_nationkey"), F.col("n_name"), 1)
+    new = row(nations.filter("n_nationkey % 4 = 0"), F.col("n_nationkey"), F.concat(F.lit("new "), "n_name"), 2).unionByName(row(table(spark, sf_dir, "region"), 100 + F.col("r_regionkey"), F.col("r_name"), 2))
+    return upsert(old, new, "id")

@@ -81,7 +81,16 @@ def w9(spark, sf_dir):
     return M.escalation(events(spark, sf_dir), "user_id", ["ts", "event_id"], F.col("event_id") % 7 == 0).select("event_id", "level")
 
 
-@query("w10_fixed_windows")
+LIMITED = """
+    WITH RECURSIVE e AS (SELECT event_id, user_id, ts FROM events), d AS (SELECT DISTINCT user_id, ts FROM e),
+    n AS (SELECT *, min(ts) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR FOLLOWING AND UNBOUNDED FOLLOWING) AS following FROM d),
+    s(user_id, start) AS (SELECT user_id, min(ts) FROM d GROUP BY 1 UNION ALL SELECT n.user_id, n.following FROM s JOIN n ON n.user_id = s.user_id AND n.ts = s.start WHERE n.following IS NOT NULL),
+    w AS (SELECT e.*, max(s.start) OVER (PARTITION BY e.user_id ORDER BY e.ts) AS opened FROM e LEFT JOIN s ON e.user_id = s.user_id AND e.ts = s.start)
+    SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id, opened ORDER BY ts, event_id) <= 2 AS allowed FROM w
+"""
+
+
+@query("w10_fixed_windows", f"SELECT event_id AS id, allowed FROM ({LIMITED})")
 def w10(spark, sf_dir):
     return M.fixed_windows(events(spark, sf_dir), "user_id", "ts", "event_id", 2, 3600)
 

@@ -314,11 +314,25 @@ def q12(spark, sf_dir):
     return rows.select("item_id", F.coalesce("j.answer", plain).alias("answer"), F.coalesce("j.confidence", said).alias("confidence"))
 
 
-@query("e11_json_salvage")
+REPLIES = """list_extract(['{"id": ' || item_id || '}', 'Sure! ```json' || chr(10) || '{"id": ' || item_id || '}' || chr(10) || '``` done', 'It is {"id": {"n": ' || item_id || '}} as ' || text, 'No object: {' || item_id || ' ' || text, text], CAST(item_id % 5 AS INTEGER) + 1)"""
+
+
+def whole_json(x: str) -> str:
+    return f"CASE WHEN {x} <> '' AND json_valid({x}) AND regexp_matches(trim({x}), '^[\\[{{]') THEN {x} END"
+
+
+@query(
+    "e11_json_salvage",
+    f"SELECT item_id, coalesce({whole_json('r')}, {whole_json(S.FENCED)}, {whole_json(S.BRACES)}, '{{}}') AS object FROM (SELECT item_id, {REPLIES} AS r FROM benchmark)",
+)
 def e11(spark, sf_dir):
     from ..functions.salvage import salvage_json
 
-    text = F.concat(F.lit("Sure! ```json\n{\"id\": "), F.col("item_id").cast("string"), F.lit("}\n``` done"))
+    n, t = F.col("item_id").cast("string"), F.col("text")
+    replies = F.array(
+        F.concat(F.lit('{"id": '), n, F.lit("}")), F.concat(F.lit('Sure! ```json\n{"id": '), n, F.lit("}\n``` done")), F.concat(F.lit('It is {"id": {"n": '), n, F.lit("}} as "), t), F.concat(F.lit("No object: {"), n, F.lit(" "), t), t
+    )
+    text = F.get(replies, (F.col("item_id") % 5).cast("int"))
     return table(spark, sf_dir, "benchmark").select("item_id", salvage_json(text).alias("object"))
 
 

@@ -53,3 +53,8 @@ def uuid5(name: str, namespace: str = "6ba7b8119dad11d180b400c04fd430c8") -> str
     h = f"sha1(unhex('{namespace}') || encode({name}))"
     variant = f"substr('89ab', (CAST(('0x' || substr({h}, 17, 1)) AS INTEGER) % 4) + 1, 1)"
     return f"substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-5' || substr({h}, 14, 3) || '-' || {variant} || substr({h}, 18, 3) || '-' || substr({h}, 21, 12)"
+
+
+#: What a code fence holds, and the outermost braces, of a reply r.
+FENCED = "regexp_extract(r, '(?s)```(?:json)?\\s*(.*?)\\s*```', 1)"
+BRACES = "regexp_extract(r, '(?s)\\{.*\\}', 0)"

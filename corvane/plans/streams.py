@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..registry import query
 from ..streaming import events as E
+from .metrics import LIMITED
 
 
 @query("st6_rates", "SELECT strftime(time_bucket(INTERVAL 5 MINUTE, ts), '%Y-%m-%d %H:%M') AS window_start, count(*) AS n FROM events GROUP BY 1")
@@ -15,8 +16,9 @@ def st6(spark, sf_dir):
     return out.select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("window_start"), "n")
 
 
-@query("st1_limiter")
+@query("st1_limiter", LIMITED)
 def st1(spark, sf_dir):
+    """With one batch; a later batch's earlier events would fall into the window that is open."""
     return E.run(E.limiter(E.source(spark, sf_dir), 2, 3600))
 
 
@@ -30,7 +32,36 @@ def st4(spark, sf_dir):
     return E.run(E.compactions(E.source(spark, sf_dir, "conversations"), 4))
 
 
-@query("st8_sessions")
+@query(
+    "st8_sessions",
+    """
+    WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM g)
+    SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS session_start, count(*) AS n FROM s GROUP BY user_id, session
+    """,
+)
 def st8(spark, sf_dir):
-    out = E.run(E.sessions(E.source(spark, sf_dir)))
-    return out.select("user_id", F.col("session_window.start").alias("session_start"), "n")
+    """Complete output, so that sessions still open at the end show as well."""
+    out = E.run(E.sessions(E.source(spark, sf_dir)), "complete")
+    return out.select("user_id", F.date_format("session_window.start", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("session_start"), "n")
+
+
+@query(
+    "st2_abuse",
+    "SELECT user_id, event_id, recent, recent > 2 AS blocked FROM (SELECT *, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 3599999999 MICROSECOND PRECEDING AND CURRENT ROW) AS recent FROM events)",
+)
+def st2(spark, sf_dir):
+    return E.run(E.abuse(E.source(spark, sf_dir), 2, 3600))
+
+
+@query("st5_ingest", "SELECT event_id, user_id, event_type FROM events")
+def st5(spark, sf_dir):
+    """The same stream read twice: the second time nothing is new."""
+    from ..sources.checkpoint import folder
+
+    rows = E.source(spark, sf_dir).select("event_id", "user_id", "event_type")
+    target = folder(spark, "ingested")
+    for _ in range(2):
+        E.ingest(rows, target, "event_id", folder(spark, "progress"))
+    schema = rows.schema.add("content_hash", "string").add("version", "long")
+    return E.ingested(spark, target, "event_id", schema).select("event_id", "user_id", "event_type")

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.batches import slices
+
 #: Kind and pattern of what a shell script defines or reads.
 SHELL = [
     ("function", r"(?m)^\s*(?:function\s+)?([A-Za-z_]\w*)\s*\(\)\s*\{"),
@@ -69,13 +74,33 @@ def _inside(ast, node, name: str) -> list[tuple[str, str, str]]:
     return [(name, "calls", c) for c in calls] + [(name, "decorated_by", ast.unparse(d)) for d in node.decorator_list]
 
 
+def parses(text: Column) -> Column:
+    """Whether a text is a Python program."""
+
+    @F.pandas_udf("boolean")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import ast
+
+        def good(text) -> bool:
+            try:
+                ast.parse(text or "")
+            except (SyntaxError, ValueError, RecursionError, MemoryError):
+                return False
+            return True
+
+        for texts in parts:
+            yield texts.map(good).astype(bool)
+
+    return run(text)
+
+
 def python_chunks(files: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, section_path, heading_level, chunk): a chunk per top-level function or class and one for the rest."""
 
     def cut(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches, "text"):
             out = []
             for k, t in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 lines = (t or "").split("\n")
@@ -99,7 +124,7 @@ def python_relations(files: DataFrame, key: str, text: str = "text") -> DataFram
     def read(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches, "text"):
             out = [(k, *r) for k, t in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True) for r in python_structure(t or "")[1]]
             kinds = (batch.column("key").type, pa.string(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds)], [key, "subject", "relation", "object"])

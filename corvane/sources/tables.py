@@ -22,6 +22,11 @@ def ensure(spark: SparkSession, name: str, schema: str, partitioned_by: list[str
     spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({schema}) USING parquet{by}")
 
 
+def save_json(rows: DataFrame, path: str) -> None:
+    """One JSON object a line; the folder's old content goes only when the job has ended well."""
+    rows.write.mode("overwrite").json(path)
+
+
 def load_json(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """The rows that can be read, and the lines that can't."""
     rows = checkpointed(spark.read.schema(schema + ", _corrupt_record string").json(path))

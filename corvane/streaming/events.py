@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.checkpoint import folder
+
 
 def source(spark: SparkSession, sf_dir: str, name: str = "events") -> DataFrame:
     """A table as a stream. Event times become TIMESTAMP, since watermarks take no other type."""
@@ -24,11 +25,24 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
 
 
 def run(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Process all that is there and return what the stream put out, as a batch."""
-    name = "out_" + uuid.uuid4().hex
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+    """Process all that is there and return what the stream put out, as a table in the shared folder.
+
+    A batch is written to a folder of its own, so a repeated batch replaces what it wrote; of complete
+    output the last batch counts, of any other all.
+    """
+    spark = stream.sparkSession
+    out, done = folder(spark, "stream"), []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        done.append(number)
+
+    writer = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", folder(spark, "progress"))
+    writer.trigger(availableNow=True).start().awaitTermination()
+    paths = [f"{out}/batch={n}" for n in sorted(set(done))]
+    if not paths:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(*(paths[-1:] if mode == "complete" else paths))
 
 
 def rates(events: DataFrame, minutes: int = 5, late: str = "10 minutes") -> DataFrame:
@@ -68,6 +82,29 @@ def limiter(events: DataFrame, limit: int, seconds: int) -> DataFrame:
     return keyed.applyInPandasWithState(step, "user_id long, event_id long, allowed boolean", "ends long, used long", "append", "NoTimeout")
 
 
+def abuse(events: DataFrame, most: int, seconds: int = 60) -> DataFrame:
+    """(user_id, event_id, recent, blocked): how many of a user's events fell into the last seconds, this one included.
+
+    A user's state is the times that are still inside the window.
+    """
+
+    def step(key, parts: Iterator, state):
+        import pandas as pd
+
+        held = list(state.get[0]) if state.exists else []
+        for part in parts:
+            out = []
+            for row in part.sort_values(["ts", "event_id"]).itertuples(index=False):
+                at = int(row.ts.timestamp() * 1_000_000)
+                held = [t for t in held if t > at - seconds * 1_000_000] + [at]
+                out.append((key[0], row.event_id, len(held), len(held) > most))
+            state.update((held,))
+            yield pd.DataFrame(out, columns=["user_id", "event_id", "recent", "blocked"])
+
+    keyed = events.select("user_id", "event_id", "ts").groupBy("user_id")
+    return keyed.applyInPandasWithState(step, "user_id long, event_id long, recent long, blocked boolean", "times array<long>", "append", "NoTimeout")
+
+
 def compactions(turns: DataFrame, every: int = 12) -> DataFrame:
     """(conv_id, turns): a row each time a conversation has gained so many turns."""
 
@@ -87,20 +124,31 @@ def compactions(turns: DataFrame, every: int = 12) -> DataFrame:
     return turns.select("conv_id", "turn").groupBy("conv_id").applyInPandasWithState(step, "conv_id long, turns long", "count long", "append", "NoTimeout")
 
 
-def ingest(stream: DataFrame, target: str, key: str, checkpoint: str) -> None:
-    """Upsert each batch into a Parquet folder, one version a batch; an unchanged row is not written again."""
+def ingested(spark: SparkSession, target: str, key: str, schema, before: int | None = None) -> DataFrame:
+    """The newest version of each row that ingest() wrote; with `before`, as it was before that batch."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(target)
+    files = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in files.listStatus(hadoop)] if files.exists(hadoop) else []
+    paths = [f"{target}/{n}" for n in names if n.startswith("batch=") and (before is None or int(n[6:]) < before)]
+    if not paths:
+        return spark.createDataFrame([], schema)
+    last = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("version")))
+    return spark.read.schema(schema).parquet(*paths).withColumn("place_", last).filter("place_ = 1").drop("place_")
+
+
+def ingest(stream: DataFrame, target: str, key: str, checkpoint: str, order: list[str] | None = None) -> None:
+    """Write the rows of each batch that are new or changed to a folder of the batch's own, which a repeated batch replaces.
+
+    Of a batch's rows with one key that with the last `order` counts, then that with the least hash. ingested() reads the result.
+    """
+    order = order or []
     spark = stream.sparkSession
 
     def merge(batch: DataFrame, number: int) -> None:
-        fresh = batch.withColumn("content_hash", F.sha2(F.to_json(F.struct(*batch.columns)), 256)).dropDuplicates([key])
-        try:
-            known = spark.read.parquet(f"{target}/version={number - 1}")
-            same = known.select(key, "content_hash")
-            changed = fresh.join(same, [key, "content_hash"], "left_anti")
-            fresh = known.join(changed.select(key), key, "left_anti").unionByName(changed)
-        except Exception as error:
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-        fresh.write.mode("overwrite").parquet(f"{target}/version={number}")
+        fresh = batch.withColumn("content_hash", F.sha2(F.to_json(F.struct(*batch.columns)), 256))
+        newest = F.row_number().over(Window.partitionBy(key).orderBy(*[F.desc(c) for c in order], "content_hash"))
+        fresh = fresh.withColumn("place_", newest).filter("place_ = 1").drop("place_").withColumn("version", F.lit(number).cast("long"))
+        known = ingested(spark, target, key, fresh.schema, before=number).select(key, "content_hash")
+        fresh.join(known, [key, "content_hash"], "left_anti").select(fresh.columns).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

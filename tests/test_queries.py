@@ -25,7 +25,7 @@ def rows(frame: pd.DataFrame) -> list[tuple]:
         return None if v is None or v is pd.NaT or v != v else str(v)
 
     frame = frame[sorted(frame.columns)].astype(object)
-    return sorted(tuple(map(plain, r)) for r in frame.itertuples(index=False))
+    return sorted((tuple(map(plain, r)) for r in frame.itertuples(index=False)), key=str)
 
 
 @pytest.mark.parametrize("name", CHECKED)
