@@ -8,8 +8,12 @@ finds the least edit distance of the item to any passage there, so the result is
 Items and texts are compared in lower case, with runs of white space as one space; positions are
 places in that form of the text, in code points.
 
-Items are held in memory in blocks of at most `block_bytes`, each for one pass over the documents, so
-a test set of any size is used whole.
+Items are held in memory in blocks of about `block_bytes`, each for one pass over the documents, so a
+test set of any size is used whole; where there are several, what a pass found is written before the
+next block is read, and the block given up.
+
+An item of fewer than 1 / rate characters (20) has no edits to spend: it is found wherever it stands
+unchanged, inside longer words as well.
 
 Defined results: an item without text, or with white space alone, matches nothing. A null or empty
 text has no matches. Items with equal texts all match; rows with equal ids each have their matches.
@@ -142,7 +146,18 @@ def _blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int) -> I
     for k in range(count):
         block = rows.filter(F.pmod(F.xxhash64("id", "text"), F.lit(count)) == k) if count > 1 else rows
         found = sorted((tuple(r) for r in block.toLocalIterator()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
-        yield items.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, found))
+        held = items.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, found))
+        held.alone = count == 1
+        yield held
+
+
+def _settled(part: DataFrame, block) -> DataFrame:
+    """The result of a block's pass; written, and the block given up, unless it is the only one."""
+    if block.alone:
+        return part
+    part = common.stage(part, "pass")
+    block.destroy()
+    return part
 
 
 def find_items(docs: DataFrame, items: DataFrame, rate: float = RATE, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -160,7 +175,7 @@ def find_items(docs: DataFrame, items: DataFrame, rate: float = RATE, block_byte
                 found = [(doc, *m) for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) for m in index.matches(text)]
                 yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(5)], names)
 
-        part = rows.mapInArrow(find, "doc_id long, item_id long, edits long, match_start long, match_end long")
+        part = _settled(rows.mapInArrow(find, "doc_id long, item_id long, edits long, match_start long, match_end long"), block)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -178,7 +193,7 @@ def without_items(docs: DataFrame, items: DataFrame, rate: float = RATE, block_b
                 keep = [not index.matches(x.as_py(), first_only=True) for x in batch.column(at)]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
-        docs = docs.mapInArrow(clean, docs.schema)
+        docs = _settled(docs.mapInArrow(clean, docs.schema), block)
     return docs
 
 

@@ -33,8 +33,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.components import connected_components
 from . import common
-from .components import connected_components
 
 SAMPLES = 128
 SKETCH_BITS = 512
@@ -169,8 +169,12 @@ def _differing(x, y):
     return total
 
 
-def _confirm(pairs: DataFrame, rows: DataFrame, how: Similarity) -> DataFrame:
-    """Of pairs (a, b), those whose full sets are similar enough."""
+def _confirm(texts: DataFrame, how: Similarity) -> DataFrame:
+    """Links (a, b) of nodes with their candidates' full sets. texts: (doc_id, text, leaders), a node's text with its candidates.
+
+    A node's text moves to each of its candidates, whose own text comes to the same task once; Spark splits the
+    partition of a candidate of many.
+    """
     words, percent = how.words, how.percent
 
     def check(batches):
@@ -188,8 +192,8 @@ def _confirm(pairs: DataFrame, rows: DataFrame, how: Similarity) -> DataFrame:
                     keep.append(i)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
-    joined = pairs.join(rows.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    joined = joined.join(rows.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+    pairs = texts.select(F.explode("leaders").alias("a"), F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+    joined = pairs.join(texts.filter("leads").select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
 
 
@@ -283,24 +287,29 @@ def near_duplicates(docs: DataFrame, how: Similarity = Similarity(), id_col: str
     once = [F.first(c).alias(c) for c in ("n_shingles", "bands", "sketch")]  # equal sets have equal ones
     classes = common.stage(known.groupBy("set_key").agg(F.min("doc_id").alias("node"), *once), "classes")
     folded = classes.select("node", "sketch")
-    dealt = classes.select("node", F.posexplode("bands").alias("band", "bucket"))
+    dealt = classes.select("node", F.explode("bands").alias("bucket"))
     shared = common.stage(dealt.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("size")).filter("size > 1"), "buckets")
     members = common.stage(dealt.join(shared, "bucket"), "members")
-    # the texts of all classes that share a bucket: later steps read no others
-    texts = common.stage(rows.join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
-
     pairs = members.filter("node > leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     pairs = pairs.join(folded.toDF("b", "sketch_b"), "b").join(folded.toDF("a", "sketch_a"), "a")
-    pairs = pairs.filter(_differing(F.col("sketch_a"), F.col("sketch_b")) <= how.most_bits).select("a", "b")
+    pairs = common.stage(pairs.filter(_differing(F.col("sketch_a"), F.col("sketch_b")) <= how.most_bits).select("a", "b"), "pairs")
+    # the texts of all classes that share a bucket, moved once: later steps read no others. A node has no more candidates than bands
+    empty = F.array().cast("array<long>")
+    wanted = members.select("node").distinct().select(F.col("node").alias("doc_id"), empty.alias("leaders"), F.lit(False).alias("leads"))
+    wanted = wanted.unionByName(pairs.select(F.col("b").alias("doc_id"), F.array("a").alias("leaders"), F.lit(False).alias("leads")))
+    wanted = wanted.unionByName(pairs.select(F.col("a").alias("doc_id"), empty.alias("leaders"), F.lit(True).alias("leads")).distinct())
+    wanted = wanted.groupBy("doc_id").agg(F.flatten(F.collect_list("leaders")).alias("leaders"), F.max("leads").alias("leads"))
+    texts = common.stage(rows.join(wanted, "doc_id"), "texts")
     # where ids repeat, a pair of ids may be confirmed by several texts
-    links = common.stage(_confirm(pairs, texts, how).distinct(), "links")
+    links = common.stage(_confirm(texts, how).distinct(), "links")
     parts = connected_components(links)
 
     labelled = members.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    labelled = common.stage(labelled.select("bucket", "band", "node", "component", "size"), "labelled")
+    labelled = common.stage(labelled.select("bucket", "node", "component", "size"), "labelled")
     mixed = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
     inside = labelled.join(common.stage(mixed.select("bucket"), "mixed"), "bucket")
-    more = common.stage(_across(inside.join(classes.select("node", "n_shingles", "bands", "sketch"), "node"), texts, how), "more")
+    inside = inside.join(classes.select("node", "n_shingles", "bands", "sketch"), "node").withColumn("band", (F.array_position("bands", F.col("bucket")) - 1).cast("int"))
+    more = common.stage(_across(inside, texts, how), "more")
     if not more.isEmpty():
         parts = connected_components(links.unionByName(more))
 

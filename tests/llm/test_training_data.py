@@ -255,7 +255,7 @@ def test_odd_sketch_estimates():
 
 
 def test_components_of_chains_and_stars(spark):
-    from corvane.llm.components import connected_components
+    from corvane.operators.components import connected_components
 
     links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(200, 201), (201, 200), (300, 300)]
     got = {r["node"]: r["component"] for r in rows_of(connected_components(spark.createDataFrame(links, "a long, b long")))}
@@ -666,3 +666,91 @@ def test_pipeline_stages_keep_columns_and_decide(spark, sf_dir):
         docs, n = after, after.count()
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
     assert packed.select("doc_id").distinct().count() == n
+
+
+def tables(spark, folder, documents, columns="doc_id long, text string, lang string, source string, n_chars long"):
+    """A folder of the tables that the pipeline reads."""
+    learn = [(i, f"you stupid idiot {i}" if i % 3 == 0 else f"the fox and the owl number {i}", "en", "s", 9) for i in range(2000, 2200)]
+    rows = spark.createDataFrame(documents, columns)
+    for c in rows.columns[5:]:
+        learn = [(*r, None) for r in learn]
+    rows.unionByName(spark.createDataFrame(learn, columns)).write.parquet(f"{folder}/documents.parquet")
+    marks = [(r[0], 1, int("stupid" in r[1])) for r in learn]
+    spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, " ".join(WORDS)), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return folder
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """Nulls, repeated ids with other texts and with the same one, empty and long texts, and columns with the stages' own names."""
+    import corpus_pipeline
+
+    random.seed(6)
+    long = " ".join(random.choices(["a", "the", "of", "and", *WORDS], k=30_000))
+    odd = [(1, None), (2, ""), (3, long), (4, long + " tail"), (5, "one text about the red fox of the mill"), (5, "another text about an old blue owl"), (6, "same words here for the two of us all"), (6, "same words here for the two of us all"), (None, "no id but a text of the usual words"), (7, "you stupid idiot"), (8, "before " + " ".join(WORDS) + " behind")]
+    columns = "doc_id long, text string, lang string, source string, n_chars long, toxicity double, lang_pred string, lang_score double, digest string, node long, place int, h long"
+    rows = [(d, t, "en", "s", 1, 0.5, "x", 0.1, "d", 1, 2, 3) for d, t in odd]
+    folder = str(tmp_path)
+    learn = spark.createDataFrame(rows, columns)
+    tables(spark, folder, [tuple(r) for r in learn.collect()], columns)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = common.stage(stage(spark, docs, folder), name)
+        assert docs.columns == learn.columns
+    left = {(r.doc_id, r.text) for r in docs.collect() if r.doc_id is None or r.doc_id < 2000}
+    assert (3, long) in left and (4, long + " tail") not in left and (7, "you stupid idiot") not in left and not any(d == 8 for d, _ in left)
+    assert {(5, odd[4][1]), (5, odd[5][1]), (6, odd[6][1]), (None, odd[8][1])} <= left
+    packed = rows_of(corpus_pipeline.run(spark, folder))
+    pieces = {}
+    for r in packed:
+        pieces.setdefault(r["doc_id"], []).append((r["start"], r["length"], r["doc_tokens"]))
+    assert sum(n for _, n, _ in pieces[3]) == pieces[3][0][2] and len(pieces[6]) == 1 and len(pieces[5]) == 2
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    import corpus_pipeline
+
+    folder = str(tmp_path)
+    for name, columns in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], columns).write.parquet(f"{folder}/{name}.parquet")
+    assert corpus_pipeline.run(spark, folder).count() == 0
+
+
+CONTRACT = {
+    "op1_warc": "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint",
+    "op3_near_duplicates": "doc_id bigint, n_shingles bigint, component_id bigint, kept boolean",
+    "op4_quality_rules": "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean",
+    "op5_language_id": "doc_id bigint, held_out boolean, lang_pred string, score double",
+    "op6_chat_format": "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint",
+    "op7_token_files": "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint",
+    "op9_packing": "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint",
+    "op10_toxicity": "doc_id bigint, held_out boolean, score double, predicted int",
+}
+
+
+def test_registered_queries_hold_their_contract(spark, sf_dir):
+    from corvane.llm.queries import queries
+
+    registered = queries()
+    assert [n.split("_")[0] for n in registered if n.startswith("op")] == [f"op{i}" for i in range(1, 11)] and "pipeline" in registered
+    for name, run in registered.items():
+        out = run(spark, sf_dir)
+        kinds = [f"{n} {k}" for n, k in out.dtypes]
+        assert set(CONTRACT.get(name, "").split(", ")) - {""} <= set(kinds), name
+        found = out.collect()
+        table, key = {"op1_warc": ("pages", "page_id"), "op6_chat_format": ("conversations", "conv_id")}.get(name, ("documents", "doc_id"))
+        ids = {r[0] for r in common.load(spark, sf_dir, table).select(key).collect()}
+        if name == "op6_chat_format":
+            (row,) = [r for r in found if r.conv_id == -7]
+            said = chat_format.LOOKALIKE
+            assert (row.n_turns, row.loss_chars, row.loss_sha256) == (2, len(said), hashlib.sha256(said.encode()).hexdigest())
+            assert row.turns_sha256 == hashlib.sha256(f"user\n{said}\nassistant\n{said}\n".encode()).hexdigest()
+            ids = ids | {-7}
+        if name in CONTRACT:
+            assert {r[key] for r in found} == ids and (len(found) == len(ids) or name == "op9_packing"), name
+        if name == "op9_packing":
+            used = {}
+            for r in found:
+                used.setdefault(r.sequence_id, []).append((r.offset, r.length))
+            assert all(sum(n for _, n in u) <= 1024 and [o for o, _ in sorted(u)] == np.cumsum([0, *(n for _, n in sorted(u))])[:-1].tolist() for u in used.values())
+            assert len(used) <= 1 + -(-sum(r.length for r in found) // 1024) * 1.02
