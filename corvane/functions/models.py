@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -53,6 +54,28 @@ def embedder(model: Callable[[], Callable[[list[str]], list[list[float]]]], batc
     return run
 
 
+def remembered(encode: Callable[[list[str]], list[list[float]]], most: int = 128) -> Callable[[list[str]], list[list[float]]]:
+    """encode that keeps the vectors of the last `most` texts asked for: queries repeat."""
+    kept: OrderedDict[str, list[float]] = OrderedDict()
+
+    def run(texts: list[str]) -> list[list[float]]:
+        found = {t: kept[t] for t in texts if t in kept}
+        fresh = [t for t in dict.fromkeys(texts) if t not in found]
+        found |= dict(zip(fresh, encode(fresh), strict=True)) if fresh else {}
+        for t in texts:
+            kept[t] = found[t]
+            kept.move_to_end(t)
+        while len(kept) > most:
+            kept.popitem(last=False)
+        return [found[t] for t in texts]
+
+    return run
+
+
+def embed_query(text: Column) -> Column:
+    return embedder(lambda: remembered(hashed_words))(text)
+
+
 def embed(text: Column) -> Column:
     return embedder(lambda: hashed_words)(text)
 

@@ -154,45 +154,50 @@ def _fuzzy(text: str, anchor: str) -> tuple[int, int, float]:
 def provenance(chunks: DataFrame, documents: DataFrame, key: str, index: str, chunk: str, original: str, refactored: str) -> DataFrame:
     """Where each chunk stands in the refactored and the original text, with method and confidence.
 
-    A document's chunks are followed in order, since a search starts where the last one ended; one
-    document is what a task holds. Exact places come first, then the refactored slice, then the most
-    similar paragraph.
+    A document's chunks are followed in order, since a search starts where the last one ended: they come
+    as one array beside its texts, which are moved once. Exact places come first, then the most similar
+    paragraph of the original. Chunks of unknown documents have no row.
     """
-
-    def follow(table):
+    columns = "refactored_start long, original_start long, original_end long, method string, confidence double"
+
+    def place(text, part, start):
+        if not text or not part:
+            return -1, "missing"
+        found = text.find(part, start)
+        if found >= 0:
+            return found, "exact_cursor"
+        found = text.find(part)
+        return found, "exact_global" if found >= 0 else "not_found"
+
+    def follow(batches):
         import pyarrow as pa
 
-        out, at_original, at_refactored = [], 0, 0
-
-        def place(text, part, start):
-            if not text or not part:
-                return -1, "missing"
-            found = text.find(part, start)
-            if found >= 0:
-                return found, "exact_cursor"
-            found = text.find(part)
-            return found, "exact_global" if found >= 0 else "not_found"
-
-        for r in table.sort_by(index).to_pylist():
-            part, source, made = r[chunk] or "", r[original] or "", r[refactored] or ""
-            m, how_made = place(made, part, at_refactored)
-            o, how = place(source, part, at_original)
-            size, sure = len(part), 1.0 if o >= 0 else 0.0
-            if o < 0:
-                start, end, ratio = _fuzzy(source, part) if source.strip() and part.strip() else (-1, -1, 0.0)
-                if start >= 0 and ratio >= 0.45:
-                    o, size, how, sure = start, end - start, "paragraph_fuzzy", round(min(0.79, ratio), 3)
-                else:
-                    how = "unmapped"
-            at_refactored = m + len(part) if m >= 0 else at_refactored
-            at_original = o + size if o >= 0 else at_original
-            out.append((r[key], r[index], m, o, o + size if o >= 0 else -1, f"{how_made}->{how}", sure))
-        names = [key, index, "refactored_start", "original_start", "original_end", "method", "confidence"]
-        return pa.table({n: [x[i] for x in out] for i, n in enumerate(names)})
-
-    rows = chunks.select(key, index, chunk).join(documents.select(key, original, refactored), key)
-    kinds = f"{key} {chunks.schema[key].dataType.simpleString()}, {index} long"
-    return rows.groupBy(key).applyInArrow(follow, kinds + ", refactored_start long, original_start long, original_end long, method string, confidence double")
+        for batch in slices(batches, "source", rows=16):
+            out = []
+            for k, parts, source, made in zip(*(batch.column(c).to_pylist() for c in ("key", "parts", "source", "made")), strict=True):
+                at_original = at_refactored = 0
+                source, made = source or "", made or ""
+                for part in parts:
+                    number, part = part["i"], part["c"] or ""
+                    m, how_made = place(made, part, at_refactored)
+                    o, how = place(source, part, at_original)
+                    size, sure = len(part), 1.0 if o >= 0 else 0.0
+                    if o < 0:
+                        start, end, ratio = _fuzzy(source, part) if source.strip() and part.strip() else (-1, -1, 0.0)
+                        if start >= 0 and ratio >= 0.45:
+                            o, size, how, sure = start, end - start, "paragraph_fuzzy", round(min(0.79, ratio), 3)
+                        else:
+                            how = "unmapped"
+                    at_refactored = m + len(part) if m >= 0 else at_refactored
+                    at_original = o + size if o >= 0 else at_original
+                    out.append((k, number, m, o, o + size if o >= 0 else -1, f"{how_made}->{how}", sure))
+            kinds = (batch.column("key").type, *[pa.int64()] * 4, pa.string(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * 7, kinds, strict=True)], [key, index, "refactored_start", "original_start", "original_end", "method", "confidence"])
+
+    parts = chunks.groupBy(F.col(key).alias("key")).agg(F.sort_array(F.collect_list(F.struct(F.col(index).cast("long").alias("i"), F.col(chunk).alias("c")))).alias("parts"))
+    texts = documents.select(F.col(key).alias("key"), F.col(original).alias("source"), F.col(refactored).alias("made"))
+    kind = chunks.schema[key].dataType.simpleString()
+    return parts.join(texts, "key").select("key", "parts", "source", "made").mapInArrow(follow, f"{key} {kind}, {index} long, {columns}")
 
 
 def chosen_chunks(files: DataFrame, key: str, kind: str, text: str = "text", size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:

@@ -275,6 +275,18 @@ def parse_filters(text: str) -> tuple[str, dict[str, str]]:
     return " ".join(rest.split()), found
 
 
+def filter_parts(text: Column) -> Column:
+    """parse_filters as a column: a struct of rest, source and section; of several values of a name the last counts."""
+    pattern = lambda names: rf'(?i)\b(?:{names}):(?:"[^"]*"|\S+)'
+
+    def value(name: str) -> Column:
+        last = F.try_element_at(F.regexp_extract_all(text, F.lit(pattern(name)), F.lit(0)), F.lit(-1))
+        plain = last.substr(F.lit(len(name) + 2), F.length(last))
+        return F.when(plain.rlike('^"[^"]*"$'), F.regexp_replace(plain, '"', "")).otherwise(plain).alias(name)
+
+    return F.struct(T.strip(T.collapse(F.regexp_replace(text, pattern("source|section"), " "))).alias("rest"), value("source"), value("section"))
+
+
 def search(docs: DataFrame, queries: DataFrame, source: str | None = None, tenant: str | None = None, **options) -> DataFrame:
     """hybrid_search over documents of one source or tenant, if given; the default tenant is no filter."""
     filters = [("source", "eq", source)] if source else []

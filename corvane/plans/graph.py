@@ -387,19 +387,32 @@ def vectors(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select(F.concat(F.lit("e"), F.col("vec_id").cast("string")).alias("name"), F.col("label").cast("string").alias("type"), F.col("vec_id").alias("place"), F.col("embedding").alias("vector"))
 
 
-@query(
-    "g41_similar_entities",
-    """
+SIMILAR = """
     WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
     SELECT a.label::VARCHAR AS type, 'e' || a.vec_id AS a, 'e' || b.vec_id AS b, round(list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 5) AS similarity
     FROM e a JOIN e b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) >= 0.3
-    """,
-)
+"""
+
+
+@query("g41_similar_entities", SIMILAR)
 def g41(spark, sf_dir):
     return G.similar_names(vectors(spark, sf_dir), 0.3).withColumn("similarity", F.round("similarity", 5))
 
 
-@query("g41_greedy_merges")
+def greedy_sql(counts: str) -> str:
+    """The pairs of a type folded in order; counts: (name, n)."""
+    start = "{'a': '', 'b': '', 'na': 0::BIGINT, 'nb': 0::BIGINT, 'gone': []::VARCHAR[], 'merged': []::STRUCT(loser VARCHAR, winner VARCHAR)[]}"
+    one = "{'a': a, 'b': b, 'na': x.n::BIGINT, 'nb': y.n::BIGINT, 'gone': []::VARCHAR[], 'merged': []::STRUCT(loser VARCHAR, winner VARCHAR)[]}"
+    lost, won = "(CASE WHEN p.nb > p.na THEN p.a ELSE p.b END)", "(CASE WHEN p.nb > p.na THEN p.b ELSE p.a END)"
+    step = f"CASE WHEN list_contains(s.gone, p.a) OR list_contains(s.gone, p.b) THEN s ELSE {{'a': p.a, 'b': p.b, 'na': p.na, 'nb': p.nb, 'gone': list_append(s.gone, {lost}), 'merged': list_append(s.merged, {{'loser': {lost}, 'winner': {won}}})}} END"
+    return f"""
+    SELECT m.loser, m.winner FROM (
+      SELECT unnest(list_reduce(list_prepend({start}, list({one} ORDER BY a, b)), lambda s, p: {step}).merged) AS m
+      FROM ({SIMILAR}) JOIN ({counts}) x ON x.name = a JOIN ({counts}) y ON y.name = b GROUP BY type)
+    """
+
+
+@query("g41_greedy_merges", greedy_sql("SELECT 'e' || vec_id AS name, vec_id % 7 AS n FROM embeddings"))
 def g41g(spark, sf_dir):
     counts = vectors(spark, sf_dir).select(F.col("name").alias("canonical"), (F.col("place") % 7).alias("mention_count"))
     return G.greedy_merges(G.similar_names(vectors(spark, sf_dir), 0.3), counts)
@@ -541,7 +554,10 @@ def g37(spark, sf_dir):
     return G.community_levels(g16(spark, sf_dir).select("subject", "object", "weight"), 2)
 
 
-@query("g42_resolution")
+@query(
+    "g42_resolution",
+    f"SELECT 'also e' || vec_id AS loser, 'e' || vec_id AS winner, 'alias' AS phase FROM embeddings WHERE vec_id % 10 = 0 UNION ALL SELECT loser, winner, 'embedding' FROM ({greedy_sql('SELECT chr(101) || vec_id AS name, vec_id % 7 + CASE WHEN vec_id % 10 = 0 THEN 2 ELSE 1 END AS n FROM embeddings')})",
+)
 def g42(spark, sf_dir):
     return G.resolve(*resolution_inputs(spark, sf_dir))[2]
 

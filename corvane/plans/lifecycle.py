@@ -266,6 +266,16 @@ def p10(spark, sf_dir):
     return rows.select("item_id", F.sha2(F.to_json(F.struct("alpha", "limit", "query")), 256).alias("cache_key"))
 
 
+@query("s20_visual_pages", "SELECT page_id, url, 2 AS version FROM pages WHERE page_id % 6 = 0 AND page_id % 4 <> 0 UNION ALL SELECT page_id, url, 1 FROM pages WHERE page_id % 6 <> 0 AND page_id % 4 <> 0")
+def s20(spark, sf_dir):
+    """Pages are inserted without their mean vectors, some again, and those of deleted documents go."""
+    from ..sources.tables import delete, upsert
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.lit(1).alias("version"), F.array(F.lit(0.0)).alias("mean_vector")).drop("mean_vector")
+    again = pages.filter("page_id % 6 = 0").withColumn("version", F.lit(2))
+    return delete(upsert(pages, again, "page_id"), pages.filter("page_id % 4 = 0"), "page_id")
+
+
 @query("s19_ranked_sources", f"SELECT source, n, CAST(rank() OVER (ORDER BY n DESC) AS INTEGER) AS place FROM (SELECT source, count(*) AS n FROM documents GROUP BY source)")
 def s19(spark, sf_dir):
     counts = docs(spark, sf_dir).groupBy("source").agg(F.count("*").alias("n"))  # one row a source

@@ -228,6 +228,25 @@ def f2(spark, sf_dir):
     return R.where(table(spark, sf_dir, "documents"), [(k, "eq", v) for k, v in named.items()]).select("doc_id", "source")
 
 
+NAMED = lambda name: f"regexp_extract_all(t, '(?i)\\b{name}:(?:\"[^\"]*\"|[^{S.SPACE}]+)', 0)[-1]"
+VALUE = lambda name: f"coalesce(CASE WHEN regexp_matches({NAMED(name)}, '^[^:]*:\"[^\"]*\"$') THEN replace(substr({NAMED(name)}, {len(name) + 2}), '\"', '') ELSE substr({NAMED(name)}, {len(name) + 2}) END, '')"
+
+
+@query(
+    "f3_filter_syntax",
+    f"""
+    WITH t AS (SELECT item_id, CASE item_id % 3 WHEN 0 THEN 'source:"spec docs/a ' || item_id || '.md" ' || text ELSE text END || CASE WHEN item_id % 2 = 0 THEN ' Section:Clock' || item_id || ' source:last' ELSE ' resource x' END AS t FROM benchmark)
+    SELECT item_id, {S.strip(S.collapse(f"regexp_replace(t, '(?i)\\b(?:source|section):(?:\"[^\"]*\"|[^{S.SPACE}]+)', ' ', 'g')"))} AS rest, {VALUE('source')} AS source, {VALUE('section')} AS section FROM t
+    """,
+)
+def f3(spark, sf_dir):
+    n, s = F.col("item_id"), F.col("item_id").cast("string")
+    head = F.when(n % 3 == 0, F.concat(F.lit('source:"spec docs/a '), s, F.lit('.md" '), "text")).otherwise(F.col("text"))
+    tail = F.when(n % 2 == 0, F.concat(F.lit(" Section:Clock"), s, F.lit(" source:last"))).otherwise(" resource x")
+    rows = table(spark, sf_dir, "benchmark").select("item_id", R.filter_parts(F.concat(head, tail)).alias("p"))
+    return rows.select("item_id", "p.rest", F.coalesce("p.source", F.lit("")).alias("source"), F.coalesce("p.section", F.lit("")).alias("section"))
+
+
 @query("f4_value_whitelist", f"SELECT doc_id, regexp_matches(text, '^[{S.WORD_CHAR}.\\- /]{{1,200}}$') AS allowed FROM documents")
 def f4(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.col("text").rlike(r"(?U)^[\w.\- /]{1,200}\z").alias("allowed"))

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+LONG_TEXTS = ("documents", "pages")
+
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
@@ -27,4 +29,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table's rows. Long texts of a file with too few splits are spread over the cores; a large table has enough and stays as it is."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name in LONG_TEXTS and rows.rdd.getNumPartitions() < (cores := spark.sparkContext.defaultParallelism):
+        rows = rows.repartition(cores)
+    return rows

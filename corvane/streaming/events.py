@@ -129,7 +129,7 @@ def ingested(spark: SparkSession, target: str, key: str, schema, before: int | N
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(target)
     files = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
     names = [s.getPath().getName() for s in files.listStatus(hadoop)] if files.exists(hadoop) else []
-    paths = [f"{target}/{n}" for n in names if n.startswith("batch=") and (before is None or int(n[6:]) < before)]
+    paths = [f"{target}/{n}" for n in names if n.startswith("version=") and (before is None or int(n[8:]) < before)]
     if not paths:
         return spark.createDataFrame([], schema)
     last = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("version")))
@@ -149,6 +149,6 @@ def ingest(stream: DataFrame, target: str, key: str, checkpoint: str, order: lis
         newest = F.row_number().over(Window.partitionBy(key).orderBy(*[F.desc(c) for c in order], "content_hash"))
         fresh = fresh.withColumn("place_", newest).filter("place_ = 1").drop("place_").withColumn("version", F.lit(number).cast("long"))
         known = ingested(spark, target, key, fresh.schema, before=number).select(key, "content_hash")
-        fresh.join(known, [key, "content_hash"], "left_anti").select(fresh.columns).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        fresh.join(known, [key, "content_hash"], "left_anti").select(fresh.columns).write.mode("overwrite").parquet(f"{target}/version={number}")
 
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -258,6 +258,13 @@ def test_embeddings(spark, sf_dir):
         assert r.dimensions == models.DIMENSIONS and r.length in (0.0, 1.0) and (r.length == 1.0 or not any(models.hashed_words([texts[r.doc_id]])[0]))
 
 
+def test_remembered_vectors():
+    asked = []
+    encode = models.remembered(lambda texts: asked.append(texts) or [[float(len(t))] for t in texts], 2)
+    assert encode(["a", "bb", "a"]) == [[1.0], [2.0], [1.0]] and encode(["a"]) == [[1.0]] and encode(["ccc", "a"]) == [[3.0], [1.0]]
+    assert encode(["bb"]) == [[2.0]] and asked == [["a", "bb"], ["ccc"], ["bb"]]
+
+
 def test_unicode_injection(spark, sf_dir):
     from corvane.plans.rails import asked
 
@@ -297,3 +304,45 @@ def test_provenance_spans(spark, sf_dir):
     for r in found:
         if r.method.endswith("unmapped"):
             assert r.original_start == r.original_end == -1
+
+
+def test_relations_equal_plain_patterns(spark, sf_dir):
+    """Extraction and clean-up of every document, sentence by sentence."""
+    lead = "TensorFlow is a library for numbers. Deep Learning is a subset of machine learning. Frameworks such as PyTorch, and JAX exist. TensorFlow uses graphs with nodes.\n"
+    docs = registry.table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit(lead), "text").alias("text"))
+    want, cleaned = [], []
+    for doc, text, known in docs.select("doc_id", "text", graph.entities(F.col("text"))).collect():
+        for s in re.split(r"[.!?\n]\s*", re.sub(r"(?m)^#{1,6}\s+.*$", "", text)):
+            if len(s.strip()) < 10:
+                continue
+            found = {name: re.search(p, s) for name, p in graph.RELATIONS}
+            made = []
+            if found["subset_of"]:
+                made = [(found["subset_of"][1].strip(), "subset_of", found["subset_of"][2].strip())]
+            else:
+                for name, m in found.items():
+                    if m and name != "subset_of":
+                        subject = m[1].strip()
+                        if name not in ("is_a", "uses") or any(subject in e or e in subject for e in known):
+                            made.append((subject, name, " ".join(m[2].split()[:4])))
+                if m := re.search(graph.SUCH_AS, s):
+                    parts = [e.strip() for e in re.split(r",\s*(?:and\s+)?", re.sub(r"[., ]+$", "", m[2]))]
+                    made += [(e, "is_a", m[1].strip()) for e in parts if e[:1].isupper() and len(e.split()) <= 4]
+            want += [(doc, *x) for x in made]
+    assert sorted(rows(registry.QUERIES["g3_relations"](spark, sf_dir))) == sorted(want) and len(want) > 400
+    for doc, subject, relation, obj in want:
+        a, b = subject.split(), obj.split()
+        if len(a) > 4 or len(b) > 4 or (a and (a[0].lower() in ("the", "a", "an") or a[-1].lower() in graph.TRAILING_ADVERBS)) or (b and b[0].lower() in graph.VERB_STARTS):
+            continue
+        obj = re.sub(graph.TRAILING_JUNK, "", obj).strip()
+        if len(obj) >= 3 and not (len(obj.split()) == 1 and obj[0].islower() and len(obj) < 5):
+            cleaned.append((doc, subject, relation, obj))
+    assert sorted(rows(registry.QUERIES["g4_clean_relations"](spark, sf_dir))) == sorted(cleaned)
+    names = [(doc, n) for doc, known in docs.select("doc_id", graph.entities(F.substring("text", len(lead) + 1, 10**9))).collect() for n in known]
+    names += [(doc, n) for doc, s, _, o in cleaned for n in (s, o)]
+    first, count = {}, {}
+    for doc, n in sorted(names):
+        first.setdefault(n.lower(), n)
+    for _, n in names:
+        count[first[n.lower()]] = count.get(first[n.lower()], 0) + 1
+    assert dict(rows(registry.QUERIES["g44_chunk_ingest"](spark, sf_dir))) == count

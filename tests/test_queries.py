@@ -22,7 +22,7 @@ CHECKED = [
 def rows(frame: pd.DataFrame) -> list[tuple]:
     def plain(v):
         v = v.tolist() if hasattr(v, "tolist") and not isinstance(v, (str, bytes)) else v
-        return None if v is None or v is pd.NaT or v != v else str(v)
+        return None if v is None or v is pd.NaT or v is pd.NA or v != v else str(v)
 
     frame = frame[sorted(frame.columns)].astype(object)
     return sorted((tuple(map(plain, r)) for r in frame.itertuples(index=False)), key=str)
