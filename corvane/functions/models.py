@@ -28,25 +28,25 @@ def hashed_words(texts: list[str]) -> list[list[float]]:
     return out
 
 
-def embedder(model: Callable[[], Callable[[list[str]], list[list[float]]]], batch: int = 64):
-    """A function of a text column from a loader of a model; the model is loaded once a task, batches are bounded.
+def model_function(result: str, model: Callable[[], Callable[[list[str]], list]], batch: int = 64):
+    """A function of a text column, with values of the type `result`, from a loader of a model; it is loaded once a task, batches are bounded.
 
-    A batch that fails is tried row by row, so that one row can't cost the others: its vector is null.
+    A batch that fails is tried row by row, so that one row can't cost the others: its value is null.
     """
 
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf(result)
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encode = model()
+        apply = model()
         for texts in parts:
             out: list = []
             values = [t or "" for t in texts]
             for i in range(0, len(values), batch):
                 try:
-                    out += encode(values[i : i + batch])
+                    out += apply(values[i : i + batch])
                 except Exception:
                     for value in values[i : i + batch]:
                         try:
-                            out += encode([value])
+                            out += apply([value])
                         except Exception:
                             out.append(None)
             yield pd.Series(out, index=texts.index)
@@ -54,6 +54,27 @@ def embedder(model: Callable[[], Callable[[list[str]], list[list[float]]]], batc
     return run
 
 
+def embedder(model: Callable[[], Callable[[list[str]], list[list[float]]]], batch: int = 64):
+    """Vectors of texts."""
+    return model_function("array<double>", model, batch)
+
+
+def recogniser(model: Callable[[], Callable[[list[str]], list[list[dict]]]], batch: int = 16):
+    """Entities of texts, as arrays of name, type and score."""
+    return model_function("array<struct<name:string,type:string,score:double>>", model, batch)
+
+
+def classifier(model: Callable[[], Callable[[list[str]], list[float]]], batch: int = 64):
+    """Scores of texts, such as how likely one is an injection."""
+    return model_function("double", model, batch)
+
+
+def rewriter(model: Callable[[], Callable[[list[str]], list[str]]] = lambda: list, batch: int = 16):
+    """Rewritten texts, such as reformulated queries or refactored documents; without a model the texts themselves, as where a rewrite fails."""
+    write = model_function("string", model, batch)
+    return lambda text: F.coalesce(write(text), text)
+
+
 def remembered(encode: Callable[[list[str]], list[list[float]]], most: int = 128) -> Callable[[list[str]], list[list[float]]]:
     """encode that keeps the vectors of the last `most` texts asked for: queries repeat."""
     kept: OrderedDict[str, list[float]] = OrderedDict()

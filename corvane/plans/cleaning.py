@@ -206,6 +206,20 @@ def s3(spark, sf_dir):
     return route(table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("dir/"), name).alias("path")))
 
 
+@query("s4_files_read", "SELECT item_id, text || ' é' || chr(10) AS text FROM benchmark WHERE item_id % 5 <> 0")
+def s4(spark, sf_dir):
+    """Each item as a file, half of them in Latin-1, each fifth in a format that isn't read; then the folder is scanned."""
+    from ..sources.checkpoint import folder
+    from ..sources.files import scan_directory
+
+    root, said = folder(spark, "files"), F.concat("text", F.lit(" é"))
+    coded = F.when(F.col("item_id") % 2 == 0, F.encode(said, "ISO-8859-1")).otherwise(F.encode(said, "UTF-8"))
+    rows = table(spark, sf_dir, "benchmark").select("item_id", coded.cast("string").alias("value"))
+    rows.filter("item_id % 5 <> 0").write.partitionBy("item_id").text(f"{root}/plain")
+    rows.filter("item_id % 5 = 0").write.partitionBy("item_id").option("compression", "gzip").text(f"{root}/packed")
+    return scan_directory(spark, root).select(F.regexp_extract("path", r"item_id=(\d+)", 1).cast("long").alias("item_id"), "text")
+
+
 # S7, S11: structure
 NO_BORDER = rf"[^{S.WORD_CHAR}]"
 

@@ -265,6 +265,23 @@ def test_remembered_vectors():
     assert encode(["bb"]) == [[2.0]] and asked == [["a", "bb"], ["ccc"], ["bb"]]
 
 
+def test_models_by_row_where_a_batch_fails(spark):
+    df = spark.createDataFrame([(1, "Ann met Bob"), (2, "boom"), (3, None)], "id long, text string")
+
+    def names():
+        def run(texts):
+            if "boom" in texts:
+                raise RuntimeError
+            return [[{"name": w, "type": "person", "score": 0.5} for w in t.split() if w.istitle()] for t in texts]
+
+        return run
+
+    got = {r.id: r for r in df.select("id", models.recogniser(names)("text").alias("e"), models.classifier(lambda: lambda ts: [float(len(t)) for t in ts])("text").alias("n"), models.rewriter()("text").alias("same"), models.rewriter(lambda: lambda ts: [t.upper() if t != "boom" else 1 / 0 for t in ts])("text").alias("up")).collect()}
+    assert [e.name for e in got[1].e] == ["Ann", "Bob"] and got[2].e is None and got[3].e == []
+    assert [got[i].n for i in (1, 2, 3)] == [11.0, 4.0, 0.0]
+    assert (got[1].same, got[1].up, got[2].up) == ("Ann met Bob", "ANN MET BOB", "boom")
+
+
 def test_unicode_injection(spark, sf_dir):
     from corvane.plans.rails import asked
 
