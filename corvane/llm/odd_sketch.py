@@ -12,10 +12,11 @@
    within the task that compares them, which returns links alone, and no more than join components.
    After this every pair that shares a bucket is in one component, dismissed or confirmed.
 
-Nothing is dropped: a bucket of any size goes through 3 (one pair a member) and 4 (blocks). In 4 a
-bucket's tasks grow with the square of its blocks, its rows out only with its members. Two
-documents of the least similarity share no bucket with a probability of under one in a million, and
-are dismissed by their sketches as rarely.
+Nothing is dropped: a bucket of any size goes through 3 (one pair a member) and 4 (blocks). In 4 the
+largest component of a bucket is compared with the rest alone, and a bucket with very many members
+outside it is first split by bands of further samples. What remains grows with the square of the
+members outside the largest component that are alike by these as well. Two documents of the least similarity share no
+bucket with a probability of under one in a million, and are dismissed by their sketches as rarely.
 
 Defined results: a document without text or words has no shingles and is linked with nothing. A
 document with fewer words than a shingle has one shingle, all its words. A document without id is
@@ -40,6 +41,8 @@ SAMPLES = 128
 SKETCH_BITS = 512
 #: Classes in one block of a bucket that holds several components.
 BLOCK = 512
+#: A bucket with more blocks than this outside its largest component is split by further bands.
+WIDE = 48
 
 
 @dataclass(frozen=True)
@@ -56,6 +59,11 @@ class Similarity:
         good = [r for r in range(1, 9) if (1 - j**r) ** (SAMPLES // r) < 1e-6]
         return max(good, default=1)
 
+    @property
+    def further(self) -> int:
+        """How many further bands two documents of the least similarity all but surely share one of."""
+        return math.ceil(math.log(1e-9) / math.log(1 - (self.percent / 100) ** self.rows)) if self.percent < 100 else 1
+
     @property
     def most_bits(self) -> int:
         """Bits in which the sketches of a linked pair differ at most."""
@@ -115,6 +123,19 @@ def bands(signatures: np.ndarray, rows: int) -> np.ndarray:
         return mix((parts * _WORD_FACTORS[:rows]).sum(axis=2, dtype=np.uint64) + _SALTS[:count])
 
 
+def further_bands(elements: np.ndarray, how: Similarity) -> np.ndarray:
+    """Bands of samples that no signature holds."""
+    rows, count = how.rows, how.further
+    if not len(elements):
+        return np.empty(0, np.int64)
+    factors, terms = _stream(rows * count, 5) | np.uint64(1), _stream(rows * count, 6)
+    least = np.full(rows * count, np.iinfo(np.uint64).max, np.uint64)
+    with np.errstate(over="ignore"):
+        for at in range(0, len(elements), 256):
+            np.minimum(least, (elements[at : at + 256, None] * factors + terms).min(axis=0), out=least)
+        return mix((least.reshape(count, rows) * _WORD_FACTORS[:rows]).sum(axis=1, dtype=np.uint64) + _stream(count, 7)).view(np.int64)
+
+
 def sketches(signatures: np.ndarray) -> np.ndarray:
     """Parity bitmaps, a row of SKETCH_BITS / 8 bytes each."""
     n = len(signatures)
@@ -197,16 +218,56 @@ def _confirm(texts: DataFrame, how: Similarity) -> DataFrame:
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
 
 
-MEMBER = "bucket long, band int, low int, high int, block int, node long, component long, n_shingles long, bands array<long>, sketch binary"
+MEMBER = "bucket long, sub long, kind int, band int, low int, high int, block int, node long, component long, n_shingles long, bands array<long>, sketch binary"
+GROUP = ("bucket", "sub", "kind", "low", "high")
+
+
+def _main(members: DataFrame) -> DataFrame:
+    """Of each (bucket, sub) that holds several components: its largest one, and how many members are in that and in others."""
+    parts = members.groupBy("bucket", "sub", "component").agg(F.count("*").alias("n"))
+    tops = parts.groupBy("bucket", "sub").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("size"))
+    return tops.select("bucket", "sub", F.col("top.component").alias("main"), F.col("top.n").alias("inside"), (F.col("size") - F.col("top.n")).alias("outside")).filter("outside > 0")
+
 
+def _deal(members: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Groups of two blocks of a bucket at most, in which all pairs across components are.
+
+    A bucket that fits a block is one group. Of any other the largest component needs no comparison inside, so
+    its blocks meet those of the rest (kind 0), and the rest's blocks meet one another (kind 1): where
+    few members are outside the largest component, the work grows with the members alone.
+    """
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    rows = members.join(sizes, ["bucket", "sub"]).withColumn("is_main", F.col("component") == F.col("main"))
+    small = F.col("inside") + F.col("outside") <= BLOCK
+    own, others = blocks(F.when(F.col("is_main"), F.col("inside")).otherwise(F.col("outside"))), blocks(F.when(F.col("is_main"), F.col("outside")).otherwise(F.col("inside")))
+    rows = rows.withColumn("place", F.pmod(F.xxhash64("node"), own).cast("int"))
+    columns = ("bucket", "sub", "kind", "band", "low", "high", "block", "node", "component", "n_shingles", "bands", "sketch")
+    zero = F.lit(0)
+    whole = rows.filter(small).withColumns({"kind": F.lit(1), "low": zero, "high": zero, "block": zero})
+    across = rows.filter(~small).withColumn("other", F.explode(F.sequence(zero, others - 1)))
+    across = across.withColumns({"kind": zero, "low": F.when(F.col("is_main"), F.col("place")).otherwise(F.col("other")), "high": F.when(F.col("is_main"), F.col("other")).otherwise(F.col("place")), "block": F.when(F.col("is_main"), 0).otherwise(1)})
+    among = rows.filter(~small & ~F.col("is_main")).withColumn("other", F.explode(F.sequence(zero, own - 1)))
+    among = among.withColumns({"kind": F.lit(1), "low": F.least("place", "other"), "high": F.greatest("place", "other"), "block": F.col("place")})
+    return whole.select(*columns).unionByName(across.select(*columns)).unionByName(among.select(*columns))
+
+
+def _spread(members: DataFrame, wide: DataFrame, texts: DataFrame, how: Similarity) -> DataFrame:
+    """The members of wide buckets, once for each band of further samples (`sub`).
+
+    Two linked documents share one of these with a probability of all but one in a thousand million, while
+    documents that met by one common passage mostly share none.
+    """
+
+    def sign(batches):
+        import pyarrow as pa
+
+        for batch in common.pieces_of(batches):
+            made = [further_bands(shingles(x, how.words), how) for x in batch.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made, pa.list_(pa.int64()))], ["node", "further"])
 
-def _deal(members: DataFrame) -> DataFrame:
-    """Cut each bucket's members into blocks by a hash; every two blocks of a bucket, and each alone, make a group."""
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    dealt = members.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    return dealt.select(
-        "bucket", "band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "component", "n_shingles", "bands", "sketch"
-    )
+    rows = members.drop("sub").join(wide.select("bucket"), "bucket")
+    signed = texts.select("doc_id", "text").join(rows.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(sign, "node long, further array<long>")
+    return rows.join(common.stage(signed, "further"), "node").withColumn("sub", F.explode("further")).drop("further")
 
 
 def _candidates(table, how: Similarity):
@@ -219,6 +280,8 @@ def _candidates(table, how: Similarity):
     raw = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(nodes), -1)
     keys = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(nodes), -1)
     one = block.min() == block.max()
+    if one and table.column("kind")[0].as_py() == 0:  # the other block has no members
+        return
     for i in np.flatnonzero(block == block.min()).tolist():
         near = (parts != parts[i]) & (100 * np.minimum(n, n[i]) >= how.percent * np.maximum(n, n[i]))
         near &= nodes > nodes[i] if one else block != block[i]
@@ -235,6 +298,13 @@ def _across(members: DataFrame, texts: DataFrame, how: Similarity) -> DataFrame:
     A first pass finds the members that have any candidate by sketch; only those get their full sets,
     and the second pass confirms candidates where they are, so that pairs never become rows.
     """
+    members = common.stage(members.withColumn("sub", F.lit(0).cast("long")), "inside")
+    sizes = common.stage(_main(members), "sizes")
+    wide = F.col("outside") > WIDE * BLOCK
+    if not sizes.filter(wide).isEmpty():
+        narrow = members.join(sizes.filter(~wide).select("bucket"), "bucket", "left_semi")
+        members = common.stage(narrow.unionByName(_spread(members, sizes.filter(wide), texts, how)), "spread")
+        sizes = common.stage(_main(members), "sizes")
 
     def active(table):
         import pyarrow as pa
@@ -273,10 +343,9 @@ def _across(members: DataFrame, texts: DataFrame, how: Similarity) -> DataFrame:
             made = [shingles(x, how.words).tobytes() for x in batch.column("text").cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made, pa.binary())], ["node", "elements"])
 
-    group = ("bucket", "low", "high")
-    found = common.stage(_deal(members).groupBy(*group).applyInArrow(active, MEMBER), "active")
+    found = common.stage(_deal(members, sizes).groupBy(*GROUP).applyInArrow(active, MEMBER), "active")
     sets = texts.join(found.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(elements, "node long, elements binary")
-    return found.join(sets, "node").groupBy(*group).applyInArrow(confirm, "a long, b long").distinct()
+    return found.join(sets, "node").groupBy(*GROUP).applyInArrow(confirm, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, how: Similarity = Similarity(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

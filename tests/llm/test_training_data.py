@@ -228,9 +228,11 @@ def test_pipeline_keeps_the_texts_of_repeated_ids(spark):
         assert got == sorted([(0, a, "x"), (1, a, "x"), (2, b, "x"), (5, c, "y"), (7, d, "x"), (9, "", "x")])
 
 
-def test_large_bucket_is_whole(spark, monkeypatch):
-    """More members than a block, most of them not similar enough to the first: links across blocks are found."""
+@pytest.mark.parametrize("wide", [48, 0])
+def test_large_bucket_is_whole(spark, monkeypatch, wide):
+    """More members than a block, most of them not similar enough to the first: links across blocks are found, with further bands (wide 0) as well."""
     monkeypatch.setattr(odd_sketch, "BLOCK", 16)
+    monkeypatch.setattr(odd_sketch, "WIDE", wide)
     random.seed(8)
     base = [f"t{i}" for i in range(100)]
     rows = []
@@ -243,6 +245,36 @@ def test_large_bucket_is_whole(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in got} == brute_components(rows, 3, 85)[0]
 
 
+def test_groups_of_a_bucket_hold_all_pairs_across_components(spark, monkeypatch):
+    monkeypatch.setattr(odd_sketch, "BLOCK", 8)
+    random.seed(4)
+    rows = []
+    for bucket, parts in enumerate(([60, 1], [30, 25, 9], [1] * 40, [3, 2], [50, *[1] * 7])):
+        node = 1000 * bucket
+        for n in parts:
+            first = node
+            rows += [(bucket, 0, 0, node + i, first, 5, [1], b"") for i in range(n)]
+            node += n
+    members = spark.createDataFrame(rows, "bucket long, sub long, band int, node long, component long, n_shingles long, bands array<long>, sketch binary")
+    dealt = rows_of(odd_sketch._deal(members, odd_sketch._main(members)))
+    groups = {}
+    for r in dealt:
+        groups.setdefault(tuple(r[k] for k in odd_sketch.GROUP), []).append(r)
+    met = set()
+    for group in groups.values():
+        sides = {r["block"] for r in group}
+        assert len(group) <= 16 * 3  # two blocks dealt by a hash
+        for x in group:
+            for y in group:
+                if x["node"] < y["node"] and x["component"] != y["component"] and ((len(sides) == 1 and x["kind"] == 1) or x["block"] != y["block"]):
+                    met.add((x["node"], y["node"]))
+    by = {}
+    for r in rows:
+        by.setdefault(r[0], []).append(r)
+    assert met == {(x[3], y[3]) for group in by.values() for x in group for y in group if x[3] < y[3] and x[4] != y[4]}
+    assert sum(r["bucket"] == 0 for r in dealt) <= 60 + 1 * 8 + 1  # one member outside: a row a member, and its own row for each block
+
+
 def test_odd_sketch_estimates():
     random.seed(2)
     how = odd_sketch.Similarity(3, 85)
