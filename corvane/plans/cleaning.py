@@ -144,19 +144,19 @@ def clean_document(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", nfc(T.clean_document(F.col("text"))).alias("v")).select("doc_id", F.length("v").cast("long").alias("n_chars_out"), F.sha2("v", 256).alias("text_sha256"))
 
 
-notes = "[lower(substr(text, 1, 5)), source]"
+notes = "[lower(split_part(text, chr(10), 1)), source]"
 project(
-    "c8_figure_notes", "documents", "doc_id", "text", lambda c: T.figure_notes(c, F.array(F.lower(c.substr(1, 5)), F.col("source"))),
+    "c8_figure_notes", "documents", "doc_id", "text", lambda c: T.figure_notes(c, F.array(F.lower(F.substring_index(c, "\n", 1)), F.col("source"))),
     f"text || chr(10) || chr(10) || '## Figure Notes' || chr(10) || array_to_string(list_transform({notes}, lambda n: '- ' || n), chr(10))",
 )
 
 
 # C10, C11: metadata of a head that documents get from their columns
-HEAD_SQL = "'Title: ' || substr(text, 1, 12) || chr(10) || 'Author: A' || source || chr(10) || 'Tags: ' || lang || ', ' || source || chr(10) || 'Subject: ' || lang || chr(10) || chr(10) || text"
+HEAD_SQL = "'Title: ' || split_part(text, chr(10), 1) || chr(10) || 'Author: A' || source || chr(10) || 'Tags: ' || lang || ', ' || source || chr(10) || 'Subject: ' || lang || chr(10) || chr(10) || text"
 
 
 def head():
-    return F.concat(F.lit("Title: "), F.col("text").substr(1, 12), F.lit("\nAuthor: A"), F.col("source"), F.lit("\nTags: "), F.col("lang"), F.lit(", "), F.col("source"), F.lit("\nSubject: "), F.col("lang"), F.lit("\n\n"), F.col("text"))
+    return F.concat(F.lit("Title: "), F.substring_index("text", "\n", 1), F.lit("\nAuthor: A"), F.col("source"), F.lit("\nTags: "), F.col("lang"), F.lit(", "), F.col("source"), F.lit("\nSubject: "), F.col("lang"), F.lit("\n\n"), F.col("text"))
 
 
 def value_sql(keys: str) -> str:

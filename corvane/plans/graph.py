@@ -532,12 +532,12 @@ def g32(spark, sf_dir):
     return G.community_section(queries, summaries, touched, 60, "<communities>", "</communities>")
 
 
-def hierarchy_sql(rounds: int = 5, least: int = 3) -> str:
-    """Level 1 below the communities of level 0: label propagation on unit weights inside each."""
+def hierarchy_sql(edges: str = G16, before: str = "", rounds: int = 5, least: int = 3) -> str:
+    """Level 1 below the communities of level 0: label propagation on unit weights inside each. before: expressions that edges may use."""
     inner = "SELECT DISTINCT least(g.subject, g.object) AS subject, greatest(g.subject, g.object) AS object, 1 AS weight FROM g JOIN top a ON a.node = g.subject JOIN top b ON b.node = g.object WHERE a.community = b.community AND a.community IN (SELECT community FROM top GROUP BY community HAVING count(*) >= 6)"
     one = lambda k, g: propagation_steps(k, g, rounds)
     return f"""
-    WITH g AS MATERIALIZED ({G16}), {one('a', 'g')},
+    WITH RECURSIVE {before} g AS MATERIALIZED ({edges}), {one('a', 'g')},
     flat AS (SELECT node, community FROM a_l{rounds}),
     top AS MATERIALIZED (SELECT node, CASE WHEN count(*) OVER (PARTITION BY community) < {least} THEN '-1' ELSE community END AS community FROM flat),
     i AS MATERIALIZED ({inner.replace('FROM top GROUP', "FROM top WHERE community <> '-1' GROUP")}), {one('b', 'i')},
@@ -554,9 +554,12 @@ def g37(spark, sf_dir):
     return G.community_levels(g16(spark, sf_dir).select("subject", "object", "weight"), 2)
 
 
+RING_COUNTS = "SELECT chr(101) || vec_id AS name, vec_id % 7 + CASE WHEN vec_id % 10 = 0 THEN 2 ELSE 1 END AS n FROM embeddings"
+
+
 @query(
     "g42_resolution",
-    f"SELECT 'also e' || vec_id AS loser, 'e' || vec_id AS winner, 'alias' AS phase FROM embeddings WHERE vec_id % 10 = 0 UNION ALL SELECT loser, winner, 'embedding' FROM ({greedy_sql('SELECT chr(101) || vec_id AS name, vec_id % 7 + CASE WHEN vec_id % 10 = 0 THEN 2 ELSE 1 END AS n FROM embeddings')})",
+    f"SELECT 'also e' || vec_id AS loser, 'e' || vec_id AS winner, 'alias' AS phase FROM embeddings WHERE vec_id % 10 = 0 UNION ALL SELECT loser, winner, 'embedding' FROM ({greedy_sql(RING_COUNTS)})",
 )
 def g42(spark, sf_dir):
     return G.resolve(*resolution_inputs(spark, sf_dir))[2]
@@ -572,11 +575,18 @@ def resolution_inputs(spark, sf_dir):
     return nodes, edges.join(v.select(F.col("name").alias("object")), "object", "left_semi"), alias, v, 0.3
 
 
-@query("g43_after_ingest")
+RESOLVED = f"""
+    mg AS MATERIALIZED ({greedy_sql(RING_COUNTS)}), ch(loser, winner) AS (SELECT loser, winner FROM mg UNION ALL SELECT ch.loser, mg.winner FROM ch JOIN mg ON mg.loser = ch.winner),
+    fw AS MATERIALIZED (SELECT loser, winner FROM ch WHERE winner NOT IN (SELECT loser FROM mg)), ring AS (SELECT 'e' || a.vec_id AS s, 'e' || b.vec_id AS o FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1),
+"""
+MOVED = "SELECT coalesce(x.winner, s) AS subject, coalesce(y.winner, o) AS object, count(*) AS weight FROM ring LEFT JOIN fw x ON x.loser = s LEFT JOIN fw y ON y.loser = o WHERE coalesce(x.winner, s) <> coalesce(y.winner, o) GROUP BY 1, 2"
+
+
+@query("g43_after_ingest", f"SELECT level, community, count(*) AS members FROM ({hierarchy_sql(MOVED, RESOLVED)}) GROUP BY 1, 2")
 def g43(spark, sf_dir):
     from ..engine import after_ingest
 
-    out = after_ingest(*resolution_inputs(spark, sf_dir))
+    out = after_ingest(*resolution_inputs(spark, sf_dir), levels=2)
     return out["communities"].groupBy("level", "community").agg(F.count("*").alias("members"))
 
 
