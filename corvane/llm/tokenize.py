@@ -14,6 +14,8 @@ import regex
 LONGEST_KEPT = 64
 #: Longer texts are encoded in stretches of about so many characters.
 STRETCH = 4_000_000
+#: New units in one call of the library.
+CALL = 8192
 
 #: Fixed value: the pieces that the byte-level BPE model is applied to.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -121,6 +123,13 @@ class BytePairEncoder:
         return ids, np.diff(heads, append=len(ids))
 
     def _new(self, units) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """_some of all units, so many at a time: the library's answer takes much more memory than the ids."""
+        made = [self._some(units.slice(at, CALL)) for at in range(0, len(units), CALL)]
+        ids, at, sizes = (np.concatenate(x) for x in zip(*made, strict=True))
+        lengths = [len(m[0]) for m in made]
+        return ids, at + np.repeat(np.cumsum(lengths) - lengths, [len(m[1]) for m in made]), sizes
+
+    def _some(self, units) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids, starts and sizes of an Arrow array of units, each with a space before it; a unit that white space borders or a space cuts has -1 for its size."""
         import pyarrow as pa
         import pyarrow.compute as pc
