@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -98,6 +99,18 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(staged: DataFrame) -> None:
+    """Remove the files that a table of stage() is read from, once nothing will read it any more."""
+    for folder in {os.path.dirname(file) for file in staged.inputFiles()}:
+        _remove(staged.sparkSession, folder)
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt over the cores if their files have fewer splits than there are cores, so that costly work on few bytes uses all of them."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 1024) -> Iterator[None]:
     """Jobs that begin here pass whole texts to Python in batches of at most so many rows: the default's may take much memory."""
