@@ -71,7 +71,7 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def with_columns(docs: DataFrame, text_col: str, columns: dict[str, str], compute: Callable) -> DataFrame:
+def with_columns(docs: DataFrame, text_col: str, columns: dict, compute: Callable) -> DataFrame:
     """docs with columns (names and types) that compute() makes of an Arrow array of texts; columns of these names are replaced."""
     new = {c.lower() for c in columns}
     kept = [c for c in docs.columns if c.lower() not in new]

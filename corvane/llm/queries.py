@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, edit_match, heap_lloyd, language_id, odd_sketch, packing, quality_rules, token_files, toxicity, unigram, warc
+from . import chat_format, edit_match, heap_lloyd, language_id, merge_pieces, odd_sketch, packing, quality_rules, radix_mining, token_files, toxicity, unigram, warc
 
 
 def queries() -> dict:
@@ -20,9 +20,11 @@ def queries() -> dict:
         "op9_packing": packing.op9_packing,
         "op10_toxicity": toxicity.op10_toxicity,
         "op11_heap_lloyd": heap_lloyd.op11_heap_lloyd,
+        "op12_merge_pieces": merge_pieces.op12_merge_pieces,
+        "op13_radix_mining": radix_mining.op13_radix_mining,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": warc.ORACLE, "op6_chat_format": chat_format.ORACLE, "op11_heap_lloyd": heap_lloyd.ORACLE}
+    return {"op1_warc": warc.ORACLE, "op6_chat_format": chat_format.ORACLE, "op11_heap_lloyd": heap_lloyd.ORACLE, "op13_radix_mining": radix_mining.ORACLE}
