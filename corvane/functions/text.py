@@ -47,7 +47,7 @@ TYPOGRAPHY = {"‘": "'", "’": "'", "“": '"', "”": '"', "–": "-", "—":
 
 METADATA_KEYS = ["Title", "Author", "Date", "Department", "Tags", "Subject", "From", "Prepared by", "Reviewed by", "Last updated"]
 FIGURE = r"\b(?:Figure|Fig\.)\s*\d+[A-Za-z]?\b"
-HEADING = r"^\s*(?:#{1,6}\s+.+|\d+(?:\.\d+)*\.?\s+[A-Z].+)$"
+HEADING = r"^\s*(?:#{1,6}\s+.+|\d+(?:\.\d+)*+\.?\s+[A-Z].+)$"
 CROSS_REFERENCES = [("document_id", r"\bDOC-\d{2,}\b"), ("section", r"\bSection\s+\d+(?:\.\d+){0,3}\b"), ("standard", r"\bRFC\s+\d{3,5}\b")]
 KEYWORD = r"\b[a-zA-Z][a-zA-Z0-9_-]{2,}\b"
 #: The namespace of version-5 UUIDs for URLs.
@@ -85,8 +85,34 @@ def lines(c: Column) -> Column:
 # ---------------------------------------------------------------- cleaning
 
 
+#: Forms with the same matches of those patterns that would take a stack frame a line, or look at the rest of a line or text again for each of its parts.
+STEADY = {
+    r"^[=]{3,}\s*\n(?:[^\n]*\n)*?[=]{3,}\s*$": r"^={3,}(?>\s*\n)[\s\S]*?^={3,}\s*$",
+    r"\[TOC\]\s*\n(?:\s*\d+\..*\n)+": r"\[TOC\]\s*\n(?:\s*\d+\..*\n)++",
+    r"\n\s*--\s*\n.*\z": r"(?:\G|(?<!\n))\n\s*+--\s*\n.*\z",
+    r"^.*Following up on.*(?:write-up|knowledge base).*$": r"^(?>.*?Following up on).*(?:write-up|knowledge base).*$",
+    r"^.*(?:deep-dive|tech talk|meeting|session).*(?:Friday|Monday|next week).*$": r"^(?>.*?(?:deep-dive|tech talk|meeting|session)).*(?:Friday|Monday|next week).*$",
+}
+#: What ends a block of mail headers.
+HEADERS_END = r"\n\s*\n|\n\s*-{3,}"
+
+
+def _steady(pattern: str) -> str:
+    if pattern.startswith(r"^\s*"):  # a match that may begin in the second of two empty lines begins in the first one
+        return r"^(?:\G|(?<!\n\n))\s*+" + pattern.removeprefix(r"^\s*")
+    return STEADY.get(pattern, pattern)
+
+
 def strip_boilerplate(c: Column) -> Column:
-    return reduce(lambda t, p: F.regexp_replace(t, f"(?dmU{p[1]}){p[0]}", ""), BOILERPLATE, c)
+    """Without the blocks and lines of BOILERPLATE, in time and stack that don't depend on how many lines a block has."""
+    for pattern, flags in BOILERPLATE:
+        cut = lambda t, p=f"(?dmU{flags}){_steady(pattern)}": F.regexp_replace(t, p, "")
+        if HEADERS_END in pattern:  # behind the last end there is no whole block
+            upto = lambda t: F.length(F.regexp_extract(t, rf"(?dU)\A[\s\S]*(?:{HEADERS_END})", 0))
+            c = let(c, lambda t, cut=cut: F.when(t.contains(":"), let(upto(t), lambda n: F.concat(cut(t.substr(F.lit(1), n)), t.substr(n + 1, F.length(t))))).otherwise(t))
+        else:
+            c = cut(c)
+    return c
 
 
 def plain_typography(c: Column) -> Column:
@@ -102,7 +128,7 @@ def clean_whitespace(c: Column) -> Column:
 def strip_section_markers(c: Column) -> Column:
     c = F.regexp_replace(c, r"(?dmU)^\s*#{1,6}\s+", "")
     c = F.regexp_replace(c, r"(?dmU)^\s*={2,}\s*(.*?)\s*={2,}\s*$", "$1")
-    marked = r"(?dU)^\s*\d+(?:\.\d+)*\.?\s+([A-Z][A-Z &/]+)$"
+    marked = r"(?dU)^\s*\d+(?:\.\d+)*+\.?\s+([A-Z][A-Z &/]+)$"
     return F.array_join(F.transform(lines(c), lambda x: F.when(x.rlike(marked), F.initcap(F.regexp_extract(x, marked, 1))).otherwise(x)), "\n")
 
 
@@ -117,7 +143,8 @@ def strip_trailing_short_lines(c: Column, most: int = 4) -> Column:
 def markdown_headings(c: Column) -> Column:
     """`== x ==` and numbered headings as Markdown headings."""
     wiki = r"(?U)^\s*(={2,})\s*(.*?)\s*={2,}\s*$"
-    numbered = r"(?U)^\s*(\d+(?:\.\d+)*)\.?\s+([A-Z][A-Za-z &/()\-]+(?:\s+[A-Za-z][A-Za-z &/()\-]*)*)$"
+    # words of letters and & / ( ) -; of white space, only a blank may stand before something else than a letter
+    numbered = r"(?U)^\s*(\d+(?:\.\d+)*+)\.?\s+([A-Z][A-Za-z &/()\-](?:[A-Za-z &/()\-]|[^\S ](?=\s*[A-Za-z]))*+)$"
 
     def one(x: Column) -> Column:
         title = strip(F.regexp_extract(x, numbered, 2))
