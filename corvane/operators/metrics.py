@@ -77,7 +77,7 @@ def fixed_windows(rows: DataFrame, group: str, ts: str, order: str, limit: int,
     """Whether each request is let through, where a window starts at the first request after the last one ended.
 
     Each group's requests are folded in order; a batch of a group is a streaming state of two numbers,
-    which streaming.limiter keeps. Here they are read through an iterator, never as one table.
+    which streaming.timers.limiter keeps. Here they are read through an iterator, never as one table.
     """
 
     def fold(batches):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..registry import query
 from ..streaming import events as E
+from ..streaming import timers
 from .metrics import LIMITED
 
 
@@ -18,8 +19,55 @@ def st6(spark, sf_dir):
 
 @query("st1_limiter", LIMITED)
 def st1(spark, sf_dir):
-    """With one batch; a later batch's earlier events would fall into the window that is open."""
-    return E.run(E.limiter(E.source(spark, sf_dir), 2, 3600))
+    rows, end = timers.closing(E.source(spark, sf_dir))
+    return E.run(timers.limiter(rows, 2, 3600), end=end)
+
+
+#: Events as operations of a cache: views put, errors delete, all others get.
+OPERATION = "CASE event_type WHEN 'view' THEN 'put' WHEN 'error' THEN 'delete' ELSE 'get' END"
+
+
+@query(
+    "st3_cache",
+    f"""
+    WITH o AS (SELECT *, {OPERATION} AS operation FROM events),
+    l AS (SELECT *, last_value(CASE WHEN operation <> 'get' THEN {{'operation': operation, 'value': value, 'ts': ts}} END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS put FROM o)
+    SELECT user_id AS key, event_id AS id, CASE WHEN put.operation = 'put' AND ts < put.ts + INTERVAL 1 DAY THEN put.value END AS value FROM l WHERE operation = 'get'
+    """,
+)
+def st3c(spark, sf_dir):
+    """Put, get and delete with a time to live of a day."""
+    rows = E.source(spark, sf_dir).select("ts", F.col("user_id").alias("key"), F.col("event_id").alias("id"), F.expr(OPERATION).alias("operation"), "value")
+    stream, end = timers.closing(rows)
+    return E.run(timers.cache(stream, 86_400), end=end)
+
+
+@query(
+    "st6_alerts",
+    """
+    WITH w AS (SELECT event_type, time_bucket(INTERVAL 2 HOUR, ts) AS start, quantile_disc(value, 0.95) > 80 AS hot FROM events GROUP BY 1, 2),
+    r AS (SELECT *, sum(CASE WHEN hot THEN 0 ELSE 1 END) OVER (PARTITION BY event_type ORDER BY start) AS run FROM w),
+    f AS (SELECT *, hot AND start - min(CASE WHEN hot THEN start END) OVER (PARTITION BY event_type, run) >= INTERVAL 4 HOUR AS firing FROM r)
+    SELECT event_type AS key, strftime(start, '%Y-%m-%d %H:%M') AS window_start,
+      CASE WHEN firing THEN 'firing' WHEN hot THEN 'pending' WHEN lag(firing, 1, false) OVER (PARTITION BY event_type ORDER BY start) THEN 'resolved' ELSE 'inactive' END AS state FROM f
+    """,
+)
+def st6a(spark, sf_dir):
+    """The alert of each event type on the 95th percentile of two hours, when it has been above 80 for four."""
+    rows, end = timers.closing(E.source(spark, sf_dir))
+    out = E.alerts(rows, end, 80.0, 4 * 3600, minutes=120)
+    return out.select("key", F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "state")
+
+
+@query(
+    "st8_followed",
+    "SELECT v.event_id AS first_id, coalesce(p.event_id, -1) AS then_id FROM (SELECT * FROM events WHERE event_type = 'view') v LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') p ON v.user_id = p.user_id AND p.ts BETWEEN v.ts AND v.ts + INTERVAL 6 HOUR",
+)
+def st8j(spark, sf_dir):
+    """Views and the purchases of the same user in the six hours after, as a join of two streams."""
+    rows = E.source(spark, sf_dir)
+    (views, end), (purchases, over) = (timers.closing(rows.filter(F.col("event_type") == kind)) for kind in ("view", "purchase"))
+    return E.run(E.followed(views, purchases, "6 HOURS"), end=lambda: (end(), over())).select("first_id", F.coalesce("then_id", F.lit(-1)).alias("then_id"))
 
 
 @query("st3_first_seen", "SELECT event_id FROM events")
@@ -51,7 +99,8 @@ def st8(spark, sf_dir):
     "SELECT user_id, event_id, recent, recent > 2 AS blocked FROM (SELECT *, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 3599999999 MICROSECOND PRECEDING AND CURRENT ROW) AS recent FROM events)",
 )
 def st2(spark, sf_dir):
-    return E.run(E.abuse(E.source(spark, sf_dir), 2, 3600))
+    rows, end = timers.closing(E.source(spark, sf_dir))
+    return E.run(timers.abuse(rows, 2, 3600), end=end)
 
 
 @query("st5_ingest", "SELECT event_id, user_id, event_type FROM events")

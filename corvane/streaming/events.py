@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.checkpoint import folder
+from . import timers
 
 
 def source(spark: SparkSession, sf_dir: str, name: str = "events") -> DataFrame:
@@ -24,10 +25,10 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(hadoop).isDirectory()
 
 
-def run(stream: DataFrame, mode: str = "append") -> DataFrame:
+def run(stream: DataFrame, mode: str = "append", end: Callable[[], None] | None = None) -> DataFrame:
     """Process all that is there and return what the stream put out, as a table in the shared folder.
 
-    A batch is written to a folder of its own, so a repeated batch replaces what it wrote; of complete
+    With `end` (see timers.closing) the stream is then ended and goes on from where it was until nothing is held any more. A batch is written to a folder of its own, so a repeated batch replaces what it wrote; of complete
     output the last batch counts, of any other all.
     """
     spark = stream.sparkSession
@@ -37,8 +38,12 @@ def run(stream: DataFrame, mode: str = "append") -> DataFrame:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
         done.append(number)
 
-    writer = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", folder(spark, "progress"))
-    writer.trigger(availableNow=True).start().awaitTermination()
+    progress = folder(spark, "progress")
+    for last in (False, True) if end else (True,):
+        writer = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", progress)
+        writer.trigger(availableNow=True).start().awaitTermination()
+        if not last:
+            end()
     paths = [f"{out}/batch={n}" for n in sorted(set(done))]
     if not paths:
         return spark.createDataFrame([], stream.schema)
@@ -60,49 +65,42 @@ def first_seen(events: DataFrame, late: str = "10 minutes") -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def limiter(events: DataFrame, limit: int, seconds: int) -> DataFrame:
-    """(user_id, event_id, allowed): a window of each user starts at the first event after the last one ended."""
+def sketched(events: DataFrame, minutes: int = 5, late: str = "10 minutes", group: str = "event_type", size: int = 1024) -> DataFrame:
+    """(group, window, n, sketch): of each window a KLL sketch of the values, exact up to `size` of them; put out once the watermark has passed it.
 
-    def step(key, parts: Iterator, state):
-        import pandas as pd
+    Sketches of windows or groups merge to those of any longer time (p95_of). A rank is off by some 1.7 / size
+    of the window's values with a probability of 0.99.
+    """
+    rows = events.withWatermark("ts", late).filter(f"ts < timestamp'{timers.END}'")
+    return rows.groupBy(F.window("ts", f"{minutes} minutes"), group).agg(F.count("value").alias("n"), F.kll_sketch_agg_double("value", size).alias("sketch"))
 
-        ends, used = state.get if state.exists else (0, 0)
-        for part in parts:
-            out = []
-            for row in part.sort_values(["ts", "event_id"]).itertuples(index=False):
-                at = int(row.ts.timestamp() * 1_000_000)
-                if at >= ends:
-                    ends, used = at + seconds * 1_000_000, 0
-                used += 1
-                out.append((key[0], row.event_id, used <= limit))
-            state.update((ends, used))
-            yield pd.DataFrame(out, columns=["user_id", "event_id", "allowed"])
 
-    keyed = events.select("user_id", "event_id", "ts").groupBy("user_id")
-    return keyed.applyInPandasWithState(step, "user_id long, event_id long, allowed boolean", "ends long, used long", "append", "NoTimeout")
+def p95_of(sketch: Column, rank: float = 0.95) -> Column:
+    return F.kll_sketch_get_quantile_double(sketch, F.lit(rank))
 
 
-def abuse(events: DataFrame, most: int, seconds: int = 60) -> DataFrame:
-    """(user_id, event_id, recent, blocked): how many of a user's events fell into the last seconds, this one included.
+def alerts(events: DataFrame, end: Callable[[], None], above: float, hold: int, minutes: int = 5, late: str = "10 minutes", group: str = "event_type") -> DataFrame:
+    """(key, window_start, state): for each window of each group whether the alert "95th percentile above so much for `hold` seconds" is inactive, pending, firing or resolved.
 
-    A user's state is the times that are still inside the window.
+    Two streams: the first puts out a sketch a window, the second holds the windows of a key until their order is certain.
     """
+    spark = events.sparkSession
+    done = run(sketched(events, minutes, late, group), end=end).filter("n > 0")
+    path = folder(spark, "windows")
+    done.select(F.col(group).alias("key"), F.unix_micros("window.start").alias("id"), p95_of(F.col("sketch")).alias("value"), F.col("window.end").alias("ts")).write.parquet(path)
+    windows, over = timers.closing(spark.readStream.schema(spark.read.parquet(path).schema).parquet(path))
+    out = run(timers.alerts(windows, above, hold, late), end=over)
+    return out.select("key", F.timestamp_micros("id").alias("window_start"), "state")
 
-    def step(key, parts: Iterator, state):
-        import pandas as pd
 
-        held = list(state.get[0]) if state.exists else []
-        for part in parts:
-            out = []
-            for row in part.sort_values(["ts", "event_id"]).itertuples(index=False):
-                at = int(row.ts.timestamp() * 1_000_000)
-                held = [t for t in held if t > at - seconds * 1_000_000] + [at]
-                out.append((key[0], row.event_id, len(held), len(held) > most))
-            state.update((held,))
-            yield pd.DataFrame(out, columns=["user_id", "event_id", "recent", "blocked"])
-
-    keyed = events.select("user_id", "event_id", "ts").groupBy("user_id")
-    return keyed.applyInPandasWithState(step, "user_id long, event_id long, recent long, blocked boolean", "times array<long>", "append", "NoTimeout")
+def followed(first: DataFrame, then: DataFrame, within: str, late: str = "10 minutes") -> DataFrame:
+    """(first_id, then_id): rows of two event streams of one user, the second at most so much later; a null then_id where none came until the watermark passed.
+
+    Both sides have watermarks, so that a row's state goes when no partner can come any more, and rows behind them are dropped.
+    """
+    side = lambda rows, name: rows.select(F.col("event_id").alias(f"{name}_id"), F.col("user_id").alias(f"{name}_user"), F.col("ts").alias(f"{name}_ts")).withWatermark(f"{name}_ts", late).filter(f"{name}_ts < timestamp'{timers.END}'")
+    near = F.expr(f"first_user = then_user AND then_ts >= first_ts AND then_ts <= first_ts + INTERVAL {within}")
+    return side(first, "first").join(side(then, "then"), near, "left_outer").select("first_id", "then_id")
 
 
 def compactions(turns: DataFrame, every: int = 12) -> DataFrame:
