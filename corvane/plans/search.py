@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import search as R
+from ..operators.vector_index import VectorIndex
 from ..registry import query, table
+from ..sources.checkpoint import folder
 from . import sql as S
 
 
@@ -73,6 +75,30 @@ def v4(spark, sf_dir):
     return R.top(R.dense(vectors, asked.filter("query_id % 20 = 0"), k=10), "dense", 10)
 
 
+def indexed(spark, vectors):
+    """An index of the vectors that was changed since: a third was removed and added again as another segment."""
+    index = VectorIndex.build(vectors, folder(spark, "vector-index"), lists=64)
+    third = vectors.filter("vec_id % 3 = 1")
+    index.remove(third)
+    index.add(third)
+    return index
+
+
+@query("v4_index_exact", f"WITH {DENSE} SELECT query_id, id, dense, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY dense DESC, id) AS INTEGER) AS rank FROM ve) WHERE rank <= 10")
+def v4_exact(spark, sf_dir):
+    """All lists of a stored index, each row by its vector."""
+    _, vectors, _, asked = inputs(spark, sf_dir)
+    return indexed(spark, vectors).search(asked.filter("query_id % 20 = 0"), probes=None, candidates=None)
+
+
+@query("v4_index_search")
+def v4_index(spark, sf_dir):
+    """As many lists as hold 97 of 100 neighbours of a sample of the queries, by their codes; 200 candidates by their vectors."""
+    _, vectors, _, asked = inputs(spark, sf_dir)
+    index, asked = indexed(spark, vectors), asked.filter("query_id % 20 = 0")
+    return index.search(asked, probes=index.probes_for(asked, 0.97), candidates=200)
+
+
 @query(
     "v13_visual_search",
     f"WITH {DENSE} SELECT query_id, id, dense AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dense DESC, id) AS rn FROM ve) WHERE rn <= 5 AND dense >= 0.3",
