@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import search as R
+from ..operators.text_index import TextIndex
 from ..operators.vector_index import VectorIndex
 from ..registry import query, table
 from ..sources.checkpoint import folder
@@ -69,6 +70,17 @@ def v5(spark, sf_dir):
     return R.top(R.bm25(docs, queries, k=10), "bm25", 10)
 
 
+@query("v5_index", f"WITH {BM25} SELECT query_id, id, bm25, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, id) AS INTEGER) AS rank FROM kw) WHERE rank <= 10")
+def v5_index(spark, sf_dir):
+    """From a stored index of two segments, of which a third of the documents was removed and added again."""
+    docs, _, queries, _ = inputs(spark, sf_dir)
+    index, third = TextIndex(spark, folder(spark, "text-index")), docs.filter("doc_id % 3 = 1")
+    index.add(docs)
+    index.remove(third)
+    index.add(third)
+    return index.search(queries)
+
+
 @query("v4_dense", f"WITH {DENSE} SELECT query_id, id, dense, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY dense DESC, id) AS INTEGER) AS rank FROM ve) WHERE rank <= 10")
 def v4(spark, sf_dir):
     _, vectors, _, asked = inputs(spark, sf_dir)

@@ -28,8 +28,9 @@ class Segments:
         done = lambda p: files.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))
         return sorted(p.getName() for p in found if p.getName().startswith(f"{kind}-") and done(p))
 
-    def write(self, rows: DataFrame, kind: str) -> str:
-        name = f"{kind}-{time.time_ns():020d}-{uuid.uuid4().hex}"
+    def write(self, rows: DataFrame, kind: str, of: str | None = None) -> str:
+        """Write a segment; with `of`, under the time and random part of that one."""
+        name = f"{kind}-{of.partition('-')[2]}" if of else f"{kind}-{time.time_ns():020d}-{uuid.uuid4().hex}"
         rows.write.parquet(f"{self.root}/{name}")
         return name
 

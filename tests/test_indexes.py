@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvane.operators import search as R
+from corvane.operators import text_index as T
 from corvane.operators import vector_index as V
 from corvane.sources.checkpoint import folder
 
@@ -75,3 +76,78 @@ def test_hot_list_and_nothing(spark):
     with pytest.raises(ValueError):
         V.VectorIndex.build(rows.filter("false"), folder(spark, "index"))
     assert rows.select(F.max("vec_id")).first()[0] == 899
+
+
+# ---------------------------------------------------------------- texts
+
+
+WORDS = [f"w{i}" for i in range(400)]
+
+
+def texts(n, seed=1, first=0):
+    rng = random.Random(seed)
+    weights = [1 / (i + 1) for i in range(len(WORDS))]
+    return [(first + i, " ".join(["common", *rng.choices(WORDS, weights, k=rng.randint(0, 60))])) for i in range(n)]
+
+
+def hits(found):
+    return sorted((r.query_id, r["rank"], r.id, r.bm25) for r in found.collect())
+
+
+def plain(docs, queries, k=10):
+    return hits(R.top(R.bm25(docs, queries, k=k), "bm25", k))
+
+
+@pytest.fixture(scope="module")
+def corpus(spark):
+    rows = [*texts(1500), (5000, None), (5001, ""), (5002, "common"), (5003, "common"), (5004, "w1 " * 5000)]
+    return spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+
+
+@pytest.fixture(scope="module")
+def questions(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choices(WORDS, k=rng.randint(1, 6)))) for i in range(30)]
+    return spark.createDataFrame([*rows, (100, None), (101, "unknown words"), (102, "common"), (103, "common w399 w399"), (104, "")], "item_id long, text string")
+
+
+@pytest.mark.parametrize(("k", "size"), [(10, 16), (3, 64), (500, 7)])
+def test_index_gives_the_hits_of_a_scan(spark, corpus, questions, k, size):
+    index = T.TextIndex(spark, folder(spark, "text"))
+    index.add(corpus, size=size)
+    assert hits(index.search(questions, k=k)) == plain(corpus, questions, k)
+
+
+def test_index_skips_blocks_and_reads_no_texts(spark, corpus, questions, tmp_path):
+    path = str(tmp_path / "docs")
+    corpus.write.parquet(path)
+    index = T.TextIndex(spark, folder(spark, "text"))
+    index.add(spark.read.parquet(path), size=8)
+    share = index.read_share(questions, k=5).first()
+    assert 0 < share.blocks_read < 0.6 * share.blocks
+    assert not any(f.startswith(f"file:{path}") for f in index.search(questions, k=5).inputFiles())
+
+
+def test_index_through_changes(spark, corpus, questions, monkeypatch):
+    monkeypatch.setattr(T, "QUERY_BLOCK", 9)
+    monkeypatch.setattr(T, "NAMED_TERMS", 5)
+    index = T.TextIndex(spark, folder(spark, "text"))
+    assert index.search(questions).count() == 0
+    fresh = spark.createDataFrame(texts(200, 9, first=1000), "doc_id long, text string")  # other texts of ids that are there
+    index.add(corpus, size=20)
+    index.remove(fresh)
+    index.add(fresh, size=20)
+    index.remove(corpus.filter("doc_id % 7 = 0"))
+    now = corpus.filter("doc_id < 1000 or doc_id >= 1200").unionByName(fresh).filter("doc_id % 7 <> 0")
+    want = plain(now, questions)
+    assert hits(index.search(questions)) == want
+    index.compact(size=30)
+    assert [len(index.segments.names(kind)) for kind in ("blocks", "lengths", "removed")] == [1, 1, 0]
+    assert hits(T.TextIndex(spark, index.segments.root).search(questions)) == want
+
+
+def test_blocks_without_their_lengths_do_not_count(spark, corpus, questions):
+    index = T.TextIndex(spark, folder(spark, "text"))
+    index.add(corpus.filter("doc_id < 300"))
+    index.segments.write(index._stored().drop("begun"), "blocks")  # a writer that was cut off
+    assert hits(index.search(questions)) == plain(corpus.filter("doc_id < 300"), questions)
