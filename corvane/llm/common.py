@@ -37,7 +37,7 @@ def draw(rows: DataFrame, bound: int) -> DataFrame:
     hashed = rows.withColumn("h", F.xxhash64(*rows.columns))
     distinct = hashed.agg(F.approx_count_distinct("h")).first()[0]
     if distinct > 2 * bound:
-        hashed = hashed.filter(F.pmod("h", F.lit(1 << 30)) < (2 * bound << 30) // distinct)
+        hashed = hashed.filter(F.col("h") < -(1 << 63) + (2 * bound << 64) // distinct)
     least = stage(hashed.dropDuplicates(["h"]), "drawn")
     return least.orderBy("h").limit(bound)
 
