@@ -112,15 +112,17 @@ def spread(rows: DataFrame) -> DataFrame:
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int = 1024) -> Iterator[None]:
-    """Jobs that begin here pass whole texts to Python in batches of at most so many rows: the default's may take much memory."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+def small_batches(spark: SparkSession, rows: int = 1024, size: int | None = None) -> Iterator[None]:
+    """Jobs that begin here pass whole texts to Python in batches of at most so many rows, and of about `size` bytes if given: the default's may take much memory."""
+    keys = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows} | ({"spark.sql.execution.arrow.maxBytesPerBatch": size} if size else {})
+    before = {k: spark.conf.get(k).removesuffix("b") for k in keys}
+    for k, most in keys.items():
+        spark.conf.set(k, str(min(most, int(before[k])) if before[k].isdigit() and int(before[k]) > 0 else most))
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for k, value in before.items():
+            spark.conf.set(k, value)
 
 
 # ---------------------------------------------------------------- files of binary frames
@@ -134,7 +136,7 @@ def write_frames(frames: DataFrame, path: str, trailer: bytes, file_frames: int
     """
     column = F.col("frame").cast("string")
     out = frames.select(column.alias("value")).write.option("lineSep", trailer.decode("ascii"))
-    with small_batches(frames.sparkSession):
+    with small_batches(frames.sparkSession, size=4 << 20):
         out.option("maxRecordsPerFile", file_frames).text(path)
 
 
