@@ -352,14 +352,15 @@ def communities(edges: DataFrame, rounds: int = 5) -> DataFrame:
     return labels.drop("own_")
 
 
-def community_levels(edges: DataFrame, levels: int = 3, least: int = 3) -> DataFrame:
+def community_levels(edges: DataFrame, levels: int = 3, least: int = 3, detect=communities) -> DataFrame:
     """(level, community, node): communities, and inside each of 2 * least members or more its parts, to so many levels.
 
     A part's name is its community's and its own. Parts count where a community has two or more of at
     least `least` members; members of smaller ones are in the part -1. All communities of a level are
-    taken apart in one run, since an edge between two of them takes no part in it.
+    taken apart in one run, since an edge between two of them takes no part in it. `detect` finds communities:
+    label propagation, or leiden.leiden, for which such a run has the weight of all communities together.
     """
-    found = checkpointed(bucket_small(communities(edges), least).select(F.lit(0).alias("level"), "community", "node"))
+    found = checkpointed(bucket_small(detect(edges), least).select(F.lit(0).alias("level"), "community", "node"))
     above, out = found, found
     for level in range(1, levels):
         large = above.filter("not endswith(community, '-1')").groupBy("community").count().filter(F.col("count") >= 2 * least).select("community")
@@ -367,7 +368,7 @@ def community_levels(edges: DataFrame, levels: int = 3, least: int = 3) -> DataF
         end = lambda c: inside.select(F.col("node").alias(c), F.col("community").alias(f"{c}_in"))
         within = edges.select("subject", "object").join(end("subject"), "subject").join(end("object"), "object").filter("subject_in = object_in")
         within = within.select(F.least("subject", "object").alias("subject"), F.greatest("subject", "object").alias("object"), F.lit(1).alias("weight")).distinct()
-        parts = communities(checkpointed(within)).withColumnRenamed("community", "part").join(inside.select("node", "community"), "node")
+        parts = detect(checkpointed(within)).withColumnRenamed("community", "part").join(inside.select("node", "community"), "node")
         parts = parts.withColumn("n_", F.count("*").over(Window.partitionBy("community", "part"))).withColumn("part", F.when(F.col("n_") < least, "-1").otherwise(F.col("part")))
         real = parts.filter("part <> '-1'").groupBy("community").agg(F.count_distinct("part").alias("k_")).filter("k_ >= 2").select("community")
         above = checkpointed(parts.join(real, "community", "left_semi").select(F.lit(level).alias("level"), F.concat_ws(" / ", "community", "part").alias("community"), "node"))

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
+from ..operators.leiden import leiden
 from ..registry import query, table
 from . import sql as S
 
@@ -267,24 +268,39 @@ def g29(spark, sf_dir):
     return G.match_paths(triples(spark, sf_dir), seeds(spark, sf_dir), ["supplies_from", "part_of"])
 
 
-@query("g30_pattern_validation", "SELECT 1 AS pattern, 1 AS place, 'incompatible hop' AS problem UNION ALL SELECT 2, 1, 'unknown edge'")
+#: The ontology that patterns are held against: of each relation the types of its ends; none means any.
+ENDS = [("supplies_from", ["supplier"], ["nation"]), ("part_of", ["nation"], ["region"]), ("stocks", [], ["supplier"])]
+HOP = "CASE o_orderkey % 5 WHEN 0 THEN 'supplies_from' WHEN 1 THEN 'part_of' WHEN 2 THEN 'nowhere' ELSE 'stocks' END"
+
+
+@query(
+    "g30_pattern_validation",
+    f"""
+    WITH t(relation, sources, targets) AS (VALUES {', '.join(f"('{r}', {a}::VARCHAR[], {b}::VARCHAR[])" for r, a, b in ENDS)}),
+    h AS (SELECT o_custkey AS pattern, o_orderkey AS place, {HOP} AS relation FROM orders),
+    f AS (SELECT h.*, t.sources IS NOT NULL AS known, targets, lead(sources) OVER (PARTITION BY pattern ORDER BY place) AS following FROM h LEFT JOIN t USING (relation))
+    SELECT pattern, place, 'unknown edge' AS problem FROM f WHERE NOT known
+    UNION ALL SELECT pattern, place, 'incompatible hop' FROM f WHERE len(targets) > 0 AND len(following) > 0 AND NOT list_has_any(targets, following)
+    """,
+)
 def g30(spark, sf_dir):
-    hops = spark.createDataFrame([(1, 0, "supplies_from"), (1, 1, "part_of"), (1, 2, "supplies_from"), (2, 0, "part_of"), (2, 1, "nowhere")], "pattern int, place int, relation string")
-    types = spark.createDataFrame([("supplies_from", ["supplier"], ["nation"]), ("part_of", ["nation"], ["region"])], "relation string, source_types array<string>, target_types array<string>")
-    return G.path_errors(hops, types.withColumn("known", F.lit(True)))
+    """Each customer is a pattern, the orders are its hops."""
+    hops = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("pattern"), F.col("o_orderkey").alias("place"), F.expr(HOP).alias("relation"))
+    types = spark.createDataFrame(ENDS, "relation string, source_types array<string>, target_types array<string>")
+    return G.path_errors(hops, F.broadcast(types.withColumn("known", F.lit(True))))
 
 
 @query(
     "g31_context",
     f"""
-    WITH t AS (SELECT query_id, relation, subject || ' ' || relation || ' ' || object AS line FROM ({MATCHED}) JOIN ({EDGES}) ON subject = name WHERE relation = 'part_of'),
+    WITH t AS (SELECT query_id, relation, subject || ' ' || relation || ' ' || object AS line FROM ({MATCHED}) JOIN ({EDGES}) ON subject = name),
     b AS (SELECT query_id, relation, count(*) AS n, string_agg(line, chr(10) ORDER BY line) AS block FROM t GROUP BY 1, 2),
     k AS (SELECT *, sum(length(block) + 1) OVER (PARTITION BY query_id ORDER BY n DESC, relation ROWS UNBOUNDED PRECEDING) AS upto FROM b)
     SELECT query_id, string_agg(block, chr(10) ORDER BY n DESC, relation) AS context FROM k WHERE upto <= 400 GROUP BY query_id
     """,
 )
 def g31(spark, sf_dir):
-    near = asked(spark, sf_dir).select("query_id").join(g25(spark, sf_dir), "query_id").join(triples(spark, sf_dir).filter("relation = 'part_of'"), F.col("name") == F.col("subject"))
+    near = asked(spark, sf_dir).select("query_id").join(g25(spark, sf_dir), "query_id").join(triples(spark, sf_dir), F.col("name") == F.col("subject"))
     return G.context_lines(near, 400)
 
 
@@ -338,6 +354,12 @@ def g35(spark, sf_dir):
     return G.communities(g16(spark, sf_dir).select("subject", "object", "weight"))
 
 
+@query("g35_leiden")
+def g35l(spark, sf_dir):
+    """By modularity; without SQL, since it takes as many rounds as there is something to gain."""
+    return leiden(g16(spark, sf_dir).select("subject", "object", "weight"))
+
+
 MEMBERS = "SELECT 'c' || c_custkey AS node, CASE WHEN c_custkey % 50 = 0 THEN 'x' || c_custkey ELSE 'n' || c_nationkey END AS community FROM customer"
 
 
@@ -466,11 +488,18 @@ def p9(spark, sf_dir):
     return members(spark, sf_dir).groupBy("community").agg(F.array_sort(F.collect_set("node")).alias("members"), F.count("*").alias("member_count"))
 
 
-@query("g11_filelist_expansion", "WITH RECURSIVE f(file, line) AS (SELECT * FROM (VALUES ('top.f', '-f a.f'), ('top.f', 'top.sv'), ('a.f', 'a.sv'), ('a.f', '-f b.f'), ('b.f', 'b.sv'), ('b.f', '-f top.f'))), w(file) AS (SELECT 'top.f' UNION SELECT substr(line, 4) FROM w JOIN f USING (file) WHERE line LIKE '-f %') SELECT line AS source FROM w JOIN f USING (file) WHERE line NOT LIKE '-f %'")
+#: A file list for each part: its own source, the lists of the parts of twice its number, and of its third, so that lists name each other in circles.
+LIST_LINES = "SELECT 'p' || p_partkey || '.f' AS file, 'p' || p_partkey || '.sv' AS line FROM part UNION ALL SELECT 'p' || p_partkey || '.f', '-f p' || (p_partkey * 2) || '.f' FROM part UNION ALL SELECT 'p' || p_partkey || '.f', '-f p' || (p_partkey * 2 + 1) || '.f' FROM part UNION ALL SELECT 'p' || p_partkey || '.f', '-f p' || (p_partkey // 3) || '.f' FROM part WHERE p_partkey % 7 = 0"
+
+
+@query("g11_filelist_expansion", f"WITH RECURSIVE f AS ({LIST_LINES}), w(file) AS (SELECT 'p3.f' UNION SELECT substr(line, 4) FROM w JOIN f USING (file) WHERE line LIKE '-f %') SELECT line AS source FROM w JOIN f USING (file) WHERE line NOT LIKE '-f %'")
 def g11(spark, sf_dir):
-    lines = spark.createDataFrame([("top.f", "-f a.f"), ("top.f", "top.sv"), ("a.f", "a.sv"), ("a.f", "-f b.f"), ("b.f", "b.sv"), ("b.f", "-f top.f")], "file string, line string")
+    k = F.col("p_partkey")
+    name = lambda c, end: F.concat(F.lit("p"), c.cast("string"), F.lit(end))
+    others = F.array_compact(F.array(k * 2, k * 2 + 1, F.when(k % 7 == 0, F.floor(k / 3))))
+    lines = table(spark, sf_dir, "part").select(name(k, ".f").alias("file"), F.explode(F.concat(F.array(name(k, ".sv")), F.transform(others, lambda n: F.concat(F.lit("-f "), name(n, ".f"))))).alias("line"))
     includes = lines.filter(F.col("line").like("-f %")).select(F.col("file").alias("subject"), F.expr("substring(line, 4)").alias("object"))
-    start = spark.createDataFrame([("top.f",)], "seed string")
+    start = spark.createDataFrame([("p3.f",)], "seed string")
     files = G.reachable(includes, start).select(F.col("node").alias("file")).union(start.select("seed"))
     return lines.filter(~F.col("line").like("-f %")).join(files.distinct(), "file", "left_semi").select(F.col("line").alias("source"))
 

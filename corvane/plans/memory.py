@@ -102,9 +102,9 @@ def e17(spark, sf_dir):
 
 @query(
     "e16_mention_summary",
-    "SELECT conv_id, string_agg(substr(text, 1, 40) || CASE WHEN rn = 1 THEN ' (' || role || ')' ELSE '' END, ' | ' ORDER BY turn) AS summary FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS rn FROM conversations) GROUP BY conv_id",
+    "SELECT conv_id, string_agg(text || CASE WHEN rn = 1 THEN ' (' || role || ')' ELSE '' END, ' | ' ORDER BY turn) AS summary FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS rn FROM conversations) GROUP BY conv_id",
 )
 def e16(spark, sf_dir):
     first = F.row_number().over(Window.partitionBy("conv_id", "role").orderBy("turn")) == 1
-    rows = talks(spark, sf_dir).withColumn("line", F.concat(F.col("text").substr(1, 40), F.when(first, F.concat(F.lit(" ("), F.col("role"), F.lit(")"))).otherwise("")))
+    rows = talks(spark, sf_dir).withColumn("line", F.concat(F.col("text"), F.when(first, F.concat(F.lit(" ("), F.col("role"), F.lit(")"))).otherwise("")))
     return M.joined_turns(rows, "conv_id", "turn", "line", "summary", " | ")

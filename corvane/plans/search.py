@@ -202,21 +202,25 @@ def v12(spark, sf_dir):
     return R.better_of(scored(spark, sf_dir, 1.0), scored(spark, sf_dir, 0.0))
 
 
-@query("v14_mean_pooling", "SELECT label, list_transform([avg(CAST(embedding[1] AS DOUBLE)), avg(CAST(embedding[2] AS DOUBLE)), avg(CAST(embedding[64] AS DOUBLE))], lambda x: round(x, 6)) AS pooled FROM embeddings GROUP BY label")
+@query("v14_mean_pooling", "SELECT label, list(round(m, 6) ORDER BY i) AS pooled FROM (SELECT label, i, avg(x::DOUBLE) AS m FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY label, i) GROUP BY label")
 def v14(spark, sf_dir):
     by = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    return by.filter("i in (0, 1, 63)").groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: F.round(s["m"], 6)).alias("pooled"))
+    return by.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: F.round(s["m"], 6)).alias("pooled"))
 
 
-@query(
-    "v14_mean_of_patches",
-    "SELECT vec_id, round(a, 6) AS first_mean, round(b, 6) AS last_mean FROM (SELECT vec_id, (embedding[1]::DOUBLE + embedding[64]::DOUBLE) / 2 AS a, (embedding[2]::DOUBLE + embedding[63]::DOUBLE) / 2 AS b FROM embeddings)",
-)
+#: Each vector as eight patches, its consecutive parts.
+PATCH_COUNT, PATCH = 8, 8
+PATCHES_SQL = f"list_transform(range({PATCH_COUNT}), lambda k: CAST(list_slice(embedding, k * {PATCH} + 1, k * {PATCH} + {PATCH}) AS DOUBLE[]))"
+
+
+def patches():
+    return F.array(*[F.slice("embedding", k * PATCH + 1, PATCH) for k in range(PATCH_COUNT)])
+
+
+@query("v14_mean_of_patches", f"SELECT vec_id, list_transform(range(1, {PATCH + 1}), lambda i: round(list_sum(list_transform(p, lambda x: x[i])) / {PATCH_COUNT}, 6)) AS pooled FROM (SELECT vec_id, {PATCHES_SQL} AS p FROM embeddings)")
 def v14b(spark, sf_dir):
-    v = F.col("embedding")
-    patches = F.array(F.array(F.get(v, 0), F.get(v, 1)), F.array(F.get(v, 63), F.get(v, 62)))
-    pooled = table(spark, sf_dir, "embeddings").select("vec_id", R.mean_pool(patches, 2).alias("m"))
-    return pooled.select("vec_id", F.round(F.get("m", 0), 6).alias("first_mean"), F.round(F.get("m", 1), 6).alias("last_mean"))
+    pooled = R.mean_pool(patches(), PATCH)
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(pooled, lambda x: F.round(x, 6)).alias("pooled"))
 
 
 @query(
@@ -232,15 +236,14 @@ def v15(spark, sf_dir):
 
 @query(
     "v16_late_interaction",
-    """
-    WITH e AS (SELECT vec_id, [embedding[1:8]::DOUBLE[], embedding[9:16]::DOUBLE[]] AS p FROM embeddings),
+    f"""
+    WITH e AS (SELECT vec_id, {PATCHES_SQL} AS p FROM embeddings),
     s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_sum(list_transform(q.p, lambda x: list_max(list_transform(e.p, lambda y: list_dot_product(x, y))))), 6)::DOUBLE AS maxsim FROM e q, e WHERE q.vec_id % 20 = 0)
     SELECT query_id, id, maxsim, CAST(row_number() OVER (PARTITION BY query_id ORDER BY maxsim DESC, id) AS INTEGER) AS rank FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY maxsim DESC, id) <= 10
     """,
 )
 def v16(spark, sf_dir):
-    v = F.col("embedding")
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.array(F.slice(v, 1, 8), F.slice(v, 9, 8)).alias("patches"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", patches().alias("patches"))
     return R.top(R.late_interaction_search(rows, rows.filter("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), k=10), "maxsim", 10)
 
 
