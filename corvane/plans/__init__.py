@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS: list[str] = ["cleaning", "dedup", "search", "rails", "memory", "metrics", "lifecycle", "graph", "chunks", "streams"]
+AREAS: list[str] = ["cleaning", "dedup", "search", "rails", "memory", "metrics", "lifecycle", "graph", "chunks", "sketches", "streams"]
 
 
 def register() -> None:
