@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import table_functions
 from ..functions import text as T
 from ..operators import chunking as C
 from ..registry import query, table
@@ -60,6 +61,22 @@ def k3(spark, sf_dir):
     return C.hybrid_chunks(headed(spark, sf_dir), "doc_id", size=200, overlap=20)
 
 
+@query("k3_parse_chunks")
+def k3_sql(spark, sf_dir):
+    """k3_hybrid_chunks as SQL, by a table function."""
+    table_functions.register(spark)
+    headed(spark, sf_dir).createOrReplaceTempView("headed_documents")
+    return spark.sql("SELECT doc_id, c.* FROM headed_documents, LATERAL parse_chunks(text, 'markdown', 200, 20) c")
+
+
+@query("s8_parse_chunks")
+def s8_sql(spark, sf_dir):
+    """s8_python_chunks as SQL, by the same table function."""
+    table_functions.register(spark)
+    sources(spark, sf_dir).createOrReplaceTempView("python_files")
+    return spark.sql("SELECT item_id, concat_ws(' > ', string(item_id), nullif(name, '')) AS section_path, heading_level, chunk FROM python_files, LATERAL parse_chunks(text, 'python') c")
+
+
 @query(
     "k4_semantic_groups",
     """
