@@ -4,7 +4,8 @@ Each level has three steps. Local moving: a node goes to the community around it
 modularity most, by w(to) - w(from) - resolution * k * (tot(to) - tot(from) + k) / 2m; the least name wins a tie.
 Refinement: inside each community nodes begin alone again, and one that is well connected to its community
 joins a neighbouring part if that raises modularity, so parts are connected. Aggregation: parts become the
-nodes of a smaller graph, which begins with the communities found. It ends when every community is one node.
+nodes of a smaller graph, which begins with the communities found. When every community is one node, the nodes of
+the first graph are moved once more, and what is left unconnected is split.
 
 Nodes move at once, not one by one. In a round half of them may, by a hash of name and round; if that
 didn't raise modularity it is taken back, and in the next round each community takes part in one
@@ -158,6 +159,7 @@ def leiden(edges: DataFrame, resolution: float = 1.0, levels: int = 10, rounds:
         if fewer.count() == count:
             break
     found = checkpointed(members.join(part.toDF("at", "community"), "at").select("node", "community"), "found")
+    found, _ = _local(_Graph(both, nodes, 0.0, twice, resolution), found, rounds)  # single nodes that now gain elsewhere
     within = both.join(found, "node").join(found.toDF("other", "other_community"), "other").filter("community = other_community")
-    parts = connected_components(within.select(F.col("node").alias("a"), F.col("other").alias("b")))  # one for each community, unless rounds or levels ran out
+    parts = connected_components(within.select(F.col("node").alias("a"), F.col("other").alias("b")))
     return found.select("node").join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("community"))
