@@ -86,11 +86,13 @@ def relations(docs: DataFrame, key: str, text: str = "text", clean: bool = False
     is_a and uses need a subject that overlaps a known entity of the text. clean drops fragments:
     long parts, leading articles, trailing adverbs and prepositions, verbs first, short words.
     """
-    known = docs.select(key, entities(F.col(text)).alias("known"), F.explode(F.split(without_headings(F.col(text)), r"(?U)[.!?\n]\s*")).alias("s"))
-    rows = known.filter(F.length(T.strip(F.col("s"))) >= 10)
+    # in the select that explodes, the entities of the whole text would be looked for again with each sentence
+    known = docs.select(key, entities(F.col(text)).alias("known"), F.split(without_headings(F.col(text)), r"(?U)[.!?\n]\s*").alias("s"))
+    rows = known.select(key, "known", F.explode("s").alias("s")).filter(F.length(T.strip(F.col("s"))) >= 10)
     s = F.col("s")
     found = lambda p, g: T.strip(F.regexp_extract(s, "(?U)" + p, g))
-    overlaps = lambda subject: F.exists("known", lambda e: F.contains(e, subject) | F.contains(subject, e))
+    triple = lambda subject, relation, obj, asked: F.struct(subject.alias("subject"), F.lit(relation).alias("relation"), obj.alias("object"), F.lit(asked).alias("asked"))
+    none = F.array().cast("array<struct<subject:string,relation:string,object:string,asked:boolean>>")
     parts = []
     subset = s.rlike("(?U)" + RELATIONS[0][1])
     for name, pattern in RELATIONS:
@@ -98,14 +100,15 @@ def relations(docs: DataFrame, key: str, text: str = "text", clean: bool = False
         holds = s.rlike("(?U)" + pattern)
         if name != "subset_of":
             holds, obj = holds & ~subset, first_words(obj, 4)
-        if name in ("is_a", "uses"):
-            holds = holds & overlaps(subject)
-        parts.append(F.when(holds, F.array(F.struct(subject.alias("subject"), F.lit(name).alias("relation"), obj.alias("object")))).otherwise(F.array().cast("array<struct<subject:string,relation:string,object:string>>")))
+        parts.append(F.when(holds, F.array(triple(subject, name, obj, name in ("is_a", "uses")))).otherwise(none))
     category, listed = found(SUCH_AS, 1), F.regexp_replace(found(SUCH_AS, 2), r"[., ]+$", "")
     examples = F.filter(F.transform(F.split(listed, r"(?U),\s*(?:and\s+)?"), T.strip), lambda e: e.rlike(r"^\p{Lu}") & (F.size(T.words(e)) <= 4))
-    such = F.transform(examples, lambda e: F.struct(e.alias("subject"), F.lit("is_a").alias("relation"), category.alias("object")))
-    parts.append(F.when(~subset & s.rlike("(?U)" + SUCH_AS), such).otherwise(F.array().cast("array<struct<subject:string,relation:string,object:string>>")))
-    out = rows.select(key, F.inline(F.concat(*parts)))
+    such = T.let(category, lambda c: F.transform(examples, lambda e: triple(e, "is_a", c, False)))
+    parts.append(F.when(~subset & s.rlike("(?U)" + SUCH_AS), such).otherwise(none))
+    # the known names are gone through with a subject that was taken out of its sentence before
+    out = rows.select(key, "known", F.inline(F.concat(*parts)))
+    overlaps = F.exists("known", lambda e: F.contains(e, F.col("subject")) | F.contains(F.col("subject"), e))
+    out = out.filter(~F.col("asked") | overlaps).select(key, "subject", "relation", "object")
     return clean_relations(out) if clean else out
 
 

@@ -149,6 +149,15 @@ def test_entities_and_relations(spark):
     assert ("TensorFlow", "is_a", "library") in found and ("Machine Learning", "subset_of", "artificial intelligence") in found and ("NumPy", "is_a", "Tools") not in found
 
 
+def test_relations_look_for_the_entities_of_a_text_once(spark):
+    """The search through the whole text stands below the step that deals out its sentences."""
+    rows = spark.createDataFrame([(1, "TensorFlow is a library. PyTorch uses graphs. Nobody uses tables.")], "id long, text string")
+    found = graph.relations(rows, "id")
+    assert {(r.subject, r.relation, r.object) for r in found.collect()} == {("TensorFlow", "is_a", "library"), ("PyTorch", "uses", "graphs")}
+    above = found._jdf.queryExecution().optimizedPlan().toString().split("Generate explode")[0]
+    assert "regexp_extract_all(regexp_replace(text" not in above
+
+
 def test_resolution_and_communities(spark):
     edges = spark.createDataFrame([("a", "b", 1), ("b", "c", 1), ("a", "c", 1), ("x", "y", 1)], "subject string, object string, weight int")
     got = {r.node: r.community for r in graph.communities(edges).collect()}
