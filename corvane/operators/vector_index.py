@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions.batches import slices
 from ..sources.segments import Segments
-from .search import QUERY_BLOCK, Best, _united, cosine, dense, doubles, query_blocks, top
+from .search import QUERY_BLOCK, Best, _scored, _united, cosine, dense, doubles, query_blocks, top
 
 
 def unit(m: np.ndarray) -> np.ndarray:
@@ -75,14 +75,35 @@ class Model:
         return out
 
 
+#: Estimates of pairs that a task makes at a time.
+PAIRS = 1 << 20
+
+
 class _Pairs(Best):
-    def put(self, q: np.ndarray, ids, scores: np.ndarray) -> None:
+    """The k best rows of each query. What is below a query's k-th best so far is not held."""
+
+    def __init__(self, k: int, queries: int):
+        super().__init__(k)
+        self.floor, self.count = np.full(queries, -np.inf), 0
+
+    def put(self, own: np.ndarray, ids, scores: np.ndarray) -> None:
+        """scores by query of `own` and row of ids."""
         import pyarrow as pa
 
-        self.held.append(pa.table({"q": pa.array(q), "id": ids, "score": pa.array(scores)}))
-        if sum(map(len, self.held)) > self.room:
-            self.held = [self.cut()]
-            self.room = max(self.room, 2 * len(self.held[0]))
+        found, n = scores >= self.floor[own][:, None], scores.shape[1]
+        if n > self.k:  # no more than these of a step, but for ties
+            found &= scores >= np.partition(scores, n - self.k, axis=1)[:, n - self.k, None]
+        at, rows = np.nonzero(found)
+        self.held.append(pa.table({"q": pa.array(own[at]), "id": ids.take(pa.array(rows)), "score": pa.array(scores[at, rows])}))
+        self.count += len(at)
+        if self.count > self.room:
+            best = self.cut()
+            self.held, self.count = [best], len(best)
+            self.room = max(self.room, 2 * len(best))
+            q, score = best.column("q").to_numpy(), best.column("score").to_numpy()
+            last = np.flatnonzero(np.append(q[1:] != q[:-1], True))
+            full = last[np.diff(last, prepend=-1) == self.k]
+            self.floor[q[full]] = score[full]
 
 
 def _matrix(lists) -> np.ndarray:
@@ -173,43 +194,49 @@ class VectorIndex:
         order = np.argsort(((model.centres**2).sum(axis=1) - 2 * near), axis=1, kind="stable")[:, : probes or n]
         wanted = sorted(set(order.ravel().tolist()))
         lists = wanted if len(wanted) < n else None
-        asked = self.spark.createDataFrame(block)
-        pairs = self.spark.createDataFrame([(int(q), int(x)) for q, row in enumerate(order) for x in row], "q int, list int")
         keys = block.column("query_id").combine_chunks()
-        if candidates is None:
-            named = self.spark.createDataFrame([(i, v) for i, v in enumerate(keys.to_pylist())], f"q int, query_id {query_type}")
-            found = self.rows(["list", "id"], lists).join(F.broadcast(pairs.join(named, "q")), "list").select("query_id", "id", "list")
-        else:
-            by_list = {x: np.flatnonzero((order == x).any(axis=1)) for x in wanted}
-            held = self.spark.sparkContext.broadcast((keys, near, model.tables(units), by_list))  # a block of queries
-            kind = self.segments.read("rows").schema["id"].dataType.simpleString()
-
-            def estimate(batches):
-                import pyarrow as pa
-
-                keys, near, tables, by_list = held.value
-                best = _Pairs(candidates)
-                for batch in slices(batches, "code"):
-                    at = batch.column("list").to_numpy()
-                    codes = np.frombuffer(b"".join(batch.column("code").to_pylist()), np.uint8).reshape(len(at), -1)
-                    for x in np.unique(at):
-                        rows, own = np.flatnonzero(at == x), by_list.get(int(x))
-                        if own is None:
-                            continue
+        kind = self.segments.read("rows").schema["id"].dataType.simpleString()
+        if candidates is None:  # rows of the lists against the whole block where they are, as dense() does
+            probed = np.zeros((n, len(units)), bool)
+            probed[order, np.arange(len(units))[:, None]] = True
+            held = self.spark.sparkContext.broadcast({"keys": keys, "units": units, "probed": probed})  # a block of queries
+
+            def score(batch, model):
+                found = model["probed"][batch.column("list").to_numpy()]
+                return np.where(found, np.round(unit(_matrix(batch.column("v"))) @ model["units"].T, 6) + 0.0, -np.inf), found
+
+            return top(_scored(self.rows(["list", "id", "v"], lists), kind, query_type, held, k, "v", "dense", score), "dense", k).select("query_id", "id", "dense", "rank")
+        asked = self.spark.createDataFrame(block)
+        by_list = {x: np.flatnonzero((order == x).any(axis=1)) for x in wanted}
+        held = self.spark.sparkContext.broadcast((keys, near, model.tables(units), by_list))  # a block of queries
+
+        def estimate(batches):
+            import pyarrow as pa
+
+            keys, near, tables, by_list = held.value
+            best = _Pairs(candidates, len(keys))
+            for batch in slices(batches, "code"):
+                at = batch.column("list").to_numpy()
+                codes = np.frombuffer(b"".join(batch.column("code").to_pylist()), np.uint8).reshape(len(at), -1)
+                for x in np.unique(at):
+                    inside, own = np.flatnonzero(at == x), by_list.get(int(x))
+                    if own is None:
+                        continue
+                    step = max(1, PAIRS // len(own))
+                    for rows in (inside[i : i + step] for i in range(0, len(inside), step)):
                         score = np.repeat(near[own, x][:, None], len(rows), axis=1)
                         for p in range(codes.shape[1]):
                             score += tables[own, p][:, codes[rows, p]]
-                        ids = batch.column("id").take(pa.array(np.tile(rows, len(own))))
-                        best.put(np.repeat(own, len(rows)), ids, np.round(score.ravel(), 9))
-                for table in best.rest():
-                    out = table.append_column("query_id", keys.take(table.column("q"))).select(["query_id", "id", "score"]).combine_chunks()
-                    yield from out.to_batches(max_chunksize=1 << 16)
-
-            rough = self.rows(["list", "id", "code"], lists).mapInArrow(estimate, f"query_id {query_type}, id {kind}, score double")
-            found = top(rough, "score", candidates).select("query_id", "id")
-            found = F.broadcast(found)  # at most a block's queries x candidates
+                        best.put(own, batch.column("id").take(pa.array(rows)), np.round(score, 9))
+            for table in best.rest():
+                out = table.append_column("query_id", keys.take(table.column("q"))).select(["query_id", "id", "score"]).combine_chunks()
+                yield from out.to_batches(max_chunksize=1 << 16)
+
+        rough = self.rows(["list", "id", "code"], lists).mapInArrow(estimate, f"query_id {query_type}, id {kind}, score double")
+        found = top(rough, "score", candidates).select("query_id", "id")
+        found = F.broadcast(found)  # at most a block's queries x candidates
         whole = self.rows(["list", "id", "v"], lists)
-        exact = whole.join(found, ["list", "id"] if candidates is None else "id").select("query_id", "id", doubles(F.col("v")).alias("v"))
+        exact = whole.join(found, "id").select("query_id", "id", doubles(F.col("v")).alias("v"))
         scored = exact.join(F.broadcast(asked.withColumnRenamed("v", "qv")), "query_id").select("query_id", "id", F.round(cosine(F.col("qv"), F.col("v")), 6).alias("dense"))
         return top(scored, "dense", k).select("query_id", "id", "dense", "rank")
 

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,6 +79,31 @@ def test_hot_list_and_nothing(spark):
     assert rows.select(F.max("vec_id")).first()[0] == 899
 
 
+def test_ids_of_two_segments_are_scored_once_each(spark, vectors):
+    """Exact searches take each stored row against the block where it is: no pair of query and id is joined with the rows of that id."""
+    asked = vectors.filter("vec_id in (50, 100)").withColumnRenamed("vec_id", "query_id")
+    index = V.VectorIndex.build(vectors, folder(spark, "index"), lists=10, parts=4, sample=500)
+    index.add(vectors.filter("vec_id = 50"))  # stands beside the first
+    twice = vectors.unionByName(vectors.filter("vec_id = 50"))
+    assert best(index.search(asked, probes=None, candidates=None)) == best(exact(twice, asked))
+    some = best(index.search(asked, k=5, probes=2, candidates=None))  # the rows of two lists alone
+    scores = {(q, i): d for q, _, i, d in best(exact(twice, asked, 4000))}
+    assert len(some) == 10 and all(scores[q, i] == d for q, _, i, d in some)
+
+
+def test_pairs_hold_what_can_be_among_the_best():
+    rng = np.random.default_rng(5)
+    scores, held = np.round(rng.normal(size=(6, 4000)), 2), V._Pairs(7, 8)
+    held.room = 100
+    for i in range(0, 4000, 50):
+        held.put(np.array([0, 1, 2, 4, 5, 7]), pa.array(np.arange(i, i + 50)), scores[:, i : i + 50])
+        assert sum(map(len, held.held)) <= 100 + 6 * 50
+    (table,) = held.rest()
+    want = [(q, i) for row, q in enumerate((0, 1, 2, 4, 5, 7)) for i in sorted(range(4000), key=lambda i: (-scores[row, i], i))[:7]]
+    assert list(zip(table.column("q").to_pylist(), table.column("id").to_pylist(), strict=True)) == want
+    assert (held.floor[[3, 6]] == -np.inf).all() and (held.floor[[0, 1]] > 1).all()
+
+
 # ---------------------------------------------------------------- texts
 
 
