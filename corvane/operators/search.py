@@ -32,6 +32,8 @@ def term_counts(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 #: Queries in a block. A block is broadcast and scored against each row in one pass.
 QUERY_BLOCK = 4096
+#: Inner products that a task holds at a time beside the scores of a slice of rows.
+PRODUCTS = 1 << 20
 
 
 def token_lists(texts):
@@ -393,8 +395,18 @@ def late_interaction_search(rows: DataFrame, queries: DataFrame, key: str = "vec
 
     def score(batch, model):
         v, heads = vectors(batch)
-        best = np.maximum.reduceat(v @ model["vectors"].T, heads, axis=0)  # of each query vector the best patch
-        total = np.round(np.add.reduceat(best, model["heads"], axis=1), 6) + 0.0
+        ends, asked = np.append(heads[1:], len(v)), model["vectors"].T
+        total, most, at = np.empty((len(heads), len(model["heads"]))), max(1, PRODUCTS // asked.shape[1]), 0
+        while at < len(heads):  # whole rows of no more than `most` patches, or one longer row
+            to = max(at + 1, int(np.searchsorted(ends, heads[at] + most, "right")))
+            if ends[to - 1] - heads[at] <= most:
+                products, each = v[heads[at] : ends[to - 1]] @ asked, ends[at] - heads[at]
+                # of each query vector the best patch; rows of one length are cut evenly, which is several times as fast
+                best = products.reshape(to - at, each, -1).max(axis=1) if (ends[at:to] - heads[at:to] == each).all() else np.maximum.reduceat(products, heads[at:to] - heads[at], axis=0)
+            else:
+                best = np.maximum.reduce([(v[i : min(i + most, ends[at])] @ asked).max(axis=0) for i in range(heads[at], ends[at], most)])[None]
+            total[at:to] = np.round(np.add.reduceat(best, model["heads"], axis=1), 6) + 0.0
+            at = to
         return total, np.ones(total.shape, bool)
 
     parts = []

@@ -104,6 +104,19 @@ def test_pairs_hold_what_can_be_among_the_best():
     assert (held.floor[[3, 6]] == -np.inf).all() and (held.floor[[0, 1]] > 1).all()
 
 
+@pytest.mark.parametrize("most", [64, 1 << 20])
+def test_late_interaction_by_parts(spark, monkeypatch, most):
+    """Rows of one and of several patches, and rows of more patches than are multiplied at a time."""
+    monkeypatch.setattr(R, "PRODUCTS", most)
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=(int(n), 3)).tolist()) for i, n in enumerate([*rng.integers(1, 5, 30), *[4] * 20, 90])]
+    frame = spark.createDataFrame(rows, "vec_id long, patches array<array<double>>")
+    found = R.late_interaction_search(frame, frame.filter("vec_id % 7 = 0").withColumnRenamed("vec_id", "query_id"))
+    got = {(r.query_id, r.id): r.maxsim for r in found.collect()}
+    want = {(q, i): (np.array(a) @ np.array(b).T).max(axis=1).sum() for q, a in rows if q % 7 == 0 for i, b in rows}
+    assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-6 for p in want)
+
+
 # ---------------------------------------------------------------- texts
 
 
