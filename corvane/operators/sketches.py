@@ -7,6 +7,11 @@ Counts of a HyperLogLog sketch are off by some 1.04 / sqrt(2 ** precision) of th
 sketch by 1 / sqrt(2 ** precision) of the union that it was taken from; theta sketches up to 2 ** precision values are exact.
 A group's values are only hashed into its sketch, in each task first: no group is gathered.
 
+With pieces, a value's hash decides in which of a group's rows it is sketched (exact_table() takes as many as all distinct values
+need, a quarter of 2 ** precision in each). Then no union of any rows of a piece is beyond what a theta sketch holds exactly, and
+exact_counts() and exact_compared() add the pieces up to exact counts; rows appended since that overfill a piece make them fail
+rather than return an estimate.
+
 Nulls count as no value. A group without values counts 0; a group that only one side has is compared with an empty set.
 """
 
@@ -24,6 +29,33 @@ def sketch_table(rows: DataFrame, groups: list[str], values: list[str], precisio
     return rows.groupBy(*groups).agg(F.count("*").alias("n"), *made)
 
 
+def exact_table(rows: DataFrame, groups: list[str], value: str, precision: int = PRECISION) -> DataFrame:
+    """groups, piece, n and <value>_theta: a table of one value column that rolls up and subtracts exactly."""
+    distinct = rows.agg(F.approx_count_distinct(value)).first()[0]
+    pieces = max(1, -(-4 * distinct // 2**precision))
+    dealt = rows.withColumn("piece", F.pmod(F.xxhash64(value, F.lit("piece")), F.lit(pieces)).cast("int"))
+    return dealt.groupBy(*groups, "piece").agg(F.count("*").alias("n"), F.theta_sketch_agg(value, precision).alias(f"{value}_theta"))
+
+
+def _summed(counts: DataFrame, groups: list[str], columns: list[str], precision: int) -> DataFrame:
+    """Counts of pieces added up, unless one is beyond what a sketch holds exactly."""
+    full = F.raise_error(F.lit(f"a piece holds more than {2**precision} values: make the table anew with more pieces")).cast("long")
+    exact = [F.sum(F.when(F.col(c) <= 2**precision, F.col(c)).otherwise(full)).alias(c) for c in columns]
+    return counts.groupBy(*groups).agg(*[F.sum(c).alias(c) for c in counts.columns if c == "n"], *exact)
+
+
+def exact_counts(table: DataFrame, groups: list[str], value: str, precision: int = PRECISION) -> DataFrame:
+    """groups, n, <value>_distinct of a table of exact_table(), of its groups or of coarser ones."""
+    counts = merged(table, [*groups, "piece"], precision).withColumn(f"{value}_distinct", F.theta_sketch_estimate(f"{value}_theta"))
+    return _summed(counts, groups, [f"{value}_distinct"], precision)
+
+
+def exact_compared(first: DataFrame, second: DataFrame, groups: list[str], value: str, precision: int = PRECISION) -> DataFrame:
+    """compared() of two parts of one exact_table(), of its groups or of coarser ones."""
+    sides = [merged(t, [*groups, "piece"], precision) for t in (first, second)]
+    return _summed(compared(*sides, [*groups, "piece"], value, precision), groups, ["only_first", "both", "only_second", "either"], precision)
+
+
 def _names(table: DataFrame, ending: str) -> list[str]:
     return [c.removesuffix(ending) for c in table.columns if c.endswith(ending)]
 
