@@ -178,6 +178,17 @@ def doubles(vector: Column) -> Column:
     return vector.cast("array<double>")
 
 
+def binary_round(x: Column, places: int) -> Column:
+    """A double rounded half away from zero on its binary value, as C and SQL engines in C do; Spark's round() takes the decimal digits that it prints.
+
+    The two differ next to a half, and a small negative number becomes -0.0 here.
+    """
+    scaled = F.abs(x) * 10.0**places
+    whole = F.floor(scaled).cast("double")
+    near = F.signum(x) * (whole + F.when(scaled - whole >= 0.5, 1.0).otherwise(0.0)) / 10.0**places
+    return F.when(F.isnan(x) | (scaled >= 2.0**52), x).otherwise(near)  # from there on there are no fractions
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(doubles(a), doubles(b), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 

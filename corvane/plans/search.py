@@ -220,7 +220,7 @@ def patches():
 @query("v14_mean_of_patches", f"SELECT vec_id, list_transform(range(1, {PATCH + 1}), lambda i: round(list_sum(list_transform(p, lambda x: x[i])) / {PATCH_COUNT}, 6)) AS pooled FROM (SELECT vec_id, {PATCHES_SQL} AS p FROM embeddings)")
 def v14b(spark, sf_dir):
     pooled = R.mean_pool(patches(), PATCH)
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(pooled, lambda x: F.round(x, 6)).alias("pooled"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(pooled, lambda x: R.binary_round(x, 6)).alias("pooled"))
 
 
 @query(

@@ -117,6 +117,22 @@ def test_late_interaction_by_parts(spark, monkeypatch, most):
     assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-6 for p in want)
 
 
+def test_mean_of_patches_rounds_as_its_sql(spark, tmp_path):
+    """Means that round to zero from below, and means next to a half of the last digit."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    rng = np.random.default_rng(7)
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(np.concatenate([rng.normal(scale=1e-7, size=(50, 64)), rng.integers(-4000, 4000, (400, 64)) / 1000]))]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    connection = duckdb.connect()
+    connection.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = {v: list(map(str, p)) for v, p in connection.sql(entry.oracle_sql()["v14_mean_of_patches"]).fetchall()}
+    got = {r.vec_id: list(map(str, r.pooled)) for r in entry.queries()["v14_mean_of_patches"](spark, str(tmp_path)).collect()}
+    assert got == want and any("-0.0" in p for p in want.values())
+
+
 # ---------------------------------------------------------------- texts
 
 
