@@ -70,7 +70,8 @@ def ingest(sources: DataFrame, options: Options = Options(), manifest: DataFrame
     rows = sources.select("source_key", "text", F.sha2("text", 256).alias("content_hash"))
     if options.update and manifest is not None:
         rows = rows.join(manifest.select("source_key", "content_hash"), ["source_key", "content_hash"], "left_anti")
-    documents = rows.select("source_key", "content_hash", T.uuid5(F.concat(F.lit("doc:"), F.col("source_key"))).alias("document_id"), T.metadata_value(F.col("text"), "Title", "Subject").alias("title"), nfc(T.clean_document(F.col("text"))).alias("text"))
+    documents = rows.select("source_key", "content_hash", T.uuid5(F.concat(F.lit("doc:"), F.col("source_key"))).alias("document_id"), T.metadata_value(F.col("text"), "Title", "Subject").alias("title"), T.clean_document(F.col("text")).alias("text"))
+    documents = documents.withColumn("text", nfc(F.col("text")))
     documents = checkpointed(documents)
     chunks = chunking.hybrid_chunks(documents, "source_key", "text", options.chunk_size, options.chunk_overlap)
     chunks = chunks.withColumn("chunk", T.strip_control(F.col("chunk"))).withColumn("quality", T.quality_score(F.col("chunk")))

@@ -24,7 +24,8 @@ def _nfkd(texts: pd.Series) -> pd.Series:
 
 def nfc(c: Column) -> Column:
     """The canonical composition; Latin texts without combining marks pass by unchanged, in the JVM."""
-    return F.when(c.rlike("[^\\x00-\\u02ff\\u1e00-\\u20cf\\u2190-\\u2fff]"), _nfc(c)).otherwise(c)
+    others = c.rlike("[^\\x00-\\u02ff\\u1e00-\\u20cf\\u2190-\\u2fff]")
+    return F.when(others, _nfc(F.when(others, c))).otherwise(c)
 
 
 def nfkd(c: Column) -> Column:

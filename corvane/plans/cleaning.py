@@ -141,7 +141,8 @@ def s6(spark, sf_dir):
 def clean_document(spark, sf_dir):
     from ..functions.unicode import nfc
 
-    return table(spark, sf_dir, "documents").select("doc_id", nfc(T.clean_document(F.col("text"))).alias("v")).select("doc_id", F.length("v").cast("long").alias("n_chars_out"), F.sha2("v", 256).alias("text_sha256"))
+    cleaned = table(spark, sf_dir, "documents").select("doc_id", T.clean_document(F.col("text")).alias("c"))  # nfc() reads its column several times
+    return cleaned.select("doc_id", nfc(F.col("c")).alias("v")).select("doc_id", F.length("v").cast("long").alias("n_chars_out"), F.sha2("v", 256).alias("text_sha256"))
 
 
 notes = "[lower(split_part(text, chr(10), 1)), source]"

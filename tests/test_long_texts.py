@@ -67,3 +67,9 @@ def test_registered_query_on_long_blocks(spark, tmp_path):
     spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.n_chars_out for r in registry.QUERIES["c1_strip_boilerplate"](spark, str(tmp_path)).collect()}
     assert got == {0: 11 * N + 1, 1: 3, 2: None, 3: 0}
+
+
+def test_a_document_is_cleaned_once(spark, sf_dir):
+    """No stage is written out again for each place that reads its result."""
+    plan = registry.QUERIES["clean_document"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("This email and any attachments") == 1
