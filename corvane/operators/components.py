@@ -12,17 +12,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.checkpoint import checkpointed
+from .joins import sorted_join
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a"))
     least = checkpointed(both.groupBy("u").agg(F.min("v").alias("least")).select("u", F.least("u", "least").alias("least")), "least")
-    return both.join(least, "u").filter("v > u and v <> least").select(F.col("least").alias("a"), F.col("v").alias("b"))
+    return sorted_join(both, least, "u").filter("v > u and v <> least").select(F.col("least").alias("a"), F.col("v").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     least = checkpointed(edges.groupBy("b").agg(F.min("a").alias("least")), "least")
-    moved = edges.join(least, "b").filter("a <> least").select(F.col("least").alias("a"), F.col("a").alias("b"))
+    moved = sorted_join(edges, least, "b").filter("a <> least").select(F.col("least").alias("a"), F.col("a").alias("b"))
     return moved.union(least.select(F.col("least").alias("a"), "b"))
 
 

@@ -18,3 +18,8 @@ def without_overlaps(rows: DataFrame, others: DataFrame, key: str, start: str, e
     a = cells(spans).withColumnRenamed("cell_", "c_")
     met = a.join(o, (a[key] == o["k_"]) & (a["c_"] == o["cell_"]) & (a[start] < o["e_"]) & (a[end] > o["s_"]), "left_semi").select(key, start, end).distinct()
     return rows.join(met, [key, start, end], "left_anti").select(rows.columns)
+
+
+def sorted_join(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """Joined by sorting both sides, whatever their size: in steps that repeat, broadcasts of small tables add up in the driver."""
+    return left.join(right.hint("merge"), on, how)

@@ -60,3 +60,20 @@ def test_small_graph_reaches_the_best_of_all_partitions(spark):
     assert sorted(x for g in got for x in g) == nodes
     assert plain_modularity(edges, got) == pytest.approx(best, abs=1e-9)
     assert L.modularity(df, found) == pytest.approx(best, abs=1e-9)
+
+
+def test_no_round_broadcasts_a_table(spark, monkeypatch):
+    """What is broadcast passes through the driver, in every round anew."""
+    from corvane.operators import components
+
+    plans = []
+
+    def noted(df, label="step", write=L.checkpointed):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, label)
+
+    monkeypatch.setattr(L, "checkpointed", noted)
+    monkeypatch.setattr(components, "checkpointed", noted)
+    found = L.leiden(spark.createDataFrame([("a", "b", 2.0), ("b", "c", 1.0), ("a", "c", 1.0), ("c", "d", 0.1), ("d", "e", 1.0)], SCHEMA))
+    assert sorted(map(sorted, groups_of(found))) == [["a", "b", "c"], ["d", "e"]]
+    assert plans and not any("Broadcast" in p for p in plans)
