@@ -73,3 +73,9 @@ def test_a_document_is_cleaned_once(spark, sf_dir):
     """No stage is written out again for each place that reads its result."""
     plan = registry.QUERIES["clean_document"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("This email and any attachments") == 1
+
+
+@pytest.mark.parametrize("name", ["e4_provenance", "k10_whole_document"])
+def test_what_chunks_a_document_cleans_it_once(spark, sf_dir, name):
+    plan = registry.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("This email and any attachments") <= 1
