@@ -79,7 +79,14 @@ def minhash(docs: DataFrame, key: str, text: str = "text", n: int = 3) -> DataFr
     A shingle's number is the first 28 bits of its MD5.
     """
     kind = docs.select(key).schema[0].dataType.simpleString()
-    factors, terms = (np.array(c, np.uint64) for c in zip(*coefficients(), strict=True))
+    factors, terms = (np.array(c, np.uint64)[:, None] for c in zip(*coefficients(), strict=True))
+
+    def runs(words: bytes) -> set:
+        spaces = np.flatnonzero(np.frombuffer(words, np.uint8) == 32)
+        if len(spaces) < n:
+            return {words}
+        starts, ends = [0, *(spaces + 1).tolist()], [*spaces.tolist(), len(words)]
+        return {words[a:b] for a, b in zip(starts[: len(starts) - n + 1], ends[n - 1 :], strict=True)}
 
     def sign(batches):
         import pyarrow as pa
@@ -89,18 +96,24 @@ def minhash(docs: DataFrame, key: str, text: str = "text", n: int = 3) -> DataFr
             for i, words in enumerate(batch.column("words").to_pylist()):
                 if not words:
                     continue
-                runs = {" ".join(words[j : j + n]) for j in range(max(len(words) - n, 0) + 1)}
-                h = np.array([int.from_bytes(md5(r.encode()).digest()[:4], "big") >> 4 for r in runs], np.uint64)
-                least = np.full(PERMUTATIONS, PRIME, np.uint64)
-                for at in range(0, len(h), 512):
-                    np.minimum(least, ((h[at : at + 512, None] * factors + terms) % np.uint64(PRIME)).min(axis=0), out=least)
+                digests = b"".join([md5(r).digest() for r in runs(words.encode())])
+                h = (np.frombuffer(digests, ">u4")[::4] >> 4).astype(np.uint64)
+                least = np.full(PERMUTATIONS, PRIME, np.uint32)
+                for at in range(0, len(h), 256):
+                    # 2**31 leaves 1 at division by the prime, so the two halves' sum has the same remainder
+                    products = h[at : at + 256] * factors + terms
+                    sums = (products & np.uint64(PRIME)).astype(np.uint32)
+                    sums += (products >> np.uint64(31)).astype(np.uint32)
+                    np.minimum(sums, sums - np.uint32(PRIME), out=sums)  # what is below the prime wraps round and stays
+                    np.minimum(least, sums.min(axis=1), out=least)
                 made.append(least.astype(np.int64))
                 keep.append(i)
             flat = pa.array(np.concatenate(made) if made else np.empty(0, np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(made) + 1, dtype=np.int32) * PERMUTATIONS), flat)
             yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(keep, pa.int64())), lists], ["id", "signature"])
 
-    rows = docs.select(F.col(key).alias("id"), T.words(F.lower(F.col(text))).alias("words"))
+    # one text for the words, which hold no space: quicker to hand over than a list, and runs are parts of it
+    rows = docs.select(F.col(key).alias("id"), F.array_join(T.words(F.lower(F.col(text))), " ").alias("words"))
     return rows.mapInArrow(sign, f"id {kind}, signature array<long>")
 
 

@@ -301,3 +301,18 @@ def test_engine_ingests_and_answers(spark):
     got = {r.query_id: r for r in engine.answer(asked, tables["chunks"], vectors, query_vectors, tables["entities"], tables["edges"]).collect()}
     assert got[1].action == "search" and got[1].sources[0].source_key == "c" and got[1].label in ("strong", "moderate")
     assert got[2].action == "canned_greeting" and got[3].action == "ask_user" and got[3].sources is None
+
+
+def test_minhash_of_odd_texts_equals_plain_python(spark):
+    from hashlib import md5
+
+    texts = [None, "", " \n", "one", "Two words", "a b c", "a  b\tc d\xa0e", "É ß 世 界 words", "x " * 2000, " ".join(f"w{i % 700}" for i in range(3000))]
+    made = dedup.minhash(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), "id")
+    want = {}
+    for i, t in enumerate(texts):
+        if w := (t or "").lower().split():
+            h = {int(md5(" ".join(w[j : j + 3]).encode()).hexdigest()[:7], 16) for j in range(max(len(w) - 2, 1))}
+            want[i] = [min((a * x + b) % dedup.PRIME for x in h) for a, b in dedup.coefficients()]
+    assert {r.id: r.signature for r in made.collect()} == want
+    # words go to Python as one text: a list of them takes longer to hand over than to hash
+    assert "array_join" in made._jdf.queryExecution().optimizedPlan().toString()
