@@ -176,7 +176,9 @@ def _dealt(docs: DataFrame, key: str, text: str, n: int):
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     dealt = bucketed.join(once.select("bucket", "n"), "bucket").withColumn("block", F.pmod(hashed, blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = dealt.select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id")
-    sets = kept.select("id", F.length("text").alias("chars"), F.transform(shingles(F.col("text"), n), lambda s: F.xxhash64(s)).alias("elements"))
+    # only texts that share a bucket are taken apart and moved as sets
+    sharing = bucketed.join(once.select("bucket"), "bucket", "left_semi").select("id").distinct()
+    sets = kept.join(sharing, "id", "left_semi").select("id", F.length("text").alias("chars"), F.transform(shingles(F.col("text"), n), lambda s: F.xxhash64(s)).alias("elements"))
     return dealt.join(sets, "id").groupBy("bucket", "low", "high"), docs.select(key).schema[0].dataType.simpleString()
 
 
