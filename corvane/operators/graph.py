@@ -202,21 +202,36 @@ def both_directions(edges: DataFrame) -> DataFrame:
 
 
 def reachable(edges: DataFrame, seeds: DataFrame, depth: int | None = None, directed: bool = True, relations: list[str] | None = None) -> DataFrame:
-    """(seed, node, distance) of the nodes at most `depth` steps from each seed, without the seed itself; without a depth until nothing is new."""
+    """(seed, node, distance) of the nodes at most `depth` steps from each seed, without the seed itself; without a depth until nothing is new.
+
+    Seeds with the same direct neighbours reach the same nodes at the same distances, but for themselves: such a class is
+    walked once. A class's nodes meet its seeds at the end, so rows of seeds and nodes are neither shuffled nor made distinct.
+    """
     if relations is not None:
         edges = edges.filter(F.col("relation").isin(relations))
     steps = (edges.select("subject", "object").distinct() if directed else both_directions(edges)).toDF("at_", "to_")
-    seen = seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("distance"))
-    frontier = seen
-    for d in itertools.count(1) if depth is None else range(1, depth + 1):
-        reached = frontier.join(steps, F.col("node") == F.col("at_")).select("seed", F.col("to_").alias("node")).distinct()
-        frontier = reached.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("distance", F.lit(d))
+    if depth is None or depth > 1:  # every step reads them
+        steps = checkpointed(steps, "steps")
+    first = seeds.select("seed").distinct().join(steps, F.col("seed") == F.col("at_")).select("seed", F.col("to_").alias("node"))
+    if depth == 1:
+        return first.filter("seed <> node").withColumn("distance", F.lit(1))
+    hashed = F.xxhash64("node")
+    named = first.groupBy("seed").agg(F.count("*").alias("n"), F.sum(hashed.cast("decimal(20,0)")).alias("total"), F.bit_xor(hashed).alias("parity"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("second"))
+    named, same = checkpointed(named, "named"), ["n", "total", "parity", "second"]
+    named = checkpointed(named.join(named.groupBy(same).agg(F.min("seed").alias("class_")), same).select("seed", "class_"), "classes")
+    of_class = first.join(named.filter("seed = class_").select("seed"), "seed", "left_semi")
+    seen = frontier = checkpointed(of_class.select(F.col("seed").alias("class_"), "node", F.lit(1).alias("distance")), "frontier")
+    for d in itertools.count(2) if depth is None else range(2, depth + 1):
+        reached = frontier.join(steps, F.col("node") == F.col("at_")).select("class_", F.col("to_").alias("node")).distinct()
+        frontier = reached.join(seen.select("class_", "node"), ["class_", "node"], "left_anti").withColumn("distance", F.lit(d))
         if d != depth:  # the next step reads it twice
-            frontier = checkpointed(frontier)
+            frontier = checkpointed(frontier, "frontier")
             if frontier.isEmpty():
                 break
         seen = seen.unionByName(frontier)
-    return seen.filter("distance > 0")
+    tasks = max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * edges.sparkSession.sparkContext.defaultParallelism)
+    spread = seen.repartition(tasks, "class_", "node")  # a few rows here are many with their seeds
+    return spread.join(named, "class_").filter("seed <> node").select("seed", "node", "distance")
 
 
 def neighbours(edges: DataFrame, seeds: DataFrame, depth: int, semantics: str = "digraph") -> DataFrame:

@@ -316,3 +316,31 @@ def test_minhash_of_odd_texts_equals_plain_python(spark):
     assert {r.id: r.signature for r in made.collect()} == want
     # words go to Python as one text: a list of them takes longer to hand over than to hash
     assert "array_join" in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("directed", [True, False])
+def test_reachable_equals_plain_walks(spark, directed):
+    rng = random.Random(4)
+    pairs = [(f"s{i}", f"h{i % 3}") for i in range(12)] + [("h0", "h1"), ("h1", "s2"), ("s2", "s2"), ("s5", "s5"), ("h2", "x0")] + [(f"x{rng.randrange(9)}", f"x{rng.randrange(9)}") for _ in range(9)]
+    edges = spark.createDataFrame(pairs * 2, "subject string, object string")
+    asked = [f"s{i}" for i in range(12)] + ["h0", "x0", "nowhere"]
+    seeds = spark.createDataFrame([(s,) for s in asked + ["s1"]], "seed string")
+    out = {}
+    for a, b in pairs:
+        out.setdefault(a, set()).add(b)
+        if not directed:
+            out.setdefault(b, set()).add(a)
+    for depth in (1, 2, 3, None):
+        want = set()
+        for s in asked:
+            far, edge, d = {s}, {s}, 0
+            while edge and d != depth:
+                d += 1
+                edge = {b for a in edge for b in out.get(a, ())} - far
+                far |= edge
+                want |= {(s, b, d) for b in edge}
+        found = graph.reachable(edges, seeds, depth, directed)
+        got = [tuple(r) for r in found.collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+        if depth == 2:  # rows of seeds and nodes are as many as the product: they aren't dealt out to be made distinct
+            assert "Aggregate [seed" not in found._jdf.queryExecution().optimizedPlan().toString()
