@@ -344,3 +344,16 @@ def test_reachable_equals_plain_walks(spark, directed):
         assert len(got) == len(set(got)) and set(got) == want
         if depth == 2:  # rows of seeds and nodes are as many as the product: they aren't dealt out to be made distinct
             assert "Aggregate [seed" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_reachable_writes_its_edges_once(spark, monkeypatch):
+    labels = []
+
+    def noted(df, label="step", write=graph.checkpointed):
+        labels.append(label)
+        return write(df, label)
+
+    monkeypatch.setattr(graph, "checkpointed", noted)
+    chain = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(6)], "subject string, object string")
+    assert graph.reachable(chain, spark.createDataFrame([("n0",)], "seed string")).count() == 6
+    assert labels.count("steps") == 1 and labels.count("frontier") == 7
