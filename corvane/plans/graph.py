@@ -388,8 +388,10 @@ def g38(spark, sf_dir):
 
 @query("g34_communities_touched", f"SELECT query_id, community, count(DISTINCT node) AS touched FROM ({ASKED}) q JOIN ({MEMBERS}) m ON community = 'n' || (query_id % 25) GROUP BY 1, 2")
 def g34(spark, sf_dir):
-    q = asked(spark, sf_dir).select("query_id", F.concat(F.lit("n"), (F.col("query_id") % 25).cast("string")).alias("community"))
-    return q.join(members(spark, sf_dir), "community").groupBy("query_id", "community").agg(F.countDistinct("node").alias("touched"))
+    """A community's nodes are counted once, whatever number of queries touches it."""
+    q = asked(spark, sf_dir).select("query_id", F.concat(F.lit("n"), (F.col("query_id") % 25).cast("string")).alias("community")).distinct()
+    counts = members(spark, sf_dir).groupBy("community").agg(F.countDistinct("node").alias("touched"))
+    return q.join(counts, "community").select("query_id", "community", "touched")
 
 
 @query("g39_summary_inputs", f"SELECT node FROM (SELECT node, sum(3) OVER (PARTITION BY community ORDER BY node ROWS UNBOUNDED PRECEDING) * 1.3 AS w FROM ({MEMBERS})) WHERE w <= 20")

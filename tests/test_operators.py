@@ -357,3 +357,12 @@ def test_reachable_writes_its_edges_once(spark, monkeypatch):
     chain = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(6)], "subject string, object string")
     assert graph.reachable(chain, spark.createDataFrame([("n0",)], "seed string")).count() == 6
     assert labels.count("steps") == 1 and labels.count("frontier") == 7
+
+
+def test_nodes_of_a_community_are_counted_once_for_all_queries(spark, sf_dir):
+    from corvane import plans, registry
+
+    plans.register()
+    plan = registry.QUERIES["g34_communities_touched"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    counting = [line for line in plan.splitlines() if "count(distinct" in line]
+    assert len(counting) == 1 and "Aggregate [community" in counting[0]
