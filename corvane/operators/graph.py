@@ -336,19 +336,26 @@ def greedy_merges(pairs: DataFrame, counts: DataFrame) -> DataFrame:
     c = counts.select(F.col("canonical"), "mention_count")
     rows = pairs.join(c.toDF("a", "na"), "a").join(c.toDF("b", "nb"), "b")
 
-    def choose(table):
+    def choose(batches):
         import pyarrow as pa
 
-        gone, out = set(), []
-        for r in table.sort_by([("a", "ascending"), ("b", "ascending")]).to_pylist():
-            if r["a"] in gone or r["b"] in gone:
-                continue
-            winner, loser = (r["b"], r["a"]) if r["nb"] > r["na"] else (r["a"], r["b"])
-            gone.add(loser)
-            out.append((loser, winner))
-        return pa.table({"loser": pa.array([o[0] for o in out], pa.string()), "winner": pa.array([o[1] for o in out], pa.string())})
-
-    return rows.groupBy("type", "component").applyInArrow(choose, "loser string, winner string")
+        at, gone = None, set()
+        for batch in batches:
+            out = []
+            columns = (batch.column(c).to_pylist() for c in ("type", "component", "a", "b", "na", "nb"))
+            for kind, component, a, b, na, nb in zip(*columns, strict=True):
+                if (kind, component) != at:
+                    at, gone = (kind, component), set()
+                if a in gone or b in gone:
+                    continue
+                winner, loser = (b, a) if nb > na else (a, b)
+                gone.add(loser)
+                out.append((loser, winner))
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.string())], ["loser", "winner"])
+
+    # pairs pass a task in order, sorted by Spark: of a component, Python holds the merged names alone
+    dealt = rows.select("type", "component", "a", "b", "na", "nb").repartition("type", "component").sortWithinPartitions("type", "component", "a", "b")
+    return dealt.mapInArrow(choose, "loser string, winner string")
 
 
 def communities(edges: DataFrame, rounds: int = 5) -> DataFrame:

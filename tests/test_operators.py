@@ -366,3 +366,26 @@ def test_nodes_of_a_community_are_counted_once_for_all_queries(spark, sf_dir):
     plan = registry.QUERIES["g34_communities_touched"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     counting = [line for line in plan.splitlines() if "count(distinct" in line]
     assert len(counting) == 1 and "Aggregate [community" in counting[0]
+
+
+def test_greedy_merges_pass_in_batches(spark):
+    """Pairs of a component are never in Python at once: the merged names are carried from batch to batch."""
+    rng = random.Random(5)
+    found = sorted({(kind, *sorted(rng.sample([f"{kind}{i}" for i in range(12)], 2))) for kind in "pqr" for _ in range(40)})
+    counts = {f"{kind}{i}": rng.randrange(4) for kind in "pqr" for i in range(12)}
+    gone, want = set(), set()
+    for _, a, b in found:
+        if not gone & {a, b}:
+            winner, loser = (b, a) if counts[b] > counts[a] else (a, b)
+            gone.add(loser)
+            want.add((loser, winner))
+    rng.shuffle(found)
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "3")
+    try:
+        merged = graph.greedy_merges(spark.createDataFrame(found, "type string, a string, b string"), spark.createDataFrame(list(counts.items()), "canonical string, mention_count long"))
+        assert {tuple(r) for r in merged.collect()} == want
+    finally:
+        spark.conf.set(setting, before)
+    assert "FlatMapGroups" not in merged._jdf.queryExecution().optimizedPlan().toString()
