@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import dedup as D
 from ..registry import query, table
+from ..sources.checkpoint import checkpointed
 from . import sql as S
 
 HASH = f"sha256({S.strip(S.collapse('text'))})"
@@ -104,10 +105,12 @@ def d6(spark, sf_dir):
     """,
 )
 def d7(spark, sf_dir):
+    """Texts are moved, not their runs, which are several times as long; signatures are written, since both sides read them."""
     rows = docs(spark, sf_dir)
-    signed = D.minhash(rows, "doc_id").join(rows.select(F.col("doc_id").alias("id"), D.shingles(F.col("text")).alias("s")), "id")
-    after = signed.select((F.col("id") - 1).alias("id"), F.col("id").alias("next_id"), F.col("signature").alias("signature2"), F.col("s").alias("s2"))
-    return signed.join(after, "id").select(
+    signed = checkpointed(D.minhash(rows, "doc_id"), "signed").join(rows.select(F.col("doc_id").alias("id"), "text"), "id")
+    after = signed.select((F.col("id") - 1).alias("id"), F.col("id").alias("next_id"), F.col("signature").alias("signature2"), F.col("text").alias("text2"))
+    pairs = signed.join(after, "id").withColumns({"s": D.shingles(F.col("text")), "s2": D.shingles(F.col("text2"))})
+    return pairs.select(
         "id", "next_id", F.round(D.estimated_similarity(F.col("signature"), F.col("signature2")), 6).alias("estimate"), F.round(D.similarity(F.col("s"), F.col("s2")), 6).alias("exact")
     )
 

@@ -403,3 +403,11 @@ def test_keywords_are_counted_where_the_text_is(spark):
     assert {g for g in got if g[0] != 5} == {w for w in want if w[0] != 5}  # which of equal counts is first in two rows of an id is by the place in its row
     assert {g[:3] for g in got if g[0] == 5} == {w[:3] for w in want if w[0] == 5}
     assert "MapInArrow" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_similarity_of_neighbours_signs_each_text_once(spark, sf_dir):
+    from corvane import plans, registry
+
+    plans.register()
+    plan = registry.QUERIES["d7_similarity"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 0
