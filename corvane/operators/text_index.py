@@ -185,7 +185,7 @@ class TextIndex:
 
         bounds = lambda least, k: _scored(groups, "bigint", query_type, spark.sparkContext.broadcast(model | {"least": least}), k, "terms", "most", reach)
         named = spark.createDataFrame([(i, v) for i, v in enumerate(keys.to_pylist())], f"q int, query_id {query_type}")
-        seeds = self._scores(top(bounds(None, k), "most", k), named, wanted, blocks, mean)
+        seeds = self._scores(top(bounds(None, k), "most", k), named, wanted, blocks, mean, few=True)
         kth = top(seeds, "bm25", k).filter(F.col("rank") == k).join(named, "query_id").select("q", "bm25").collect()  # a row a query of the block
         least = np.zeros(len(keys))
         for r in kth:
@@ -196,9 +196,9 @@ class TextIndex:
         pairs = reached.join(F.broadcast(named), "query_id").join(F.broadcast(wanted), "q").select(F.col("id").alias("grp"), "term")
         return hits, asked.crossJoin(pairs.join(blocks.select("grp", "term"), ["grp", "term"]).agg(F.count("*").alias("blocks_read")))
 
-    def _scores(self, pairs: DataFrame, named: DataFrame, wanted: DataFrame, blocks: DataFrame, mean: float) -> DataFrame:
-        """(query_id, id, bm25) of all documents in pairs (query_id, id: a group)."""
+    def _scores(self, pairs: DataFrame, named: DataFrame, wanted: DataFrame, blocks: DataFrame, mean: float, few: bool = False) -> DataFrame:
+        """(query_id, id, bm25) of all documents in pairs (query_id, id: a group); few: k groups a query at most, so blocks stay where they are."""
         parts = pairs.select("query_id", F.col("id").alias("grp")).join(F.broadcast(named), "query_id").join(F.broadcast(wanted.select("q", "term", "idf")), "q")
-        opened = parts.join(blocks.select("grp", "term", "begun", "docs"), ["grp", "term"]).select("query_id", "idf", "begun", F.inline("docs"))
+        opened = (F.broadcast(parts) if few else parts).join(blocks.select("grp", "term", "begun", "docs"), ["grp", "term"]).select("query_id", "idf", "begun", F.inline("docs"))
         scored = self._without_removed(opened).select("query_id", "id", (F.col("idf") * _weight(F.col("tf"), F.col("dl"), mean)).alias("part"))
         return scored.groupBy("query_id", "id").agg(F.round(F.sum("part"), 6).alias("bm25"))

@@ -206,3 +206,29 @@ def test_blocks_without_their_lengths_do_not_count(spark, corpus, questions):
     index.add(corpus.filter("doc_id < 300"))
     index.segments.write(index._stored().drop("begun"), "blocks")  # a writer that was cut off
     assert hits(index.search(questions)) == plain(corpus.filter("doc_id < 300"), questions)
+
+
+def test_first_groups_meet_the_blocks_where_they_are(spark, tmp_path, monkeypatch):
+    """k groups a query at most are sent to the blocks; these aren't dealt out for them."""
+    from corvane.operators.text_index import TextIndex
+
+    plans, scores = [], TextIndex._scores
+
+    def noted(self, *args, **named):
+        made = scores(self, *args, **named)
+        plans.append(made._jdf.queryExecution().executedPlan().toString())
+        return made
+
+    monkeypatch.setattr(TextIndex, "_scores", noted)
+    setting = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "-1")
+    try:
+        index = TextIndex(spark, f"{tmp_path}/index")
+        index.add(spark.createDataFrame([(i, f"word{i % 7} other{i % 5} all") for i in range(60)], "doc_id long, text string"), size=8)
+        found = index.search(spark.createDataFrame([(1, "word3 other2")], "item_id long, text string"), k=2).collect()
+    finally:
+        spark.conf.set(setting, before)
+    assert [r.id for r in sorted(found, key=lambda r: r.rank)] == [17, 52]
+    joins = [[line for line in p.splitlines() if "Join [grp" in line] for p in plans]
+    assert "BroadcastHashJoin" in joins[0][0] and "SortMergeJoin" in joins[1][0]
