@@ -6,6 +6,7 @@ group of any size costs one row a copy and never a pair of copies.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from hashlib import md5
 
 import numpy as np
@@ -21,6 +22,8 @@ PRIME = (1 << 31) - 1
 PERMUTATIONS, BANDS = 128, 16
 #: Texts in one block of a bucket, and elements compared at a time.
 BLOCK, COLUMNS = 256, 8192
+#: From this similarity on, texts without a partner are put aside by parts of their sets. Below it, parts are too small to tell.
+PARTS_FROM = 0.9
 
 
 def coefficients(n: int = PERMUTATIONS) -> list[tuple[int, int]]:
@@ -128,14 +131,101 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(union == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
+def _mixed(h):
+    """The bits of 64-bit numbers spread over each other, one to one."""
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> np.uint64(33))
+
+
+def _distinct(values):
+    values = np.sort(values)
+    return values[np.append(True, values[1:] != values[:-1])[: len(values)]]
+
+
+#: A number for each byte at each of a word's first places.
+PLACES = _mixed(np.arange(64 * 256, dtype=np.uint64))
+
+
+def _sets(texts, n: int):
+    """For each of an Arrow array's texts (words with single spaces between) the distinct hashes of its word n-grams; of all words where there are fewer."""
+    bounds = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
+    bounds -= bounds[0]
+    full = bounds[:-1] < bounds[1:]
+    spaces = np.flatnonzero(data == 32)
+    starts, ends = np.sort(np.concatenate([spaces + 1, bounds[:-1][full]])), np.sort(np.concatenate([spaces, bounds[1:][full]]))
+    # a word's hash is the sum of numbers for each byte at its place, so all words' hashes are differences of one running sum
+    at = (np.arange(len(data)) - np.repeat(starts, np.diff(np.append(starts, len(data))))) * 256 + data
+    values = PLACES.take(at, mode="clip")
+    far = np.flatnonzero(at >= len(PLACES))
+    values[far] = _mixed(at[far].astype(np.uint64))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values, dtype=np.uint64)])
+    words = sums[ends] - sums[starts]
+    cuts = np.searchsorted(starts, bounds)
+    first, last = np.repeat(cuts[:-1], np.diff(cuts)), np.repeat(cuts[1:], np.diff(cuts))
+    runs, place = np.minimum(last - first, n).astype(np.uint64), np.arange(len(words))
+    for k in range(n):  # each place has a factor of its own
+        size = max(len(words) - k, 0)
+        more = runs[:size] * np.uint64(0x9E3779B97F4A7C15) + words[k:]
+        runs[:size] = np.where(place[k:] < last[:size], more, runs[:size])
+    whole = (place + n <= last) | (place == first)
+    cuts = np.concatenate([[0], np.cumsum(whole)])[cuts]
+    runs = _mixed(runs[whole])
+    return [_distinct(runs[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def _parts(elements, threshold: float, bounds: list[int]):
+    """Numbers of which two sets of at least the threshold have one in common.
+
+    Sets whose union holds at most d elements that aren't in both agree in one of d + 1 parts, as each such element
+    spoils one part. d is bounded by the sizes; sizes are in classes, and sets that are similar enough are in one class
+    or in two that follow each other, so each set is cut for its class with the next, and with the one before.
+    """
+    while bounds[-1] <= len(elements):
+        bounds.append(int(bounds[-1] / threshold + 1e-9) + 1)
+    at = bisect_right(bounds, len(elements)) - 1
+    while len(bounds) < at + 3:
+        bounds.append(int(bounds[-1] / threshold + 1e-9) + 1)
+    out, mixed = [], _mixed(elements)
+    for low in range(max(at - 1, 0), at + 1):
+        most = 2 * (bounds[low + 2] - 1)
+        parts = int(most * (1 - threshold) / (1 + threshold) + 1e-6) + 1
+        sums = np.zeros(parts, np.uint64)
+        np.add.at(sums, (elements % np.uint64(parts)).astype(np.int64), mixed)
+        out.append(_mixed(sums + _mixed(np.arange(parts, dtype=np.uint64) + (np.uint64(low + 1) << np.uint64(32)))))
+    return np.concatenate(out).view(np.int64)
+
+
+def _hashed(docs: DataFrame, key: str, text: str, threshold: float, n: int) -> DataFrame:
+    """(id, content_hash, parts) of each text, written once; parts is null for a threshold that is too low for them."""
+    kind = docs.select(key).schema[0].dataType.simpleString()
+    rows = docs.select(F.col(key).alias("id"), F.trim(T.collapse(F.col(text))).alias("norm"))  # T.normal_hash's text, stripped of the spaces that are left
+    rows = rows.select("id", F.sha2("norm", 256).alias("content_hash"), F.lower("norm").alias("words"))
+    if not PARTS_FROM <= threshold <= 1:
+        return checkpointed(rows.select("id", "content_hash", F.lit(None).cast("array<long>").alias("parts")), "hashes")
+
+    def cut(batches):
+        import pyarrow as pa
+
+        bounds = [1]
+        for batch in slices(batches, "words", 250_000):
+            made = [_parts(s, threshold, bounds) if len(s) else np.empty(0, np.int64) for s in _sets(batch.column("words"), n)]
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, made)]), pa.int32()), pa.array(np.concatenate(made)))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("content_hash"), lists], ["id", "content_hash", "parts"])
+
+    return checkpointed(rows.mapInArrow(cut, f"id {kind}, content_hash string, parts array<long>"), "hashes")
+
+
 def fuzzy_matches(docs: DataFrame, key: str, text: str = "text", threshold: float = 0.95, n: int = 3) -> DataFrame:
     """For each text its most similar earlier text of at least the threshold, the earliest on a tie, and whether it replaces that.
 
     Exact copies are put aside first. Bands of the signature make buckets, and all pairs of a bucket are
     compared on their full sets, in blocks of bounded size and within the task: rows out are at most one a
-    member and block, never a pair. Buckets with the same members are compared once.
+    member and block, never a pair. Buckets with the same members are compared once. For a high threshold, only
+    texts that agree with another in a part of their sets are signed; no pair of at least the threshold is lost by that.
     """
-    groups, kind = _dealt(docs, key, text, n)
+    groups, kind = _dealt(docs, _hashed(docs, key, text, threshold, n), key, text, threshold, n)
 
     def compare(table):
         return _best_earlier(table, threshold)
@@ -150,22 +240,27 @@ def near_duplicate_clusters(docs: DataFrame, key: str, text: str = "text", thres
 
     Exact copies are of one cluster. Pairs come from fuzzy_matches' blocks; each returns no more links than join its rows.
     """
-    groups, kind = _dealt(docs, key, text, n)
+    hashed = _hashed(docs, key, text, threshold, n)
+    groups, kind = _dealt(docs, hashed, key, text, threshold, n)
 
     def link(table):
         return _forest(table, threshold)
 
-    hashed = checkpointed(docs.select(F.col(key).alias("id"), T.normal_hash(F.col(text)).alias("content_hash")), "hashes")
+    hashed = hashed.select("id", "content_hash")
     firsts = hashed.groupBy("content_hash").agg(F.min("id").alias("first"))
     parts = connected_components(groups.applyInArrow(link, f"a {kind}, b {kind}"))
     named = firsts.join(parts, F.col("first") == F.col("node"), "left").select("content_hash", F.coalesce("component", "first").alias("cluster"))
     return hashed.filter("content_hash is not null").join(named, "content_hash").select("id", "cluster").unionByName(hashed.filter("content_hash is null").select("id", F.col("id").alias("cluster")))
 
 
-def _dealt(docs: DataFrame, key: str, text: str, n: int):
+def _dealt(docs: DataFrame, hashed: DataFrame, key: str, text: str, threshold: float, n: int):
     """Blocks of the buckets that texts share, grouped, with the texts' sets; and the type of the key."""
-    firsts = docs.select(T.normal_hash(F.col(text)).alias("content_hash"), F.col(key).alias("id")).groupBy("content_hash").agg(F.min("id").alias("id"))
-    kept = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(firsts.select("id"), "id", "left_semi")
+    ids = hashed.groupBy("content_hash").agg(F.min("id").alias("id")).select("id")
+    if PARTS_FROM <= threshold <= 1:
+        parts = hashed.join(ids, "id", "left_semi").select("id", F.explode("parts").alias("part"))
+        shared = parts.groupBy("part").agg(F.count("*").alias("n")).filter("n > 1").select("part")
+        ids = parts.join(shared, "part", "left_semi").select("id").distinct()
+    kept = checkpointed(docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(ids, "id", "left_semi"), "kept")
     signed = minhash(kept, "id", n=n)
     width = PERMUTATIONS // BANDS
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.concat_ws(":", b.cast("string"), F.array_join(F.slice("signature", b * width + 1, width), ",")))

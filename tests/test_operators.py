@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -411,3 +413,45 @@ def test_similarity_of_neighbours_signs_each_text_once(spark, sf_dir):
     plans.register()
     plan = registry.QUERIES["d7_similarity"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 0
+
+
+@pytest.mark.parametrize("threshold", [0.9, 0.95, 1.0])
+def test_parts_of_similar_sets_lose_no_pair(threshold):
+    rng, bounds, near, far = random.Random(3), [1], 0, 0
+    for _ in range(1500):
+        size = rng.choice([1, 2, 18, 19, 20, 21, 38, 39, 40, 100, 400])
+        changed = rng.randint(0, max(1, size // 9))
+        one = [rng.getrandbits(64) for _ in range(size)]
+        other = one[rng.randint(0, changed) if size > 1 else 0 :] + [rng.getrandbits(64) for _ in range(rng.randint(0, changed))]
+        both = [dedup._parts(dedup._distinct(np.array(s, np.uint64)), threshold, bounds).tolist() for s in (one, other)]
+        if len(set(one) & set(other)) / len(set(one) | set(other)) >= threshold:
+            near += 1
+            assert set(both[0]) & set(both[1])
+        other = [rng.getrandbits(64) for _ in range(size)]
+        far += bool(set(both[0]) & set(dedup._parts(dedup._distinct(np.array(other, np.uint64)), threshold, bounds).tolist()))
+    assert near > 200 and not far
+
+
+def test_sets_are_those_of_the_word_runs():
+    long = "x" * 70
+    texts = ["", "one", "One two", "a b c", "a b c a b c a b c", None, f"{long}a {long}b {long}a", "\u00e9\u4e2d z \U0001f600 q", "c b a", " ".join(f"w{i % 17}" for i in range(300)), "one"]
+    want = [({tuple(w[i : i + 3]) for i in range(max(len(w) - 2, 1))} if (w := (t or "").split()) else set()) for t in texts]
+    for cut in (0, 1, 4):  # slices of a batch too
+        sets = dedup._sets(pa.array(texts).slice(cut), 3)
+        assert [len(s) for s in sets] == [len(w) for w in want[cut:]]
+        for i, a in enumerate(sets):
+            assert [len(np.intersect1d(a, b)) for b in sets] == [len(want[cut + i] & w) for w in want[cut:]]
+
+
+def test_fuzzy_matches_sign_only_texts_that_may_have_a_partner(spark, monkeypatch):
+    signed = []
+
+    def noted(docs, *rest, sign=dedup.minhash, **more):
+        signed.extend(r.id for r in docs.select("id").collect())
+        return sign(docs, *rest, **more)
+
+    monkeypatch.setattr(dedup, "minhash", noted)
+    words = [[f"w{i}-{k}" for k in range(100)] for i in range(30)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(words)] + [(50, " ".join([*words[3], "end"])), (51, " \t".join(words[4])), (52, None), (53, "")]
+    found = dedup.fuzzy_matches(spark.createDataFrame(rows, "id long, text string"), "id").collect()
+    assert [(r.id, r.canonical_id) for r in found] == [(50, 3)] and sorted(signed) == [3, 50]
