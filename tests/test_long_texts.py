@@ -79,3 +79,20 @@ def test_a_document_is_cleaned_once(spark, sf_dir):
 def test_what_chunks_a_document_cleans_it_once(spark, sf_dir, name):
     plan = registry.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("This email and any attachments") <= 1
+
+
+def test_texts_without_what_a_pattern_needs_pass_it_by(spark):
+    flags = dict(T.BOILERPLATE)
+    assert all("i" not in flags[p] for p in T.NEEDED) and all("i" in flags[p] for p in T.NEEDED_MATCH)
+    held = [
+        "===\na\n===", "Page 3 of 4", "Hi everyone,", "Best,", "Regards", "Cheers,", "Thanks", "a\n--\nme", "[TOC]\n1. a\n2. b\n", "[12] see", "See also: http://x.y", "Internal wiki https://x.y", "-=-", "=-=", "---", "===",
+        "we are Following up on your write-up", "so Let me know if you have questions, ok", " Staff engineer", "Principal x", "Senior y", "Lead z", "a dRaFt b", "do not diſtribute", "tech talk on FRIDAY", "Meeting next weeK", "session", "Friday",
+    ]
+    rows = [(f"above\n{h}\nbelow",) for h in held] + [(h,) for h in held] + [(h.swapcase(),) for h in held] + [(None,), ("",)]
+    plain = F.col("t")
+    for pattern, more in T.BOILERPLATE:
+        plain = F.regexp_replace(plain, f"(?dmU{more}){pattern}", "")
+    stripped = spark.createDataFrame(rows, "t string").select("t", plain.alias("a"), T.strip_boilerplate(F.col("t")).alias("b"))
+    got = stripped.collect()
+    assert [r.b for r in got] == [r.a for r in got] and sum(r.t != r.b for r in got) > 40
+    assert stripped.select("b")._jdf.queryExecution().optimizedPlan().toString().lower().count("contains(") > len(T.NEEDED)
