@@ -7,6 +7,7 @@ a step, and keep the nodes seen so far apart; the number of steps is bounded by
 
 from __future__ import annotations
 
+import functools
 import itertools
 
 import numpy as np
@@ -20,6 +21,8 @@ from .search import doubles
 
 #: Nodes of a type that are compared at a time.
 SIMILAR_BLOCK = 1024
+#: Names of a type that are merged in the first round.
+FIRST_NAMES = 256
 
 # ---------------------------------------------------------------- fixed values
 
@@ -188,7 +191,7 @@ def resolve(nodes: DataFrame, edges: DataFrame, alias: DataFrame, vectors: DataF
     by_alias = final_winners(checkpointed(by_alias.groupBy(F.col("alias").alias("loser")).agg(F.min("target").alias("winner")).filter("loser <> winner")))
     nodes, edges = (checkpointed(t) for t in merge_entities(nodes, edges, by_alias))
     left = vectors.join(nodes.select(F.col("canonical").alias("name")), "name", "left_semi")
-    by_vector = checkpointed(greedy_merges(similar_names(left, threshold), nodes.select("canonical", "mention_count")))
+    by_vector = similar_merges(left, nodes.select("canonical", "mention_count"), threshold)
     nodes, edges = merge_entities(nodes, edges, final_winners(by_vector))
     merges = by_alias.select("loser", "winner").withColumn("phase", F.lit("alias")).unionByName(by_vector.withColumn("phase", F.lit("embedding")))
     return nodes, edges, merges
@@ -335,6 +338,12 @@ def greedy_merges(pairs: DataFrame, counts: DataFrame) -> DataFrame:
     pairs = pairs.withColumn("node", key("a")).join(parts, "node").drop("node")
     c = counts.select(F.col("canonical"), "mention_count")
     rows = pairs.join(c.toDF("a", "na"), "a").join(c.toDF("b", "nb"), "b")
+    return _taken_in_order(rows, "component").select("loser", "winner")
+
+
+def _taken_in_order(rows: DataFrame, *parts: str) -> DataFrame:
+    """(type, loser, winner) of pairs (type, *parts, a, b, na, nb), those of a type and its parts by a and b in one task."""
+    keys = ["type", *parts]
 
     def choose(batches):
         import pyarrow as pa
@@ -342,20 +351,72 @@ def greedy_merges(pairs: DataFrame, counts: DataFrame) -> DataFrame:
         at, gone = None, set()
         for batch in batches:
             out = []
-            columns = (batch.column(c).to_pylist() for c in ("type", "component", "a", "b", "na", "nb"))
-            for kind, component, a, b, na, nb in zip(*columns, strict=True):
-                if (kind, component) != at:
-                    at, gone = (kind, component), set()
+            columns = (batch.column(c).to_pylist() for c in ("a", "b", "na", "nb"))
+            for *group, a, b, na, nb in zip(*(batch.column(k).to_pylist() for k in keys), *columns, strict=True):
+                if group != at:
+                    at, gone = group, set()
                 if a in gone or b in gone:
                     continue
                 winner, loser = (b, a) if nb > na else (a, b)
                 gone.add(loser)
-                out.append((loser, winner))
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.string())], ["loser", "winner"])
+                out.append((group[0], loser, winner))
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.string()) for i in range(3)], ["type", "loser", "winner"])
+
+    # pairs pass a task in order, sorted by Spark: of a group, Python holds the merged names alone
+    dealt = rows.select(*keys, "a", "b", "na", "nb").repartition(*keys).sortWithinPartitions(*keys, "a", "b")
+    return dealt.mapInArrow(choose, "type string, loser string, winner string")
+
+
+def similar_merges(nodes: DataFrame, counts: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """(loser, winner): the greedy merges of the similar names, without making all pairs.
+
+    Exact: a pair counts only if neither name is merged when its turn comes. So the names that stand first are taken in
+    rounds, FIRST_NAMES of a type and four times as many each round; they meet the names still there, and those merged
+    take no part in later rounds. Pairs of a type are one task's in a round, since the choice is sequential.
+    """
+    c = counts.select(F.col("canonical").alias("name"), F.col("mention_count").cast("long").alias("n"))
+    rows = nodes.select("type", "name", F.col("place").cast("long").alias("place"), "vector").filter("vector is not null and type is not null")
+    left = checkpointed(rows.join(c, "name").withColumn("waits", F.lit(True)), "left")
+    merges, size = [], FIRST_NAMES
+    while not left.filter("waits").isEmpty():
+        rank = F.dense_rank().over(Window.partitionBy("type").orderBy("name"))
+        first = left.filter("waits").select("type", "name").withColumn("rank", rank).filter(F.col("rank") <= size)
+        ends = checkpointed(first.groupBy("type").agg(F.max("name").alias("end"), F.ceil(F.max("rank") / SIMILAR_BLOCK).cast("int").alias("parts")), "ends")
+        merges.append(checkpointed(_taken_in_order(_close_pairs(left, ends, threshold)), "merges"))
+        still = left.join(merges[-1].select("type", F.col("loser").alias("name")), ["type", "name"], "left_anti").join(ends, "type", "left")
+        left = checkpointed(still.withColumn("waits", F.coalesce(F.col("waits") & (F.col("name") > F.col("end")), F.lit(False))).drop("end", "parts"), "left")
+        size *= 4
+    if not merges:
+        return nodes.sparkSession.createDataFrame([], "loser string, winner string")
+    return functools.reduce(DataFrame.unionByName, merges).select("loser", "winner")
+
+
+def _close_pairs(left: DataFrame, ends: DataFrame, threshold: float) -> DataFrame:
+    """(type, a, b, na, nb) of the close pairs of left (type, name, place, vector, n, waits): a waits and is no later name than its type's end in ends (type, end, parts); a stands first.
+
+    The a of a type are dealt into parts, all its rows into blocks, and each part is compared with each block as matrices in a task.
+    """
+    sizes = left.groupBy("type").agg(F.ceil(F.count("*") / (4 * SIMILAR_BLOCK)).cast("int").alias("blocks")).join(ends, "type")
+    rows = left.withColumn("vector", doubles(F.col("vector"))).join(sizes, "type")
+    upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    dealt = lambda c: F.pmod(F.xxhash64("name", "place"), F.col(c)).cast("int")
+    columns = ["type", "block", "part", "asks", "name", "place", "vector", "n"]
+    asks = rows.filter("waits and name <= end").withColumn("part", dealt("parts")).withColumn("block", upto("blocks")).withColumn("asks", F.lit(True))
+    asked = rows.withColumn("block", dealt("blocks")).withColumn("part", upto("parts")).withColumn("asks", F.lit(False))
+
+    def compare(table):
+        import pyarrow as pa
+
+        asks, place = table.column("asks").to_numpy(), table.column("place").to_numpy()
+        v = table.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(place), -1)
+        v = v / np.maximum(np.sqrt((v * v).sum(axis=1, keepdims=True)), 1e-300)
+        at, other = np.nonzero(asks)[0], np.nonzero(~asks)[0]
+        i, j = np.nonzero((v[at] @ v[other].T >= threshold) & (place[at][:, None] < place[other]))
+        take = lambda c, k: table.column(c).take(pa.array(k))
+        i, j = at[i], other[j]
+        return pa.table({"type": take("type", i), "a": take("name", i), "b": take("name", j), "na": take("n", i), "nb": take("n", j)})
 
-    # pairs pass a task in order, sorted by Spark: of a component, Python holds the merged names alone
-    dealt = rows.select("type", "component", "a", "b", "na", "nb").repartition("type", "component").sortWithinPartitions("type", "component", "a", "b")
-    return dealt.mapInArrow(choose, "loser string, winner string")
+    return asks.select(columns).unionByName(asked.select(columns)).groupBy("type", "block", "part").applyInArrow(compare, "type string, a string, b string, na long, nb long")
 
 
 def communities(edges: DataFrame, rounds: int = 5) -> DataFrame:

@@ -439,7 +439,7 @@ def greedy_sql(counts: str) -> str:
 @query("g41_greedy_merges", greedy_sql("SELECT 'e' || vec_id AS name, vec_id % 7 AS n FROM embeddings"))
 def g41g(spark, sf_dir):
     counts = vectors(spark, sf_dir).select(F.col("name").alias("canonical"), (F.col("place") % 7).alias("mention_count"))
-    return G.greedy_merges(G.similar_names(vectors(spark, sf_dir), 0.3), counts)
+    return G.similar_merges(vectors(spark, sf_dir), counts, 0.3)
 
 
 @query(

@@ -393,6 +393,42 @@ def test_greedy_merges_pass_in_batches(spark):
     assert "FlatMapGroups" not in merged._jdf.queryExecution().optimizedPlan().toString()
 
 
+@pytest.mark.parametrize("block, first, threshold", [(7, 2, 0.9), (3, 1, 0.5), (1024, 256, 0.3)])
+def test_similar_merges_equal_merges_of_all_pairs(spark, monkeypatch, block, first, threshold):
+    monkeypatch.setattr(graph, "SIMILAR_BLOCK", block)
+    monkeypatch.setattr(graph, "FIRST_NAMES", first)
+    rng = random.Random(block)
+    data = [(f"n{i}", "t" if i % 3 else "u", i, [rng.gauss(0, 1) for _ in range(3)]) for i in range(90)]
+    counts = {n: rng.randint(1, 4) for n, *_ in data}
+    data += [("zero", "t", 99, [0.0] * 3), ("null", "t", 7, None), ("no type", None, 7, [1.0] * 3), ("uncounted", "t", 3, [1.0] * 3)]
+    data += [("n4", "t", 1000, [1.0] * 3), ("n4", "u", 5, [1.0] * 3), ("no place", "t", None, [1.0] * 3)]  # a name of two rows, and of two types
+    counts |= {"zero": 1, "null": 2, "no type": 3, "no place": 4}
+    nodes = spark.createDataFrame(data, "name string, type string, place long, vector array<double>")
+    n = spark.createDataFrame(list(counts.items()), "canonical string, mention_count long")
+    got = sorted(map(tuple, graph.similar_merges(nodes, n, threshold).collect()))
+    assert got == sorted(map(tuple, graph.greedy_merges(graph.similar_names(nodes, threshold), n).collect())) and len(got) > 40
+    assert graph.similar_merges(nodes.limit(0), n).collect() == []
+
+
+def test_resolution_makes_no_pairs_of_merged_names(spark, monkeypatch):
+    """Pairs of 300 copies are 44,850; the first two names' are enough for all."""
+    made = []
+
+    def noted(rows, *parts, take=graph._taken_in_order):
+        made.append(rows.count())
+        return take(rows, *parts)
+
+    monkeypatch.setattr(graph, "FIRST_NAMES", 2)
+    monkeypatch.setattr(graph, "_taken_in_order", noted)
+    names = [f"n{i:03}" for i in range(300)]
+    nodes = spark.createDataFrame([(n, 1, ["s"]) for n in names], "canonical string, mention_count long, sources array<string>")
+    vectors = spark.createDataFrame([(n, "t", i, [1.0, 2.0]) for i, n in enumerate(names)], "name string, type string, place long, vector array<double>")
+    edges, alias = spark.createDataFrame([], "subject string, object string, weight int"), spark.createDataFrame([], "alias string, target string")
+    merges = graph.resolve(nodes, edges, alias, vectors)[2]
+    assert {tuple(r) for r in merges.collect()} == {(n, "n000", "embedding") for n in names[1:]}
+    assert made == [299 + 298]
+
+
 def test_keywords_are_counted_where_the_text_is(spark):
     from corvane.operators.enrich import keywords
 
